@@ -8,17 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.runtime import table
 
+from .decontaminate import contained_items
+from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80, shingle_words=5)
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), min_words=50)
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_substring_dedup": op9_substring_dedup}
+    return {q.__name__: q for q in (op1_near_dedup, op4_decontaminate, op8_mix_sources, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -134,12 +134,12 @@ def column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offs
 
 
-def slices(values: pa.Array, sep: np.ndarray = SPACE, fold: np.ndarray = SAME, max_bytes: int = SLICE_BYTES) -> Iterator[Words]:
+def slices(values: pa.Array, sep: np.ndarray = SPACE, fold: np.ndarray = SAME, max_bytes: int = SLICE_BYTES, max_texts: int = 1 << 16) -> Iterator[Words]:
     """The column's words, slice by slice; a text is never split."""
     data, offs = column(values)
     lo, n = 0, len(offs) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1)
+        hi = max(lo + 1, min(n, lo + max_texts, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1))
         part = data[offs[lo] : offs[hi]]
         yield tokenize(part, offs[lo : hi + 1] - offs[lo], sep, fold, lo)
         lo = hi
