@@ -146,18 +146,20 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_c
     anchors = scratch.table(texts.mapInArrow(lambda b: _anchors(b, k, full), f"h long, id {id_type}, pos int, around long"), "anchors")
     # level 1: minimisers of two texts
     ids = anchors.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), (F.min("around") == F.max("around")).alias("same"))
-    found = scratch.table(anchors.join(ids.where("least < most").drop("most"), "h"), "found")
+    ids = scratch.table(ids.where("least < most").drop("most"), "repeated")  # written, so that both sides of the join are plain shuffles, which AQE can split
+    found = scratch.table(anchors.join(ids, "h"), "found")
     scratch.drop(anchors)
     # level 2: their surroundings
     span = (F.greatest(F.col("pos") - (full - k), F.lit(0)).alias("first"), (F.col("pos") + full).alias("last"))
     mixed = found.where("not same").drop("least", "same")
-    kinds = mixed.groupBy("h", "around").agg(F.min("id").alias("least"))
+    kinds = scratch.table(mixed.groupBy("h", "around").agg(F.min("id").alias("least")), "kinds")
     mixed = scratch.table(mixed.join(kinds, ["h", "around"]), "mixed")
     gone = found.where("same").unionByName(mixed, allowMissingColumns=True).where("least < id").select("id", *span)
     # level 3: full windows where they differ
     at = mixed.where("least = id").groupBy("id").agg(F.collect_set("pos").alias("at"))
     wide = scratch.table(texts.join(at, "id").mapInArrow(lambda b: _doubled(b, k, full), f"h long, id {id_type}, pos int"), "wide")
     ids = wide.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    ids = scratch.table(ids, "repeated")
     single = wide.join(ids, "h").where("least < id").select("id", F.col("pos").alias("first"), (F.col("pos") + full).alias("last"))
     ranges = gone.union(single).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("r"))
     return texts.join(ranges.select("id", F.col("r.first").alias("first"), F.col("r.last").alias("last")), "id", "left")
