@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .words import LOWER, SPACE, mix, shingles, slices
 
@@ -73,7 +74,7 @@ def _signatures(texts: list[str | None], permutations: int, k: int) -> tuple[np.
 
 
 def _search(batches, block, percent: int, k: int):
-    keys, texts, (sig, owner, sizes, uses) = block.value
+    keys, texts, (sig, owner, sizes, uses), kind = block.value
     known, start, count = np.unique(sig, return_index=True, return_counts=True)
     mask = np.zeros(1 << 20, bool)
     mask[(known >> np.uint64(44)).astype(np.int64)] = True
@@ -85,7 +86,7 @@ def _search(batches, block, percent: int, k: int):
             maybe = np.flatnonzero(mask[(h >> np.uint64(44)).astype(np.int64)])
             at = np.searchsorted(known, h[maybe])
             at[at == len(known)] = 0
-            hit = known[at] == h[maybe] if len(known) else np.zeros(0, bool)
+            hit = known[at] == h[maybe]
             for i in np.unique(text[maybe[hit]]):
                 mine = at[hit & (text[maybe] == i)]
                 n_doc = max(int(w.counts[i]) - k + 1, 1)  # its shingles, repeats included
@@ -103,21 +104,11 @@ def _search(batches, block, percent: int, k: int):
                         found.append(keys[c])
                         share.append(both / len(sets[c]))
                         estimate.append(votes[c] / uses[c])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, block.value[3]), pa.array(share, pa.float64()), pa.array(estimate, pa.float64())], ["id", "item", "containment", "estimate"])
-
-
-class _Block:
-    """A block of items as a broadcast variable; signatures are made once per Python worker."""
-
-    def __init__(self, spark, rows, permutations: int, k: int, kind: pa.DataType):
-        texts = [r[1] for r in rows]
-        self.shared = spark.sparkContext.broadcast(([r[0] for r in rows], texts, _signatures(texts, permutations, k), kind))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, kind), pa.array(share, pa.float64()), pa.array(estimate, pa.float64())], ["id", "item", "containment", "estimate"])
 
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc, item, containment, estimate): items of whose distinct shingles a document has ``percent`` or more."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     spark = docs.sparkSession
     named = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL")
     blocks = max(1, -(-named.count() // block_items))
@@ -127,7 +118,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, shingl
     out = None
     for b in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()  # about block_items of them
-        block = _Block(spark, rows, permutations, shingle_words, to_arrow_type(kind)).shared
+        signatures = _signatures([r[1] for r in rows], permutations, shingle_words)
+        block = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], signatures, to_arrow_type(kind)))
         part = texts.mapInArrow(lambda it, block=block: _search(it, block, percent, shingle_words), schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})

@@ -75,25 +75,24 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
     return F.when(lam * x >= F.log(F.lit(cap)), F.lit(cap)).otherwise(F.exp(F.least(lam * x, F.log(F.lit(cap)))))
 
 
-def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, cap: float = 2.0, tolerance: float = 1e-9, max_rounds: int = 60, per_write: int = 6) -> DataFrame:
+def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, cap: float = 2.0, tolerance: float = 1e-9, max_rounds: int = 60, per_write: int = 4) -> DataFrame:
     """(source, lam, scale) with sum of size * rate = target for every source."""
-    scale = sizes.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))).alias("scale"))
-    state = goals.join(F.broadcast(scale) if False else scale, F.expr("source <=> _s")) if False else goals.alias("g").join(scale.alias("s"), F.expr("g.source <=> s.source")).select("g.source", "source_size", "target", F.greatest("scale", F.lit(1.0)).alias("scale"))
-    state = state.withColumns({"lam": F.lit(0.0), "lo": F.lit(-60.0), "hi": F.lit(None).cast("double"), "gap": F.lit(None).cast("double")})
+    tokens = F.col("n") * F.col("size")
+    shape = sizes.where("size > 0").groupBy("source").agg((F.sum(tokens * F.col("size")) / F.sum(tokens)).alias("scale"), F.min("size").alias("least"))
+    state = goals.alias("g").join(shape.alias("s"), F.expr("g.source <=> s.source")).select("g.*", "scale", "least")
+    top = F.log(F.lit(cap)) * F.col("scale") / F.col("least")  # there every document is at the cap
+    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
+    state = state.withColumns({"lo": -60.0 * F.col("scale"), "hi": top})
+    state = state.withColumn("lam", F.when(full, top).when(F.col("target") > 0, F.least(F.log(F.col("target") / F.col("source_size")), top)).otherwise(F.col("lo")))
+    state = scratch.table(state.drop("least"), "dual")
     positive = sizes.where("size > 0")
-    smallest = positive.groupBy("source").agg(F.min("size").alias("least"))
-    state = state.alias("g").join(smallest.alias("s"), F.expr("g.source <=> s.source")).select("g.*", "least")
-    state = state.withColumn("hi", F.log(F.lit(cap)) * F.col("scale") / F.col("least")).drop("least")
-    # target 0 is the limit lambda -> -infinity, target cap * size the upper end of the bracket
-    state = state.withColumn("lo", F.when(F.col("target") <= 0, F.lit(-1e9)).otherwise(-F.lit(60.0) * F.col("scale")))
-    state = scratch.table(state, "dual")
     for round_ in range(max_rounds):
         joined = positive.alias("d").join(state.alias("s"), F.expr("d.source <=> s.source")).select("s.*", "size", "n")
         x = F.col("size") / F.col("scale")
         w = _rate(F.col("lam"), x, cap)
-        tokens = F.col("n") * F.col("size")
         keys = ["source", "source_size", "target", "scale", "lam", "lo", "hi"]
-        sums = joined.groupBy(*keys).agg(F.sum(tokens * w).alias("taken"), F.sum(F.when(F.col("lam") * x < F.log(F.lit(cap)), tokens * x * w).otherwise(0.0)).alias("slope"))
+        exact = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")  # noqa: E731  sums that do not depend on the order of rows
+        sums = joined.groupBy(*keys).agg(exact(tokens * w).alias("taken"), exact(F.when(F.col("lam") * x < F.log(F.lit(cap)), tokens * x * w).otherwise(0.0)).alias("slope"))
         over = F.col("taken") > F.col("target")
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
         sums = sums.withColumns({"lo": lo, "hi": hi, "gap": (F.col("taken") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))})
@@ -108,7 +107,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, cap: float
     return state.select("source", "lam", "scale")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", groups: int = 256, repairs: int = 4) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", groups: int = 256, repairs: int = 3) -> DataFrame:
     """Per document: id, size, source_size, target, rate, copies, taken (= copies * size)."""
     scratch = Scratch(docs.sparkSession, "mixing")
     read = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("size"))
@@ -129,7 +128,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         taken, changed = _repaired(taken, scratch, cap)
         if not changed:
             break
-    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")).withColumn("source", F.col("size")).drop("source")
+    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _rounded(rows: DataFrame, cells: DataFrame, scratch: Scratch, groups: int) -> DataFrame:
