@@ -11,15 +11,17 @@
    copies end here, aggregated inside map tasks.
 3. Banding. 42 bands of 6 compressed registers. A pair of similarity 0.8 meets
    in no band with probability (1 - 0.8**6)**42 = 3e-6.
-4. Candidates. Within a band value every class is paired with the smallest id of
-   the band, never with all others. Pairs whose sizes or whose collision-corrected
-   similarity estimate rule the threshold out are dropped; the estimate's margin
-   is 8 standard deviations.
+4. Candidates. Within a band value every class is paired with one pivot, never
+   with all others: the class that shares most bands with others (in a group of
+   edited copies that is the text they were made from, or one close to it).
+   Pairs whose sizes or whose collision-corrected similarity estimate rule the
+   threshold out are dropped; the estimate's margin is 6 standard deviations.
 5. Links are confirmed on the full shingle sets. First each class's best pair is
    confirmed and components are formed; then the other pairs that would join two
-   components; last, band values that still hold several components are searched
-   for links across these (inside a component no link is needed), so that no
-   link that shares a band is lost.
+   components. Last, band values that still hold several components are searched
+   for links across these (inside a component no link is needed), so that no link
+   that shares a band is lost. Shingles that no other document of these bands has
+   bound what a document can share: most pairs are ruled out by that alone.
 
 Results: one row per document with ``component_id`` (smallest id reachable over
 links) and ``kept``. Null or empty texts have no shingles and are linked with
@@ -135,9 +137,9 @@ def _estimates(batches, percent: int):
             part = batch.slice(lo, 2000)
             n, m = part.column("n_a").to_numpy(), part.column("n_b").to_numpy()
             est = jaccard_estimate(_matrix(part.column("regs_a")), _matrix(part.column("regs_b")), n, m)
-            margin = 8 * np.sqrt(t * (1 - t) / np.minimum(BUCKETS, np.minimum(n, m)))
+            margin = 6 * np.sqrt(t * (1 - t) / np.minimum(BUCKETS, np.minimum(n, m)))
             keep = pa.array((est >= t - margin) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(est).filter(keep)], ["a", "b", "est"])
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(est).filter(keep), part.column("spoke").filter(keep)], ["a", "b", "est", "spoke"])
 
 
 def _sets(texts: pa.Array, k: int):
@@ -151,6 +153,14 @@ def _sets(texts: pa.Array, k: int):
             yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
+def _shingle_rows(batches, k: int):
+    for batch in batches:
+        done = 0
+        for s in _sets(batch.column("text"), k):
+            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("id")[done], len(s)), pa.array(s.view(np.int64))], ["id", "h"])
+            done += 1
+
+
 def _exact(batches, k: int, percent: int):
     for batch in batches:
         keep = []
@@ -173,25 +183,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     copies = scratch.table(sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("regs").alias("regs")), "classes")
     classes = copies.select("id", "n", "regs")
     bands = scratch.table(classes.select("id", "regs").mapInArrow(_bands, f"key long, id {kind}"), "bands")
-    shared = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    mates = scratch.table(bands.join(shared.drop("most"), "key"), "mates")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    mates = scratch.table(bands.join(scratch.table(shared.select("key", "size"), "shared"), "key"), "mates")
     scratch.drop(bands)
+    weights = mates.groupBy("id").agg(F.sum("size").alias("weight"))
+    pivots = mates.join(weights, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("weight"), "id")).alias("pivot"))
+    # The texts that can be compared at all. Merge joins at every size: a broadcast would hold ids of the corpus.
+    near = scratch.table(texts.join(mates.select("id").distinct().hint("merge"), "id"), "texts")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         sides = [classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}")) for s in "ab"]
-        return reduce(lambda df, side: df.join(side, side.columns[0]), sides, pairs).mapInArrow(lambda b: _estimates(b, percent), f"{pair}, est double")
+        return reduce(lambda df, side: df.join(side, side.columns[0]), sides, pairs).mapInArrow(lambda b: _estimates(b, percent), f"{pair}, est double, spoke {kind}")
 
-    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        sides = [texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sides = [near.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
         return reduce(lambda df, side: df.join(side, side.columns[0]), sides, pairs).mapInArrow(lambda b: _exact(b, shingle_words, percent), pair)
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    stars = scratch.table(estimated(mates.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()), "stars")
-    near = scratch.table(texts.join(ends(stars), "id"), "texts")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
-    links = scratch.table(confirmed(best, near), "links")
+    spokes = mates.join(scratch.table(pivots, "pivots"), "key").where("id <> pivot")
+    stars = scratch.table(estimated(spokes.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"), F.col("id").alias("spoke")).distinct()), "stars")
+    best = stars.groupBy("spoke").agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("est"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    stars = stars.select("a", "b").distinct()
+    links = scratch.table(confirmed(best), "links")
     labels = components(links, scratch)
 
     def across(pairs: DataFrame) -> DataFrame:
@@ -199,19 +211,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         named = pairs.withColumns({"x": F.col("a"), "y": F.col("b")})
         return relabel(relabel(named, labels, "x"), labels, "y").where("x <> y").select(*pairs.columns)
 
-    more = scratch.table(confirmed(across(stars.select("a", "b").join(best, ["a", "b"], "left_anti")), near), "links")
+    more = scratch.table(confirmed(across(stars.join(best, ["a", "b"], "left_anti"))), "links")
     labels = components(more, scratch, labels)
 
     placed = relabel(mates.select("key", "id", F.col("id").alias("comp")), labels, "comp")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = scratch.table(placed.join(mixed, "key").join(classes.select("id", "n"), "id"), "mixed")
-    left = placed.select("key", F.col("id").alias("a"), F.col("comp").alias("x"), F.col("n").alias("n_a"))
-    right = placed.select("key", F.col("id").alias("b"), F.col("comp").alias("y"), F.col("n").alias("n_b"))
-    fits = f"a < b AND x <> y AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    placed = scratch.table(placed.join(scratch.table(mixed, "mixed"), "key"), "placed")
+    # most: shingles that a document can share with another one of these
+    parts = near.join(placed.select("id").distinct(), "id").mapInArrow(lambda b: _shingle_rows(b, shingle_words), f"id {kind}, h long")
+    alone = parts.groupBy("h").agg(F.count("*").alias("df"), F.first("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    bound = classes.select("id", "n").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(f"100 * most >= {percent} * n")
+    placed = scratch.table(placed.join(bound, "id"), "placed")
+    left, right = (placed.select("key", F.col("id").alias(i), F.col("comp").alias(c), F.col("n").alias(f"n_{i}"), F.col("most").alias(f"most_{i}")) for i, c in (("a", "x"), ("b", "y")))
+    fits = f"a < b AND x <> y AND (100 + {percent}) * least(most_a, most_b) >= {percent} * (n_a + n_b)"
     rest = left.join(right, "key").where(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = scratch.table(estimated(rest).select("a", "b"), "rest")
-    last = scratch.table(confirmed(rest, texts.join(ends(rest), "id")), "links")
-    labels = components(last, scratch, labels)
+    rest = scratch.table(estimated(rest.withColumn("spoke", F.col("b"))).select("a", "b"), "rest")
+    labels = components(scratch.table(confirmed(rest), "links"), scratch, labels)
 
     own = sketches.select("id", "n", "h1", "h2").join(copies.select("h1", "h2", "n", F.col("id").alias("component_id")), ["h1", "h2", "n"], "left")
     out = relabel(own, labels, "component_id").withColumn("component_id", F.coalesce("component_id", "id"))
