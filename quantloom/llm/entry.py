@@ -12,6 +12,7 @@ from .decontaminate import contained_items
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80, shingle_words=5)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
 
@@ -33,7 +38,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op4_decontaminate, op8_mix_sources, op9_substring_dedup)}
+    return {q.__name__: q for q in (op1_near_dedup, op4_decontaminate, op5_toxicity, op8_mix_sources, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
