@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.runtime import table
 
 from .decontaminate import contained_items
+from .language import language_id
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .quality import quality
+from .quality import train as train_quality
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
@@ -29,6 +32,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train_quality(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
 
@@ -38,7 +50,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op4_decontaminate, op5_toxicity, op8_mix_sources, op9_substring_dedup)}
+    return {q.__name__: q for q in (op1_near_dedup, op4_decontaminate, op5_toxicity, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
