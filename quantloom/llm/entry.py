@@ -10,12 +10,16 @@ from quantloom.runtime import table
 
 from .decontaminate import contained_items
 from .language import language_id
+from .license_scan import license_scan
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality import quality
 from .quality import train as train_quality
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
+from .url_filter import filter_urls
+from .url_filter import train as train_urls
+from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +28,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), train_urls(spark), threshold=0.5)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80, shingle_words=5)
 
@@ -50,7 +66,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op4_decontaminate, op5_toxicity, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_quality)}
+    return {q.__name__: q for q in (op1_near_dedup, op2_license_scan, op3_warc, op4_decontaminate, op5_toxicity, op6_url_filter, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
