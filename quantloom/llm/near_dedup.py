@@ -18,10 +18,11 @@
    threshold out are dropped; the estimate's margin is 6 standard deviations.
 5. Links are confirmed on the full shingle sets. First each class's best pair is
    confirmed and components are formed; then the other pairs that would join two
-   components. Last, band values that still hold several components are searched
-   for links across these (inside a component no link is needed), so that no link
-   that shares a band is lost. Shingles that no other document of these bands has
-   bound what a document can share: most pairs are ruled out by that alone.
+   components. Last, the documents that did not join their pivot's component are
+   searched against all others of the pivot's bands, in blocks of ``BLOCK``: first
+   by sketch, then, for what that leaves, on full sets. Blocks are numpy work
+   inside a task; a pair never becomes a row unless it is a link. No link that
+   shares a band is lost (inside a component none is needed).
 
 Results: one row per document with ``component_id`` (smallest id reachable over
 links) and ``kept``. Null or empty texts have no shingles and are linked with
@@ -153,12 +154,99 @@ def _sets(texts: pa.Array, k: int):
             yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
-def _shingle_rows(batches, k: int):
-    for batch in batches:
-        done = 0
-        for s in _sets(batch.column("text"), k):
-            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("id")[done], len(s)), pa.array(s.view(np.int64))], ["id", "h"])
-            done += 1
+BLOCK = 512
+
+
+def _blocks(groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (pivot, id, comp, main, n) dealt to blocks: queries (outside the main component) meet every block of members."""
+    odd = F.col("comp") != F.col("main")
+    blocks = lambda c: F.greatest(F.ceil(c / F.lit(BLOCK)), F.lit(1)).cast("int")
+    counts = groups.groupBy("pivot").agg(blocks(F.sum(odd.cast("long"))).alias("qb"), blocks(F.count("*")).alias("mb"))
+    rows = groups.join(scratch.table(counts, "counts"), "pivot")
+    spot = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    keep = ["pivot", "id", "comp", "main", "n"]
+    queries = rows.where(odd).select(*keep, F.lit(True).alias("query"), spot("qb").alias("i"), each("mb").alias("j"))
+    others = rows.select(*keep, F.lit(False).alias("query"), each("qb").alias("i"), spot("mb").alias("j"))
+    return queries.unionByName(others)
+
+
+def _in_blocks(rows: DataFrame, search, schema: str) -> DataFrame:
+    """Run ``search`` on each (pivot, i, j) block: at most about 2 * BLOCK rows."""
+
+    def each(batches):
+        kept = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            kept = t if kept is None else pa.concat_tables([kept, t])
+            cuts = _cuts(kept)
+            yield from (r for lo, hi in zip(cuts[:-2], cuts[1:-1]) for r in search(kept.slice(lo, hi - lo)))
+            kept = kept.slice(cuts[-2])
+        if kept is not None and kept.num_rows:
+            yield from search(kept)
+
+    keys = ["pivot", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def _cuts(t: pa.Table) -> list[int]:
+    """Where blocks begin in sorted rows, and the end."""
+    new = np.zeros(t.num_rows, bool)
+    for c in ("pivot", "i", "j"):
+        codes = t.column(c).combine_chunks().dictionary_encode().indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return [0, *np.flatnonzero(new).tolist(), t.num_rows]
+
+
+def _sides(t: pa.Table):
+    """Indices of queries and others, and the components and sizes of all rows."""
+    query = t.column("query").to_numpy()
+    return np.flatnonzero(query), np.flatnonzero(~query), t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("n").to_numpy()
+
+
+def _search_sketches(t: pa.Table, percent: int):
+    """The rows that a sketch estimate leaves as a possible link between components."""
+    qs, ms, comp, n = _sides(t)
+    if not len(qs) or not len(ms):
+        return
+    share = percent / 100
+    regs = _matrix(t.column("regs").combine_chunks())
+    centre = np.array(t.column("id").to_pylist(), object)[ms] == np.array(t.column("pivot").to_pylist(), object)[ms]  # compared before
+    hit = np.zeros(t.num_rows, bool)
+    for q in qs:
+        fit = ms[~centre & (comp[ms] != comp[q]) & (100 * np.minimum(n[ms], n[q]) >= percent * np.maximum(n[ms], n[q]))]
+        if len(fit):
+            margin = 6 * np.sqrt(share * (1 - share) / np.minimum(BUCKETS, np.minimum(n[fit], n[q])))
+            agree = (regs[fit] == regs[q]).mean(1)  # chance agreement only raises it
+            near = fit[agree >= share - margin]
+            hit[near] = True
+            hit[q] |= len(near) > 0
+    if hit.any():
+        yield from t.filter(pa.array(hit)).select(["pivot", "id", "comp", "main", "n"]).to_batches()
+
+
+def _search_sets(t: pa.Table, k: int, percent: int):
+    """One link, confirmed on full sets, of each query to each other component."""
+    qs, ms, comp, _ = _sides(t)
+    if not len(qs) or not len(ms):
+        return
+    sets = list(_sets(t.column("text").combine_chunks(), k))
+    size = np.array([len(x) for x in sets])
+    tokens = np.concatenate([sets[m] for m in ms])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(ms)), size[ms])[order]
+    ids, a, b = t.column("id").to_pylist(), [], []
+    for q in qs:
+        lo, hi = np.searchsorted(tokens, sets[q]), np.searchsorted(tokens, sets[q], "right")
+        at = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        both = np.bincount(owner[at], minlength=len(ms))
+        linked = ms[(comp[ms] != comp[q]) & (100 * both >= percent * (size[ms] + size[q] - both))]
+        for c in np.unique(comp[linked]):
+            x, y = sorted((ids[q], ids[linked[comp[linked] == c][0]]))
+            a.append(x), b.append(y)
+    if a:
+        kind = t.schema.field("id").type
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
 
 def _exact(batches, k: int, percent: int):
@@ -199,8 +287,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         sides = [near.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"]
         return reduce(lambda df, side: df.join(side, side.columns[0]), sides, pairs).mapInArrow(lambda b: _exact(b, shingle_words, percent), pair)
 
-    spokes = mates.join(scratch.table(pivots, "pivots"), "key").where("id <> pivot")
-    stars = scratch.table(estimated(spokes.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"), F.col("id").alias("spoke")).distinct()), "stars")
+    members = scratch.table(mates.join(scratch.table(pivots, "pivots"), "key").select("pivot", "id").distinct(), "members")
+    spokes = members.where("id <> pivot")
+    stars = scratch.table(estimated(spokes.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"), F.col("id").alias("spoke"))), "stars")
     best = stars.groupBy("spoke").agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("est"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     stars = stars.select("a", "b").distinct()
     links = scratch.table(confirmed(best), "links")
@@ -214,19 +303,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     more = scratch.table(confirmed(across(stars.join(best, ["a", "b"], "left_anti"))), "links")
     labels = components(more, scratch, labels)
 
-    placed = relabel(mates.select("key", "id", F.col("id").alias("comp")), labels, "comp")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = scratch.table(placed.join(scratch.table(mixed, "mixed"), "key"), "placed")
-    # most: shingles that a document can share with another one of these
-    parts = near.join(placed.select("id").distinct(), "id").mapInArrow(lambda b: _shingle_rows(b, shingle_words), f"id {kind}, h long")
-    alone = parts.groupBy("h").agg(F.count("*").alias("df"), F.first("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    bound = classes.select("id", "n").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(f"100 * most >= {percent} * n")
-    placed = scratch.table(placed.join(bound, "id"), "placed")
-    left, right = (placed.select("key", F.col("id").alias(i), F.col("comp").alias(c), F.col("n").alias(f"n_{i}"), F.col("most").alias(f"most_{i}")) for i, c in (("a", "x"), ("b", "y")))
-    fits = f"a < b AND x <> y AND (100 + {percent}) * least(most_a, most_b) >= {percent} * (n_a + n_b)"
-    rest = left.join(right, "key").where(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = scratch.table(estimated(rest.withColumn("spoke", F.col("b"))).select("a", "b"), "rest")
-    labels = components(scratch.table(confirmed(rest), "links"), scratch, labels)
+    # What is left: documents outside their pivot's component, against all that share a band with it.
+    groups = relabel(relabel(members.withColumns({"comp": F.col("id"), "main": F.col("pivot")}), labels, "comp"), labels, "main")
+    odd = (F.col("comp") != F.col("main")).cast("long")
+    open_ = scratch.table(groups.groupBy("pivot").agg(F.sum(odd).alias("q"), F.count("*").alias("m")).where("q > 0 AND m > 2"), "open")
+    groups = scratch.table(groups.join(open_.select("pivot"), "pivot").join(classes.select("id", "n"), "id"), "groups")
+    sketched = _blocks(groups, scratch).join(classes.select("id", "regs"), "id")
+    hits = _in_blocks(sketched, lambda b: _search_sketches(b, percent), f"pivot {kind}, id {kind}, comp {kind}, main {kind}, n long")
+    hits = scratch.table(hits.distinct(), "hits")
+    found = _in_blocks(_blocks(hits, scratch).join(near, "id"), lambda b: _search_sets(b, shingle_words, percent), pair)
+    labels = components(scratch.table(found.distinct(), "links"), scratch, labels)
 
     own = sketches.select("id", "n", "h1", "h2").join(copies.select("h1", "h2", "n", F.col("id").alias("component_id")), ["h1", "h2", "n"], "left")
     out = relabel(own, labels, "component_id").withColumn("component_id", F.coalesce("component_id", "id"))
