@@ -29,6 +29,8 @@ items are all reported; a repeated document row is reported as often as it comes
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,59 +75,70 @@ def _signatures(texts: list[str | None], permutations: int, k: int) -> tuple[np.
     return h[order], item[order], sizes, uses
 
 
-def _search(batches, block, percent: int, k: int):
-    keys, texts, (sig, owner, sizes, uses), kind = block.value
+def _matches(texts: pa.Array, block, percent: int, k: int, sets: dict[int, set]):
+    """(row, item index, containment, estimate) of the verified items in a column of texts."""
+    _, items, (sig, owner, sizes, uses), _ = block
     known, start, count = np.unique(sig, return_index=True, return_counts=True)
     mask = np.zeros(1 << 20, bool)
     mask[(known >> np.uint64(44)).astype(np.int64)] = True
+    for w in slices(texts, SPACE, LOWER):
+        text, h = shingles(w, k)
+        maybe = np.flatnonzero(mask[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.searchsorted(known, h[maybe])
+        at[at == len(known)] = 0
+        hit = known[at] == h[maybe]
+        for i in np.unique(text[maybe[hit]]):
+            mine = at[hit & (text[maybe] == i)]
+            n_doc = max(int(w.counts[i]) - k + 1, 1)  # its shingles, repeats included
+            votes = np.bincount(np.concatenate([owner[start[j] : start[j] + count[j]] for j in np.unique(mine)]), minlength=len(sizes))
+            candidates = np.flatnonzero((votes > 0) & (100 * n_doc >= percent * sizes))
+            own = item_shingles(w.data[w.text_offs[i] : w.text_offs[i + 1]].tobytes().split(), k) if len(candidates) else set()
+            for c in candidates:
+                if c not in sets:
+                    sets[c] = item_shingles(item_words(items[c]), k)
+                both = len(sets[c] & own)
+                if 100 * both >= percent * len(sets[c]):
+                    yield w.first + int(i), c, both / len(sets[c]), votes[c] / uses[c]
+
+
+def _search(batches, block, percent: int, k: int):
+    keys, _, _, kind = block.value
     sets: dict[int, set] = {}
     for batch in batches:
-        rows, found, share, estimate = [], [], [], []
-        for w in slices(batch.column(1), SPACE, LOWER):
-            text, h = shingles(w, k)
-            maybe = np.flatnonzero(mask[(h >> np.uint64(44)).astype(np.int64)])
-            at = np.searchsorted(known, h[maybe])
-            at[at == len(known)] = 0
-            hit = known[at] == h[maybe]
-            for i in np.unique(text[maybe[hit]]):
-                mine = at[hit & (text[maybe] == i)]
-                n_doc = max(int(w.counts[i]) - k + 1, 1)  # its shingles, repeats included
-                votes = np.bincount(np.concatenate([owner[start[j] : start[j] + count[j]] for j in np.unique(mine)]), minlength=len(sizes))
-                candidates = np.flatnonzero((votes > 0) & (100 * n_doc >= percent * sizes))
-                if not len(candidates):
-                    continue
-                own = item_shingles(w.data[w.text_offs[i] : w.text_offs[i + 1]].tobytes().split(), k)
-                for c in candidates:
-                    if c not in sets:
-                        sets[c] = item_shingles(item_words(texts[c]), k)
-                    both = len(sets[c] & own)
-                    if 100 * both >= percent * len(sets[c]):
-                        rows.append(w.first + int(i))
-                        found.append(keys[c])
-                        share.append(both / len(sets[c]))
-                        estimate.append(votes[c] / uses[c])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, kind), pa.array(share, pa.float64()), pa.array(estimate, pa.float64())], ["id", "item", "containment", "estimate"])
+        found = list(_matches(batch.column(1), block.value, percent, k, sets))
+        rows, items, share, estimate = zip(*found) if found else ((),) * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([keys[c] for c in items], kind), pa.array(share, pa.float64()), pa.array(estimate, pa.float64())], ["id", "item", "containment", "estimate"])
 
 
-def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc, item, containment, estimate): items of whose distinct shingles a document has ``percent`` or more."""
-    spark = docs.sparkSession
+def _clean(batches, block, percent: int, k: int, at: int):
+    sets: dict[int, set] = {}
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        keep[[row for row, *_ in _matches(batch.column(at), block.value, percent, k, sets)]] = False
+        yield batch.filter(pa.array(keep))
+
+
+def _item_blocks(spark, items: DataFrame, permutations: int, k: int, block_items: int, item_col: str, item_text_col: str):
+    """Broadcast blocks of about block_items items: keys, texts, signatures, key type."""
     named = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL")
+    kind = to_arrow_type(named.schema["item"].dataType)
     blocks = max(1, -(-named.count() // block_items))
-    kind = named.schema["item"].dataType
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {texts.schema['id'].dataType.simpleString()}, item {kind.simpleString()}, containment double, estimate double"
-    out = None
     for b in range(blocks):
-        rows = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()  # about block_items of them
-        signatures = _signatures([r[1] for r in rows], permutations, shingle_words)
-        block = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], signatures, to_arrow_type(kind)))
-        part = texts.mapInArrow(lambda it, block=block: _search(it, block, percent, shingle_words), schema)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that contain no item; all their columns stay."""
-    leaks = contained_items(docs, items, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(leaks, id_col, "left_anti").select(docs.columns)
+        rows = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
+        yield spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], _signatures([r[1] for r in rows], permutations, k), kind))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc, item, containment, estimate): items of whose distinct shingles a document has ``percent`` or more."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, containment double, estimate double"
+    parts = [texts.mapInArrow(lambda it, block=block: _search(it, block, percent, shingle_words), schema) for block in _item_blocks(docs.sparkSession, items, permutations, shingle_words, block_items, item_col, item_text_col)]
+    return reduce(DataFrame.unionByName, parts).withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that contain no item, with all their columns; a filter without a shuffle."""
+    at = docs.columns.index(text_col)
+    for block in _item_blocks(docs.sparkSession, items, permutations, shingle_words, block_items, item_col, item_text_col):
+        docs = docs.mapInArrow(lambda it, block=block: _clean(it, block, percent, shingle_words, at), docs.schema)
+    return docs

@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 from .words import SPACE, mix, range_hashes, slices, windows
@@ -115,6 +116,7 @@ def _doubled(batches, k: int, full: int):
 
 
 def _cleaned(batches, with_text: bool):
+    """Columns id, text, first, last and any others -> id, counts, digest, the kept text if asked for, the others."""
     for batch in batches:
         n_words, n_removed, digest, out = [], [], [], []
         for text, first, last in zip(batch.column(1), batch.column(2), batch.column(3)):
@@ -135,11 +137,11 @@ def _cleaned(batches, with_text: bool):
         if with_text:
             arrays.append(pa.array(out, pa.string()))
             names.append("text")
-        yield pa.RecordBatch.from_arrays(arrays, names)
+        yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[4:]], names + batch.schema.names[4:])
 
 
-def repeated_ranges(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, first, last): each text with the word ranges that its repeated windows cover; null where none."""
+def repeated_ranges(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, first, last, and as _c0.. the carried columns): each text with the word ranges that its repeated windows cover; null where none."""
     k, full = min_words // 2, min_words
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
@@ -162,19 +164,22 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_c
     ids = scratch.table(ids, "repeated")
     single = wide.join(ids, "h").where("least < id").select("id", F.col("pos").alias("first"), (F.col("pos") + full).alias("last"))
     ranges = gone.union(single).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("r"))
-    return texts.join(ranges.select("id", F.col("r.first").alias("first"), F.col("r.last").alias("last")), "id", "left")
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    ranges = ranges.select("id", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
+    return whole.join(ranges, "id", "left").select("id", "text", "first", "last", *whole.columns[2:])
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per text: id, n_words, n_removed, kept_sha256 and, if asked for, the kept text.
+def substring_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per text: id, n_words, n_removed, kept_sha256 and, if asked for, the kept text and other columns.
 
     A text that loses nothing keeps its spacing; one that loses words is its kept
     words joined by one space. ``kept_sha256`` is always of the joined words.
     """
     if min_words < 2 or min_words % 2:
         raise ValueError("min_words must be even: the first level is half of it")
-    places = repeated_ranges(docs, Scratch(docs.sparkSession, "substring"), min_words, id_col, text_col)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    out = places.mapInArrow(lambda b: _cleaned(b, with_text), schema).withColumnRenamed("id", id_col)
-    return out.withColumnRenamed("text", text_col) if with_text else out
+    places = repeated_ranges(docs, Scratch(docs.sparkSession, "substring"), min_words, id_col, text_col, carry)
+    made = [("id", docs.schema[id_col].dataType), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
+    made += [("text", T.StringType())] * with_text
+    schema = T.StructType([T.StructField(*f) for f in made] + [T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)])
+    out = places.mapInArrow(lambda b: _cleaned(b, with_text), schema)
+    return out.toDF(*[{"id": id_col, "text": text_col}.get(c, c) for c in schema.names[: len(made)]], *carry)
