@@ -24,8 +24,7 @@ def match_lists(entries: DataFrame, lists: DataFrame) -> DataFrame:
     Tokens are the ``;``-separated names, also without isoform (``-2``) and species
     (``_YEAST``) suffixes, in upper case.
     """
-    token = F.explode(F.split("entry", ";"))
-    t = entries.select("entry", F.upper(F.trim(token)).alias("t"))
+    t = entries.select("entry", F.explode(F.split("entry", ";")).alias("t")).withColumn("t", F.upper(F.trim("t")))
     forms = F.array_distinct(F.array(F.col("t"), F.regexp_replace("t", r"-\d+$", ""), F.regexp_replace("t", r"_[A-Z0-9]+$", "")))
     t = t.select("entry", F.explode(forms).alias("t")).where("t <> ''")
     hit = t.join(lists.select(F.upper(F.trim("member")).alias("t"), "list", "priority"), "t")
