@@ -142,7 +142,7 @@ def jn_overlap(spark, sf):
 
 PAR = dict(
     n="SELECT entity, count(*) AS n FROM edges GROUP BY ALL",
-    sub="SELECT entity, min(other) AS by FROM (SELECT a.entity, c.entity AS other, n1.n, count(*) AS shared FROM edges a JOIN edges c ON a.feature = c.feature AND a.entity <> c.entity JOIN n n1 ON n1.entity = a.entity JOIN n n2 ON n2.entity = c.entity WHERE n2.n > n1.n GROUP BY a.entity, c.entity, n1.n) WHERE shared = n GROUP BY ALL",
+    sub='SELECT entity, min(other) AS "by" FROM (SELECT a.entity, c.entity AS other, n1.n, count(*) AS shared FROM edges a JOIN edges c ON a.feature = c.feature AND a.entity <> c.entity JOIN n n1 ON n1.entity = a.entity JOIN n n2 ON n2.entity = c.entity WHERE n2.n > n1.n GROUP BY a.entity, c.entity, n1.n) WHERE shared = n GROUP BY ALL',
     sets="SELECT entity, list_sort(list(feature)) AS s FROM edges WHERE entity NOT IN (SELECT entity FROM sub) GROUP BY ALL",
     leaders="SELECT entity, min(entity) OVER (PARTITION BY s) AS leader FROM sets",
     held="SELECT e.feature, e.entity AS leader, count(*) OVER (PARTITION BY e.feature) AS nh FROM edges e JOIN leaders l ON l.entity = e.entity AND l.entity = l.leader",
@@ -151,7 +151,7 @@ PAR = dict(
 )
 
 
-@query(with_ctes("SELECT entity, by FROM sub", "edges", **PAR))
+@query(with_ctes("SELECT entity, \"by\" FROM sub", "edges", **PAR))
 def par_subsumed(spark, sf):
     return par.subsumed(b.edges(spark, sf))
 
