@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality import quality
 from .quality import train as train_quality
+from .sql import ORACLES
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 from .url_filter import filter_urls
@@ -41,7 +42,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80, shingle_words=5)
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=80, shingle_words=5).drop("estimate")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
