@@ -38,8 +38,7 @@ GROUP BY d.doc_id, i.item_id, n.n HAVING 100 * count(*) >= {percent} * n.n"""
 
 def substring_dedup(size: int = 50) -> str:
     return f"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(len(w) - {size - 1})) AS pos FROM w),
-h AS MATERIALIZED (SELECT doc_id, pos, md5(array_to_string(w[pos + 1:pos + {size}], ' ')) AS h FROM p),
+h AS MATERIALIZED (SELECT doc_id, unnest(range(len(w) - {size - 1})) AS pos, unnest(list_transform(range(len(w) - {size - 1}), lambda i: md5(array_to_string(w[i + 1:i + {size}], ' ')))) AS h FROM w),
 f AS (SELECT h, min(doc_id) AS least FROM h GROUP BY ALL),
 gone AS (SELECT DISTINCT h.doc_id, h.pos + unnest(range({size})) AS i FROM h JOIN f USING (h) WHERE f.least < h.doc_id),
 word AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
