@@ -20,7 +20,8 @@ def fasta_accession(header: Column) -> Column:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(entity, name, gene, description, sequence); plain or gzipped; the first record of an accession wins."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "").withColumn("row", F.monotonically_increasing_id())
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")  # a ">" inside a header does not begin a record
+    raw = records.select(F.regexp_replace("value", r"^\s*>", "").alias("value"), F.monotonically_increasing_id().alias("row"))
     header, body = F.split_part("value", F.lit("\n"), F.lit(1)), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"[\s*]", "")
     parsed = raw.select("row", F.trim(header).alias("h"), F.upper(body).alias("sequence"))
     gene = F.nullif(F.regexp_extract("h", r"\bGN=(\S+)", 1), F.lit(""))

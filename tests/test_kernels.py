@@ -56,10 +56,10 @@ def test_lowess_follows_a_line_and_ignores_one_outlier():
 
 
 def test_fasta(spark, tmp_path):
-    text = ">sp|P1|A_HUMAN Alpha OS=Homo GN=AAA PE=1\nPEPTIDE\nKR\n>sp|P2|B_HUMAN Beta GN=BBB\nMK\n>plain one\nACD\n"
+    text = ">sp|P1|A_HUMAN Alpha a->b OS=Homo GN=AAA PE=1\nPEPTIDE\nKR\n>sp|P2|B_HUMAN Beta GN=BBB\nMK\n>plain one\nACD\n"
     for name, data in (("a.fasta", text.encode()), ("b.fasta.gz", gzip.compress(text.encode()))):
         (tmp_path / name).write_bytes(data)
-        rows = {r.accession: r.sequence for r in formats.read_fasta(spark, str(tmp_path / name)).collect()}
+        rows = {r.entity: r.sequence for r in formats.read_fasta(spark, str(tmp_path / name)).collect()}
         assert rows == {"P1": "PEPTIDEKR", "P2": "MK", "plain": "ACD"}
 
 
