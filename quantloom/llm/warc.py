@@ -187,12 +187,15 @@ def _read(batches, gap: int, span: int, with_payload: bool):
 def read_archives(index: DataFrame, gap: int = 64 << 10, span: int = 8 << 20, with_payload: bool = True) -> DataFrame:
     """Read the records of the given index rows; filter the index to select records.
 
-    Rows are ranged by file and stretch of 64 spans, and sorted by offset inside
+    Rows are ranged by file and stretch of 4 spans, and sorted by offset inside
     each, so that one task reads neighbouring bytes in order.
     """
     kind = index.schema["id"].dataType.simpleString()
-    stretch = F.floor(F.col("offset") / F.lit(64 * span))
-    rows = index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    stretch = F.floor(F.col("offset") / F.lit(4 * span))
+    # Counted by archive bytes: sized by its own few bytes a record, the index would be dealt to too few tasks.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (16 * span)))
+    rows = index.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     schema = "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload string"
     got = rows.mapInArrow(lambda b: _read(b, gap, span, with_payload), schema)
     return got.withColumns({c: F.col(c).cast(kind) for c in ("id", "refers_to")})
