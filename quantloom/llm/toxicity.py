@@ -3,8 +3,12 @@
 Units. A text is cut at space characters. Inside a piece, letters are folded
 (case, common digit-for-letter swaps) and everything else is dropped, so
 ``i.d-i*o_t`` is one unit ``idiot``; runs of single letters are joined
-(``i d i o t``). Units longer than 12 letters are seen through overlapping
-windows of 12.
+(``i d i o t``). Pieces longer than 12 letters are seen through overlapping
+windows of 12. Further units are runs of neighbouring pieces of one sentence,
+glued: of two or three pieces up to 24 letters, of more up to 12 letters. A
+sentence ends where ``.``, ``!``, ``?`` or a line feed stands between the last
+letter of a piece and the first of the next. Pieces and runs of two or three
+letters get a mark at both ends, so that they hold quadruples too.
 
 Kernel. The gap-weighted subsequence kernel of order 4: two strings share every
 quadruple of letters that both hold in order, weighted decay**span; spans of up
@@ -12,17 +16,17 @@ to 7 letters count, so up to three inserted letters inside a quadruple are
 tolerated. Values are divided by the norm of a string of that length.
 
 Training, on a bounded, hash-chosen sample of the labelled documents
-(``max_toxic`` and ``max_clean``). Sentences carry their document's label. A
-toxic sentence names as witnesses the units that are enriched in toxic documents
-beyond chance; clean sentences give all their units as negatives, witnesses too,
-so that a unit is worth what its documents say. Landmarks are the most
+(``max_toxic`` and ``max_clean``). Units carry their document's label and count once a document.
+Witnesses are the units that are enriched in toxic documents beyond chance, runs
+only if they hold no witness that is a piece; units of clean documents are
+negatives, witnesses too, so that a unit is worth what its documents say. Landmarks are the most
 enriched and, as background, common clean units. The SVM (squared hinge) is
 trained on the Nyström features K(landmarks)**-1/2 k(unit, landmarks).
 
 Scoring. The decision function over landmarks is one weight for each letter
-quadruple, so units are scored in one pass by table look-ups, once per distinct
-unit of a slice. A document's features are its largest unit score and the
-numbers of its units above 0 and 1/2; logistic calibration, fitted on the third of the
+quadruple, so all units are scored from running sums of table look-ups, one pass
+over the letters. A document's features are, of its pieces and of its runs, the largest
+score and the numbers above 0 and 1/2; logistic calibration, fitted on the third of the
 sample that the SVM did not see and weighted to the labelled table's class
 sizes, makes them a probability.
 
@@ -43,10 +47,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import _ranges, slices
+from .words import slices
 
 ORDER, SPAN, DECAY, LONGEST, STEP = 4, 7, 0.6, 12, 6
-SENTENCE = r"[.!?\n]+"
+#: Letters of a run of up to PIECES pieces; longer runs have up to LONGEST.
+RUN, PIECES = 24, 3
+SENTENCE_END = np.zeros(256, bool)
+SENTENCE_END[list(b".!?\n")] = True
+#: Stands at both ends of units shorter than ORDER; no letter has this code.
+MARK = b"\0"
 #: Offsets of the second to fourth letter of a quadruple.
 GAPS = [(a, b, c) for a in range(1, SPAN) for b in range(a + 1, SPAN) for c in range(b + 1, SPAN)]
 
@@ -56,17 +65,18 @@ for digit, letter in zip(b"01345790@$", b"oieastgoas"):
     CODE[digit] = letter - 96
 CODE[0x80:0xC0] = 27 + np.arange(64) % 5  # the second byte tells accented letters apart
 
-_NORMS = np.zeros(LONGEST + 1)
-for _n in range(LONGEST + 1):
+_NORMS = np.zeros(RUN + 1)
+for _n in range(RUN + 1):
     _NORMS[_n] = np.sqrt(sum(max(0, _n - c) * DECAY ** (2 * (c + 1)) for *_, c in GAPS)) or 1.0
 
 
-def unit_ranges(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded letters, and first, last and text of each unit."""
+def unit_ranges(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded letters, and first, last, text and whether it is a run of each unit; units of a text follow each other."""
     code = CODE[words.data]
+    at = np.flatnonzero(code)
+    letters = code[at]
     kept = np.zeros(len(code) + 1, np.int64)
     np.cumsum(code > 0, out=kept[1:])
-    letters = code[code > 0]
     first, last, text = kept[words.starts], kept[words.ends], words.text_of()
     some = last > first
     first, last, text = first[some], last[some], text[some]
@@ -75,18 +85,39 @@ def unit_ranges(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     glue[1:] = single[1:] & single[:-1] & (text[1:] == text[:-1])
     begins = np.flatnonzero(~glue)
     if not len(begins):
-        return letters, first, last, text
+        return letters, first, last, text, glue
     first, last, text = first[begins], last[np.r_[begins[1:] - 1, len(last) - 1]], text[begins]
+    ends = np.r_[0, np.cumsum(SENTENCE_END[words.data])]
+    new = np.ones(len(first), bool)
+    new[1:] = (text[1:] != text[:-1]) | (ends[at[first[1:]]] > ends[at[last[:-1] - 1]])
+    sentence = np.cumsum(new)
+    runs = []
+    begin = np.arange(len(first))
+    for n in range(2, LONGEST + 1):
+        begin = begin[begin + n <= len(first)]
+        end = begin + n - 1
+        ok = (sentence[begin] == sentence[end]) & (last[end] - first[begin] <= (RUN if n <= PIECES else LONGEST))
+        begin, end = begin[ok], end[ok]
+        if not len(begin):
+            break
+        runs.append((first[begin], last[end], text[begin]))
     size = last - first
-    extra = np.maximum(0, -(-(size - LONGEST) // STEP))  # further windows of long units
+    extra = np.maximum(0, -(-(size - LONGEST) // STEP))  # further windows of long pieces
     if extra.any():
         which = np.repeat(np.arange(len(first)), extra + 1)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
         first = first[which] + nth * STEP
         last = np.minimum(first + LONGEST, last[which])
         text = text[which]
-    fits = last - first >= ORDER
-    return letters, first[fits], last[fits], text[fits]
+    run = np.repeat([False, True], [len(first), sum(len(r[0]) for r in runs)])
+    first, last, text = (np.concatenate(x) for x in zip((first, last, text), *runs))
+    order = np.argsort(text, kind="stable")
+    order = order[(last - first)[order] > 1]
+    return letters, first[order], last[order], text[order], run[order]
+
+
+def marked(unit: bytes) -> bytes:
+    return unit if len(unit) >= ORDER else MARK + unit + MARK
 
 
 def quadruples(letters: np.ndarray, first: np.ndarray, last: np.ndarray):
@@ -133,48 +164,70 @@ class ToxicModel:
     calibration: np.ndarray
 
     def unit_scores(self, letters: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(first))
-        for unit, quad, weight in quadruples(letters, first, last):
-            total += np.bincount(unit, self.weights[quad] * weight, len(first))
-        return total / _NORMS[last - first] + self.bias
+        """Scores of letters[first:last]; sums are of integers, so that they do not depend on what else a slice holds."""
+        n, wide, grid = len(letters), letters.astype(np.int32), 1 << 24
+        total, by_reach = np.zeros(n), []  # of quadruples that begin at a letter and reach at most 3, 4, 5, 6 letters on
+        for reach in range(ORDER - 1, SPAN):
+            m = max(0, n - reach)
+            for a, b, c in GAPS:
+                if c == reach:
+                    total[:m] += self.weights[wide[:m] << 15 | wide[a : a + m] << 10 | wide[b : b + m] << 5 | wide[c : c + m]] * DECAY ** (c + 1)
+            by_reach.append(np.rint(total * grid).astype(np.int64))
+        running = np.zeros(n + 1, np.int64)
+        np.cumsum(by_reach[-1], out=running[1:])
+        out = running[np.maximum(first, last - SPAN + 1)] - running[first]
+        for reach, part in zip(range(ORDER - 1, SPAN - 1), by_reach):
+            at = last - reach - 1
+            out += np.where(at >= first, part[np.maximum(at, 0)], 0)
+        out = out / grid / _NORMS[last - first]
+        short = np.flatnonzero(last - first < ORDER)
+        if len(short):
+            key = sum(np.where(first[short] + i < last[short], wide[np.minimum(first[short] + i, n - 1)], 0) << 5 * i for i in range(ORDER - 1))
+            _, one, back = np.unique(key, return_index=True, return_inverse=True)
+            raw = letters.tobytes()
+            own, begin, end = _packed([marked(raw[first[i] : last[i]]) for i in short[one]])
+            score = np.zeros(len(one))
+            for unit, quad, weight in quadruples(own, begin, end):
+                score += np.bincount(unit, self.weights[quad] * weight, len(one))
+            out[short] = (score / _NORMS[end - begin])[back]
+        return out + self.bias
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Of each text: 1, largest unit score and its positive part, log counts of units above 0 and above 1/2."""
-        out = np.zeros((len(texts), 5))
-        out[:, 0], out[:, 1] = 1, -1.0
+        """1 and, of a text's pieces and of its runs: largest score and its positive part, log counts above 0 and above 1/2."""
+        out = np.zeros((len(texts), 9))
+        out[:, 0], out[:, 1], out[:, 5] = 1, -1.0, -1.0
         for w in slices(texts):
-            letters, first, last, text = unit_ranges(w)
+            letters, first, last, text, run = unit_ranges(w)
             if not len(first):
                 continue
-            h = _ranges(letters.astype(np.uint64), 0x2545F4914F6CDD1D, first, last) * np.uint64(LONGEST + 1) + (last - first).astype(np.uint64)
-            _, one, back = np.unique(h, return_index=True, return_inverse=True)
-            scores = self.unit_scores(letters, first[one], last[one])[back]
-            starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            rows = w.first + text[starts]
-            top = np.clip(np.maximum.reduceat(scores, starts), -1, 1)
-            out[rows, 1], out[rows, 2] = top, np.maximum(top, 0)
-            for i, least in ((3, 0), (4, 0.5)):
-                out[rows, i] = np.log1p(np.add.reduceat((scores > least).astype(float), starts))
+            scores = self.unit_scores(letters, first, last)
+            for k, of in ((1, ~run), (5, run)):
+                if not of.any():
+                    continue
+                own, at = scores[of], text[of]
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                rows = w.first + at[starts]
+                top = np.clip(np.maximum.reduceat(own, starts), -1, 1)
+                out[rows, k], out[rows, k + 1] = top, np.maximum(top, 0)
+                for i, least in ((2, 0), (3, 0.5)):
+                    out[rows, k + i] = np.log1p(np.add.reduceat((own > least).astype(float), starts))
         return out
 
     def probability(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.calibration, -30, 30)))
 
 
-def _sentence_units(batches):
-    """Distinct units of each sentence's document, with the document's label."""
+def _document_units(batches):
+    """Distinct units of each document, with its label; run: 1 if a unit is nowhere a piece of its document."""
     for batch in batches:
-        units, label, part = [], [], []
         toxic, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        for w in slices(batch.column(0)):
-            letters, first, last, text = unit_ranges(w)
-            raw = letters.tobytes()
-            seen = {(t, raw[a:b]) for t, a, b in zip(text.tolist(), first.tolist(), last.tolist())}
-            for t, u in sorted(seen):
-                units.append(u)
-                label.append(toxic[w.first + t])
-                part.append(fold[w.first + t])
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array(label, pa.int32()), pa.array(part, pa.int32())], ["unit", "toxic", "fold"])
+        for w in slices(batch.column(0), max_bytes=1 << 18):
+            letters, first, last, text, run = unit_ranges(w)
+            raw, seen = letters.tobytes(), {}
+            for t, a, b, r in zip(text.tolist(), first.tolist(), last.tolist(), run.tolist()):
+                seen[t, raw[a:b]] = r and seen.get((t, raw[a:b]), True)
+            rows = w.first + np.array([t for t, _ in seen], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([marked(u) for _, u in seen], pa.binary()), pa.array(toxic[rows], pa.int32()), pa.array(fold[rows], pa.int32()), pa.array([int(r) for r in seen.values()], pa.int32())], ["unit", "toxic", "fold", "run"])
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
@@ -222,17 +275,24 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean:
         n_tox, n_clean = sum(v for (t, _), v in held.items() if t == 1), sum(v for (t, _), v in held.items() if t == 0)
         if not n_tox or not n_clean:
             return None
-        units = sample.where("fold <> 0").mapInArrow(_sentence_units, "unit binary, toxic int, fold int").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+        units = sample.where("fold <> 0").mapInArrow(_document_units, "unit binary, toxic int, fold int, run int").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.min("run").alias("run"))
         units = units.cache()
-        n_with = {r["df"]: r["n"] for r in units.groupBy((F.col("t") + F.col("c")).alias("df")).agg(F.count("*").alias("n")).collect()}
+        n_with = {(r["run"], r["df"]): r["n"] for r in units.groupBy("run", (F.col("t") + F.col("c")).alias("df")).agg(F.count("*").alias("n")).collect()}
         expected = F.col("c") * (n_tox / n_clean)
         lift = (F.col("t") - expected) / F.sqrt(expected + 1)
-        top = units.where((F.col("t") >= 2) & (F.col("t") > 8 * expected)).orderBy(F.desc(lift), "unit").limit(1500).collect()
-        enriched = [r for r in top if n_with[r["t"] + r["c"]] * chance_of(r["t"], r["t"] + r["c"], n_tox / (n_tox + n_clean)) < 0.1]
-        common = units.where("c > 0").orderBy(F.desc("c"), "unit").limit(negatives // 2).collect()
-        others = units.where("c > 0").orderBy(F.xxhash64("unit"), "unit").limit(negatives // 2).collect()
+        enriched, common, others = [], [], []
+        for run in (0, 1):
+            own = units.where(F.col("run") == run)
+            top = own.where((F.col("t") >= 2) & (F.col("t") > 8 * expected)).withColumn("lift", lift).orderBy(F.desc("lift"), "unit").limit(1500).collect()
+            top = [r for r in top if n_with[run, r["t"] + r["c"]] * chance_of(r["t"], r["t"] + r["c"], n_tox / (n_tox + n_clean)) < 0.1]
+            pieces = [bytes(r["unit"]) for r in enriched]
+            enriched += [r for r in top if not any(u in bytes(r["unit"]) for u in pieces)]
+            common += own.where("c > 0").orderBy(F.desc("c"), "unit").limit(negatives // 4).collect()
+            others += own.where("c > 0").orderBy(F.xxhash64("unit"), "unit").limit(negatives // 4).collect()
+        enriched.sort(key=lambda r: (-r["lift"], bytes(r["unit"])))
+        common.sort(key=lambda r: (-r["c"], bytes(r["unit"])))
         if not enriched or not common:
-            return ToxicModel(np.zeros(1 << 20, np.float32), -1.0, np.array([np.log(counts[1] / counts[0]), 0, 0, 0, 0]))
+            return ToxicModel(np.zeros(1 << 20, np.float32), -1.0, np.array([np.log(counts[1] / counts[0]), *[0] * 8]))
         positive = [bytes(r["unit"]) for r in enriched]
         negative = sorted({bytes(r["unit"]) for r in common + others} - set(positive))
         marks = positive[:landmarks] + [bytes(r["unit"]) for r in common if bytes(r["unit"]) not in set(positive)][:background]
@@ -253,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean:
         letters, first, last = _packed(marks)
         for unit, quad, share in quadruples(letters, first, last):
             np.add.at(table, quad, beta[unit] * share / _NORMS[last - first][unit])
-        model = ToxicModel(table.astype(np.float32), float(w[-1]), np.zeros(5))
+        model = ToxicModel(table.astype(np.float32), float(w[-1]), np.zeros(9))
 
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -268,7 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean:
             weight = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum()))
             model.calibration = logistic(np.array([r["f"] for r in rows]), y, weight * len(y) / weight.sum())
         else:
-            model.calibration = np.array([-1.0, 4.0, 0, 0, 0])
+            model.calibration = np.array([-1.0, 4.0, 0, 0, 0, 0, 4.0, 0, 0])
         return model
     finally:
         sample.unpersist()

@@ -6,6 +6,8 @@ import math
 import re
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import by_id, prose
 
@@ -14,10 +16,11 @@ from quantloom.llm.license_scan import license_scan, suppressed
 from quantloom.llm.mixing import mix_sources, token_count
 from quantloom.llm.quality import quality
 from quantloom.llm.quality import train as train_quality
-from quantloom.llm.toxicity import toxicity
+from quantloom.llm.toxicity import _NORMS, DECAY, GAPS, ToxicModel, marked, toxicity, unit_ranges
 from quantloom.llm.url_filter import filter_urls
 from quantloom.llm.url_filter import train as train_urls
 from quantloom.llm.warc import archive_round_trip, ranges, read_archives, write_archives
+from quantloom.llm.words import slices
 from quantloom.runtime import table
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,6 +90,38 @@ def test_toxicity(spark, edge):
     assert toxicity(docs.where("false"), labels).collect() == []
 
 
+@pytest.mark.parametrize("insult", ["vile toad", "zog", "rotten old turnip", "ba st ard", "sc um"])
+def test_toxicity_beyond_single_words(spark, insult):
+    """Insults of ordinary words, of three letters, or cut by spaces; apart, the words are in clean documents too."""
+    words, rows = ["apart" if w == insult else w for w in insult.split(" ")], []
+    for i in range(900):
+        body = prose(i, 40).split(" ")
+        if i % 6 == 0:
+            body[20:20] = insult.split(" ")
+        else:
+            for k, w in enumerate(words):
+                body.insert(3 + 9 * k + i % 3, w)
+        rows.append((i, " ".join(body) + ".", int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = by_id(toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")))
+    held = [(t, got[i].predicted) for i, _, t in rows if got[i].held_out]
+    assert sum(p for t, p in held if t) >= 0.9 * sum(t for t, _ in held) and sum(p for t, p in held if not t) <= 0.05 * len(held)
+
+
+def test_toxicity_units_and_scores():
+    text = "You vile toad. i d i o t zog! ba st ard\nincomprehensibilities at it"
+    (w,) = slices(pa.array([None, text, "ab. cd"]))
+    letters, first, last, of, run = unit_ranges(w)
+    named = [("".join(chr(96 + c) for c in letters[a:b]), bool(r)) for a, b, t, r in zip(first, last, of, run) if t == 1]
+    assert {("vile", False), ("zog", False), ("idiot", False), ("viletoad", True), ("youviletoad", True), ("bastard", True), ("idiotzog", True)} <= set(named)
+    assert not {"toadidiot", "zogba", "ardat"} & {u for u, _ in named} and all(2 <= len(u) <= 24 for u, _ in named)
+    assert [letters[a:b].tobytes() for a, b, t in zip(first, last, of) if t == 2] == [b"\1\2", b"\3\4"]
+    model = ToxicModel(np.random.default_rng(0).normal(size=1 << 20).astype(np.float32), -0.25, np.zeros(9))
+    units = [marked(letters[a:b].tobytes()) for a, b in zip(first, last)]
+    want = [sum(model.weights[u[i] << 15 | u[i + a] << 10 | u[i + b] << 5 | u[i + c]] * DECAY ** (c + 1) for i in range(len(u)) for a, b, c in GAPS if i + c < len(u)) / _NORMS[len(u)] - 0.25 for u in units]
+    assert np.allclose(model.unit_scores(letters, first, last), want, atol=1e-5)
+
+
 def test_language(spark, edge):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got, held = by_id(language_id(docs)), folds(docs, 3, 1)
