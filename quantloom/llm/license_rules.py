@@ -3,7 +3,7 @@
 Rules see a text as its lower-case alphanumeric words joined by one space, so
 punctuation never matters: ``apache-2.0`` reads ``apache 2 0``. Each entry has a
 label, a priority (higher suppresses what it contains or equals), a keyword that
-must occur before any of its patterns is tried, and patterns from the most to the
+every match of its patterns holds (they are tried only where it occurs), and patterns from the most to the
 least telling: grant or title wording, identifiers, addresses, short mentions.
 """
 
@@ -17,7 +17,8 @@ SIGNATURES: list[tuple[str, int, str, list[str]]] = [
     ("mit", 60, "mit", [rf"released under the mit licen[cs]e", rf"{LIC} under the (?:terms of the )?mit(?: x11)? licen[cs]e", r"the mit licen[cs]e mit", r"spdx licen[cs]e identifier mit\b(?! 0)", r"opensource org licen[cs]es mit\b", r"mit licen[cs]e", r"licen[cs]e mit\b"]),
     ("mit", 55, "permission", [r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"]),
     ("mit-0", 70, "mit", [r"spdx licen[cs]e identifier mit 0\b", r"mit no attribution(?: licen[cs]e)?", r"opensource org licen[cs]es mit 0\b"]),
-    ("x11", 65, "x11", [r"spdx licen[cs]e identifier x11\b", r"\bx11 licen[cs]e", r"x consortium licen[cs]e"]),
+    ("x11", 65, "x11", [r"spdx licen[cs]e identifier x11\b", r"\bx11 licen[cs]e"]),
+    ("x11", 65, "consortium", [r"x consortium licen[cs]e"]),
     ("apache-2.0", 75, "apache", [rf"{LIC} under the apache licen[cs]e version 2 0", r"apache licen[cs]e version 2 0 january 2004", rf"apache (?:software )?licen[cs]e{V}2(?: 0)?\b", r"spdx licen[cs]e identifier apache 2 0\b", r"apache org licen[cs]es licen[cs]e 2 0\b", r"\bapache 2 0\b", r"opensource org licen[cs]es apache 2 0\b"]),
     ("apache-1.1", 72, "apache", [rf"apache (?:software )?licen[cs]e{V}1 1\b", r"spdx licen[cs]e identifier apache 1 1\b", r"apache org licen[cs]es licen[cs]e 1 1\b"]),
     ("apache-1.0", 72, "apache", [rf"apache (?:software )?licen[cs]e{V}1 0\b", r"spdx licen[cs]e identifier apache 1 0\b", r"apache org licen[cs]es licen[cs]e 1 0\b"]),
@@ -46,14 +47,15 @@ SIGNATURES: list[tuple[str, int, str, list[str]]] = [
     ("agpl-3.0", 88, "agpl", [r"spdx licen[cs]e identifier agpl 3 0(?: only| or later)?\b", r"\bagpl ?v?3(?: 0)?\b", r"gnu org licen[cs]es agpl(?: 3 0)?\b", r"\bagpl\b"]),
     ("gfdl", 82, "documentation", [rf"gnu free documentation licen[cs]e{V}1 [123]\b", r"(?:gnu )?free documentation licen[cs]e"]),
     ("gfdl", 82, "fdl", [r"spdx licen[cs]e identifier gfdl 1 [123](?: only| or later)?\b", r"gnu org (?:licen[cs]es|copyleft) fdl\b", r"\bgfdl\b"]),
-    ("gpl-classpath-exception", 90, "classpath", [r"spdx licen[cs]e identifier gpl 2 0(?: only)? with classpath exception 2 0", r"(?:gnu )?classpath exception", r"linking this library statically or dynamically with other modules"]),
+    ("gpl-classpath-exception", 90, "classpath", [r"spdx licen[cs]e identifier gpl 2 0(?: only)? with classpath exception 2 0", r"(?:gnu )?classpath exception"]),
+    ("gpl-classpath-exception", 90, "linking", [r"linking this library statically or dynamically with other modules"]),
     ("bsd-4-clause", 76, "bsd", [r"spdx licen[cs]e identifier bsd 4 clause\b", r"\bbsd 4 clause\b", r"\b4 clause bsd\b", r"original bsd licen[cs]e"]),
     ("bsd-4-clause", 76, "advertising", [r"all advertising materials mentioning features or use of this software must display the following acknowledgement"]),
     ("bsd-3-clause", 76, "bsd", [r"spdx licen[cs]e identifier bsd 3 clause\b", r"\bbsd 3 clause\b", r"\b3 clause bsd\b", r"(?:new|modified|revised) bsd licen[cs]e", r"opensource org licen[cs]es bsd 3 clause\b"]),
     ("bsd-3-clause", 74, "neither", [r"neither the name of .{1,120}? nor the names of its contributors may be used to endorse or promote products"]),
     ("bsd-2-clause", 76, "bsd", [r"spdx licen[cs]e identifier bsd 2 clause\b", r"\bbsd 2 clause\b", r"\b2 clause bsd\b", r"(?:simplified|freebsd) bsd licen[cs]e", r"opensource org licen[cs]es bsd 2 clause\b"]),
     ("bsd", 48, "bsd", [rf"{LIC} under the bsd licen[cs]e", r"\bbsd(?: style)? licen[cs]e"]),
-    ("bsd", 46, "redistributions", [r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"]),
+    ("bsd", 46, "redistribution", [r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"]),
     ("0bsd", 77, "bsd", [r"spdx licen[cs]e identifier 0bsd\b", r"\b0bsd\b", r"zero clause bsd"]),
     ("isc", 70, "isc", [r"spdx licen[cs]e identifier isc\b", r"\bisc licen[cs]e", r"opensource org licen[cs]es isc\b"]),
     ("isc", 66, "permission", [r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"]),
@@ -117,7 +119,8 @@ SIGNATURES: list[tuple[str, int, str, list[str]]] = [
     ("artistic-1.0", 74, "artistic", [rf"artistic licen[cs]e{V}1(?: 0)?\b", r"spdx licen[cs]e identifier artistic 1 0(?: perl)?\b", r"the clarified artistic licen[cs]e"]),
     ("artistic", 50, "artistic", [r"artistic licen[cs]e"]),
     ("perl", 72, "perl", [r"under the same terms as perl itself", r"same terms as the perl 5 programming language"]),
-    ("psf-2.0", 76, "python", [rf"python software foundation licen[cs]e(?:{V}2)?", r"spdx licen[cs]e identifier (?:python|psf) 2 0\b", r"\bpsf licen[cs]e"]),
+    ("psf-2.0", 76, "python", [rf"python software foundation licen[cs]e(?:{V}2)?", r"spdx licen[cs]e identifier python 2 0\b"]),
+    ("psf-2.0", 76, "psf", [r"spdx licen[cs]e identifier psf 2 0\b", r"\bpsf licen[cs]e"]),
     ("postgresql", 76, "postgresql", [r"spdx licen[cs]e identifier postgresql\b", r"postgresql licen[cs]e"]),
     ("php-3.01", 76, "php", [rf"php licen[cs]e{V}3 01\b", r"spdx licen[cs]e identifier php 3 01\b", r"php net licen[cs]e 3 01\b"]),
     ("ruby", 74, "ruby", [r"spdx licen[cs]e identifier ruby\b", r"\bruby licen[cs]e", r"under the same terms as ruby"]),
@@ -136,8 +139,10 @@ SIGNATURES: list[tuple[str, int, str, list[str]]] = [
     ("ms-pl", 76, "microsoft", [r"microsoft public licen[cs]e"]),
     ("ms-pl", 76, "pl", [r"spdx licen[cs]e identifier ms pl\b", r"\bms pl\b"]),
     ("ms-rl", 76, "microsoft", [r"microsoft reciprocal licen[cs]e"]),
-    ("cpl-1.0", 76, "common", [rf"common public licen[cs]e(?:{V}1 0)?", r"spdx licen[cs]e identifier cpl 1 0\b"]),
-    ("ipl-1.0", 76, "ibm", [rf"ibm public licen[cs]e(?:{V}1 0)?", r"spdx licen[cs]e identifier ipl 1 0\b"]),
+    ("cpl-1.0", 76, "common", [rf"common public licen[cs]e(?:{V}1 0)?"]),
+    ("cpl-1.0", 76, "cpl", [r"spdx licen[cs]e identifier cpl 1 0\b"]),
+    ("ipl-1.0", 76, "ibm", [rf"ibm public licen[cs]e(?:{V}1 0)?"]),
+    ("ipl-1.0", 76, "ipl", [r"spdx licen[cs]e identifier ipl 1 0\b"]),
     ("afl-3.0", 76, "academic", [rf"academic free licen[cs]e(?:{V}3 0)?"]),
     ("afl-3.0", 76, "afl", [r"spdx licen[cs]e identifier afl 3 0\b"]),
     ("osl-3.0", 76, "open", [rf"open software licen[cs]e(?:{V}3 0)?"]),
@@ -151,12 +156,16 @@ SIGNATURES: list[tuple[str, int, str, list[str]]] = [
     ("vim", 74, "vim", [r"spdx licen[cs]e identifier vim\b", r"\bvim licen[cs]e"]),
     ("beerware", 74, "beer", [r"the beer ?ware licen[cs]e", r"spdx licen[cs]e identifier beerware\b", r"you can buy me a beer in return"]),
     ("json", 74, "evil", [r"the software shall be used for good not evil"]),
-    ("ecl-2.0", 76, "educational", [rf"educational community licen[cs]e(?:{V}2 0)?", r"spdx licen[cs]e identifier ecl 2 0\b"]),
-    ("bigscience-rail-1.0", 76, "rail", [r"bigscience (?:open )?rail(?: m)? licen[cs]e", r"\bopenrail(?: m)?\b", r"responsible ai licen[cs]e"]),
+    ("ecl-2.0", 76, "educational", [rf"educational community licen[cs]e(?:{V}2 0)?"]),
+    ("ecl-2.0", 76, "ecl", [r"spdx licen[cs]e identifier ecl 2 0\b"]),
+    ("bigscience-rail-1.0", 76, "rail", [r"bigscience (?:open )?rail(?: m)? licen[cs]e", r"\bopenrail(?: m)?\b"]),
+    ("bigscience-rail-1.0", 76, "responsible", [r"responsible ai licen[cs]e"]),
     ("llama-community", 76, "llama", [r"llama [23](?: 1| 2| 3)? community licen[cs]e"]),
     ("polyform", 74, "polyform", [r"polyform (?:noncommercial|small business|perimeter|strict|shield) licen[cs]e(?: 1 0 0)?"]),
     ("commons-clause", 76, "clause", [r"commons clause licen[cs]e condition", r"\bcommons clause\b"]),
-    ("proprietary", 42, "rights", [r"all rights reserved (?:unauthorized|no part)", r"proprietary and confidential", r"unauthorized copying of this file"]),
+    ("proprietary", 42, "rights", [r"all rights reserved (?:unauthorized|no part)"]),
+    ("proprietary", 42, "confidential", [r"proprietary and confidential"]),
+    ("proprietary", 42, "copying", [r"unauthorized copying of this file"]),
     ("proprietary", 41, "proprietary", [r"proprietary licen[cs]e"]),
     ("copyright-notice", 20, "copyright", [r"copyright (?:c )?(?:19|20)\d\d\b", r"copyright (?:c )?by\b"]),
     ("spdx-other", 30, "spdx", [r"spdx licen[cs]e identifier [a-z0-9]+"]),

@@ -1,8 +1,8 @@
 """License detection by ordered signature rules.
 
-1. Gate. A text is looked at further only if one of a few stems occurs in it
-   (every rule's match contains one of them). One Aho-Corasick pass over its
-   normalised words then tells which keywords occur; a rule's regexes are tried
+1. Gate. A text is looked at further only if one of a few stems occurs in its
+   normalised words (every rule's match contains one of them). One Aho-Corasick
+   pass over them then tells which keywords occur; a rule's regexes are tried
    only if its keyword does.
 2. Rules (``license_rules``) are tried in order of priority, then as listed.
 3. Overlaps. A detection goes if another one of higher priority - or of equal
@@ -36,8 +36,8 @@ from .words import LOWER, NOT_ALNUM, slices
 
 #: Fixed phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Every rule's match holds at least one of these.
-GATE = tuple(s.encode() for s in ("licen", "gpl", "copyright", "spdx", "domain", "permission", "warranty", "redistribution", "cc0", "cc by", "cc-by", "creative", "rights", "apache", "bsd", "wtfpl", "mozilla", "mpl", "openrail", "proprietary", "agpl", "advertising", "neither", "beer", "evil", "odbl", "pddl", "clause", "ms-pl", "ms pl", "eupl", "busl", "sspl", "perl", "ruby", "sil.org", "exception", "linking", "epl", "cddl", "ofl", "fdl", "oracle", "universal", "mit no"))
+#: Every rule's match holds at least one of these; they are looked for in normalised words.
+GATE = tuple(s.encode() for s in ("licen", "gpl", "copyright", "spdx", "domain", "permission", "warranty", "redistribution", "cc0", "cc by", "creative", "rights", "apache", "bsd", "wtfpl", "mozilla", "mpl", "openrail", "proprietary", "agpl", "advertising", "neither", "beer", "evil", "odbl", "pddl", "clause", "ms pl", "eupl", "busl", "sspl", "perl", "ruby", "sil org", "exception", "linking", "epl", "cddl", "ofl", "fdl", "oracle", "universal", "mit no", "mulan p", "documents edl", "openssl", "unauthorized copying"))
 _SPACED = np.where(NOT_ALNUM, 32, LOWER).astype(np.uint8).tobytes()
 
 
@@ -114,10 +114,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for w in slices(batch.column(1), NOT_ALNUM, LOWER):
                 n_words[w.first : w.first + w.n_texts] = w.counts
                 for i in range(w.n_texts):
-                    text = w.data[w.text_offs[i] : w.text_offs[i + 1]].tobytes()
+                    text = normalised(w.data[w.text_offs[i] : w.text_offs[i + 1]].tobytes())
                     base, found = [], []
                     if any(g in text for g in GATE):
-                        words = normalised(text).decode()
+                        words = text.decode()
                         base, found = base_places(words), rules.detections(words)
                     labels = {label for _, label in base}
                     out["n_base"].append(len(base))

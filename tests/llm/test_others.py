@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 from zlib import crc32
@@ -12,7 +13,8 @@ import pytest
 from fixtures import by_id, prose
 
 from quantloom.llm.language import identify, language_id
-from quantloom.llm.license_scan import license_scan, suppressed
+from quantloom.llm.license_rules import SIGNATURES
+from quantloom.llm.license_scan import GATE, license_scan, suppressed
 from quantloom.llm.mixing import mix_sources, token_count
 from quantloom.llm.quality import quality
 from quantloom.llm.quality import train as train_quality
@@ -73,6 +75,44 @@ def test_license_labels_and_suppression(spark):
     assert suppressed([(0, 5, 9, 0, "a"), (1, 3, 5, 1, "b"), (4, 7, 5, 2, "c")]) == [(0, 5, 9, "a"), (4, 7, 5, "c")]
 
 
+def spelled(tree):
+    """Texts of a parsed pattern: every branch and class member, optional parts without and with."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts = [chr(arg)]
+        elif name == "IN":
+            parts = [chr(c if str(k) == "LITERAL" else c[0] if str(k) == "RANGE" else ord("7")) for k, c in arg]
+        elif name == "ANY":
+            parts = ["x"]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            parts = [p for n in {arg[0], min(arg[1], arg[0] + 1)} for p in ("".join(c) for c in itertools.product(spelled(arg[2]), repeat=n))]
+        elif name == "SUBPATTERN":
+            parts = spelled(arg[3])
+        elif name == "BRANCH":
+            parts = [p for b in arg[1] for p in spelled(b)]
+        else:
+            assert name in ("AT", "ASSERT_NOT")
+            parts = [""]
+        out = [a + b for a in out for b in parts]
+    return out
+
+
+def test_license_prefilter_loses_no_rule():
+    for label, _, keyword, patterns in SIGNATURES:
+        for pattern in patterns:
+            for text in spelled(re._parser.parse(pattern)):
+                assert re.search(pattern, text), (label, text)
+                assert keyword in text and any(g.decode() in text for g in GATE), (label, keyword, text)
+
+
+def test_license_without_other_stems(spark):
+    cases = {"CC\nBY 4.0": "cc-by-4.0", "CC_BY_4.0": "cc-by-4.0", "MIT\nNo Attribution": "mit-0", "MS_PL": "ms-pl", "Proprietary and confidential": "proprietary", "unauthorized copying of this file": "proprietary", "Responsible AI License": "bigscience-rail-1.0", "the PSF license": "psf-2.0", "X Consortium License": "x11", "mulan PSL v2": "mulan-2.0"}
+    got = by_id(license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")))
+    assert [got[i].labels for i in range(len(cases))] == list(cases.values())
+
+
 def folds(docs, by, remainder):
     return {r.doc_id: crc32(str(r.doc_id).encode()) % by == remainder for r in docs.select("doc_id").collect()}
 
