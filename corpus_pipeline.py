@@ -26,10 +26,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.score_toxicity(docs, model, as_col="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
 
 
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """The documents as a written table with a unique ``_row``: ids can be null or repeated."""
+    return Scratch(spark, name).table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group (five-word shingles, similarity 0.8)."""
-    gone = near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group, that with the smallest id, null last (five-word shingles, similarity 0.8).
+
+    Texts without words form no groups; of rows that repeat such a text and its id one stays.
+    """
+    rows = numbered(spark, docs, "near_dedup")
+    found = near_duplicates(rows, shingle_words=5, percent=80, id_col="_row").select("_row", "n_shingles", "component_id")
+    wordless = ~F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("text").isNotNull()
+    ids = rows.select("_row", "doc_id", F.when(wordless, F.col("text")).alias("blank"))
+    repeats = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    groups = ids.join(found.hint("merge"), "_row").withColumn("group", F.when(~repeats, F.col("component_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
+    kept = groups.groupBy("group", F.when(repeats, F.col("doc_id")).alias("id"), F.when(repeats, F.col("blank")).alias("blank")).agg(first.alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(kept.hint("merge"), "_row").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +63,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often (copies) and in how many words (taken)."""
-    plan = mix_sources(docs).where("copies > 0").select("doc_id", "size", "target", "copies", "taken")
-    return docs.join(plan.hint("merge"), "doc_id")
+    rows = numbered(spark, docs, "mix")
+    plan = mix_sources(rows, row_col="_row").where("copies > 0").select("_row", "size", "target", "copies", "taken")
+    return rows.join(plan.hint("merge"), "_row").select(*docs.columns, "size", "target", "copies", "taken")
 
 
 STAGES = [

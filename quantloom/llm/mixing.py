@@ -25,8 +25,9 @@ in turn; together they share ``share`` of all tokens; a source whose part exceed
 
 Defined results: null text has size 0; documents of size 0 are taken with no
 tokens. A source without tokens has target 0. An empty table gives an empty
-result. Rows with one id and one size are rounded as separate documents in an
-order that is theirs alone if ids repeat. Other columns are ignored.
+result. Every row is a document of its own, with null and repeated ids too; rows
+with one id, source and size are rounded in the order of ``row_col``, or of the
+table as it is read. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,10 +108,11 @@ def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, cap: float
     return state.select("source", "lam", "scale")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", groups: int = 256, repairs: int = 3) -> DataFrame:
-    """Per document: id, size, source_size, target, rate, copies, taken (= copies * size)."""
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", groups: int = 256, repairs: int = 3, row_col: str | None = None) -> DataFrame:
+    """Per document: id, size, source_size, target, rate, copies, taken (= copies * size); first ``row_col``, a unique number, if it is given."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    read = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("size"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    read = docs.select(number.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("size"))
     rows = scratch.table(read, "sizes")
     sizes = scratch.table(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     goals = scratch.table(targets(sizes, weights, share, float(cap)), "targets")
@@ -128,7 +130,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         taken, changed = _repaired(taken, scratch, cap)
         if not changed:
             break
-    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return taken.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _rounded(rows: DataFrame, cells: DataFrame, scratch: Scratch, groups: int) -> DataFrame:
@@ -139,18 +141,18 @@ def _rounded(rows: DataFrame, cells: DataFrame, scratch: Scratch, groups: int) -
     one of ``groups`` hash groups of a size, plus the counts of the groups before,
     so that no window holds more than that share of a common size.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    slot = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("id")), F.lit(groups)).cast("int")
     slotted = rows.withColumn("slot", slot)
     counts = slotted.groupBy("source", "size", "slot").agg(F.count("*").alias("m"))
     ahead = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("ahead", ahead).drop("m")
-    ranked = slotted.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "slot").orderBy("id")) - 1)
+    ranked = slotted.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "slot").orderBy("id", "row")) - 1)
     on = F.expr("r.source <=> c.source AND r.size = c.size")
     joined = ranked.alias("r").join(counts.alias("c"), on & F.expr("r.slot = c.slot")).select("r.*", "ahead")
-    joined = joined.alias("r").join(cells.alias("c"), on).select("r.id", "r.source", "r.size", "source_size", "target", "rate", "part", "start", (F.col("rank") + F.col("ahead")).alias("rank"))
+    joined = joined.alias("r").join(cells.alias("c"), on).select("r.row", "r.id", "r.source", "r.size", "source_size", "target", "rate", "part", "start", (F.col("rank") + F.col("ahead")).alias("rank"))
     # values on a grid of 1e-9, so that a sum taken in another order cannot move a rounding
     at = lambda k: F.floor(F.round(F.col("start") + (F.col("rank") + k) * F.col("part") + 0.5, 7))
-    return joined.select("id", "source", "size", "source_size", "target", "rate", (F.floor("rate") + at(1) - at(0)).cast("int").alias("copies"))
+    return joined.select("row", "id", "source", "size", "source_size", "target", "rate", (F.floor("rate") + at(1) - at(0)).cast("int").alias("copies"))
 
 
 def _repaired(taken: DataFrame, scratch: Scratch, cap: int) -> tuple[DataFrame, bool]:
@@ -159,10 +161,10 @@ def _repaired(taken: DataFrame, scratch: Scratch, cap: int) -> tuple[DataFrame,
     near = taken.alias("t").join(gaps.alias("g"), F.expr("t.source <=> g.source")).select("t.*", "gap")
     may = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
     miss = F.abs(F.abs("gap") - F.col("size"))
-    picks = near.where(may & (F.col("size") > 0) & (miss < F.abs("gap") - 0.5)).groupBy("source").agg(F.min_by(F.struct("id", "gap"), F.struct(miss.alias("m"), F.col("id").alias("i"))).alias("pick"))
-    picks = scratch.table(picks.select("source", F.col("pick.id").alias("pid"), F.signum("pick.gap").cast("int").alias("step")), "repairs")
+    picks = near.where(may & (F.col("size") > 0) & (miss < F.abs("gap") - 0.5)).groupBy("source").agg(F.min_by(F.struct("row", "gap"), F.struct(miss.alias("m"), F.col("id").alias("i"), F.col("row").alias("r"))).alias("pick"))
+    picks = scratch.table(picks.select("source", F.col("pick.row").alias("picked"), F.signum("pick.gap").cast("int").alias("step")), "repairs")
     if picks.isEmpty():
         return taken, False
-    out = taken.alias("t").join(picks.alias("p"), F.expr("t.source <=> p.source AND t.id = p.pid"), "left")
+    out = taken.alias("t").join(picks.alias("p"), F.expr("t.source <=> p.source AND t.row = p.picked"), "left")
     out = scratch.table(out.select(*[F.col(f"t.{c}") for c in taken.columns if c != "copies"], (F.col("t.copies") + F.coalesce("step", F.lit(0))).alias("copies")), "copies")
     return out, True

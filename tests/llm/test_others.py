@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -269,3 +270,36 @@ def test_pipeline(spark, sf):
     got = by_id(out)
     assert set(got) <= set(kept) <= set(known) and len(kept) > len(known) / 2
     assert all(r.text == kept[i].text and r.copies > 0 for i, r in got.items())
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    """The stages on rows without ids and on repeated rows, against brute force."""
+    import corpus_pipeline as p
+
+    leak = prose(900, 30)
+    rows = [(i, prose(500 + i, 40), "en", "ab"[i % 2]) for i in range(60)] + [(None, prose(600 + i, 40), "en", "a") for i in range(4)]
+    rows += [rows[7]] * 3 + [rows[60]] * 2 + [(8, prose(700, 40), "en", "a"), (99, rows[9][1], "en", "b"), (9, prose(701, 40), "en", None), (None, rows[11][1], "en", "a"), (8, rows[3][1], "en", "a")]
+    rows += [(70, " ", "en", "a")] * 3 + [(71, None, "en", "a")] * 2 + [(None, "", "en", "a")] * 2 + [(None, prose(800, 20) + " " + leak, "en", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    groups = {}
+    for n, (i, text, _, source) in enumerate(rows):  # equal texts are the only near copies
+        words = (text or "").split()
+        key = text if words else (i, text) if i is not None else n
+        groups.setdefault(key, []).append(((i is None, i or 0), i, text, source))
+    want = Counter(min(g, key=lambda r: r[0])[1:] for g in groups.values() if leak not in (g[0][2] or ""))
+    for name, stage in p.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+    assert Counter((r.doc_id, r.text, r.source) for r in docs.collect()) == want
+    plan = mix_sources(docs).collect()
+    taken = p.mix(spark, docs, str(tmp_path)).collect()
+    assert sum(want.values()) == len(plan) and all(0 <= r.copies <= 2 for r in plan)
+    got = Counter((r.doc_id, r.text, r.source) for r in taken)
+    assert not got - want and len(taken) == sum(r.copies > 0 for r in plan)
+    sizes, sums = Counter(), Counter()
+    for (_, text, source), n in want.items():
+        sizes[source] += n * len((text or "").split())
+    for r in taken:
+        sums[r.source] += r.taken
+    assert all(abs(sums[s] - t) <= 40 for s, t in brute_targets(sizes).items())
