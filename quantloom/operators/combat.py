@@ -2,18 +2,25 @@
 
 Input is long: (feature, sample, batch, x[, fit]). Everything but the posterior
 iteration is aggregation: a feature needs count, mean and sum of squares in each
-batch. The iteration of one batch sees three numbers per feature, in one grouped
-task per batch.
+batch, taken in one pass. The posterior of a (feature, batch) is iterated by itself
+from three numbers and its batch's priors, wherever its row happens to be; only
+the round at which a batch stops is shared, a maximum over features taken in a
+second, equally cheap pass. No task holds a batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import eb_posterior
+from quantloom.scratch import Scratch
+
+ROUNDS, TOLERANCE = 100, 1e-4
 
 
 def check_batches(df: DataFrame) -> None:
@@ -26,55 +33,111 @@ def batch_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("batch").agg(F.countDistinct("sample").alias("n_b"))
 
 
-def standardization(df: DataFrame) -> DataFrame:
+def cell_sums(df: DataFrame) -> DataFrame:
+    """(feature, batch, c, m, ss, n_b): count, mean and squares about it of a feature in a batch, and the batch's size."""
+    per = df.where(F.col("x").isNotNull()).groupBy("feature", "batch").agg(F.count("x").alias("c"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("ss"))
+    return per.join(batch_sizes(df), "batch")
+
+
+def scale_of(sums: DataFrame) -> DataFrame:
     """(feature, grand, var): of features seen in every batch with some variance.
 
     The grand mean weighs batch means by batch sizes, seen or not; the pooled
     variance is the population variance about batch means, a non-positive one
     replaced by the median of the positive ones.
     """
-    sizes = batch_sizes(df)
-    totals = sizes.agg(F.sum("n_b").alias("n_all"), F.count("*").alias("n_batches"))
-    per = df.where(F.col("x").isNotNull()).groupBy("feature", "batch").agg(F.count("x").alias("c"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("ss"))
-    per = per.join(sizes, "batch").join(totals, F.lit(True))
+    totals = sums.select("batch", "n_b").distinct().agg(F.sum("n_b").alias("n_all"), F.count("*").alias("n_batches"))
+    per = sums.join(totals, F.lit(True))
     whole = per.groupBy("feature").agg(F.sum(F.col("n_b") / F.col("n_all") * F.col("m")).alias("grand"), (F.sum("ss") / F.sum("c")).alias("var"), F.count("*").alias("seen"), F.max("n_batches").alias("n_batches"), F.max("m").alias("top"), F.min("m").alias("bottom"))
     whole = whole.where("seen = n_batches AND (var > 0 OR top <> bottom)")
     middle = whole.where("var > 0").agg(F.median("var").alias("mid"))
     return whole.join(middle, F.lit(True)).select("feature", "grand", F.when(F.col("var") > 0, F.col("var")).otherwise(F.col("mid")).alias("var"))
 
 
-def batch_effects(df: DataFrame, scale: DataFrame) -> DataFrame:
+def effects_of(sums: DataFrame, scale: DataFrame) -> DataFrame:
     """(feature, batch, c, gamma, ss, delta, estimable) of standardised values."""
-    s = df.where(F.col("x").isNotNull()).join(scale, "feature").withColumn("s", (F.col("x") - F.col("grand")) / F.sqrt("var"))
-    e = s.groupBy("feature", "batch").agg(F.count("s").alias("c"), F.avg("s").alias("gamma"), (F.var_pop("s") * F.count("s")).alias("ss"))
+    e = sums.join(scale, "feature").select("feature", "batch", "c", ((F.col("m") - F.col("grand")) / F.sqrt("var")).alias("gamma"), (F.col("ss") / F.col("var")).alias("ss"))
+    return with_scale_estimates(e)
+
+
+def with_scale_estimates(e: DataFrame) -> DataFrame:
+    """Add delta, the sample variance, and whether it can be told from zero; else delta is 1."""
     delta = F.try_divide(F.col("ss"), F.col("c") - 1)
     usable = (F.col("c") >= 2) & (F.sqrt(delta) > 1e-12 * F.greatest(F.abs("gamma"), F.lit(1.0)))
     return e.withColumn("estimable", F.coalesce(usable, F.lit(False))).withColumn("delta", F.when(F.col("estimable"), delta).otherwise(1.0))
 
 
+def standardization(df: DataFrame) -> DataFrame:
+    return scale_of(cell_sums(df))
+
+
+def batch_effects(df: DataFrame, scale: DataFrame) -> DataFrame:
+    return effects_of(cell_sums(df), scale)
+
+
 def priors(effects: DataFrame) -> DataFrame:
-    """(batch, g_bar, tau2, a, b): moments of the locations; inverse-gamma parameters of the estimable scales."""
+    """(batch, g_bar, tau2, a, b): moments of the locations; inverse-gamma parameters of the estimable scales.
+
+    Scales that are all equal (a lone replicated batch is scaled by itself) are the
+    limit of ever smaller spread: the prior then fixes them, whatever rounding leaves.
+    """
     d = F.when(F.col("estimable"), F.col("delta"))
-    p = effects.groupBy("batch").agg(F.avg("gamma").alias("g_bar"), F.var_samp("gamma").alias("tau2"), F.avg(d).alias("m"), F.var_samp(d).alias("v"))
+    p = effects.groupBy("batch").agg(F.avg("gamma").alias("g_bar"), F.coalesce(F.var_samp("gamma"), F.lit(0.0)).alias("tau2"), F.avg(d).alias("m"), F.when(F.count(d) > 1, F.var_samp(d)).alias("v"))
     ok = (F.col("m") > 0) & (F.col("v") > 0)
     ratio = F.try_divide(F.col("m") * F.col("m"), F.col("v"))
+    p = p.withColumn("v", F.when(F.col("v").isNotNull(), F.greatest("v", 1e-24 * F.col("m") * F.col("m"))))
     return p.select("batch", "g_bar", "tau2", F.when(ok, ratio + 2).otherwise(1.0).alias("a"), F.when(ok, F.col("m") * (ratio + 1)).otherwise(1.0).alias("b"))
 
 
-def posterior(effects: DataFrame, mean_only: bool = False) -> DataFrame:
-    """(feature, batch, gamma_star, delta_star), one task per batch over (c, gamma, ss) of its features."""
-    kind, batch_kind = (effects.schema[c].dataType.simpleString() for c in ("feature", "batch"))
+def eb_rounds(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(gamma, delta, relative change) of each row after each round."""
+    c, hat, ss, delta, mean, tau2, a, b = (part.column(k).to_numpy().astype(float) for k in ("c", "gamma", "ss", "delta", "g_bar", "tau2", "a", "b"))
+    known = part.column("estimable").to_numpy(zero_copy_only=False)
+    gamma = hat
+    for _ in range(ROUNDS):
+        new = (tau2 * c * hat + delta * mean) / (tau2 * c + delta)
+        spread = np.where(known, (0.5 * (ss + c * (hat - new) ** 2) + b) / (0.5 * c + a - 1), 1.0)
+        change = np.maximum(np.abs(new - gamma) / np.maximum(np.abs(gamma), 1e-12), np.abs(spread - delta) / np.maximum(delta, 1e-12))
+        gamma, delta = new, spread
+        yield gamma, delta, change
+
+
+def _largest_changes(batches):
+    """Largest change of each batch in each round, over the rows of one Arrow batch."""
+    for part in batches:
+        coded = part.column("batch").dictionary_encode()
+        code, n = coded.indices.to_numpy(), len(coded.dictionary)
+        for k, (_, _, change) in enumerate(eb_rounds(part)):
+            most = np.zeros(n)
+            np.maximum.at(most, code, change)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(n, k + 1, np.int32)), pa.array(most)], ["batch", "round", "change"])
+
+
+def _after_rounds(batches):
+    """Location and scale of each row after its batch's number of rounds."""
+    for part in batches:
+        last = part.column("rounds").to_numpy()
+        gamma, delta = np.zeros(part.num_rows), np.ones(part.num_rows)
+        for k, (g, d, _) in enumerate(eb_rounds(part)):
+            now = last == k + 1
+            gamma[now], delta[now] = g[now], d[now]
+        yield pa.RecordBatch.from_arrays([part.column("feature"), part.column("batch"), pa.array(gamma), pa.array(delta)], ["feature", "batch", "gamma_star", "delta_star"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, g, ss, d, e = (pdf[k].to_numpy(t) for k, t in (("c", float), ("gamma", float), ("ss", float), ("delta", float), ("estimable", bool)))
-        if mean_only:
-            g_bar, tau2 = g.mean(), g.var(ddof=1) if len(g) > 1 else 0.0
-            gamma, delta = (tau2 * c * g + g_bar) / (tau2 * c + 1), np.ones(len(g))
-        else:
-            gamma, delta = eb_posterior(c, g, ss, d, e)
-        return pd.DataFrame({"feature": pdf["feature"], "batch": pdf["batch"], "gamma_star": gamma, "delta_star": delta})
 
-    return effects.groupBy("batch").applyInPandas(one, f"feature {kind}, batch {batch_kind}, gamma_star double, delta_star double")
+def posterior(effects: DataFrame, mean_only: bool = False) -> DataFrame:
+    """(feature, batch, gamma_star, delta_star); ``effects`` should be a written table, it is read three times.
+
+    All features of a batch stop after the same round: the first in which none of
+    them changes by ``TOLERANCE`` of itself, ``ROUNDS`` at most.
+    """
+    e = effects.join(priors(effects), "batch")
+    if mean_only:
+        pull = F.col("tau2") * F.col("c")
+        return e.select("feature", "batch", ((pull * F.col("gamma") + F.col("g_bar")) / (pull + 1)).alias("gamma_star"), F.lit(1.0).alias("delta_star"))
+    kind, batch_kind = (effects.schema[c].dataType.simpleString() for c in ("feature", "batch"))
+    change = e.mapInArrow(_largest_changes, f"batch {batch_kind}, round int, change double").groupBy("batch", "round").agg(F.max("change").alias("change"))
+    stop = change.groupBy("batch").agg(F.coalesce(F.min(F.when(F.col("change") < TOLERANCE, F.col("round"))), F.lit(ROUNDS)).alias("rounds"))
+    return e.join(stop, "batch").mapInArrow(_after_rounds, f"feature {kind}, batch {batch_kind}, gamma_star double, delta_star double")
 
 
 def shrunken(effects: DataFrame) -> DataFrame:
@@ -97,9 +160,12 @@ def adjust(df: DataFrame, scale: DataFrame, post: DataFrame, ref_batch: str | No
 
 
 def combat(df: DataFrame, parametric: bool = True, mean_only: bool = False, ref_batch: str | None = None) -> DataFrame:
+    """Standard correction: one pass for the sums, one for the result; what lies between is one row a feature and batch."""
     check_batches(df)
-    scale = standardization(df)
-    effects = batch_effects(df, scale)
+    scratch = Scratch(df.sparkSession, "combat")
+    sums = scratch.table(cell_sums(df), "sums")
+    scale = scratch.table(scale_of(sums), "scale")
+    effects = scratch.table(effects_of(sums, scale), "effects")
     return adjust(df, scale, posterior(effects, mean_only) if parametric else shrunken(effects), ref_batch)
 
 
@@ -149,33 +215,56 @@ def combat_reference_anchored(df: DataFrame, no_reference: str = "fallback") ->
     """
     if no_reference not in ("fallback", "skip", "error"):
         raise ValueError(no_reference)
+    scratch = Scratch(df.sparkSession, "anchored")
     refs = df.groupBy("batch").agg(F.countDistinct(F.when(F.col("fit"), F.col("sample"))).alias("n_ref"), F.countDistinct("sample").alias("n_all"))
-    if no_reference == "error" and not refs.where("n_ref = 0").isEmpty():
+    mode = F.when(F.col("n_ref") >= 2, "full").when(F.col("n_ref") == 1, "location").when(F.lit(no_reference == "skip"), "skip").otherwise("all")
+    policy = scratch.table(refs.select("batch", "n_ref", mode.alias("mode"), F.when(F.col("n_ref") > 0, F.col("n_ref")).otherwise(F.col("n_all")).alias("size")), "policy")
+    facts = policy.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_ref"), F.lit(0)).alias("refs"), F.coalesce(F.min("n_ref"), F.lit(0)).alias("least"), F.coalesce(F.sum(F.when(F.col("mode") == "full", F.col("size") - 1)), F.lit(0)).alias("df")).first()
+    if facts["n"] < 2:
+        return df
+    if not facts["refs"]:
+        raise ValueError("there is no reference sample")
+    if no_reference == "error" and not facts["least"]:
         raise ValueError("a batch has no reference sample")
-    policy = refs.select("batch", F.when(F.col("n_ref") >= 2, "full").when(F.col("n_ref") == 1, "location").when(F.lit(no_reference == "skip"), "skip").otherwise("all").alias("mode"), F.when(F.col("n_ref") > 0, F.col("n_ref")).otherwise(F.col("n_all")).alias("size"))
-    d = df.join(policy, "batch")
-    fit = d.where("mode <> 'skip' AND x IS NOT NULL AND (fit OR mode = 'all')")
-    used = policy.where("mode <> 'skip'")
-    totals = used.agg(F.sum("size").alias("n_fit"), F.count("*").alias("n_batches"))
-    per = fit.groupBy("feature", "batch", "mode", "size").agg(F.count("x").alias("c"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("ss"))
-    whole = per.join(totals, F.lit(True)).groupBy("feature").agg(
-        F.sum(F.col("size") / F.col("n_fit") * F.col("m")).alias("grand"),
-        F.try_divide(F.sum(F.when(F.col("mode") == "full", F.col("ss"))), F.sum(F.when(F.col("mode") == "full", F.col("c") - 1))).alias("var"),
-        F.count("*").alias("seen"), F.max("n_batches").alias("n_batches"))
-    own = df.where("x IS NOT NULL").groupBy("feature", "batch").agg((F.var_pop("x") * F.count("x")).alias("ss"), F.count("x").alias("c")).groupBy("feature").agg(F.try_divide(F.sum("ss"), F.sum("c") - 1).alias("own"))
-    whole = whole.where("seen = n_batches").join(own, "feature").withColumn("var", F.when(F.col("var") > 0, F.col("var")).otherwise(F.col("own"))).where("var > 0")
-    scale = whole.select("feature", "grand", "var")
+    seen = df.where("x IS NOT NULL").join(policy, "batch")
+    per = seen.where("mode <> 'skip' AND (fit OR mode = 'all')").groupBy("feature", "batch", "mode", "size").agg(F.count("x").alias("c"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("ss"))
+    per = scratch.table(per, "sums")
+    totals = policy.where("mode <> 'skip'").agg(F.sum("size").alias("n_fit"), F.count("*").alias("n_batches"))
+    whole = per.join(totals, F.lit(True)).groupBy("feature").agg(F.sum(F.col("size") / F.col("n_fit") * F.col("m")).alias("grand"), (F.sum(F.when(F.col("mode") == "full", F.col("ss"))) / facts["df"] if facts["df"] else F.lit(None).cast("double")).alias("var"), F.count("*").alias("seen"), F.max("n_batches").alias("n_batches"))
+    varied = df.groupBy("feature").agg((F.max("x") > F.min("x")).alias("varied")).where("varied").select("feature")
+    whole = whole.where("seen = n_batches").join(varied, "feature").select("feature", "grand", "var")
+    if not facts["df"]:  # no batch has two references: the spread about what was fitted
+        left = seen.select("feature", "batch", "x").join(whole.drop("var"), "feature").join(per.select("feature", "batch", "m"), ["feature", "batch"], "left")
+        whole = whole.drop("var").join(left.groupBy("feature").agg(F.var_samp(F.col("x") - F.coalesce("m", "grand")).alias("var")), "feature")
+    whole = scratch.table(whole, "pooled")
+    middle = whole.where("var > 0").agg(F.coalesce(F.median("var"), F.lit(1.0)).alias("mid"))
+    scale = scratch.table(whole.join(middle, F.lit(True)).select("feature", "grand", F.when(F.col("var") > 0, F.col("var")).otherwise(F.col("mid")).alias("var")), "scale")
     e = per.join(scale, "feature").withColumns({"gamma": (F.col("m") - F.col("grand")) / F.sqrt("var"), "ss": F.col("ss") / F.col("var")})
-    full = e.where("mode = 'full'")
-    delta = F.try_divide(F.col("ss"), F.col("c") - 1)
-    usable = F.coalesce((F.col("c") >= 2) & (F.sqrt(delta) > 1e-12 * F.greatest(F.abs("gamma"), F.lit(1.0))), F.lit(False))
-    full = full.withColumn("estimable", usable).withColumn("delta", F.when(F.col("estimable"), delta).otherwise(1.0))
-    location = e.where("mode <> 'full'").withColumn("c", F.col("size"))
-    post = posterior(full.select("feature", "batch", "c", "gamma", "ss", "delta", "estimable"))
-    post = post.unionByName(posterior(location.select("feature", "batch", "c", "gamma", "ss", F.lit(1.0).alias("delta"), F.lit(False).alias("estimable")), mean_only=True))
+    full = scratch.table(with_scale_estimates(e.where("mode = 'full'").select("feature", "batch", "c", "gamma", "ss")), "full")
+    location = scratch.table(e.where("mode <> 'full'").select("feature", "batch", F.col("size").alias("c"), "gamma"), "location")
+    pull = location.withColumns({"ss": F.lit(0.0), "delta": F.lit(1.0), "estimable": F.lit(False)})
+    post = posterior(full).unionByName(posterior(pull, mean_only=True))
     return adjust(df, scale, post)
 
 
+def correct(df: DataFrame, config: dict | None = None) -> DataFrame:
+    """The correction that a configuration asks for: enabled, method (combat or none), reference_anchored, reference_type, auto_revert.
+
+    ``df`` has sample_type besides the usual columns.
+    """
+    c = {"enabled": True, "method": "combat", "reference_anchored": False, "reference_type": "reference", "auto_revert": False} | (config or {})
+    if not c["enabled"] or c["method"] == "none":
+        return df
+    if c["method"] != "combat":
+        raise ValueError(f"unknown correction {c['method']}")
+    if c["reference_anchored"]:
+        anchored = combat_reference_anchored(df.withColumn("fit", F.col("sample_type") == c["reference_type"]))
+        return anchored.select(*df.columns)
+    if c["auto_revert"]:
+        return corrected_or_original(df).select(*df.columns)
+    return combat(df)
+
+
 def median_cv(df: DataFrame, value: str = "x") -> DataFrame:
     """(sample_type, cv): median over features of the linear coefficient of variation."""
     v = F.pow(F.lit(2.0), F.col(value))

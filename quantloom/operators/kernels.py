@@ -124,57 +124,6 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.3, rounds: int = 3, del
     return fit
 
 
-def smoothing_spline(x: np.ndarray, y: np.ndarray, df: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """Penalised cubic regression spline with about ``df`` degrees of freedom: (knots, coefficients)."""
-    knots = np.quantile(x, np.linspace(0, 1, min(12, max(4, len(np.unique(x))))))
-    knots = np.unique(knots)
-    basis = spline_basis(x, knots)
-    penalty = np.zeros((basis.shape[1],) * 2)
-    penalty[2:, 2:] = np.eye(basis.shape[1] - 2)
-    gram, lo, hi = basis.T @ basis, 1e-8, 1e8
-    for _ in range(60):
-        mid = np.sqrt(lo * hi)
-        used = np.trace(np.linalg.solve(gram + mid * penalty + 1e-9 * np.eye(len(gram)), gram))
-        lo, hi = (mid, hi) if used > df else (lo, mid)
-    return knots, np.linalg.solve(gram + np.sqrt(lo * hi) * penalty + 1e-9 * np.eye(len(gram)), basis.T @ y)
-
-
-def spline_basis(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
-    """Natural cubic basis: constant, line, and one function per inner interval; linear outside the knots."""
-    span = knots[-1] - knots[0] or 1.0
-    z, k = (x - knots[0]) / span, (knots - knots[0]) / span
-    cols = [np.ones_like(z), z]
-    if len(k) > 2:
-        cube = lambda j: (np.maximum(z - k[j], 0) ** 3 - np.maximum(z - k[-1], 0) ** 3) / (k[-1] - k[j])
-        last = cube(len(k) - 2)
-        cols += [cube(j) - last for j in range(len(k) - 2)]
-    return np.column_stack(cols)
-
-
-def eb_posterior(n: np.ndarray, gamma_hat: np.ndarray, ss: np.ndarray, delta_hat: np.ndarray, estimable: np.ndarray, rounds: int = 100, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Empirical-Bayes location and scale of one batch from count, mean and sum of squares of each feature.
-
-    Priors come from the batch's own features; features whose scale cannot be
-    estimated take no part in the scale prior and keep scale 1.
-    """
-    g_bar, tau2 = gamma_hat.mean(), gamma_hat.var(ddof=1) if len(gamma_hat) > 1 else 0.0
-    d = delta_hat[estimable]
-    a = b = 1.0
-    if len(d) > 1:
-        m, v = d.mean(), d.var(ddof=1)
-        if m > 0 and v > 0:
-            a, b = m * m / v + 2, m * (m * m / v + 1)
-    gamma, delta = gamma_hat.copy(), np.where(estimable, delta_hat, 1.0)
-    for _ in range(rounds):
-        g_new = (tau2 * n * gamma_hat + delta * g_bar) / (tau2 * n + delta)
-        d_new = np.where(estimable, (0.5 * (ss + n * (gamma_hat - g_new) ** 2) + b) / (0.5 * n + a - 1), 1.0)
-        change = max(np.max(np.abs(g_new - gamma) / np.maximum(np.abs(gamma), 1e-12)), np.max(np.abs(d_new - delta) / np.maximum(delta, 1e-12)))
-        gamma, delta = g_new, d_new
-        if change < tolerance:
-            break
-    return gamma, delta
-
-
 def principal_scores(gram: np.ndarray, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Scores of samples on the first n components and their explained shares, from the centred Gram matrix."""
     c = gram - gram.mean(0) - gram.mean(1)[:, None] + gram.mean()

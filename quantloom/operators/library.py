@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,15 +118,20 @@ def match_statistics(df: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("keys"), F.sum((F.col("hits") > 0).cast("long")).alias("matched"), F.try_divide(F.sum("hits"), F.sum("ions")).alias("share"))
 
 
-#: Mean residue composition and isotope abundances (fixed physical values).
+#: Mean residue composition, and heavy isotopes per 100 light ones in biological matter (fixed physical values).
 AVERAGINE = {"mass": 111.1254, "C": 4.9384, "H": 7.7583, "N": 1.3577, "O": 1.4773, "S": 0.0417}
-HEAVY = {"C": 0.0107, "H": 0.000115, "N": 0.00364, "O": 0.00038, "S": 0.0075}
+HEAVY_PER_100 = {"C": 1.0958793, "H": 0.0115, "N": 0.368351851, "O": 0.03799194, "S": 0.789308}
+
 
+def isotope_pattern(mass: Column, n: int = 5) -> Column:
+    """Array of n relative isotope intensities (largest 1).
 
-def isotope_pattern(mass: Column, n: int = 4) -> Column:
-    """Array of n relative isotope intensities (largest 1): Poisson with the expected number of heavy atoms."""
-    rate = mass / AVERAGINE["mass"] * sum(AVERAGINE[a] * HEAVY[a] for a in HEAVY)
-    terms = F.array(*[F.exp(-rate) * F.pow(rate, F.lit(float(i))) / F.factorial(F.lit(i)) for i in range(n)])
+    The average composition gives whole atoms (halves to even); the number of heavy
+    ones is Poisson distributed.
+    """
+    residues = mass / AVERAGINE["mass"]
+    rate = sum((F.bround(residues * AVERAGINE[a]) * (v / (100 + v)) for a, v in HEAVY_PER_100.items()), F.lit(0.0))
+    terms = F.array(*[F.exp(-rate) * F.pow(rate, F.lit(float(i))) / float(math.factorial(min(i, 20))) for i in range(n)])
     return F.transform(terms, lambda t: t / F.array_max(terms))
 
 

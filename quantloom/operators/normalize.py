@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import lowess, nelder_mead, smoothing_spline, spline_basis
+from quantloom.scratch import Scratch
+
+from .kernels import lowess, nelder_mead
 
 
 def sample_medians(df: DataFrame) -> DataFrame:
@@ -60,19 +62,24 @@ def vsn_search(df: DataFrame, bins: int = 20) -> float:
     return float(np.exp(best[0]))
 
 
-def lowess_curves(df: DataFrame, frac: float = 0.3, grid_points: int = 100, min_points: int = 20) -> DataFrame:
+def rt_range(df: DataFrame) -> tuple[float, float] | None:
+    lo, hi = df.agg(F.min("rt"), F.max("rt")).first()
+    return None if lo is None else (float(lo), float(hi))
+
+
+def lowess_curves(df: DataFrame, frac: float = 0.3, grid_points: int = 100, min_points: int = 20, span: tuple[float, float] | None = None) -> DataFrame:
     """(sample, i, rt, fit): each sample's curve on one common grid; null outside the sample's own range.
 
     One task per sample: a curve needs the sample's points in order. Their number
     is the number of features, not of rows of the raw data.
     """
-    lo, hi = df.agg(F.min("rt"), F.max("rt")).first()
-    if lo is None:
+    span = span or rt_range(df)
+    if span is None:
         return df.sparkSession.createDataFrame([], "sample string, i int, rt double, fit double")
-    grid = np.linspace(lo, hi, grid_points)
+    grid = np.linspace(*span, grid_points)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.dropna(subset=["rt", "x"]).sort_values("rt", kind="stable")
+        p = pdf.dropna(subset=["rt", "x"]).sort_values(["rt", "x"], kind="stable")
         fit = np.full(grid_points, np.nan)
         if len(p) >= min_points:
             x, y = p["rt"].to_numpy(float), p["x"].to_numpy(float)
@@ -87,21 +94,23 @@ def lowess_curves(df: DataFrame, frac: float = 0.3, grid_points: int = 100, min_
 
 
 def rt_lowess_normalize(df: DataFrame, frac: float = 0.3, grid_points: int = 100) -> DataFrame:
-    """x minus the sample's curve plus the median curve; outside a sample's range x stays."""
-    curves = lowess_curves(df, frac, grid_points)
-    shared = curves.groupBy("i").agg(F.median("fit").alias("all"))
-    shift = curves.join(shared, "i").select("sample", "i", (F.col("fit") - F.col("all")).alias("shift"))
-    lo, hi = df.agg(F.min("rt"), F.max("rt")).first()
-    if lo is None:
+    """x minus the sample's curve plus the median curve; outside a sample's range x stays.
+
+    The input is written once, so that what made it runs once; the curves come back
+    as one array per sample.
+    """
+    d = Scratch(df.sparkSession, "lowess").table(df, "input")
+    span = rt_range(d)
+    if span is None:
         return df
-    step = (hi - lo) / (grid_points - 1) or 1.0
-    at = (F.col("rt") - lo) / step
-    d = df.withColumn("_i", F.least(F.floor(at), F.lit(grid_points - 2)).cast("int")).withColumn("_f", at - F.col("_i"))
-    a = shift.select("sample", F.col("i").alias("_i"), F.col("shift").alias("_a"))
-    b = shift.select("sample", (F.col("i") - 1).alias("_i"), F.col("shift").alias("_b"))
-    out = d.join(a, ["sample", "_i"], "left").join(b, ["sample", "_i"], "left")
-    correction = F.coalesce(F.col("_a") * (1 - F.col("_f")) + F.col("_b") * F.col("_f"), F.lit(0.0))
-    return out.withColumn("x", F.col("x") - correction).select(*df.columns)
+    curves = lowess_curves(d, frac, grid_points, span=span)
+    shared = curves.groupBy("i").agg(F.median("fit").alias("all"))
+    shift = curves.join(shared, "i").groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("fit") - F.col("all")).alias("s")))), lambda p: p["s"]).alias("_s"))
+    step = (span[1] - span[0]) / (grid_points - 1) or 1.0
+    at = (F.col("rt") - span[0]) / step
+    i = F.least(F.floor(at), F.lit(grid_points - 2)).cast("int")
+    correction = F.coalesce(F.get("_s", i) * (1 - (at - i)) + F.get("_s", i + 1) * (at - i), F.lit(0.0))
+    return d.join(shift, "sample", "left").withColumn("x", F.col("x") - correction).select(*df.columns)
 
 
 def reference_statistics(df: DataFrame, reference: list[str]) -> DataFrame:
@@ -111,38 +120,97 @@ def reference_statistics(df: DataFrame, reference: list[str]) -> DataFrame:
     return s.withColumn("cv", F.coalesce("cv", F.lit(0.0)))
 
 
-def rt_binned_correction(df: DataFrame, stats: DataFrame, bins: int = 20) -> DataFrame:
-    """Subtract the binned median of residuals to the reference, interpolated between bin centres, flat at the ends."""
-    lo, hi = df.agg(F.min("rt"), F.max("rt")).first()
-    width = float(hi - lo) / bins or 1.0
-    at = lambda shift: F.greatest(F.least(F.floor((F.col("rt") - lo) / width + shift), F.lit(bins - 1)), F.lit(0)).cast("int")
-    r = df.join(stats.select("feature", F.col("mean").alias("_m")), "feature").withColumn("bin", at(0.0))
-    med = r.groupBy("sample", "bin").agg(F.median(F.col("x") - F.col("_m")).alias("c"))
-    # empty bins take the next one in order of distance through the sorted list of a sample's bins
-    listed = med.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("bins"))
-    pos = (F.col("rt") - lo) / width - 0.5
-    below = F.filter("bins", lambda b: b["bin"] <= F.col("_p"))
-    above = F.filter("bins", lambda b: b["bin"] > F.col("_p"))
-    out = df.join(listed, "sample", "left").withColumn("_p", pos).withColumns({"_lo": F.try_element_at(below, F.lit(-1)), "_hi": F.try_element_at(above, F.lit(1))})
-    part = (F.col("_p") - F.col("_lo.bin")) / (F.col("_hi.bin") - F.col("_lo.bin"))
-    value = F.when(F.col("_lo").isNull(), F.col("_hi.c")).when(F.col("_hi").isNull(), F.col("_lo.c")).otherwise(F.col("_lo.c") + part * (F.col("_hi.c") - F.col("_lo.c")))
-    return out.withColumn("x", F.col("x") - F.coalesce(value, F.lit(0.0))).select(*df.columns)
-
-
-def rt_spline_correction(df: DataFrame, stats: DataFrame, by: str = "batch", df_: float = 5.0, min_points: int = 10) -> DataFrame:
-    """Subtract a smoothing spline of the residuals to the reference over rt, one for each batch."""
-    r = df.join(stats.select("feature", F.col("mean").alias("_m")), "feature", "left")
-    names, schema = df.columns, df.schema
+def _reference_residuals(df: DataFrame, stats: DataFrame, reference: list[str], by: str | None) -> DataFrame:
+    """(group, rt, residual) of the reference samples: rt is the features' median among the references."""
+    r = df.where(F.col("sample").isin(reference) & F.col("x").isNotNull()).join(stats.select("feature", F.col("mean").alias("_m"), F.col("rt").alias("_rt")), "feature")
+    group = F.col(by) if by else F.lit(0)
+    return r.where("_rt IS NOT NULL AND _m IS NOT NULL").select(group.alias("group"), F.col("_rt").alias("rt"), (F.col("x") - F.col("_m")).alias("residual"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf["_m"].notna() & pdf["x"].notna() & pdf["rt"].notna()
-        if ok.sum() >= min_points and pdf.loc[ok, "rt"].nunique() >= 4:
-            knots, coef = smoothing_spline(pdf.loc[ok, "rt"].to_numpy(float), (pdf.loc[ok, "x"] - pdf.loc[ok, "_m"]).to_numpy(float), df_)
-            has = pdf["rt"].notna()
-            pdf.loc[has, "x"] = pdf.loc[has, "x"] - spline_basis(pdf.loc[has, "rt"].to_numpy(float), knots) @ coef
-        return pdf[names]
-
-    return r.groupBy(by).applyInPandas(one, schema)
+
+def _with_curve(df: DataFrame, stats: DataFrame, curves: DataFrame, by: str | None, value) -> DataFrame:
+    """x minus ``value``, an expression of _rt and the columns of ``curves`` (one row per group); rows without either keep x."""
+    d = df.join(stats.select("feature", F.col("rt").alias("_rt")), "feature", "left").withColumn("_group", F.col(by) if by else F.lit(0))
+    return d.join(curves.withColumnRenamed("group", "_group"), "_group", "left").withColumn("x", F.col("x") - F.coalesce(value, F.lit(0.0))).select(*df.columns)
+
+
+def rt_binned_correction(df: DataFrame, stats: DataFrame, reference: list[str], by: str | None = "batch", bins: int = 20) -> DataFrame:
+    """Subtract the references' binned median residual, one curve per batch (or one for all if ``by`` is None).
+
+    Bins are equal and half open over the references' own times, so the very last
+    time is in none; an empty bin counts as 0; between bin centres the curve is
+    linear, beyond the outer ones constant. Batches without references stay.
+    """
+    r = _reference_residuals(df, stats, reference, by)
+    span = r.groupBy("group").agg(F.min("rt").alias("lo"), ((F.max("rt") - F.min("rt")) / bins).alias("width")).where("width > 0")
+    binned = r.join(span, "group").withColumn("bin", F.floor((F.col("rt") - F.col("lo")) / F.col("width")).cast("int")).where(F.col("bin") < bins)
+    medians = binned.groupBy("group", "bin").agg(F.median("residual").alias("c")).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))
+    curves = span.join(medians, "group").select("group", F.col("lo").alias("_lo"), F.col("width").alias("_w"), F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("_c"))
+    at = F.greatest(F.least((F.col("_rt") - F.col("_lo")) / F.col("_w") - 0.5, F.lit(bins - 1.0)), F.lit(0.0))
+    i = F.least(F.floor(at), F.lit(bins - 2)).cast("int")
+    return _with_curve(df, stats, curves, by, F.get("_c", i) * (1 - (at - i)) + F.get("_c", i + 1) * (at - i))
+
+
+def spline_basis(t: Column, knots: list[float]) -> list[Column]:
+    return [F.lit(1.0), t, t * t, t * t * t, *[F.pow(F.greatest(t - k, F.lit(0.0)), F.lit(3.0)) for k in knots]]
+
+
+def rt_spline_correction(df: DataFrame, stats: DataFrame, reference: list[str], by: str | None = "batch", df_: int = 5, most_knots: int = 31) -> DataFrame:
+    """Subtract a cubic smoothing spline of the references' residuals over rt, one per batch (or one for all if ``by`` is None).
+
+    The smoothing rule is a residual sum of squares of at most n - ``df_``: the
+    cubic polynomial if it meets that, else a cubic spline with 1, 3, 7... knots at
+    quantiles, the first number that does. Only the sums of products of basis
+    columns leave the executors, one row per batch and try. Batches with fewer than
+    ``df_`` + 1 points or without references stay.
+    """
+    lo, hi = stats.agg(F.min("rt"), F.max("rt")).first()
+    if lo is None:
+        return df
+    t = (F.lit(2.0) * (F.col("rt") - lo) / (float(hi - lo) or 1.0) - 1).alias("t")
+    scratch = Scratch(df.sparkSession, "spline")
+    points = scratch.table(_reference_residuals(df, stats, reference, by).select("group", t, F.col("residual").alias("y")), "points")
+    kind, fits, open_, n_knots = points.schema["group"].dataType.simpleString(), {}, None, 0
+    while open_ is None or (open_ and n_knots <= most_knots):
+        rows = points if open_ is None else points.where(F.col("group").isin(list(open_)))
+        knots: list[float] = []
+        if n_knots:
+            knots = [float(k) for k in points.agg(F.percentile_approx("t", [(i + 1) / (n_knots + 1) for i in range(n_knots)], 10_000)).first()[0]]
+        basis = spline_basis(F.col("t"), knots)
+        cross = [F.sum(a * b) for i, a in enumerate(basis) for b in basis[i:]]
+        got = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.array(*[F.sum(b * F.col("y")) for b in basis]).alias("by"), F.array(*cross).alias("bb")).where(F.col("n") > df_).collect()
+        open_ = set()
+        for r in got:
+            gram = np.zeros((len(basis),) * 2)
+            gram[np.triu_indices(len(basis))] = r["bb"]
+            gram = gram + np.triu(gram, 1).T
+            right = np.array(r["by"])
+            coef = np.linalg.lstsq(gram, right, rcond=1e-13)[0]
+            fits[r["group"]] = (knots, [float(c) for c in coef])
+            if r["yy"] - 2 * coef @ right + coef @ gram @ coef > r["n"] - df_:
+                open_.add(r["group"])
+        n_knots = 2 * n_knots + 1
+    if not fits:
+        return df
+    curves = df.sparkSession.createDataFrame([(g, k, c) for g, (k, c) in fits.items()], f"group {kind}, _k array<double>, _c array<double>")
+    at = F.lit(2.0) * (F.col("_rt") - lo) / (float(hi - lo) or 1.0) - 1
+    line = F.get("_c", 0) + at * (F.get("_c", 1) + at * (F.get("_c", 2) + at * F.get("_c", 3)))
+    bends = F.aggregate(F.zip_with("_k", F.slice("_c", F.lit(5), F.greatest(F.size("_k"), F.lit(1))), lambda k, c: c * F.pow(F.greatest(at - k, F.lit(0.0)), F.lit(3.0))), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    return _with_curve(df, stats, curves, by, line + bends)
+
+
+def normalize_with_references(df: DataFrame, sample_types: tuple[str, str] = ("reference", "qc"), rt: str | None = "spline", method: str = "median", correct_batches: bool = True) -> DataFrame:
+    """The older pipeline: reference statistics, RT correction, global normalisation, batch correction that is kept only if it passes.
+
+    ``df`` has feature, sample, batch, sample_type, rt and x.
+    """
+    from .combat import corrected_or_original
+
+    names = [r[0] for r in df.where(F.col("sample_type") == sample_types[0]).select("sample").distinct().orderBy("sample").collect()]
+    if names and rt:
+        stats = reference_statistics(df, names)
+        df = {"spline": rt_spline_correction, "binned": rt_binned_correction}[rt](df, stats, names)
+    df = normalize(df, method)
+    return corrected_or_original(df) if correct_batches else df.withColumn("corrected", F.lit(False))
 
 
 def sample_outliers(df: DataFrame, multiplier: float = 1.5, fold: float = 0.1) -> DataFrame:

@@ -3,7 +3,9 @@
 lineitem is the report (part = feature, line number = transition, supplier modulo
 12 = run, extended price = area), part.p_size the retention time, part.p_brand
 the entity of a feature. Four runs form a batch: one reference, one qc, two
-experimental.
+experimental. For grouping, orders are the entities and the parts on their lines
+the features; every third order has a twin with equal features, every other third
+order a fragment with the features of its first two lines.
 """
 
 from __future__ import annotations
@@ -43,10 +45,30 @@ def values(spark: SparkSession, sf: str) -> DataFrame:
     return v.join(part, "feature").join(F.broadcast(samples(spark, sf)), "sample")  # one row per run: bounded by the cohort
 
 
-def edges(spark: SparkSession, sf: str, least_quantity: int = 49) -> DataFrame:
-    """(feature, entity): sparse part-supplier edges; their overlap makes the grouping interesting."""
-    l = table(spark, sf, "lineitem").where(F.col("l_quantity") >= least_quantity)
-    return l.select(F.col("l_partkey").alias("feature"), F.concat(F.lit("P"), F.lpad((F.col("l_suppkey")).cast("string"), 5, "0")).alias("entity")).distinct()
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """(feature, entity) of all lines: orders with their parts, twins and fragments."""
+    key = F.lpad(F.col("l_orderkey").cast("string"), 9, "0")
+    twin = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("T"), key))
+    part = F.when((F.col("l_orderkey") % 3 == 1) & (F.col("l_linenumber") <= 2), F.concat(F.lit("U"), key))
+    names = F.array_compact(F.array(F.concat(F.lit("O"), key), twin, part))
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("feature"), F.explode(names).alias("entity")).distinct()
+
+
+def exported(spark: SparkSession, sf: str) -> DataFrame:
+    """The report as an export writes it: its headers, text cells, ``#N/A`` for what was not measured.
+
+    Line 7 is the precursor ion; every 11th order has no area.
+    """
+    n, run = F.col("l_linenumber"), F.col("l_suppkey") % 12
+    ion = F.when(n == 7, "precursor").when(n % 2 == 0, F.concat(F.lit("y"), n)).otherwise(F.concat(F.lit("b"), n))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("#N/A"))
+    return table(spark, sf, "lineitem").select(
+        F.concat(F.lit("sp|Q"), F.col("l_suppkey"), F.lit("|ENO1_YEAST;P"), F.col("l_partkey") % 7).alias("Protein Accession"),
+        F.concat(F.lit("P"), F.col("l_partkey")).alias("Peptide Modified Sequence"), ion.alias("Fragment Ion"), (n % 3 + 1).cast("string").alias("Precursor Charge"),
+        F.lit("1").alias("Product Charge"), F.concat(F.lit("S"), F.lpad(run.cast("string"), 2, "0")).alias("Replicate Name"),
+        text(F.when(F.col("l_orderkey") % 11 > 0, F.col("l_extendedprice"))).alias("Area"), text(F.col("l_tax") * 100).alias("Retention Time"),
+        text(F.when(F.col("l_quantity") > 3, 1 - F.col("l_discount") * 8)).alias("Shape Correlation"), F.when(F.col("l_linestatus") == "O", "True").otherwise("False").alias("Coeluting"),
+        text(F.when(F.col("l_quantity") > 1, F.col("l_quantity") / 1000)).alias("Detection Q Value"), F.col("l_returnflag").alias("document"))
 
 
 def peaks(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,13 +86,14 @@ CTES = {
     "low": "SELECT feature, greatest(0.5 * quantile_cont(area, 0.01), 1.0) AS low FROM cells WHERE area > 0 GROUP BY feature",
     "m": "SELECT t.feature, t.transition, s.sample, log2(CASE WHEN c.area > 0 THEN c.area ELSE coalesce(l.low, 1.0) END) AS x FROM (SELECT DISTINCT feature, transition FROM cells) t CROSS JOIN (SELECT DISTINCT sample FROM cells) s LEFT JOIN cells c ON c.feature = t.feature AND c.transition = t.transition AND c.sample = s.sample LEFT JOIN low l ON l.feature = t.feature",
     "v": "SELECT r.feature, r.sample, r.x, CAST(p.p_size AS DOUBLE) AS rt, p.p_brand AS entity, s.batch, s.sample_type FROM (SELECT feature, sample, log2(greatest(sum(pow(2.0, x)), 1.0)) AS x FROM m GROUP BY ALL) r JOIN part p ON p.p_partkey = r.feature JOIN samples s ON s.sample = r.sample",
-    "edges": "SELECT DISTINCT l_partkey AS feature, concat('P', lpad(CAST(l_suppkey AS VARCHAR), 5, '0')) AS entity FROM lineitem WHERE l_quantity >= 49",
+    "edges": "SELECT DISTINCT l_partkey AS feature, unnest(list_filter([concat('O', lpad(CAST(l_orderkey AS VARCHAR), 9, '0')), CASE WHEN l_orderkey % 3 = 0 THEN concat('T', lpad(CAST(l_orderkey AS VARCHAR), 9, '0')) END, CASE WHEN l_orderkey % 3 = 1 AND l_linenumber <= 2 THEN concat('U', lpad(CAST(l_orderkey AS VARCHAR), 9, '0')) END], lambda e: e IS NOT NULL)) AS entity FROM lineitem",
+    "exported": "SELECT concat('sp|Q', l_suppkey, '|ENO1_YEAST;P', l_partkey % 7) AS accession, concat('P', l_partkey) AS feature, CASE WHEN l_linenumber = 7 THEN 'precursor' WHEN l_linenumber % 2 = 0 THEN concat('y', l_linenumber) ELSE concat('b', l_linenumber) END AS ion, l_linenumber % 3 + 1 AS charge, concat('S', lpad(CAST(l_suppkey % 12 AS VARCHAR), 2, '0')) AS replicate, CASE WHEN l_orderkey % 11 > 0 THEN l_extendedprice END AS area, l_tax * 100 AS rt, CASE WHEN l_quantity > 3 THEN 1 - l_discount * 8 END AS shape, l_linestatus = 'O' AS coeluting, CASE WHEN l_quantity > 1 THEN l_quantity / 1000 END AS q, l_returnflag AS document FROM lineitem",
     "peaks": "SELECT l_partkey AS feature, l_linenumber AS charge, round(l_extendedprice / 100, 4) AS mz, round(l_discount * 100, 4) AS start, round(round(l_discount * 100, 4) + l_quantity / 10, 4) AS stop FROM lineitem",
 }
-NEEDS = {"report": [], "cells": ["report"], "samples": ["report"], "low": ["cells"], "m": ["low"], "v": ["m", "samples"], "edges": [], "peaks": []}
+NEEDS = {"report": [], "cells": ["report"], "samples": ["report"], "low": ["cells"], "m": ["low"], "v": ["m", "samples"], "edges": [], "exported": [], "peaks": []}
 
 
-def with_ctes(sql: str, *names: str, **more: str) -> str:
+def with_ctes(sql: str, *names: str, recursive: bool = False, **more: str) -> str:
     """``sql`` after the named CTEs, what they need, and further ones given in order."""
     order: list[str] = []
 
@@ -83,4 +106,4 @@ def with_ctes(sql: str, *names: str, **more: str) -> str:
     for n in names:
         add(n)
     parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in order] + [f"{n} AS ({q})" for n, q in more.items()]
-    return f"WITH {', '.join(parts)} {sql}" if parts else sql
+    return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} {sql}" if parts else sql

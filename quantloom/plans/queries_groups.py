@@ -8,6 +8,7 @@ from quantloom.operators import combat as cb
 from quantloom.operators import joins
 from quantloom.operators import library as lib
 from quantloom.operators import parsimony as par
+from quantloom.operators import rollup as rup
 from quantloom.operators import sequence as seq
 from quantloom.runtime import table
 
@@ -62,27 +63,118 @@ def bc_combat_shrunken(spark, sf):
     return rounded(cb.combat(b.values(spark, sf), parametric=False).select("feature", "sample", "x"), digits=5)
 
 
-@query()
+#: Empirical-Bayes rounds: every cell's trajectory, the round at which its batch stops, and the state there.
+EB = dict(
+    pr="SELECT batch, avg(gamma) AS g_bar, coalesce(var_samp(gamma), 0.0) AS tau2, avg(CASE WHEN estimable THEN delta END) AS m, greatest(var_samp(CASE WHEN estimable THEN delta END), 1e-24 * pow(avg(CASE WHEN estimable THEN delta END), 2)) AS w FROM ef GROUP BY ALL",
+    e="SELECT ef.*, g_bar, tau2, CASE WHEN m > 0 AND w > 0 THEN m * m / w + 2 ELSE 1.0 END AS a, CASE WHEN m > 0 AND w > 0 THEN m * (m * m / w + 1) ELSE 1.0 END AS b FROM ef JOIN pr ON pr.batch = ef.batch",
+    it="SELECT *, 0 AS k, gamma AS g, delta AS d, CAST(1.0 AS DOUBLE) AS ch FROM e UNION ALL SELECT feature, batch, c, gamma, ss, estimable, delta, g_bar, tau2, a, b, k + 1, gn, dn, greatest(abs(gn - g) / greatest(abs(g), 1e-12), abs(dn - d) / greatest(d, 1e-12)) FROM (SELECT *, CASE WHEN estimable THEN (0.5 * (ss + c * (gamma - gn) * (gamma - gn)) + b) / (0.5 * c + a - 1) ELSE 1.0 END AS dn FROM (SELECT *, (tau2 * c * gamma + d * g_bar) / (tau2 * c + d) AS gn FROM it WHERE k < 100))",
+    stop="SELECT batch, coalesce(min(CASE WHEN ch < 1e-4 THEN k END), 100) AS k FROM (SELECT batch, k, max(ch) AS ch FROM it WHERE k > 0 GROUP BY ALL) GROUP BY ALL",
+    p="SELECT it.feature, it.batch, it.g AS gs, it.d AS ds FROM it JOIN stop ON stop.batch = it.batch AND stop.k = it.k",
+)
+ADJUSTED = "SELECT v.feature, v.sample, round(CASE WHEN p.gs IS NULL THEN v.x ELSE ((v.x - sc.grand) / sqrt(sc.var) - p.gs) / sqrt(p.ds) * sqrt(sc.var) + sc.grand END, 5) AS x FROM v LEFT JOIN sc ON sc.feature = v.feature LEFT JOIN p ON p.feature = v.feature AND p.batch = v.batch"
+
+
+@query(with_ctes(ADJUSTED, "v", recursive=True, **SCALE, **EB))
 def bc_combat(spark, sf):
-    return rounded(cb.combat(b.values(spark, sf)).select("feature", "sample", "x"))
+    """BC-08, 09, 12: the full iteration."""
+    return rounded(cb.combat(b.values(spark, sf)).select("feature", "sample", "x"), digits=5)
 
 
-@query()
+@query(with_ctes("SELECT it.feature, it.batch, stop.k AS rounds, round(it.g, 5) AS gamma_star, round(it.d, 5) AS delta_star FROM it JOIN stop ON stop.batch = it.batch AND stop.k = it.k", "v", recursive=True, **SCALE, **EB).replace("stop.k AS rounds, ", ""))
+def bc_posterior(spark, sf):
+    v = b.values(spark, sf)
+    return rounded(cb.posterior(cb.batch_effects(v, cb.standardization(v))), digits=5)
+
+
+@query(with_ctes(ADJUSTED.replace("CASE WHEN p.gs IS NULL THEN", "CASE WHEN p.gs IS NULL OR v.batch = 'B1' THEN"), "v", **SCALE, pr=EB["pr"], p="SELECT ef.feature, ef.batch, (tau2 * c * gamma + g_bar) / (tau2 * c + 1) AS gs, 1.0 AS ds FROM ef JOIN pr ON pr.batch = ef.batch"))
+def bc_mean_only(spark, sf):
+    """BC-13: locations only, batch B1 left alone."""
+    return rounded(cb.combat(b.values(spark, sf), mean_only=True, ref_batch="B1").select("feature", "sample", "x"), digits=5)
+
+
+ENTITY = dict(v="SELECT r.entity AS feature, r.sample, r.x, s.batch, s.sample_type FROM (SELECT entity, sample, log2(greatest(sum(pow(2.0, x)), 1.0)) AS x FROM v0 GROUP BY ALL) r JOIN samples s ON s.sample = r.sample")
+
+
+@query(with_ctes(ADJUSTED, "v", recursive=True, **SCALE, **EB).replace("v AS MATERIALIZED (", "v0 AS MATERIALIZED (", 1).replace(", nb AS (", f", v AS ({ENTITY['v']}), nb AS (", 1))
+def bc_entities(spark, sf):
+    """BC-18, BC-19: entity abundances corrected, by configuration."""
+    return rounded(cb.correct(_entity_values(spark, sf), {"method": "combat"}).select("feature", "sample", "x"), digits=5)
+
+
+def _entity_values(spark, sf):
+    v = b.values(spark, sf)
+    e = rup.entity_sum(v).select(F.col("entity").alias("feature"), "sample", F.col("value").alias("x"))
+    return e.join(F.broadcast(b.samples(spark, sf)), "sample")  # one row per run
+
+
+def _anchored_sql(skip: bool) -> str:
+    """Batch B0 has two references, B1 one, B2 none."""
+    eb = {k: q.replace("FROM ef", "FROM fu").replace("ef.", "fu.") if k in ("pr", "e") else q for k, q in EB.items() if k != "p"}
+    return with_ctes(
+        ADJUSTED, "v", recursive=True,
+        fl="SELECT *, (batch = 'B0' AND sample_type IN ('reference', 'qc')) OR (batch = 'B1' AND sample_type = 'reference') AS fit FROM v",
+        pol=f"SELECT batch, CASE WHEN r >= 2 THEN 'full' WHEN r = 1 THEN 'location' ELSE '{'skip' if skip else 'all'}' END AS mode, CASE WHEN r > 0 THEN r ELSE n END AS size FROM (SELECT batch, count(DISTINCT CASE WHEN fit THEN sample END) AS r, count(DISTINCT sample) AS n FROM fl GROUP BY ALL)",
+        per="SELECT fl.feature, fl.batch, mode, size, count(x) AS c, avg(x) AS m, var_pop(x) * count(x) AS ss FROM fl JOIN pol ON pol.batch = fl.batch WHERE x IS NOT NULL AND mode <> 'skip' AND (fit OR mode = 'all') GROUP BY ALL",
+        sc0="SELECT feature, sum(size / (SELECT sum(size) FROM pol WHERE mode <> 'skip') * m) AS grand, sum(CASE WHEN mode = 'full' THEN ss END) / (SELECT sum(size - 1) FROM pol WHERE mode = 'full') AS var FROM per GROUP BY feature HAVING count(*) = (SELECT count(*) FROM pol WHERE mode <> 'skip')",
+        sc1="SELECT sc0.* FROM sc0 JOIN (SELECT feature FROM v GROUP BY feature HAVING max(x) > min(x)) k ON k.feature = sc0.feature",
+        sc="SELECT feature, grand, CASE WHEN var > 0 THEN var ELSE coalesce((SELECT median(var) FROM sc1 WHERE var > 0), 1.0) END AS var FROM sc1",
+        z="SELECT per.feature, per.batch, mode, size, c, (m - grand) / sqrt(var) AS gamma, ss / var AS ss FROM per JOIN sc ON sc.feature = per.feature",
+        fu="SELECT feature, batch, c, gamma, ss, coalesce(ok, false) AS estimable, CASE WHEN ok THEN ss / (c - 1) ELSE 1.0 END AS delta FROM (SELECT *, c >= 2 AND sqrt(ss / nullif(c - 1, 0)) > 1e-12 * greatest(abs(gamma), 1.0) AS ok FROM z WHERE mode = 'full')",
+        **eb,
+        lp="SELECT batch, avg(gamma) AS g_bar, coalesce(var_samp(gamma), 0.0) AS tau2 FROM z WHERE mode <> 'full' GROUP BY ALL",
+        p=EB["p"] + " UNION ALL SELECT z.feature, z.batch, (tau2 * size * gamma + g_bar) / (tau2 * size + 1), 1.0 FROM z JOIN lp ON lp.batch = z.batch WHERE mode <> 'full'")
+
+
+def _anchored(spark, sf, policy):
+    kind, batch = F.col("sample_type"), F.col("batch")
+    fit = ((batch == "B0") & kind.isin("reference", "qc")) | ((batch == "B1") & (kind == "reference"))
+    return rounded(cb.combat_reference_anchored(b.values(spark, sf).withColumn("fit", fit), policy).select("feature", "sample", "x"), digits=5)
+
+
+@query(_anchored_sql(False))
 def bc_combat_anchored(spark, sf):
-    v = b.values(spark, sf).withColumn("fit", F.col("sample_type").isin("reference", "qc"))
-    return rounded(cb.combat_reference_anchored(v).select("feature", "sample", "x"))
+    """BC-14: full, location-only and fallback batches."""
+    return _anchored(spark, sf, "fallback")
 
 
-@query(with_ctes(
-    "SELECT round(max(CASE WHEN k = 'reference' THEN b END), 6) AS reference_x_before, round(max(CASE WHEN k = 'reference' THEN a END), 6) AS reference_x_after, round(max(CASE WHEN k = 'qc' THEN b END), 6) AS qc_x_before, round(max(CASE WHEN k = 'qc' THEN a END), 6) AS qc_x_after FROM cv", "v",
-    w="SELECT feature, sample_type, x, x - avg(x) OVER (PARTITION BY sample) AS y FROM v",
-    per="SELECT sample_type AS k, feature, stddev_samp(pow(2.0, x)) / avg(pow(2.0, x)) AS b, stddev_samp(pow(2.0, y)) / avg(pow(2.0, y)) AS a FROM w GROUP BY ALL",
-    cv="SELECT k, median(b) AS b, median(a) AS a FROM per GROUP BY ALL"))
+@query(_anchored_sql(True))
+def bc_combat_anchored_skip(spark, sf):
+    return _anchored(spark, sf, "skip")
+
+
+#: Before and after a correction of all batches by their shrunken locations and scales.
+SHRUNKEN = dict(
+    pr="SELECT batch, avg(gamma) AS gm, var_pop(gamma) AS gv, avg(delta) AS dm, var_pop(delta) AS dv FROM ef GROUP BY ALL",
+    p="SELECT ef.feature, ef.batch, gv / (gv + 1) * gamma + gm / (gv + 1) AS gs, dv / (dv + 1) * delta + dm / (dv + 1) AS ds FROM ef JOIN pr ON pr.batch = ef.batch",
+    w="SELECT v.feature, v.sample, v.batch, v.sample_type, v.x AS b, CASE WHEN p.gs IS NULL THEN v.x ELSE ((v.x - sc.grand) / sqrt(sc.var) - p.gs) / sqrt(p.ds) * sqrt(sc.var) + sc.grand END AS a FROM v LEFT JOIN sc ON sc.feature = v.feature LEFT JOIN p ON p.feature = v.feature AND p.batch = v.batch",
+    per="SELECT sample_type AS k, feature, stddev_samp(pow(2.0, b)) / avg(pow(2.0, b)) AS b, stddev_samp(pow(2.0, a)) / avg(pow(2.0, a)) AS a FROM w GROUP BY ALL",
+    cv="SELECT max(b) FILTER (k = 'reference') AS rb, max(a) FILTER (k = 'reference') AS ra, max(b) FILTER (k = 'qc') AS qb, max(a) FILTER (k = 'qc') AS qa FROM (SELECT k, median(b) AS b, median(a) AS a FROM per GROUP BY ALL)",
+    gains="SELECT *, (rb - ra) / rb AS rg, (qb - qa) / qb AS qg, (SELECT var_pop(m) FROM (SELECT avg(b) AS m FROM w GROUP BY batch)) AS vb, (SELECT var_pop(m) FROM (SELECT avg(a) AS m FROM w GROUP BY batch)) AS va FROM cv",
+    verdict="SELECT *, CASE WHEN qg > 0 THEN rg / qg END AS o, NOT coalesce(CASE WHEN qg > 0 THEN rg / qg END > 2, false) AND coalesce(qa <= 1.1 * qb, true) AS passed FROM gains",
+)
+_SHRUNKEN_SCALE = {("pc" if k == "per" else k): q.replace("FROM per ", "FROM pc ") for k, q in SCALE.items()}
+
+
+@query(with_ctes("SELECT round(rb, 6) AS reference_x_before, round(ra, 6) AS reference_x_after, round(qb, 6) AS qc_x_before, round(qa, 6) AS qc_x_after, round(vb, 6) AS batch_x_before, round(va, 6) AS batch_x_after, round(rg, 5) AS ref_gain, round(qg, 5) AS qc_gain, round(o, 4) AS overfit, passed FROM verdict", "v", **_SHRUNKEN_SCALE, **SHRUNKEN))
 def bc_evaluate(spark, sf):
-    from pyspark.sql import Window
+    """BC-16: all columns, of a real correction."""
+    v = b.values(spark, sf)
+    fixed = cb.combat(v, parametric=False).select("feature", "sample", F.col("x").alias("x_after"))
+    e = cb.evaluate(v.withColumnRenamed("x", "x_before").join(fixed, ["feature", "sample"]))
+    return rounded(e).withColumns({"ref_gain": F.round("ref_gain", 5), "qc_gain": F.round("qc_gain", 5), "overfit": F.round("overfit", 4)})
+
+
+@query(with_ctes("SELECT feature, sample, round(CASE WHEN (SELECT passed FROM verdict) THEN a ELSE b END, 5) AS x, (SELECT passed FROM verdict) AS corrected FROM w", "v", **_SHRUNKEN_SCALE, **SHRUNKEN))
+def bc_corrected_or_original(spark, sf):
+    """BC-17."""
+    return rounded(cb.corrected_or_original(b.values(spark, sf), parametric=False).select("feature", "sample", "x", "corrected"), digits=5)
 
-    v = b.values(spark, sf).withColumn("x_after", F.col("x") - F.avg("x").over(Window.partitionBy("sample"))).withColumnRenamed("x", "x_before")
-    return rounded(cb.evaluate(v).select("reference_x_before", "reference_x_after", "qc_x_before", "qc_x_after"))
+
+@query(with_ctes("SELECT batch, round(avg(x), 6) AS mean, count(*) AS n, round((SELECT var_pop(m) FROM (SELECT avg(x) AS m FROM v GROUP BY batch)), 6) AS variance FROM v GROUP BY ALL", "v"))
+def bc_batch_variance(spark, sf):
+    """AGG-09."""
+    v = b.values(spark, sf)
+    return rounded(v.groupBy("batch").agg(F.avg("x").alias("mean"), F.count("*").alias("n")).join(cb.batch_variance(v).withColumnRenamed("v", "variance"), F.lit(True)))
 
 
 RUNS = "SELECT user_id AS sample, min(ts) AS time FROM events GROUP BY ALL"
@@ -105,6 +197,26 @@ def bc_batches_by_count(spark, sf):
     return rounded(cb.batches_by_count(_runs(spark, sf), 7))
 
 
+@query(f"SELECT sample, time, CAST(greatest(least(ceil(p * 5 / greatest(n - 1, 1)), 5), 1) AS BIGINT) AS batch FROM (SELECT sample, time, row_number() OVER (ORDER BY time, sample) - 1 AS p, count(*) OVER () AS n FROM ({RUNS}))")
+def bc_batches_by_width(spark, sf):
+    """BC-24."""
+    return rounded(cb.batches_by_width(_runs(spark, sf), 5).select("sample", "time", "batch"))
+
+
+@query("SELECT DISTINCT l_suppkey AS sample, l_returnflag AS batch FROM lineitem")
+def bc_batches_by_document(spark, sf):
+    """BC-21."""
+    return cb.batches_by_document(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_returnflag").alias("source_document")))
+
+
+@query(f"WITH n AS (SELECT sample, concat('E', ntile(7) OVER (ORDER BY time, sample)) AS b FROM ({RUNS})) SELECT coalesce(CASE WHEN user_id % 5 = 0 THEN 'given' END, b) AS batch, count(*) AS n FROM events JOIN n ON n.sample = user_id GROUP BY ALL")
+def bc_apply_batches(spark, sf):
+    """BC-25: estimated batches fill the gaps of given ones."""
+    made = cb.batches_by_count(_runs(spark, sf), 7).withColumn("batch", F.concat(F.lit("E"), F.col("batch")))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("sample"), F.when(F.col("user_id") % 5 == 0, "given").alias("batch"))
+    return cb.apply_batches(rows, made).groupBy("batch").agg(F.count("*").alias("n"))
+
+
 @query(with_ctes("SELECT feature, sample, batch, sample_type, n FROM (SELECT feature, sample, batch, sample_type, count(*) AS n FROM report GROUP BY ALL)", "report"))
 def jn_sample_metadata(spark, sf):
     """JN-01: rows joined with the sample table."""
