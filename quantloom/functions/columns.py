@@ -74,6 +74,11 @@ def transition_id(ion: Column, charge: Column, product_charge: Column) -> Column
     return F.concat(ion, F.lit("_z"), charge.cast("string"), F.lit("_"), product_charge.cast("string"))
 
 
+def first_of(df: DataFrame, *candidates: str) -> Column:
+    """The first value that is not null among those candidate columns that exist."""
+    return F.coalesce(*[F.col(f"`{c}`") for c in candidates if c in df.columns], F.lit(None).cast("string"))
+
+
 def precursor_id(feature: Column, charge: Column) -> Column:
     return F.concat_ws("_", feature, charge.cast("string"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .joins import range_join
+from .ordering import numbered
 
 #: The default scheme: number of windows, first start, step, width.
 DEFAULT_SCHEME = (167, 400.4319, 3.001365, 3.001364)
@@ -15,7 +17,36 @@ def dynamic_range(df: DataFrame, key: str = "entity") -> DataFrame:
     """Mean of positive linear values, its log10 and its rank (1 is the most abundant; ties by name)."""
     v = F.when(F.col("value") > 0, F.col("value"))
     s = df.groupBy(key).agg(F.avg(v).alias("mean")).where("mean IS NOT NULL").withColumn("log10", F.log10("mean"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), key)))
+    return numbered(s, F.desc("mean"), F.col(key), name="rank")
+
+
+def sample_columns(df: DataFrame, metadata: list[str]) -> list[str]:
+    """Columns of a wide matrix that hold samples: numeric and not among the metadata names (any case)."""
+    known = {c.lower() for c in metadata}
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name.lower() not in known]
+
+
+def split_groups(value: Column) -> Column:
+    """Array of the trimmed, not blank parts of a ``;``-joined cell; empty for null or blank."""
+    parts = F.filter(F.transform(F.split(value, ";"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
+
+
+def first_group(value: Column) -> Column:
+    """The trimmed first part that is not empty; null if that is blank."""
+    return F.nullif(F.trim(F.get(F.filter(F.split(value, ";"), lambda p: p != ""), 0)), F.lit(""))
+
+
+def identities(df: DataFrame) -> DataFrame:
+    """Adds label, accession, gene and protein of a matrix row: the gene, else the accession, else the name is shown.
+
+    Of the columns leading_name, leading_protein, protein_group, leading_uniprot_id
+    and leading_gene_name those that exist are used.
+    """
+    have = lambda *cs: F.coalesce(*[first_group(F.col(c)) for c in cs if c in df.columns], F.lit(None).cast("string"))
+    name = have("leading_name", "leading_protein", "protein_group")
+    accession, gene = have("leading_uniprot_id", "leading_protein"), have("leading_gene_name")
+    return df.withColumns({"accession": accession, "gene": gene, "protein": name}).withColumn("label", F.coalesce("gene", "accession", "protein"))
 
 
 def match_lists(entries: DataFrame, lists: DataFrame) -> DataFrame:
@@ -41,9 +72,19 @@ def precursors(df: DataFrame, max_q: float | None = None) -> DataFrame:
     return d.groupBy("feature", "charge", "mz").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
-def time_bins(df: DataFrame, rt_lo: float, width: float, n_bins: int) -> DataFrame:
+def spans_to_counts(df: DataFrame, keys: list[str], rt_lo: float, width: float, n_bins: int) -> DataFrame:
+    """(keys, rt_bin, n): in how many spans [start, stop] of its key each time bin lies, where in any.
+
+    Every span is one step up and one step down; running sums per key over the bins
+    where something changes give the counts, so the work does not grow with the
+    length of spans.
+    """
     at = lambda c: F.greatest(F.least(F.floor((F.col(c) - rt_lo) / width), F.lit(n_bins - 1)), F.lit(0)).cast("int")
-    return df.withColumn("rt_bin", F.explode(F.sequence(at("start"), at("stop"))))
+    steps = df.select(*keys, F.explode(F.array(F.struct(at("start").alias("rt_bin"), F.lit(1).alias("d")), F.struct((at("stop") + 1).alias("rt_bin"), F.lit(-1).alias("d")))).alias("s"))
+    steps = steps.groupBy(*keys, F.col("s.rt_bin").alias("rt_bin")).agg(F.sum("s.d").alias("d"))
+    by = Window.partitionBy(*keys).orderBy("rt_bin")  # at most n_bins + 1 rows a key
+    runs = steps.withColumns({"n": F.sum("d").over(by), "_next": F.lead("rt_bin").over(by)}).where("n > 0")
+    return runs.withColumn("rt_bin", F.explode(F.sequence(F.col("rt_bin"), F.col("_next") - 1))).select(*keys, "rt_bin", "n")
 
 
 def grid_width(lo: float, hi: float, width: float, most: int = 4000) -> tuple[float, int]:
@@ -60,7 +101,7 @@ def uniform_density(df: DataFrame, mz_width: float = 2.0, rt_width: float = 0.1)
     mz_w, mz_n = grid_width(row[0], row[1], mz_width)
     rt_w, rt_n = grid_width(row[2], row[3], rt_width)
     mz_bin = F.greatest(F.least(F.floor((F.col("mz") - row[0]) / mz_w), F.lit(mz_n - 1)), F.lit(0)).cast("int")
-    return time_bins(df.withColumn("mz_bin", mz_bin), row[2], rt_w, rt_n).groupBy("mz_bin", "rt_bin").agg(F.count("*").alias("n"))
+    return spans_to_counts(df.withColumn("mz_bin", mz_bin), ["mz_bin"], row[2], rt_w, rt_n)
 
 
 def default_scheme(spark, n: int = DEFAULT_SCHEME[0], start: float = DEFAULT_SCHEME[1], step: float = DEFAULT_SCHEME[2], width: float = DEFAULT_SCHEME[3]) -> DataFrame:
@@ -81,10 +122,10 @@ def scheme_density(df: DataFrame, scheme: DataFrame, rt_width: float = 0.1) -> D
     if row[0] is None:
         return df.sparkSession.createDataFrame([], "window int, rt_bin int, n long")
     w, n = grid_width(row[0], row[1], rt_width)
-    c = time_bins(covering(df, scheme), row[0], w, n)
+    c = spans_to_counts(covering(df, scheme), ["window", "rt_lo", "rt_hi"], row[0], w, n)
     lo, hi = row[0] + F.col("rt_bin") * w, row[0] + (F.col("rt_bin") + 1) * w
     on = (F.col("rt_lo").isNull() | (hi > F.col("rt_lo"))) & (F.col("rt_hi").isNull() | (lo < F.col("rt_hi")))
-    return c.where(on).groupBy("window", "rt_bin").agg(F.count("*").alias("n"))
+    return c.where(on).select("window", "rt_bin", "n")
 
 
 def coverage(df: DataFrame, scheme: DataFrame) -> DataFrame:

@@ -50,12 +50,19 @@ def keyed_fallback(left: DataFrame, tables: list[tuple[DataFrame, Column | str,
     return df.select(*left.columns, F.coalesce(*[F.col(f"_v{i}") for i in range(len(tables))]).alias(value))
 
 
-def substring_join(needles: DataFrame, haystack: DataFrame, needle: str, text: str, lengths: list[int], keep: list[str]) -> DataFrame:
-    """(needle, keep..., at): every place of every needle in the texts.
+def substring_join(needles: DataFrame, haystack: DataFrame, needle: str, text: str, key: list[str]) -> DataFrame:
+    """(needle, key..., at): every place (from 1) of every needle in the texts of ``haystack``, named by ``key``.
 
-    Texts give their substrings of the lengths that needles have, which join by
-    equality; ``lengths`` is the (short) list of distinct needle lengths.
+    Texts give their pieces of the shortest needle's length only; these meet the
+    needles by their beginnings. Pieces carry the key, not the text; what met is
+    compared with the text in full.
     """
-    grid = F.flatten(F.transform(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.struct(i.alias("at"), F.substring(text, i, n).alias("piece")))).otherwise(F.array().cast("array<struct<at:int,piece:string>>"))))
-    pieces = haystack.select(*keep, F.explode(grid).alias("p")).select(*keep, F.col("p.at").alias("at"), F.col("p.piece").alias(needle))
-    return pieces.join(needles.select(needle).distinct(), needle).select(needle, *keep, "at")
+    wanted = needles.select(needle).where(F.length(needle) > 0).distinct()
+    k = wanted.agg(F.min(F.length(needle))).first()[0]
+    if k is None:
+        return haystack.select(F.lit(None).cast("string").alias(needle), *key, F.lit(0).alias("at")).limit(0)
+    places = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - (k - 1))).otherwise(F.array().cast("array<int>"))
+    pieces = haystack.select(*key, F.explode(F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(text, i, F.lit(k)).alias("piece")))).alias("p")).select(*key, "p.at", "p.piece")
+    met = pieces.join(wanted.withColumn("piece", F.substring(needle, 1, k)), "piece").drop("piece")
+    whole = F.substring(F.col(text), F.col("at"), F.length(needle)) == F.col(needle)
+    return met.join(haystack.select(*key, text), key).where(whole).select(needle, *key, "at")

@@ -51,62 +51,125 @@ def least_squares(df: DataFrame) -> DataFrame:
 
 
 def fit_matrix(observed: np.ndarray, expected: np.ndarray, method: str = "median_polish", least: int = 3, limit: float = 1.0, rounds: int = 5, trim: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scale, fraction of variance and used fragments of every sample (column) at once.
+    """Scale, R2 and used fragments of every sample (column) at once.
 
     Interference only adds, so each round drops, in each sample, the one fragment
-    that lies furthest above its prediction by more than ``limit`` times it.
+    that lies furthest above its prediction by more than ``limit`` times it, while
+    more than ``least`` are left. ``median_polish`` sees positive cells only,
+    ``least_squares`` takes missing ones as 0. R2 is about the mean of the used
+    cells, 0 where these do not vary.
     """
-    obs = np.where(np.isfinite(observed), observed, np.nan if method == "median_polish" else 0.0)
-    if method == "median_polish":
-        obs = np.where(obs > 0, obs, np.nan)
-    use = np.isfinite(obs) & (expected > 0)[:, None]
+    fitted = expected > 0
+    obs = np.where(np.isfinite(observed), observed, 0.0)
+    use = fitted[:, None] & (obs > 0) if method == "median_polish" else np.repeat(fitted[:, None], obs.shape[1], axis=1)
+    lib = np.where(fitted, expected, 1.0)[:, None]
+    columns = np.arange(obs.shape[1])
     scale = np.full(obs.shape[1], np.nan)
     for step in range(rounds + 1):
         if method == "median_polish":
-            ratio = np.where(use, np.log(np.where(use, obs, 1.0)) - np.log(np.where(expected > 0, expected, 1.0))[:, None], np.nan)
+            ratio = np.where(use, np.log(np.where(use, obs, 1.0)) - np.log(lib), np.nan)
             some = use.any(0)
+            scale = np.full(obs.shape[1], np.nan)
             scale[some] = np.exp(np.nanmedian(ratio[:, some], axis=0))
         else:
-            top, bottom = (np.where(use, obs, 0) * expected[:, None]).sum(0), (use * (expected**2)[:, None]).sum(0)
-            scale = np.where(bottom > 0, np.maximum(top / np.where(bottom > 0, bottom, 1), 0), np.nan)
+            bottom = (use * lib**2).sum(0)
+            scale = np.where(bottom > 0, np.maximum((np.where(use, obs, 0) * lib).sum(0) / np.where(bottom > 0, bottom, 1), 0), 0.0)
         if not trim or step == rounds:
             break
-        predicted = expected[:, None] * scale
+        predicted = lib * np.nan_to_num(scale)
         excess = np.where(use & (predicted > 0), (obs - predicted) / np.where(predicted > 0, predicted, 1), -np.inf)
         worst = excess.argmax(0)
-        drop = (excess[worst, np.arange(obs.shape[1])] > limit) & (use.sum(0) > least)
+        drop = (excess[worst, columns] > limit) & (use.sum(0) > least)
         if not drop.any():
             break
-        use[worst[drop], np.flatnonzero(drop)] = False
-    predicted = np.where(use, expected[:, None] * scale, 0)
-    seen = np.where(use, obs, 0)
-    rest, total = ((seen - predicted) ** 2).sum(0), (seen**2).sum(0)
-    r2 = np.where(total > 0, 1 - rest / np.where(total > 0, total, 1), np.nan)
+        use[worst[drop], columns[drop]] = False
+    n = use.sum(0)
+    mean = np.where(use, obs, 0).sum(0) / np.maximum(n, 1)
+    rest = np.where(use, (obs - lib * np.nan_to_num(scale)) ** 2, 0).sum(0)
+    total = np.where(use, (obs - mean) ** 2, 0).sum(0)
+    r2 = np.where(total > 0, 1 - rest / np.where(total > 0, total, 1), 0.0)
+    bare = (n < least) & ~((method == "least_squares") & (obs[fitted].sum(0) == 0))
+    scale, r2 = np.where(bare, np.nan, scale), np.where(bare, np.nan, r2)
     return scale, r2, use
 
 
-def library_rollup(df: DataFrame, method: str = "median_polish", least: int = 3, limit: float = 1.0, trim: bool = True) -> DataFrame:
-    """(key, sample, value, r2, n_used): log2 of scale times the library's summed intensity.
+def _matched(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The fragment x sample matrix of one precursor and the library intensity of each fragment."""
+    obs = pdf.pivot_table(index="ion", columns="sample", values="area", aggfunc="first", dropna=False)
+    return obs, pdf.groupby("ion")["expected"].first().reindex(obs.index).to_numpy(float)
+
+
+def library_rollup(df: DataFrame, method: str = "median_polish", least: int = 3, limit: float = 1.0, trim: bool = True, reliable_from: float = 0.5) -> DataFrame:
+    """(key, sample, value, r2, n_used, warning): log2 of scale times the library's summed intensity.
 
     ``df`` is (key, ion, sample, area, expected, total), with ``total`` the sum over
     the whole library spectrum. Keys with fewer matched fragments than ``least`` give
-    the log2 of their plain sum. One group is one precursor, a small matrix.
+    the log2 of their plain sum and no verdict. ``warning`` is poor_fit if R2 is
+    under ``reliable_from``, many_outliers if more than half of the fragments were
+    dropped, else null. One group is one precursor, a small matrix.
     """
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        obs = pdf.pivot_table(index="ion", columns="sample", values="area", aggfunc="first", dropna=False)
-        exp = pdf.groupby("ion")["expected"].first().reindex(obs.index).to_numpy(float)
+        obs, exp = _matched(pdf)
         matched = np.isfinite(exp) & (exp > 0)
         if matched.sum() < least:
             plain = np.nansum(np.maximum(obs.to_numpy(float), 0), axis=0)
-            return pd.DataFrame({"key": pdf["key"].iloc[0], "sample": obs.columns, "value": np.where(plain > 0, np.log2(np.maximum(plain, 1e-300)), np.nan), "r2": np.nan, "n_used": 0})
+            return pd.DataFrame({"key": pdf["key"].iloc[0], "sample": obs.columns, "value": np.where(plain > 0, np.log2(np.maximum(plain, 1e-300)), np.nan), "r2": np.nan, "n_used": 0, "warning": None})
         scale, r2, use = fit_matrix(obs.to_numpy(float)[matched], exp[matched], method, least, limit, trim=trim)
         amount = scale * float(pdf["total"].max())
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "sample": obs.columns, "value": np.where(amount > 0, np.log2(np.where(amount > 0, amount, 1)), np.nan), "r2": r2, "n_used": use.sum(0)})
+        n = use.sum(0)
+        warning = np.where(np.isnan(r2), None, np.where(r2 < reliable_from, "poor_fit", np.where(matched.sum() - n > matched.sum() // 2, "many_outliers", None)))
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "sample": obs.columns, "value": np.where(amount > 0, np.log2(np.where(amount > 0, amount, 1)), np.nan), "r2": r2, "n_used": n, "warning": warning})
 
-    out = df.select("key", "ion", "sample", "area", "expected", "total").groupBy("key").applyInPandas(one, "key string, sample string, value double, r2 double, n_used int")
+    out = df.select("key", "ion", "sample", "area", "expected", "total").groupBy("key").applyInPandas(one, "key string, sample string, value double, r2 double, n_used int, warning string")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("value", "r2")})
 
 
+def fit_trace(df: DataFrame, least: int = 2, limit: float = 1.0, rounds: int = 5) -> DataFrame:
+    """(key, sample, step, name, scale, r2, excluded): how a median fit came about.
+
+    Steps are raw, library_scaled and, if fragments were dropped, outliers_removed
+    or - where that made R2 worse, so that the first fit holds again -
+    outliers_reverted. ``excluded`` lists the dropped fragments.
+    """
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        obs, exp = _matched(pdf)
+        ok = np.isfinite(exp) & (exp > 0)
+        rows, key = [], pdf["key"].iloc[0]
+        names = obs.index[ok].to_numpy()
+        for sample in obs.columns:
+            rows.append((key, sample, 0, "raw", np.nan, np.nan, []))
+            x = obs[[sample]].to_numpy(float)[ok]
+            if ok.sum() < least or not (x > 0).any():
+                continue
+            s0, r0, u0 = fit_matrix(x, exp[ok], least=0, trim=False)
+            s1, r1, u1 = fit_matrix(x, exp[ok], least=least, limit=limit, rounds=rounds)
+            rows.append((key, sample, 1, "library_scaled", s0[0], r0[0], []))
+            gone = [str(n) for n in names[(u0 & ~u1)[:, 0]]]
+            if gone and r1[0] >= r0[0]:
+                rows.append((key, sample, 2, "outliers_removed", s1[0], r1[0], gone))
+            elif gone:
+                rows.append((key, sample, 2, "outliers_reverted", s0[0], r0[0], []))
+        return pd.DataFrame(rows, columns=["key", "sample", "step", "name", "scale", "r2", "excluded"])
+
+    out = df.select("key", "ion", "sample", "area", "expected").groupBy("key").applyInPandas(one, "key string, sample string, step int, name string, scale double, r2 double, excluded array<string>")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("scale", "r2")})
+
+
+#: Settings of the library-assisted rollup and their defaults.
+LIBRARY_DEFAULTS = {"library_path": None, "min_fragments": 3, "mz_tolerance": 0.02, "outlier_threshold": 1.0, "remove_outliers": True, "fitting_method": "median_polish"}
+
+
+def library_settings(rollup: dict) -> dict:
+    """Settings from a configuration: a nested ``library_assist`` block wins over flat ``library_*`` keys, these over ``spectral_library_*``."""
+    nested, out = rollup.get("library_assist") or {}, dict(LIBRARY_DEFAULTS)
+    for name in out:
+        bare = name.removeprefix("library_")
+        for source, key in ((rollup, f"spectral_library_{bare}"), (rollup, f"library_{bare}"), (nested, name), (nested, bare)):
+            if source.get(key) is not None:
+                out[name] = source[key]
+    return out
+
+
 def sum_charges(df: DataFrame, feature: Column) -> DataFrame:
     """Charge states fitted apart, summed on the linear scale."""
     return df.groupBy(feature.alias("feature"), "sample").agg(F.log2(F.sum(F.pow(F.lit(2.0), F.col("value")))).alias("value"))

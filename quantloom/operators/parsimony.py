@@ -3,16 +3,22 @@
 Set containment, equality and the greedy assignment are all joins and
 aggregations. The greedy choice needs no loop: an entity's rank (most unique
 features, most features, name) is fixed beforehand, so each shared feature goes to
-the best-ranked entity that holds it.
+the best-ranked entity that holds it. No step pairs all holders of a feature: a
+superset of an entity must hold the entity's rarest feature, and equal sets are
+looked at once.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.scratch import Scratch
+
+from .ordering import numbered
+
 
 def edges_from_lists(df: DataFrame, feature: str, entities: str, order: str | None = None, extras: dict[str, str] | None = None) -> DataFrame:
     """(feature, entity, extra...): one edge per entry of ``;``-separated lists; aligned lists give attributes, default NA, first wins."""
@@ -27,34 +33,55 @@ def edges_from_lists(df: DataFrame, feature: str, entities: str, order: str | No
     return rows.select("feature", "entity").distinct().join(named, "entity").select("feature", "entity", *extras)
 
 
+def _sets(edges: DataFrame) -> DataFrame:
+    """(entity, s, n, rep): the feature set of each entity and the first name that has the same."""
+    sets = edges.groupBy("entity").agg(F.array_sort(F.collect_set("feature")).alias("s"))
+    reps = sets.groupBy("s").agg(F.min("entity").alias("rep"))
+    return sets.join(reps, "s").select("entity", "s", F.size("s").alias("n"), "rep")
+
+
 def subsumed(edges: DataFrame) -> DataFrame:
-    """(entity, by): entities whose features are a strict subset of another's; ``by`` is the first such name."""
-    e = edges.select("feature", "entity").distinct()
-    n = e.groupBy("entity").agg(F.count("*").alias("n"))
-    a, b = e.join(n, "entity"), e.join(n, "entity").select("feature", F.col("entity").alias("other"), F.col("n").alias("m"))
-    shared = a.join(b, "feature").where("entity <> other AND m > n").groupBy("entity", "other", "n").agg(F.count("*").alias("both"))
-    return shared.where("both = n").groupBy("entity").agg(F.min("other").alias("by"))
+    """(entity, by): entities whose features are a strict subset of another's; ``by`` is the first such name.
+
+    Of entities with equal features only the first name is searched for; candidates
+    are the larger holders of its rarest feature, confirmed on all its features.
+    """
+    scratch = Scratch(edges.sparkSession, "subsumed")
+    sets = scratch.table(_sets(edges), "sets")
+    reps = sets.where("entity = rep").select("rep", "n", F.explode("s").alias("feature"))
+    held = scratch.table(reps.join(reps.groupBy("feature").agg(F.count("*").alias("holders")), "feature"), "held")
+    rarest = held.groupBy("rep", "n").agg(F.min_by("feature", F.struct("holders", "feature")).alias("feature"))
+    larger = held.select("feature", F.col("rep").alias("other"), F.col("n").alias("m"))
+    pairs = rarest.join(larger, "feature").where("m > n").select("rep", "n", "other")
+    both = pairs.join(held.select("rep", "feature"), "rep").join(held.select(F.col("rep").alias("other"), "feature"), ["other", "feature"])
+    found = both.groupBy("rep", "other", "n").agg(F.count("*").alias("both")).where("both = n").groupBy("rep").agg(F.min("other").alias("by"))
+    return sets.select("entity", "rep").join(found, "rep").select("entity", "by")
 
 
 def canonical(edges: DataFrame, absorbed: DataFrame | None = None) -> DataFrame:
     """(entity, leader) of the entities that are not subsumed; equal feature sets share the first name as leader."""
-    e = edges.select("feature", "entity").distinct()
-    if absorbed is not None:
-        e = e.join(absorbed.select("entity"), "entity", "left_anti")
-    sets = e.groupBy("entity").agg(F.array_sort(F.collect_set("feature")).alias("s"))
-    leaders = sets.groupBy("s").agg(F.min("entity").alias("leader"))
-    return sets.join(leaders, "s").select("entity", "leader")
+    e = edges if absorbed is None else edges.join(absorbed.select("entity"), "entity", "left_anti")
+    return _sets(e).select("entity", F.col("rep").alias("leader"))
 
 
 def roles(edges: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(feature, leader, role): every leader that holds a feature, and whether it is unique, razor (assigned) or other."""
+    """(feature, leader, role, n_holders): every leader that holds a feature, and whether it is unique, razor (assigned) or other."""
     held = edges.select("feature", "entity").distinct().join(leaders.where("entity = leader").select("entity"), "entity").withColumnRenamed("entity", "leader")
-    held = held.withColumn("n_holders", F.count("*").over(Window.partitionBy("feature")))
+    held = held.join(held.groupBy("feature").agg(F.count("*").alias("n_holders")), "feature")
     rank = held.groupBy("leader").agg(F.sum((F.col("n_holders") == 1).cast("int")).alias("n_unique"), F.count("*").alias("n_all"))
-    best = Window.partitionBy("feature").orderBy(F.desc("n_unique"), F.desc("n_all"), "leader")
-    ranked = held.join(rank, "leader").withColumn("k", F.row_number().over(best))
-    role = F.when(F.col("n_holders") == 1, "unique").when(F.col("k") == 1, "razor").otherwise("shared")
-    return ranked.select("feature", "leader", role.alias("role"), "n_holders")
+    ranked = held.join(rank, "leader")
+    best = ranked.groupBy("feature").agg(F.min_by("leader", F.struct(-F.col("n_unique"), -F.col("n_all"), "leader")).alias("_best"))
+    role = F.when(F.col("n_holders") == 1, "unique").when(F.col("leader") == F.col("_best"), "razor").otherwise("shared")
+    return ranked.join(best, "feature").select("feature", "leader", role.alias("role"), "n_holders")
+
+
+def grouping(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(absorbed, leaders, roles) of the edges, written once: most results need several of them."""
+    scratch = Scratch(edges.sparkSession, "grouping")
+    e = scratch.table(edges.select("feature", "entity").distinct(), "edges")
+    absorbed = scratch.table(subsumed(e), "absorbed")
+    leaders = scratch.table(canonical(e, absorbed), "leaders")
+    return absorbed, leaders, scratch.table(roles(e, leaders), "roles")
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -63,20 +90,19 @@ def groups(edges: DataFrame) -> DataFrame:
     Numbers run over the sorted leaders, those without unique or razor features
     included, which are dropped afterwards: gaps are expected.
     """
-    absorbed = subsumed(edges)
-    leaders = canonical(edges, absorbed)
-    r = roles(edges, leaders)
-    numbered = leaders.where("entity = leader").select("leader").withColumn("group_id", F.format_string("PG%04d", F.row_number().over(Window.orderBy("leader"))))
+    absorbed, leaders, r = grouping(edges)
+    named = numbered(leaders.where("entity = leader").select("leader"), "leader", name="_k")
+    named = named.select("leader", F.format_string("PG%04d", F.col("_k")).alias("group_id"))
     names = lambda c, cond: F.array_sort(F.collect_set(F.when(cond, F.col(c))))
-    lists = r.groupBy("leader").agg(*[names("feature", F.col("role") == k).alias(f"{k}_features") for k in ("unique", "razor")])
+    lists = r.groupBy("leader").agg(*[names("feature", F.col("role") == k).alias(f"{k}_features") for k in ("unique", "razor")], F.array_sort(F.collect_set("feature")).alias("own_features"))
     members = leaders.groupBy("leader").agg(F.array_sort(F.collect_set("entity")).alias("members"))
     under = absorbed.join(leaders.select(F.col("entity").alias("by"), "leader"), "by").select("leader", "entity")
     absorbed_lists = under.groupBy("leader").agg(F.array_sort(F.collect_set("entity")).alias("subsumed"))
     own = leaders.select("leader", "entity").union(under)
     mapped = own.join(edges.select("entity", "feature"), "entity").groupBy("leader").agg(F.array_sort(F.collect_set("feature")).alias("all_features"))
-    df = reduce(lambda x, y: x.join(y, "leader", "left"), [members, absorbed_lists, mapped, lists], numbered)
+    df = reduce(lambda x, y: x.join(y, "leader", "left"), [members, absorbed_lists, mapped, lists], named)
     empty = F.array().cast(edges.select(F.array("feature")).schema[0].dataType)
-    df = df.withColumns({"subsumed": F.coalesce("subsumed", F.array().cast("array<string>")), **{c: F.coalesce(c, empty) for c in ("unique_features", "razor_features", "all_features")}})
+    df = df.withColumns({"subsumed": F.coalesce("subsumed", F.array().cast("array<string>")), **{c: F.coalesce(c, empty) for c in ("unique_features", "razor_features", "all_features", "own_features")}})
     df = df.withColumns({"n_unique": F.size("unique_features"), "n_razor": F.size("razor_features"), "n_all": F.size("all_features")})
     return df.where("n_unique + n_razor > 0").withColumn("n_features", F.col("n_unique") + F.col("n_razor"))
 
@@ -84,39 +110,44 @@ def groups(edges: DataFrame) -> DataFrame:
 def ungrouped(edges: DataFrame) -> DataFrame:
     """Without grouping: one group for each entity."""
     g = edges.groupBy("entity").agg(F.array_sort(F.collect_set("feature")).alias("all_features"))
-    return g.withColumn("group_id", F.format_string("PG%04d", F.row_number().over(Window.orderBy("entity"))))
+    return numbered(g, "entity", name="_k").withColumn("group_id", F.format_string("PG%04d", F.col("_k"))).drop("_k")
 
 
 def group_edges(edges: DataFrame, handling: str = "all_groups") -> DataFrame:
     """(group leader, feature) used for rollup: all_groups, unique_only or razor (unique and assigned ones)."""
-    r = roles(edges, canonical(edges, subsumed(edges)))
+    r = grouping(edges)[2]
     wanted = {"all_groups": ["unique", "razor", "shared"], "unique_only": ["unique"], "razor": ["unique", "razor"]}[handling]
     return r.where(F.col("role").isin(wanted)).select("leader", "feature", "role")
 
 
+def group_matrix(values: DataFrame, edges: DataFrame, handling: str = "all_groups") -> DataFrame:
+    """(entity, feature, sample, x): a feature matrix (feature, sample, x) seen by groups; a shared feature is in each of its groups."""
+    g = group_edges(edges, handling).select("feature", F.col("leader").alias("entity"))
+    return values.select("feature", "sample", "x").join(g, "feature").select("entity", "feature", "sample", "x")
+
+
 def annotate(df: DataFrame, edges: DataFrame) -> DataFrame:
     """Add each feature's group leader and role (the group that it is unique in or assigned to)."""
-    r = roles(edges, canonical(edges, subsumed(edges))).where("role <> 'shared'").select("feature", "leader", "role")
+    r = grouping(edges)[2].where("role <> 'shared'").select("feature", "leader", "role")
     return df.join(r, "feature", "left")
 
 
 def feature_weights(edges: DataFrame, method: str = "unique_count") -> DataFrame:
     """(feature, leader, weight): a shared feature split over its groups evenly or by their unique features."""
-    r = roles(edges, canonical(edges, subsumed(edges)))
+    r = grouping(edges)[2]
     n = r.groupBy("leader").agg(F.sum((F.col("role") == "unique").cast("int")).alias("u"))
     w = r.join(n, "leader").withColumn("raw", F.col("u").cast("double") if method == "unique_count" else F.lit(1.0))
-    per = Window.partitionBy("feature")
-    total = F.sum("raw").over(per)
-    return w.withColumn("weight", F.when(total > 0, F.col("raw") / total).otherwise(1.0 / F.count("*").over(per))).select("feature", "leader", "weight")
+    total = w.groupBy("feature").agg(F.sum("raw").alias("total"))
+    return w.join(total, "feature").select("feature", "leader", F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(1.0 / F.col("n_holders")).alias("weight"))
 
 
 def feature_index(edges: DataFrame) -> DataFrame:
     """(feature, leaders): all groups of a feature, joined by semicolons in order."""
-    r = roles(edges, canonical(edges, subsumed(edges)))
+    r = grouping(edges)[2]
     return r.groupBy("feature").agg(F.concat_ws(";", F.array_sort(F.collect_set("leader"))).alias("leaders"))
 
 
-def entry_name(identifier) -> "F.Column":
+def entry_name(identifier: Column) -> Column:
     """Readable entry name of an identifier: the last part of a ``db|accession|NAME`` triple, else the first word."""
     parts = F.split(identifier, r"\|")
     return F.when(F.size(parts) >= 3, F.split(F.get(parts, 2), " ")[0]).otherwise(F.split(identifier, " ")[0])

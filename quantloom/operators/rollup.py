@@ -16,7 +16,7 @@ from .kernels import median_polish_frames
 
 def first_cells(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One area for each (feature, transition, sample): the first that is not null in ``order``, else the largest."""
-    area = F.min_by("area", F.struct(*order)) if order else F.max("area")
+    area = F.min_by("area", F.struct(*order)) if order else F.max("area")  # without an order the files' own is unknown
     return df.where(F.col("area").isNotNull()).groupBy("feature", "transition", "sample").agg(area.alias("area"))
 
 
@@ -44,6 +44,84 @@ def matrix(cells: DataFrame, samples: list[str], min_transitions: int = 1) -> Da
     return rows.select("feature", "transition", "sample", x.alias("x"))
 
 
+def shape_scores(cells: DataFrame) -> DataFrame:
+    """(feature, transition, score): median shape correlation over samples, 0 where there is none."""
+    return cells.groupBy("feature", "transition").agg(F.coalesce(F.median("shape"), F.lit(0.0)).alias("score"))
+
+
+def quality_means(cells: DataFrame, value: str, default: float = 0.5) -> DataFrame:
+    """(feature, transition, value): mean of a quality column weighted by area, over cells that have both; else ``default``."""
+    v = F.col(value).cast("double")
+    both = v.isNotNull() & ~F.isnan(v) & F.col("area").isNotNull()
+    return cells.groupBy("feature", "transition").agg(F.coalesce(F.try_divide(F.sum(F.when(both, F.col("area") * v)), F.sum(F.when(both, F.col("area")))), F.lit(default)).alias(value))
+
+
+def mean_times(cells: DataFrame) -> DataFrame:
+    """(feature, mean_rt): over all rows that have a time and are no precursor ions."""
+    return cells.where(~F.lower(F.col("transition").cast("string")).startswith("precursor")).groupBy("feature").agg(F.avg("rt").alias("mean_rt"))
+
+
+def shape_descriptors(cells: DataFrame, low: float = 0.5) -> DataFrame:
+    """(feature, transition, shape_median, shape_max, shape_low): the last is the share of samples under ``low``; unseen shapes count as 1 there."""
+    s = cells.groupBy("feature", "transition").agg(F.median("shape").alias("shape_median"), F.max("shape").alias("shape_max"), F.avg((F.coalesce("shape", F.lit(1.0)) < low).cast("double")).alias("shape_low"))
+    return s
+
+
+def residual_summary(residuals: DataFrame, key: str = "entity", row: str = "feature") -> DataFrame:
+    """(key, row, mean, sd, mad, max_abs) of each row's residuals."""
+    med = residuals.groupBy(key, row).agg(F.median("residual").alias("_m"))
+    r = residuals.join(med, [key, row])
+    return r.groupBy(key, row).agg(F.avg("residual").alias("residual_mean"), F.stddev_pop("residual").alias("residual_sd"), F.median(F.abs(F.col("residual") - F.col("_m"))).alias("residual_mad"), F.max(F.abs("residual")).alias("residual_max_abs"))
+
+
+def rollup_transitions(m: DataFrame, method: str = "median_polish", min_transitions: int = 3, cells: DataFrame | None = None, **options) -> DataFrame:
+    """(feature, sample, value, n_transitions) by name: sum, median_polish, topn, consensus, adaptive, quality_weighted.
+
+    Features with fewer transitions than ``min_transitions`` give their per-sample
+    median. ``cells`` (feature, transition, sample, area, shape...) serves the
+    methods that look at peak quality.
+    """
+    n = m.groupBy("feature").agg(F.countDistinct("transition").alias("_k"))
+    enough = m.join(n.where(F.col("_k") >= min_transitions), "feature", "left_semi")
+    if method == "sum":
+        got = rollup_sum(enough)
+    elif method == "median_polish":
+        got = rollup_median_polish(enough, **options).withColumnRenamed("n_rows", "n_transitions")
+    elif method == "topn":
+        got = rollup_topn(enough, scores=shape_scores(cells) if cells is not None and "shape" in cells.columns else None, **options)
+    elif method == "consensus":
+        got = rollup_consensus(enough, **options)
+    elif method == "adaptive":
+        d = transition_descriptors(enough)
+        if cells is not None and "shape" in cells.columns:
+            d = d.join(shape_descriptors(cells), ["feature", "transition"], "left")
+        got = rollup_weighted(enough, adaptive_weights(d, options.get("betas", {})))
+    elif method == "quality_weighted":
+        got = rollup_quality_weighted(enough, **options)
+    else:
+        raise ValueError(f"unknown rollup {method}")
+    few = m.join(n.where(F.col("_k") < min_transitions).select("feature", "_k"), "feature").groupBy("feature", "sample").agg(F.median("x").alias("value"), F.max("_k").alias("n_transitions"))
+    cols = ["feature", "sample", "value", F.col("n_transitions").cast("long").alias("n_transitions")]
+    return got.select(*cols).unionByName(few.select(*cols))
+
+
+def rollup_entities(p: DataFrame, method: str = "median_polish", min_features: int = 3, theoretical: DataFrame | None = None, n: int = 3, selection: str = "median_abundance") -> DataFrame:
+    """(entity, sample, value, n_features, low_confidence) by name, with the common rules for small groups."""
+    if method == "median_polish":
+        rolled = rollup_median_polish(p, "entity", "feature", log_count=False).select("entity", "sample", "value")
+    elif method == "ibaq":
+        if theoretical is None:
+            raise ValueError("ibaq needs the numbers of theoretical features")
+        rolled = entity_ibaq(p, theoretical)
+    elif method == "topn":
+        rolled = entity_topn(p, n, selection)
+    elif method in ("sum", "max_ratio", "direct"):
+        rolled = {"sum": entity_sum, "max_ratio": entity_max_ratio, "direct": entity_direct}[method](p)
+    else:
+        raise ValueError(f"unknown rollup {method}")
+    return entity_rules(p, rolled, min_features)
+
+
 def rollup_sum(m: DataFrame) -> DataFrame:
     """log2 of the summed linear areas, at least 1."""
     return m.groupBy("feature", "sample").agg(F.log2(F.greatest(F.sum(F.pow(F.lit(2.0), F.col("x"))), F.lit(1.0))).alias("value"), F.count("*").alias("n_transitions"))
@@ -117,7 +195,7 @@ def signal_variance(intensity: Column, shape: Column | None = None, coeluting: C
     if shape is not None:
         v = v * (1 + delta * (F.pow(1 / F.greatest(shape, F.lit(0.01)), F.lit(k)) - 1))
     if coeluting is not None:
-        v = v * F.when(coeluting, 1.0).otherwise(10.0)
+        v = v * F.when(coeluting, 1.0).otherwise(10.0)  # a boolean column
     return v
 
 
@@ -127,7 +205,11 @@ def log_variance(intensity: Column, **options) -> Column:
 
 
 def rollup_quality_weighted(m: DataFrame, max_ratio: float = 100.0, **options) -> DataFrame:
-    """Inverse-variance mean of log2 intensities; variances are capped at max_ratio times a sample's smallest."""
+    """Inverse-variance mean of log2 intensities; variances are capped at max_ratio times a sample's smallest.
+
+    Columns ``shape`` and ``coeluting`` of m, where they exist, inflate variances.
+    """
+    options = {c: F.col(c) for c in ("shape", "coeluting") if c in m.columns} | options
     cell = Window.partitionBy("feature", "sample")
     v = m.withColumn("v", log_variance(F.pow(F.lit(2.0), F.col("x")), **options))
     v = v.withColumn("v", F.least("v", max_ratio * F.min("v").over(cell)))

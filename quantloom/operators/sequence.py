@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +83,46 @@ def map_features(features: DataFrame, sequences: DataFrame, enzyme: str = "tryps
     An equi-join of pieces instead of a search of every feature in every sequence.
     """
     f = features.select("feature", for_matching(strip_modifications(F.col("feature")), leucine).alias("bare")).distinct().where("bare <> ''")
-    lengths = [r[0] for r in f.select(F.length("bare")).distinct().collect()]
-    if not lengths:
-        return f.select("feature", F.lit(None).cast("string").alias("entity")).limit(0)
     s = sequences.select("entity", F.col("sequence"), for_matching(F.col("sequence"), leucine).alias("_t"))
-    hits = substring_join(f.select("bare"), s, "bare", "_t", lengths, ["entity", "sequence"])
+    hits = substring_join(f, s, "bare", "_t", ["entity"]).join(s.select("entity", "sequence", "_t"), "entity").where(F.substring(F.col("_t"), F.col("at"), F.length("bare")) == F.col("bare"))
     start = F.col("at") - 1
     ok = terminus_ok(start, start + F.length("bare"), boundaries(F.col("sequence"), enzyme), specificity)
     return hits.where(ok).join(f, "bare").select("feature", "entity").distinct()
+
+
+def digest_maps(df: DataFrame, entity: str, sequence: str, enzyme: str = "trypsin", missed: int = 0, shortest: int = 6, longest: int = 30) -> tuple[DataFrame, DataFrame]:
+    """The digest of all sequences as (entity, peptides) and (peptide, entities), both as sorted lists."""
+    pairs = digest(df, sequence, enzyme, missed, shortest, longest).select(F.col(entity).alias("entity"), "peptide").distinct()
+    return pairs.groupBy("entity").agg(F.array_sort(F.collect_set("peptide")).alias("peptides")), pairs.groupBy("peptide").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+
+
+def detected(df: DataFrame, feature: str) -> DataFrame:
+    """Distinct features that are not null."""
+    return df.select(F.col(feature).alias("feature")).where("feature IS NOT NULL").distinct()
+
+
+def display_names(proteins: DataFrame) -> DataFrame:
+    """(entity, shown): the gene, else an entry name other than the accession, else the description's first word, else the accession."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    other = F.when(F.col("name") != F.col("entity"), blank(F.col("name")))
+    first = blank(F.split_part(F.trim(F.regexp_replace("description", r"\s+", " ")), F.lit(" "), F.lit(1)))
+    return proteins.select("entity", F.coalesce(blank(F.col("gene")), other, first, F.col("entity")).alias("shown"))
+
+
+def enzyme_from_xml(xml: str | None) -> str | None:
+    """The rule that a document's digestion settings name: cut residues, side and whether proline blocks; None if unknown."""
+    try:
+        root = ET.fromstring(xml or "")
+    except ET.ParseError:
+        return None
+    plain = lambda e: e.tag.rsplit("}", 1)[-1].lower()
+    found = next((e for e in root.iter() if plain(e) == "enzyme"), None)
+    if found is None:
+        return None
+    given = {k.lower(): v for k, v in found.attrib.items()}
+    cut = "".join(sorted({c.upper() for c in given.get("cut", "") if c.isalpha()}))
+    side = given.get("sense", "C").strip().upper()
+    if (cut, side) == ("KR", "C"):
+        return "trypsin" if "P" in given.get("no_cut", "").upper() else "trypsin/p"
+    known = {("K", "C"): "lys-c", ("K", "N"): "lys-n", ("R", "C"): "arg-c", ("D", "N"): "asp-n", ("E", "C"): "glu-c", ("FLWY", "C"): "chymotrypsin", ("FWY", "C"): "chymotrypsin"}
+    return known.get((cut, side))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators import combat as cb
@@ -217,18 +220,6 @@ def bc_apply_batches(spark, sf):
     return cb.apply_batches(rows, made).groupBy("batch").agg(F.count("*").alias("n"))
 
 
-@query(with_ctes("SELECT feature, sample, batch, sample_type, n FROM (SELECT feature, sample, batch, sample_type, count(*) AS n FROM report GROUP BY ALL)", "report"))
-def jn_sample_metadata(spark, sf):
-    """JN-01: rows joined with the sample table."""
-    r = b.report(spark, sf).groupBy("feature", "sample").agg(F.count("*").alias("n"))
-    return r.join(F.broadcast(b.samples(spark, sf)), "sample").select("feature", "sample", "batch", "sample_type", "n")
-
-
-@query("SELECT p_partkey AS feature FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)")
-def jn_unmatched(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("feature")).join(b.edges(spark, sf), "feature", "left_anti")
-
-
 @query("SELECT p.p_partkey AS feature, o.k, round(o.v, 4) AS v FROM part p LEFT JOIN LATERAL (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier s WHERE s_nationkey = p_size % 25 AND abs(s_acctbal - p_retailprice) <= 400 ORDER BY abs(s_acctbal - p_retailprice), s_acctbal LIMIT 1) o ON true")
 def jn_nearest_within(spark, sf):
     """JN-12: nearest value within a tolerance, by buckets."""
@@ -308,6 +299,46 @@ def par_annotate(spark, sf):
     return par.annotate(b.values(spark, sf).select("feature", "sample"), b.edges(spark, sf))
 
 
+@query(with_ctes("SELECT DISTINCT printf('PG%04d', row_number() OVER (ORDER BY entity)) AS group_id, entity, n FROM n", "edges", n=PAR["n"]))
+def par_ungrouped(spark, sf):
+    """PAR-09."""
+    return par.ungrouped(b.edges(spark, sf)).select("group_id", "entity", F.size("all_features").cast("long").alias("n"))
+
+
+def _handling(wanted: str) -> str:
+    return with_ctes(f"SELECT r.leader AS entity, m.sample, count(*) AS n_features, round(log2(greatest(sum(pow(2.0, m.x)), 1.0)), 6) AS value FROM (SELECT feature, sample, x FROM v) m JOIN roles r ON r.feature = m.feature WHERE r.role IN ({wanted}) GROUP BY ALL", "v", "edges", **PAR)
+
+
+def _group_sum(spark, sf, handling):
+    p = par.group_matrix(b.values(spark, sf), b.edges(spark, sf), handling)
+    return rounded(rup.entity_sum(p).join(p.groupBy("entity", "sample").agg(F.count("*").alias("n_features")), ["entity", "sample"]))
+
+
+@query(_handling("'unique', 'razor', 'shared'"))
+def par_group_sum_all(spark, sf):
+    """JN-08, RUP-29: real groups joined with the feature matrix, shared features in each of their groups."""
+    return _group_sum(spark, sf, "all_groups")
+
+
+@query(_handling("'unique'"))
+def par_group_sum_unique(spark, sf):
+    """PAR-12."""
+    return _group_sum(spark, sf, "unique_only")
+
+
+@query(_handling("'unique', 'razor'"))
+def par_group_sum_razor(spark, sf):
+    return _group_sum(spark, sf, "razor")
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN n_name ELSE split_part(concat(n_name, ' ', s_name), ' ', 1) END AS entry FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def par_entry_names(spark, sf):
+    """PAR-14: the last part of a triple, else the first word."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    ident = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("sp|"), F.col("s_suppkey"), F.lit("|"), F.col("n_name"))).otherwise(F.concat("n_name", F.lit(" "), F.col("s_name")))
+    return s.select(F.col("s_suppkey").alias("k"), par.entry_name(ident).alias("entry"))
+
+
 @query("SELECT feature, trim(u.entity) AS entity FROM (SELECT s_suppkey AS feature, unnest(string_split(concat(s_name, '; ', n_name), ';')) AS entity FROM supplier JOIN nation ON n_nationkey = s_nationkey) u GROUP BY ALL")
 def par_edges_from_lists(spark, sf):
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
@@ -321,23 +352,90 @@ def _sequences(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("entity"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
 
 
-@query(f"SELECT item_id AS entity, unnest(string_split(regexp_replace({SEQ}, '([KR])', '\\1|', 'g'), '|')) AS piece FROM benchmark")
+#: A cut after each place that matches; look-aheads are written out for SQL: (residues cut after, or None and the residue cut before; whether P blocks).
+CUTS = {"trypsin": ("KR", None, True), "trypsin/p": ("KR", None, False), "lys-c": ("K", None, True), "lys-c/p": ("K", None, False), "arg-c": ("R", None, True), "asp-n": (None, "D", False), "glu-c": ("DE", None, True), "chymotrypsin": ("FWYL", None, True), "lys-n": (None, "K", False)}
+
+
+def _pieces_sql(enzyme: str) -> str:
+    """(entity, i, start, piece) of a complete digest, by character positions."""
+    after, before, proline = CUTS[enzyme]
+    here, following = "substr(t, CAST(k AS BIGINT), 1)", "substr(t, CAST(k + 1 AS BIGINT), 1)"
+    cut = f"contains('{after}', {here})" if after else f"{following} = '{before}'"
+    cut += f" AND {following} <> 'P'" if proline else ""
+    return f"SELECT entity, i, CAST(a AS BIGINT) AS start, substr(t, CAST(a + 1 AS BIGINT), CAST(e - a AS BIGINT)) AS piece FROM (SELECT entity, t, e, lag(e, 1, 0) OVER (PARTITION BY entity ORDER BY e) AS a, row_number() OVER (PARTITION BY entity ORDER BY e) - 1 AS i FROM (SELECT item_id AS entity, {SEQ} AS t, unnest(list_append(list_filter(range(1, length({SEQ})), lambda k: {cut.replace('t,', SEQ + ',')}), length({SEQ}))) AS e FROM benchmark))"
+
+
+@query(" UNION ALL ".join(f"SELECT entity, '{e}' AS enzyme, i AS position, start, piece FROM ({_pieces_sql(e)})" for e in CUTS))
 def seq_cut(spark, sf):
-    """SEQ-02 with a rule without look-ahead, so that SQL can follow."""
+    """SEQ-01: the complete digest by every rule."""
     s = _sequences(spark, sf)
-    return s.select("entity", F.explode(F.split(F.regexp_replace("sequence", "([KR])", "$1|"), r"\|")).alias("piece"))
+    parts = []
+    for enzyme in seq.ENZYMES:
+        cut = s.select("entity", F.lit(enzyme).alias("enzyme"), seq.cut_sequence(F.col("sequence"), enzyme).alias("p"))
+        start = F.aggregate(F.slice("p", F.lit(1), F.col("position")), F.lit(0), lambda n, x: n + F.length(x))
+        parts.append(cut.select("entity", "enzyme", "p", F.posexplode("p").alias("position", "piece")).select("entity", "enzyme", "position", start.alias("start"), "piece"))
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
-@query()
+@query(f"WITH p AS ({_pieces_sql('trypsin')}) SELECT a.entity, string_agg(b.piece, '' ORDER BY b.i) AS peptide, a.start, m AS missed FROM p a, range(0, 3) t(m) JOIN p b ON b.entity = a.entity AND b.i BETWEEN a.i AND a.i + m GROUP BY a.entity, a.i, a.start, m HAVING count(*) = m + 1 AND sum(length(b.piece)) BETWEEN 6 AND 30")
 def seq_digest(spark, sf):
+    """SEQ-02: up to two missed cleavages."""
     return rounded(seq.digest(_sequences(spark, sf), "sequence", "trypsin").select("entity", "peptide", "start", "missed"))
 
 
-@query()
+@query(f"WITH p AS ({_pieces_sql('trypsin')}) SELECT entity, count(DISTINCT piece) AS n_theoretical FROM p WHERE length(piece) BETWEEN 6 AND 30 GROUP BY ALL")
 def seq_theoretical_counts(spark, sf):
     return seq.theoretical_counts(_sequences(spark, sf), "entity", "sequence")
 
 
+@query(f"WITH p AS ({_pieces_sql('glu-c')}) SELECT piece AS peptide, string_agg(DISTINCT CAST(entity AS VARCHAR), ';' ORDER BY CAST(entity AS VARCHAR)) AS entities, count(DISTINCT entity) AS n FROM p WHERE length(piece) BETWEEN 6 AND 30 GROUP BY ALL")
+def seq_digest_maps(spark, sf):
+    """SEQ-04: from peptides to entities; the other map holds the same pairs."""
+    s = _sequences(spark, sf).withColumn("entity", F.col("entity").cast("string"))
+    _, back = seq.digest_maps(s, "entity", "sequence", "glu-c")
+    return back.select("peptide", F.array_join("entities", ";").alias("entities"), F.size("entities").cast("long").alias("n"))
+
+
+@query(f"WITH p AS ({_pieces_sql('trypsin')}) SELECT item_id AS entity, list_sort(list_distinct(list_concat(CASE WHEN starts_with({SEQ}, 'M') AND length({SEQ}) > 1 THEN [0, 1] ELSE [0] END, e))) AS cuts FROM benchmark JOIN (SELECT entity, list(start + length(piece)) AS e FROM p GROUP BY ALL) q ON q.entity = item_id")
+def seq_boundaries(spark, sf):
+    """SEQ-06."""
+    return _sequences(spark, sf).select("entity", F.transform(seq.boundaries(F.col("sequence"), "trypsin"), lambda c: c.cast("long")).alias("cuts"))
+
+
+def _ends_sql(specificity: str) -> str:
+    """Where pieces of 7 letters stand, in sequences of which they are cut at allowed ends."""
+    both = {"full": "x.k IS NOT NULL AND y.k IS NOT NULL", "semi": "(x.k IS NOT NULL OR y.k IS NOT NULL)"}[specificity]
+    return f"""WITH t AS MATERIALIZED (SELECT item_id AS entity, {SEQ} AS t FROM benchmark), p AS ({_pieces_sql('trypsin')}),
+cuts AS MATERIALIZED (SELECT DISTINCT entity, k FROM (SELECT entity, start + length(piece) AS k FROM p UNION ALL SELECT entity, 0 FROM t UNION ALL SELECT entity, 1 FROM t WHERE starts_with(t, 'M') AND length(t) > 1)),
+pos AS MATERIALIZED (SELECT entity, k, substr(t, CAST(k + 1 AS BIGINT), 7) AS piece FROM t, range(0, 2000) r(k) WHERE k + 7 <= length(t)),
+f AS MATERIALIZED (SELECT DISTINCT piece AS feature, replace(piece, 'I', 'L') AS plain FROM pos WHERE k < 40)
+SELECT DISTINCT f.feature, pos.entity FROM pos JOIN f ON replace(pos.piece, 'I', 'L') = f.plain LEFT JOIN cuts x ON x.entity = pos.entity AND x.k = pos.k LEFT JOIN cuts y ON y.entity = pos.entity AND y.k = pos.k + 7 WHERE {both}"""
+
+
+def _map_ends(spark, sf, specificity):
+    s = _sequences(spark, sf)
+    f = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).where("k + 6 <= length(sequence)").select(F.expr("substring(sequence, k, 7)").alias("feature")).distinct()
+    return seq.map_features(f, s, specificity=specificity)
+
+
+@query(_ends_sql("full"))
+def seq_map_full(spark, sf):
+    """SEQ-07, SEQ-10, PAR-02: both ends at cuts."""
+    return _map_ends(spark, sf, "full")
+
+
+@query(_ends_sql("semi"))
+def seq_map_semi(spark, sf):
+    return _map_ends(spark, sf, "semi")
+
+
+@query("SELECT p_partkey AS entity, coalesce(nullif(CASE WHEN p_size > 30 THEN p_brand END, ''), CASE WHEN p_size > 20 AND p_name <> CAST(p_partkey AS VARCHAR) THEN p_name END, nullif(split_part(CASE WHEN p_size > 10 THEN p_type ELSE '' END, ' ', 1), ''), CAST(p_partkey AS VARCHAR)) AS shown FROM part")
+def seq_display_names(spark, sf):
+    """SEQ-11."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("entity"), F.when(F.col("p_size") > 30, F.col("p_brand")).alias("gene"), F.when(F.col("p_size") > 20, F.col("p_name")).otherwise(F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_size") > 10, F.col("p_type")).otherwise("").alias("description"))
+    return seq.display_names(p).select(F.col("entity").cast("long").alias("entity"), "shown")
+
+
 @query(f"SELECT item_id AS entity, k AS start, substr({SEQ}, CAST(k + 1 AS BIGINT), 6) AS peptide FROM benchmark, range(0, 1000) t(k) WHERE k <= length({SEQ}) - 6")
 def seq_nonspecific(spark, sf):
     return rounded(seq.digest_nonspecific(_sequences(spark, sf), "sequence", 6, 6).select("entity", "start", "peptide"))
@@ -357,13 +455,6 @@ def seq_map_features(spark, sf):
     return seq.map_features(f, s, specificity="none")
 
 
-@query("SELECT l, CASE WHEN regexp_matches(l, '^[abcxyz]\\d+') THEN substr(l, 1, 1) END AS kind, TRY_CAST(nullif(regexp_extract(l, '^[abcxyz](\\d+)', 1), '') AS BIGINT) AS number FROM (SELECT DISTINCT concat(CASE WHEN l_linenumber % 2 = 0 THEN 'y' ELSE 'b' END, l_linenumber, CASE WHEN l_quantity > 25 THEN '^2' ELSE '' END) AS l FROM lineitem)")
-def lib_parse_ion(spark, sf):
-    l = table(spark, sf, "lineitem").select(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "y").otherwise("b"), F.col("l_linenumber").cast("string"), F.when(F.col("l_quantity") > 25, "^2").otherwise("")).alias("l")).distinct()
-    ion = lib.parse_ion(F.col("l"))
-    return l.select("l", ion["kind"].alias("kind"), ion["number"].cast("long").alias("number"))
-
-
 def _observed(spark, sf):
     """(key, ion, sample, area, expected, total): the report against the mean profile of its features as a library."""
     c = b.cells(spark, sf).select(F.col("feature").cast("string").alias("key"), F.col("transition").cast("string").alias("ion"), "sample", "area")
@@ -380,15 +471,14 @@ def lib_least_squares(spark, sf):
     return lib.least_squares(_observed(spark, sf)).select("key", "sample", "n", F.round("scale", 6).alias("scale"), F.round("r2", 4).alias("r2"))
 
 
-@query()
-def lib_rollup(spark, sf):
-    return rounded(lib.library_rollup(_observed(spark, sf)))
+ATOMS = " + ".join(f"round_even(m / {lib.AVERAGINE['mass']} * {lib.AVERAGINE[a]}, 0) * ({v} / (100 + {v}))" for a, v in lib.HEAVY_PER_100.items())
 
 
-@query()
+@query(f"SELECT feature, round(p0 / top, 6) AS i0, round(p1 / top, 6) AS i1, round(p2 / top, 6) AS i2, round(p3 / top, 6) AS i3, round(p4 / top, 6) AS i4 FROM (SELECT *, greatest(p0, p1, p2, p3, p4) AS top FROM (SELECT feature, exp(-r) AS p0, exp(-r) * r AS p1, exp(-r) * r * r / 2 AS p2, exp(-r) * pow(r, 3) / 6 AS p3, exp(-r) * pow(r, 4) / 24 AS p4 FROM (SELECT feature, {ATOMS} AS r FROM (SELECT p_partkey AS feature, CAST(p_retailprice AS DOUBLE) AS m FROM part))))")
 def lib_isotopes(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("feature"), lib.isotope_pattern(F.col("p_retailprice"), 4).alias("p"))
-    return rounded(p.select("feature", *[F.get("p", i).alias(f"i{i}") for i in range(4)]))
+    """LIB-07."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("feature"), lib.isotope_pattern(F.col("p_retailprice")).alias("p"))
+    return rounded(p.select("feature", *[F.get("p", i).alias(f"i{i}") for i in range(5)]))
 
 
 @query(with_ctes("SELECT feature, sample, round(min(greatest(x, 0.0) / transition), 6) AS scale, count(*) AS n FROM m GROUP BY ALL", "m"))

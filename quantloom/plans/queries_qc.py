@@ -75,11 +75,6 @@ def qc_five_numbers(spark, sf):
     return rounded(qc.five_numbers(b.values(spark, sf)))
 
 
-@query()
-def qc_density_curve(spark, sf):
-    return rounded(qc.density_curve(b.values(spark, sf)))
-
-
 RT = "CAST(coalesce(least(floor((rt - (SELECT min(rt) FROM v)) / nullif(((SELECT max(rt) FROM v) - (SELECT min(rt) FROM v)) / {n}, 0)), {m}), 0) AS BIGINT)"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import columns as names
 from quantloom.operators import normalize as nrm
 from quantloom.operators import rollup as rup
+from quantloom.operators.kernels import median_polish_residuals
 from quantloom.runtime import table
 
 from . import binding as b
@@ -46,19 +47,6 @@ def src_transition_report(spark, sf):
     return r.groupBy("feature", "transition_id", "sample_id", names.replicate_of(F.col("sample_id")).alias("replicate"), "sample_type").agg(F.count("*").alias("n"), F.max("area").alias("area"))
 
 
-@query(with_ctes("SELECT DISTINCT sample FROM report", "report"))
-def src_distinct_samples(spark, sf):
-    return b.report(spark, sf).select("sample").distinct()
-
-
-@query("SELECT l_partkey AS feature, 'A' AS origin, l_extendedprice AS area FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, 'N', l_extendedprice FROM lineitem WHERE l_returnflag = 'N' UNION ALL SELECT l_partkey, 'R', l_extendedprice FROM lineitem WHERE l_returnflag = 'R'")
-def src_merge_sorted(spark, sf):
-    """SRC-06: three reports merged, range-partitioned by key and sorted inside partitions."""
-    l = table(spark, sf, "lineitem")
-    parts = [l.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("feature"), F.lit(f).alias("origin"), F.col("l_extendedprice").alias("area")) for f in "ANR"]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).repartitionByRange("feature").sortWithinPartitions("feature")
-
-
 @query(with_ctes("SELECT count(DISTINCT feature) AS features, count(DISTINCT concat(feature, '|', transition)) AS transitions, count(DISTINCT sample) AS samples, count(*) AS n FROM report", "report"))
 def agg_corpus_counts(spark, sf):
     return b.report(spark, sf).agg(F.countDistinct("feature").alias("features"), F.countDistinct(F.concat_ws("|", F.col("feature").cast("string"), F.col("transition").cast("string"))).alias("transitions"), F.countDistinct("sample").alias("samples"), F.count("*").alias("n"))
@@ -151,10 +139,29 @@ def rup_quality_weighted(spark, sf):
     return rounded(rup.rollup_quality_weighted(b.dense(spark, sf)))
 
 
-@query()
+def polish_sql(cells: str, select: str, *needs: str, sweeps: int = 20) -> str:
+    """Median polish of dense matrices, one CTE per half sweep; ``cells`` gives k, i (row), s (column), x."""
+    ctes = {"p0": f"SELECT k, i, s, x AS r, 0.0::DOUBLE AS re, 0.0::DOUBLE AS ce, 0.0::DOUBLE AS ov, false AS done FROM ({cells})"}
+    for n in range(sweeps):
+        ctes[f"h{n}"] = f"SELECT *, r - d AS r1, re + d AS re1, ce - c AS ce1, ov + c AS ov1 FROM (SELECT *, median(r) OVER (PARTITION BY k, i) AS d, median(ce) OVER (PARTITION BY k, i) AS c FROM p{n})"
+        ctes[f"q{n}"] = f"SELECT *, r1 - e AS r2, ce1 + e AS ce2, re1 - c2 AS re2, ov1 + c2 AS ov2 FROM (SELECT *, median(r1) OVER (PARTITION BY k, s) AS e, median(re1) OVER (PARTITION BY k, s) AS c2 FROM h{n})"
+        keep = ", ".join(f"CASE WHEN done THEN {c} ELSE {c}2 END AS {c}" for c in ("r", "re", "ce", "ov"))
+        ctes[f"p{n + 1}"] = f"SELECT k, i, s, {keep}, done OR max(abs(r2 - r)) OVER (PARTITION BY k) < 1e-4 AS done FROM q{n}"
+    sql = with_ctes(select.format(last=f"p{sweeps}"), *needs, **ctes)
+    return sql.replace(" AS (SELECT *, r - d", " AS MATERIALIZED (SELECT *, r - d").replace(" AS (SELECT *, r1 - e", " AS MATERIALIZED (SELECT *, r1 - e").replace(" AS (SELECT k, i, s,", " AS MATERIALIZED (SELECT k, i, s,")
+
+
+POLISHED = "SELECT k AS {{key}}, s AS sample, round(max(ov + ce){{plus}}, 5) AS value, round(max(u), 5) AS uncertainty, max(n) AS n_rows FROM (SELECT p.*, u.u, u.n FROM {last} p JOIN (SELECT k, sqrt(avg(v)) AS u, count(*) AS n FROM (SELECT k, i, var_pop(r) AS v FROM {last} GROUP BY ALL) GROUP BY ALL) u ON u.k = p.k) GROUP BY k, s"
+
+
+def _polished(key: str, plus: str) -> str:
+    return POLISHED.replace("{{key}}", key).replace("{{plus}}", plus)
+
+
+@query(polish_sql("SELECT feature AS k, transition AS i, sample AS s, x FROM m", _polished("feature", " + log2(max(n))"), "m"))
 def rup_median_polish(spark, sf):
-    """RUP-01/02; an iterative kernel, held against numpy in the tests."""
-    return rounded(rup.rollup_median_polish(b.dense(spark, sf)))
+    """RUP-01/02."""
+    return rounded(rup.rollup_median_polish(b.dense(spark, sf)), digits=5)
 
 
 def _entity(spark, sf):
@@ -210,9 +217,16 @@ def ent_rules(spark, sf):
     return rounded(rup.entity_rules(e, rup.entity_log_sum(e)))
 
 
-@query()
+@query(polish_sql("SELECT entity AS k, feature AS i, sample AS s, x FROM v", _polished("entity", ""), "v"))
 def ent_median_polish(spark, sf):
-    return rounded(rup.rollup_median_polish(_entity(spark, sf), "entity", "feature", log_count=False))
+    """RUP-21."""
+    return rounded(rup.rollup_median_polish(_entity(spark, sf), "entity", "feature", log_count=False), digits=5)
+
+
+@query(polish_sql("SELECT entity AS k, feature AS i, sample AS s, x FROM v", "SELECT k AS entity, i AS feature, s AS sample, round(r, 5) AS residual, round(re, 5) AS row_effect, round(ce, 5) AS column_effect, round(ov, 5) AS overall FROM {last}", "v"))
+def ent_residuals(spark, sf):
+    """SNK-05, RUP-32: the parts of every cell, long."""
+    return rounded(median_polish_residuals(_entity(spark, sf), "entity", "feature"), digits=5)
 
 
 @query(with_ctes(
@@ -272,15 +286,46 @@ def nrm_lowess_curves(spark, sf):
     return rounded(nrm.lowess_curves(b.values(spark, sf)))
 
 
-@query()
+def _refs(spark, sf):
+    return [r[0] for r in b.samples(spark, sf).where("sample_type = 'reference'").select("sample").orderBy("sample").collect()]
+
+
+#: Residuals of the reference samples of each batch at the features' median reference time.
+RESIDUALS = dict(
+    st="SELECT feature, avg(x) AS mean, median(rt) AS rt FROM v WHERE sample_type = 'reference' GROUP BY ALL",
+    r="SELECT v.batch, st.rt, v.x - st.mean AS y FROM v JOIN st ON st.feature = v.feature WHERE v.sample_type = 'reference'",
+)
+
+
+@query(with_ctes(
+    "SELECT feature, sample, round(x - (c.m[CAST(i + 1 AS BIGINT)] * (1 - (pos - i)) + c.m[CAST(i + 2 AS BIGINT)] * (pos - i)), 6) AS x FROM (SELECT *, least(floor(pos), 18) AS i FROM (SELECT v.feature, v.sample, v.batch, v.x, greatest(least((st.rt - s.lo) / s.w - 0.5, 19.0), 0.0) AS pos FROM v JOIN st ON st.feature = v.feature JOIN s ON s.batch = v.batch)) q JOIN c ON c.batch = q.batch", "v", **RESIDUALS,
+    s="SELECT batch, min(rt) AS lo, (max(rt) - min(rt)) / 20 AS w FROM r GROUP BY ALL",
+    bins="SELECT r.batch, CAST(floor((r.rt - s.lo) / s.w) AS BIGINT) AS k, median(y) AS m FROM r JOIN s ON s.batch = r.batch WHERE floor((r.rt - s.lo) / s.w) < 20 GROUP BY ALL",
+    c="SELECT g.batch, list(coalesce(bins.m, 0.0) ORDER BY g.k) AS m FROM (SELECT batch, t.k FROM s, range(0, 20) t(k)) g LEFT JOIN bins ON bins.batch = g.batch AND bins.k = g.k GROUP BY ALL"))
 def nrm_rt_binned(spark, sf):
+    """NRM-09."""
     v = b.values(spark, sf)
-    refs = [r[0] for r in b.samples(spark, sf).where("sample_type = 'reference'").select("sample").orderBy("sample").collect()]
-    return rounded(nrm.rt_binned_correction(v, nrm.reference_statistics(v, refs)).select("feature", "sample", "x"))
+    refs = _refs(spark, sf)
+    return rounded(nrm.rt_binned_correction(v, nrm.reference_statistics(v, refs), refs).select("feature", "sample", "x"))
 
 
-@query()
+def _cubic_sql() -> dict[str, str]:
+    """CTEs that solve each batch's normal equations of a cubic by elimination."""
+    n = range(4)
+    steps = {"g0": "SELECT batch, " + ", ".join([f"sum(pow(t, {i + j})) AS a{i}{j}" for i in n for j in n] + [f"sum(pow(t, {i}) * y) AS b{i}" for i in n]) + " FROM tt GROUP BY ALL"}
+    for p in range(3):
+        f = lambda i: f"a{i}{p} / a{p}{p}"  # noqa: E731, B023
+        cols = [f"a{i}{j} - {f(i)} * a{p}{j} AS a{i}{j}" if i > p else f"a{i}{j}" for i in n for j in n] + [f"b{i} - {f(i)} * b{p} AS b{i}" if i > p else f"b{i}" for i in n]
+        steps[f"g{p + 1}"] = f"SELECT batch, {', '.join(cols)} FROM g{p}"
+    steps["co"] = "SELECT batch, c3, c2, c1, (b0 - a01 * c1 - a02 * c2 - a03 * c3) / a00 AS c0 FROM (SELECT *, (b1 - a12 * c2 - a13 * c3) / a11 AS c1 FROM (SELECT *, (b2 - a23 * c3) / a22 AS c2 FROM (SELECT *, b3 / a33 AS c3 FROM g3)))"
+    return steps
+
+
+@query(with_ctes(
+    "SELECT feature, sample, round(x - (c0 + t * (c1 + t * (c2 + t * c3))), 5) AS x FROM (SELECT v.*, 2 * (st.rt - lo) / (hi - lo) - 1 AS t FROM v JOIN st ON st.feature = v.feature, sp) q JOIN co ON co.batch = q.batch", "v", **RESIDUALS,
+    sp="SELECT min(rt) AS lo, max(rt) AS hi FROM st", tt="SELECT batch, 2 * (rt - lo) / (hi - lo) - 1 AS t, y FROM r, sp", **_cubic_sql()))
 def nrm_rt_spline(spark, sf):
+    """NRM-08: here the cubic already meets the smoothing rule; knots are tested on made data."""
     v = b.values(spark, sf)
-    refs = [r[0] for r in b.samples(spark, sf).where("sample_type = 'reference'").select("sample").orderBy("sample").collect()]
-    return rounded(nrm.rt_spline_correction(v, nrm.reference_statistics(v, refs)).select("feature", "sample", "x"))
+    refs = _refs(spark, sf)
+    return rounded(nrm.rt_spline_correction(v, nrm.reference_statistics(v, refs), refs).select("feature", "sample", "x"), digits=5)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import csv
+import os
 import sqlite3
 import struct
 import xml.etree.ElementTree as ET
 import zlib
 
+import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,25 +57,33 @@ def decode_peaks(mz: bytes, intensity: bytes, n: int) -> tuple[list[float], list
     return list(struct.unpack(f"<{n}d", plain(mz, 8))), list(struct.unpack(f"<{n}f", plain(intensity, 4)))
 
 
-def read_library_sqlite(spark: SparkSession, path: str) -> DataFrame:
-    """(key, mz, intensity, feature, charge, rt) of a SQLite library; a local file, read in one task off the driver."""
-    def load(batches):
-        import pandas as pd
+def read_library_sqlite(spark: SparkSession, path: str, spectra_per_task: int = 20_000) -> DataFrame:
+    """(key, mz, intensity, feature, charge, rt) of a SQLite library.
 
-        for _ in batches:
-            db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-            rows = []
-            query = "SELECT r.peptideModSeq, r.precursorCharge, r.retentionTime, r.numPeaks, p.peakMZ, p.peakIntensity FROM RefSpectra r JOIN RefSpectraPeaks p ON p.RefSpectraID = r.id"
-            for seq, z, rt, n, m, i in db.execute(query):
-                for mz, value in zip(*decode_peaks(m, i, n)):
-                    rows.append((f"{seq}_{z}", mz, value, seq, z, rt))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["key", "mz", "intensity", "feature", "charge", "rt"])
-                    rows = []
-            db.close()
-            yield pd.DataFrame(rows, columns=["key", "mz", "intensity", "feature", "charge", "rt"])
+    The file is copied to the executors (``addFile``) and read by ranges of spectrum
+    ids, one range a task. ``path`` is a file that the driver can open.
+    """
+    name = os.path.basename(path)
+    spark.sparkContext.addFile(path)
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        first, last = db.execute("SELECT coalesce(min(id), 0), coalesce(max(id), -1) FROM RefSpectra").fetchone()
 
-    return spark.range(1).coalesce(1).mapInPandas(load, "key string, mz double, intensity double, feature string, charge int, rt double")
+    def load(batches):
+        db = sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro", uri=True)
+        query = "SELECT r.peptideModSeq, r.precursorCharge, r.retentionTime, r.numPeaks, p.peakMZ, p.peakIntensity FROM RefSpectra r JOIN RefSpectraPeaks p ON p.RefSpectraID = r.id WHERE r.id BETWEEN ? AND ?"
+        for pdf in batches:
+            for lo in pdf["id"]:
+                rows = []
+                for seq, z, rt, n, m, i in db.execute(query, (int(lo), int(lo) + spectra_per_task - 1)):
+                    rows += [(f"{seq}_{z}", mz, value, seq, z, rt) for mz, value in zip(*decode_peaks(m, i, n))]
+                    if len(rows) > 50_000:
+                        yield pd.DataFrame(rows, columns=["key", "mz", "intensity", "feature", "charge", "rt"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["key", "mz", "intensity", "feature", "charge", "rt"])
+        db.close()
+
+    starts = spark.range(first, last + 1, spectra_per_task, max(1, -(-(last - first + 1) // spectra_per_task)))
+    return starts.mapInPandas(load, "key string, mz double, intensity double, feature string, charge int, rt double")
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
@@ -122,3 +133,13 @@ def read_members(spark: SparkSession, path: str, name: str, priority: int) -> Da
     first = F.trim(F.regexp_replace(F.split(F.col("value"), r"[,\t]")[0], '"', ""))
     lines = spark.read.text(path).select(first.alias("member")).where("member <> '' AND member NOT LIKE '#%'").dropDuplicates(["member"])
     return lines.select(F.lit(name).alias("list"), F.lit(priority).alias("priority"), "member")
+
+
+def write_catalogue(spark: SparkSession, schemes: dict[str, tuple[str, DataFrame]], path: str) -> None:
+    """Schemes of batches, (batch, name, xml), as one small table: batch -> (scheme name, windows)."""
+    rows = [(batch, name, write_isolation_xml(windows, name)) for batch, (name, windows) in sorted(schemes.items())]
+    spark.createDataFrame(rows, "batch string, name string, xml string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_catalogue(spark: SparkSession, path: str) -> dict[str, tuple[str, DataFrame]]:
+    return {r["batch"]: (r["name"], read_isolation_xml(spark, r["xml"])) for r in spark.read.parquet(path).collect()}
