@@ -160,9 +160,10 @@ def adjust(df: DataFrame, scale: DataFrame, post: DataFrame, ref_batch: str | No
 
 
 def combat(df: DataFrame, parametric: bool = True, mean_only: bool = False, ref_batch: str | None = None) -> DataFrame:
-    """Standard correction: one pass for the sums, one for the result; what lies between is one row a feature and batch."""
-    check_batches(df)
+    """Standard correction: a pass for the sums and one for the result; what lies between is one row a feature and batch."""
     scratch = Scratch(df.sparkSession, "combat")
+    df = scratch.table(df, "input")  # what made the matrix runs once
+    check_batches(df)
     sums = scratch.table(cell_sums(df), "sums")
     scale = scratch.table(scale_of(sums), "scale")
     effects = scratch.table(effects_of(sums, scale), "effects")
@@ -216,6 +217,7 @@ def combat_reference_anchored(df: DataFrame, no_reference: str = "fallback") ->
     if no_reference not in ("fallback", "skip", "error"):
         raise ValueError(no_reference)
     scratch = Scratch(df.sparkSession, "anchored")
+    df = scratch.table(df, "input")
     refs = df.groupBy("batch").agg(F.countDistinct(F.when(F.col("fit"), F.col("sample"))).alias("n_ref"), F.countDistinct("sample").alias("n_all"))
     mode = F.when(F.col("n_ref") >= 2, "full").when(F.col("n_ref") == 1, "location").when(F.lit(no_reference == "skip"), "skip").otherwise("all")
     policy = scratch.table(refs.select("batch", "n_ref", mode.alias("mode"), F.when(F.col("n_ref") > 0, F.col("n_ref")).otherwise(F.col("n_all")).alias("size")), "policy")
@@ -299,8 +301,10 @@ def evaluate(df: DataFrame, before: str = "x_before", after: str = "x_after", re
 
 def corrected_or_original(df: DataFrame, **options) -> DataFrame:
     """Correct, evaluate, and keep the original values where the evaluation fails. Adds column ``corrected``."""
+    scratch = Scratch(df.sparkSession, "verdict")
+    df = scratch.table(df, "input")
     fixed = combat(df, **options).select("feature", "sample", F.col("x").alias("x_after"))
-    both = df.withColumnRenamed("x", "x_before").join(fixed, ["feature", "sample"])
+    both = scratch.table(df.withColumnRenamed("x", "x_before").join(fixed, ["feature", "sample"]), "both")
     verdict = evaluate(both).select("passed")
     return both.join(verdict, F.lit(True)).select(*[c for c in df.columns if c != "x"], F.when(F.col("passed"), F.col("x_after")).otherwise(F.col("x_before")).alias("x"), F.col("passed").alias("corrected"))
 

@@ -44,16 +44,20 @@ def subsumed(edges: DataFrame) -> DataFrame:
     """(entity, by): entities whose features are a strict subset of another's; ``by`` is the first such name.
 
     Of entities with equal features only the first name is searched for; candidates
-    are the larger holders of its rarest feature, confirmed on all its features.
+    are the larger holders of its rarest two features, confirmed on all its features.
     """
     scratch = Scratch(edges.sparkSession, "subsumed")
     sets = scratch.table(_sets(edges), "sets")
     reps = sets.where("entity = rep").select("rep", "n", F.explode("s").alias("feature"))
     held = scratch.table(reps.join(reps.groupBy("feature").agg(F.count("*").alias("holders")), "feature"), "held")
-    rarest = held.groupBy("rep", "n").agg(F.min_by("feature", F.struct("holders", "feature")).alias("feature"))
+    rank = F.struct("holders", "feature")
+    rarest = held.groupBy("rep", "n").agg(F.min_by("feature", rank).alias("feature"), F.min(rank).alias("least"))
+    second = held.join(rarest.select("rep", "least"), "rep").where(rank > F.col("least")).groupBy("rep").agg(F.min_by("feature", rank).alias("second"))
     larger = held.select("feature", F.col("rep").alias("other"), F.col("n").alias("m"))
-    pairs = rarest.join(larger, "feature").where("m > n").select("rep", "n", "other")
-    both = pairs.join(held.select("rep", "feature"), "rep").join(held.select(F.col("rep").alias("other"), "feature"), ["other", "feature"])
+    pairs = rarest.join(second, "rep", "left").join(larger, "feature").where("m > n").select("rep", "n", "other", F.coalesce("second", "feature").alias("second"))
+    holds = held.select(F.col("rep").alias("other"), "feature")
+    pairs = pairs.join(holds.withColumnRenamed("feature", "second"), ["other", "second"], "left_semi").drop("second")
+    both = pairs.join(held.select("rep", "feature"), "rep").join(holds, ["other", "feature"])
     found = both.groupBy("rep", "other", "n").agg(F.count("*").alias("both")).where("both = n").groupBy("rep").agg(F.min("other").alias("by"))
     return sets.select("entity", "rep").join(found, "rep").select("entity", "by")
 
