@@ -52,7 +52,7 @@ SIGNATURES: list[tuple[str, int, str, list[str]]] = [
     ("bsd-4-clause", 76, "bsd", [r"spdx licen[cs]e identifier bsd 4 clause\b", r"\bbsd 4 clause\b", r"\b4 clause bsd\b", r"original bsd licen[cs]e"]),
     ("bsd-4-clause", 76, "advertising", [r"all advertising materials mentioning features or use of this software must display the following acknowledgement"]),
     ("bsd-3-clause", 76, "bsd", [r"spdx licen[cs]e identifier bsd 3 clause\b", r"\bbsd 3 clause\b", r"\b3 clause bsd\b", r"(?:new|modified|revised) bsd licen[cs]e", r"opensource org licen[cs]es bsd 3 clause\b"]),
-    ("bsd-3-clause", 74, "neither", [r"neither the name of .{1,120}? nor the names of its contributors may be used to endorse or promote products"]),
+    ("bsd-3-clause", 74, "neither", [r"neither the name of (?:(?!neither the name of ).)+? nor the names of its contributors may be used to endorse or promote products"]),
     ("bsd-2-clause", 76, "bsd", [r"spdx licen[cs]e identifier bsd 2 clause\b", r"\bbsd 2 clause\b", r"\b2 clause bsd\b", r"(?:simplified|freebsd) bsd licen[cs]e", r"opensource org licen[cs]es bsd 2 clause\b"]),
     ("bsd", 48, "bsd", [rf"{LIC} under the bsd licen[cs]e", r"\bbsd(?: style)? licen[cs]e"]),
     ("bsd", 46, "redistribution", [r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"]),

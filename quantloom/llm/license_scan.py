@@ -55,10 +55,9 @@ class Rules:
             self.keywords.add_word(word, word)
         self.keywords.make_automaton()
 
-    def detections(self, words: str) -> list[tuple[int, int, int, str]]:
+    def detections(self, words: str, starts: list[int]) -> list[tuple[int, int, int, str]]:
         """(first word, word after the last, priority, label) of what remains after suppression."""
         present = {word for _, word in self.keywords.iter(words)}
-        starts = [0] + [m.end() for m in re.finditer(" ", words)] if words else []
         found = []
         for n, (label, priority, keyword, patterns) in enumerate(self.rules):
             if keyword in present:
@@ -88,7 +87,11 @@ def suppressed(found: list[tuple[int, int, int, int, str]]) -> list[tuple[int, i
     return sorted(kept)
 
 
-def base_places(words: str) -> list[tuple[int, str]]:
+def word_starts(words: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer(" ", words))]
+
+
+def base_places(words: str, starts: list[int]) -> list[tuple[int, str]]:
     """(first word, label) of every place of a base phrase."""
     out = []
     for phrase, label in BASE:
@@ -96,7 +99,7 @@ def base_places(words: str) -> list[tuple[int, str]]:
         while at >= 0:
             end = at + len(phrase)
             if (at == 0 or words[at - 1] == " ") and (end == len(words) or words[end] == " "):
-                out.append((words.count(" ", 0, at), label))
+                out.append((bisect_right(starts, at) - 1, label))
             at = words.find(phrase, at + 1)
     return sorted(out)
 
@@ -118,7 +121,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     base, found = [], []
                     if any(g in text for g in GATE):
                         words = text.decode()
-                        base, found = base_places(words), rules.detections(words)
+                        starts = word_starts(words)
+                        base, found = base_places(words, starts), rules.detections(words, starts)
                     labels = {label for _, label in base}
                     out["n_base"].append(len(base))
                     out["first_word"].append(base[0][0] if base else None)

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -114,6 +115,42 @@ def test_license_without_other_stems(spark):
     assert [got[i].labels for i in range(len(cases))] == list(cases.values())
 
 
+def brute_license(text):
+    """Labels and score by every pattern of every rule, without gate or keywords, and suppression by comparing all pairs."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    joined = " ".join(words)
+    order = sorted(range(len(SIGNATURES)), key=lambda i: (-SIGNATURES[i][1], i))
+    found = set()
+    for n, i in enumerate(order):
+        label, priority, _, patterns = SIGNATURES[i]
+        for pattern in patterns:
+            for m in re.finditer(pattern, joined):
+                found.add((joined.count(" ", 0, m.start()), joined.count(" ", 0, max(m.end() - 1, m.start())) + 1, priority, n, label))
+    rank = lambda d: (-d[2], d[0] - d[1], d[3], d[0])
+    kept = [d for d in found if not any(rank(o) < rank(d) and o[0] <= d[0] and d[1] <= o[1] for o in found)]
+    base = base_license(text)[4]
+    labels = {d[4] for d in kept} | set(base.split(",")) - {""}
+    return ",".join(sorted(labels)), min(1.0, max([d[2] for d in kept] + [60] * bool(base), default=0) / 90)
+
+
+def test_license_labels_by_brute_force(spark, edge, sf):
+    own = ["Redistribution and use in source and binary forms, with or without modification, are permitted", "neither the name of " + "Long Holder " * 40 + "nor the names of its contributors may be used to endorse or promote products"]
+    own += [" ".join(spelled(re._parser.parse(p))[0] for p in r[3]) for r in SIGNATURES] + [f"{a[3][0]} {b[3][-1]}".replace("\\b", "") for a, b in zip(SIGNATURES, SIGNATURES[7:])]
+    docs = edge.select("doc_id", "text").unionByName(table(spark, sf, "documents").selectExpr("doc_id + 100000 AS doc_id", "text")).unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(own)], "doc_id long, text string"))
+    got = by_id(license_scan(docs))
+    for r in docs.collect():
+        assert (got[r.doc_id].labels, got[r.doc_id].score) == brute_license(r.text), r.text
+    assert "bsd-3-clause" in got[10**6 + 1].labels
+    assert license_scan(docs.where("false")).collect() == []
+
+
+def test_license_time_grows_with_the_text(spark):
+    text = "MIT License " * 400_000
+    began = time.perf_counter()
+    (r,) = license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.n_base == 400_000 and r.last_word == 799_998 and time.perf_counter() - began < 20
+
+
 def folds(docs, by, remainder):
     return {r.doc_id: crc32(str(r.doc_id).encode()) % by == remainder for r in docs.select("doc_id").collect()}
 
