@@ -4,29 +4,33 @@ A window is ``min_words`` consecutive words of one text. A window is repeated if
 the same word sequence starts in a text with a smaller id; each word that a
 repeated window covers is removed.
 
-Levels:
-
-1. windows of ``min_words // 2`` words. Only window minimisers are taken: of the
-   half-length windows inside each full window, the one with the smallest hash.
-   Equal full windows choose the same minimiser, so none is missed, and about
-   2 in 27 positions are shuffled instead of all.
-2. minimisers that occur in two texts, and no others, are extended to the words
-   of all full windows around them. Where those are the same in a text with a
-   smaller id, all these windows are repeated, and one row says so.
-3. where the surroundings differ, one text of each kind gives its full windows
-   (twice the first length) around the minimiser, which are compared one by one.
-   No candidate is left after that: whether a longer window is repeated too does
-   not change which words go.
+Levels, each of about twice the words of the one before (13, 25, 50):
+
+1. a quarter of a window. Only window minimisers are taken: of the quarter-length
+   windows inside each full window, the one with the smallest hash. Equal full
+   windows choose the same minimiser, so none is missed, and about 2 in 40
+   positions are shuffled instead of all. Those that two texts hold go on; where
+   the words of all full windows around are the same in a text with a smaller id,
+   all these windows are repeated, and one row says so.
+2. half a window. Where the surroundings differ, one text of each kind extends its
+   minimiser to both sides; of two half windows, one at least lies inside any full
+   window that the minimiser stands for. Kinds whose half windows occur in no
+   second text end here.
+3. full windows around what is left, compared one by one. No candidate is left
+   after that: whether a longer window is repeated too does not change which words
+   go.
 
 Hot passages: smallest ids are aggregated inside map tasks before the shuffle,
 and the joins that bring them back to the places can be split by adaptive
-execution. Copies of a text stop at level 2, so a large group of copies is
+execution. Copies of a text stop at level 1, so a large group of copies is
 linear in its size.
 
 Defined results: null text is an empty text (no words, nothing removed, digest
 of the empty string). A text that repeats a window only within itself keeps it.
-Rows with equal ids count as one text that starts the window (neither is
-smaller). Texts shorter than a window are unchanged. Other columns pass through.
+Rows with one id are of one rank, whatever their texts: neither is smaller, each
+is judged by itself, and repeated rows all lose the same words. A null id is
+neither smaller nor larger than others: such a text keeps everything. Texts
+shorter than a window are unchanged. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -73,21 +77,24 @@ def minimisers(h: np.ndarray, offs: np.ndarray, k: int, full: int) -> tuple[np.n
     return chosen, dense[chosen]
 
 
-def _anchors(batches, k: int, full: int):
-    """Minimisers with their place and a hash of the words of all full windows around them."""
+def _anchors(batches, k: int, half: int, full: int):
+    """Minimisers with their place, hashes of the half windows on both sides, and of the words of all full windows around them."""
     for batch in batches:
-        ids = batch.column(0)
-        for w in slices(batch.column(1), SPACE):
+        ids, rows = batch.column(0), batch.column(1)
+        for w in slices(batch.column(2), SPACE):
             words = w.hashes()
             pos, h = minimisers(words, w.offs, k, full)
             if not len(pos):
                 continue
             text = np.searchsorted(w.offs, pos, "right") - 1
-            lo = np.maximum(pos - (full - k), w.offs[text])
-            around = range_hashes(words, lo, np.minimum(pos + full, w.offs[text + 1]))
-            around = mix(around ^ (pos - lo).astype(np.uint64))
-            arrays = [pa.array(h.view(np.int64)), ids.take(pa.array(text + w.first)), pa.array((pos - w.offs[text]).astype(np.int32)), pa.array(around.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "id", "pos", "around"])
+            first, last = w.offs[text], w.offs[text + 1]
+            lo = np.maximum(pos - (full - k), first)
+            around = mix(range_hashes(words, lo, np.minimum(pos + full, last)) ^ (pos - lo).astype(np.uint64))
+            ahead = pa.array(range_hashes(words, pos, np.minimum(pos + half, last)).view(np.int64), mask=pos + half > last)
+            behind = pa.array(range_hashes(words, np.maximum(pos - (half - k), first), pos + k).view(np.int64), mask=pos - (half - k) < first)
+            at = pa.array(text + w.first)
+            arrays = [pa.array(h.view(np.int64)), ids.take(at), rows.take(at), pa.array((pos - first).astype(np.int32)), pa.array(around.view(np.int64)), ahead, behind]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "id", "t", "pos", "around", "ahead", "behind"])
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +103,10 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _doubled(batches, k: int, full: int):
-    """Hashes of the full windows around each given half-length window."""
+    """Hashes of the full windows around each given minimiser of a text."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        at, at_offs = _flat(batch.column(2))
+        ids, rows, texts = batch.column(0), batch.column(1), batch.column(2)
+        at, at_offs = _flat(batch.column(3))
         for w in slices(texts, SPACE):
             h = w.hashes()
             near = np.zeros(len(h) + 1, np.int64)
@@ -113,7 +120,8 @@ def _doubled(batches, k: int, full: int):
             text = np.searchsorted(w.offs, pos, "right") - 1
             for lo in range(0, len(pos), 1 << 17):
                 cut = slice(lo, lo + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(out[cut].view(np.int64)), ids.take(pa.array(text[cut] + w.first)), pa.array((pos[cut] - w.offs[text[cut]]).astype(np.int32))], ["h", "id", "pos"])
+                of = pa.array(text[cut] + w.first)
+                yield pa.RecordBatch.from_arrays([pa.array(out[cut].view(np.int64)), ids.take(of), rows.take(of), pa.array((pos[cut] - w.offs[text[cut]]).astype(np.int32))], ["h", "id", "t", "pos"])
 
 
 def _cleaned(batches, with_text: bool):
@@ -143,31 +151,37 @@ def _cleaned(batches, with_text: bool):
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, text, first, last, and as _c0.. the carried columns): each text with the word ranges that its repeated windows cover; null where none."""
-    k, full = min_words // 2, min_words
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    half, full = min_words // 2, min_words
+    k = (half + 1) // 2
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))  # t tells apart texts of one id
     id_type = texts.schema["id"].dataType.simpleString()
-    anchors = scratch.table(texts.mapInArrow(lambda b: _anchors(b, k, full), f"h long, id {id_type}, pos int, around long"), "anchors")
+    row = f"h long, id {id_type}, t long, pos int"
+    anchors = scratch.table(texts.where("id IS NOT NULL").mapInArrow(lambda b: _anchors(b, k, half, full), f"{row}, around long, ahead long, behind long"), "anchors")
     # level 1: minimisers of two texts
     ids = anchors.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), (F.min("around") == F.max("around")).alias("same"))
     ids = scratch.table(ids.where("least < most").drop("most"), "repeated")  # written, so that both sides of the join are plain shuffles, which AQE can split
     found = scratch.table(anchors.join(ids, "h"), "found")
-    scratch.drop(anchors)
-    # level 2: their surroundings
+    scratch.drop(anchors, ids)
     span = (F.greatest(F.col("pos") - (full - k), F.lit(0)).alias("first"), (F.col("pos") + full).alias("last"))
     mixed = found.where("not same").drop("least", "same")
     kinds = scratch.table(mixed.groupBy("h", "around").agg(F.min("id").alias("least")), "kinds")
     mixed = scratch.table(mixed.join(kinds, ["h", "around"]), "mixed")
-    gone = found.where("same").unionByName(mixed, allowMissingColumns=True).where("least < id").select("id", *span)
-    # level 3: full windows where they differ
-    at = mixed.where("least = id").groupBy("id").agg(F.collect_set("pos").alias("at"))
-    wide = scratch.table(texts.join(at, "id").mapInArrow(lambda b: _doubled(b, k, full), f"h long, id {id_type}, pos int"), "wide")
+    gone = found.where("same").select("id", "t", "pos", "least").unionByName(mixed.select("id", "t", "pos", "least")).where("least < id").select("id", "t", *span)
+    # level 2: half windows of one text of each kind
+    sides = mixed.where("least = id").select("h", "id", "t", "pos", F.explode(F.array_compact(F.array("ahead", "behind"))).alias("w"))
+    sides = scratch.table(sides, "sides")
+    shared = sides.groupBy("h", "w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "w")
+    at = sides.join(scratch.table(shared, "halves"), ["h", "w"]).groupBy("id", "t").agg(F.collect_set("pos").alias("at"))
+    # level 3: full windows around them
+    wide = scratch.table(texts.join(at, ["id", "t"]).select("id", "t", "text", "at").mapInArrow(lambda b: _doubled(b, k, full), row), "wide")
     ids = wide.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     ids = scratch.table(ids, "repeated")
-    single = wide.join(ids, "h").where("least < id").select("id", F.col("pos").alias("first"), (F.col("pos") + full).alias("last"))
-    ranges = gone.union(single).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("r"))
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    ranges = ranges.select("id", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
-    return whole.join(ranges, "id", "left").select("id", "text", "first", "last", *whole.columns[2:])
+    single = wide.join(ids, "h").where("least < id").select("id", "t", F.col("pos").alias("first"), (F.col("pos") + full).alias("last"))
+    ranges = gone.union(single).groupBy("id", "t").agg(F.collect_list(F.struct("first", "last")).alias("r"))
+    ranges = scratch.keep(ranges.select("id", "t", F.col("r.first").alias("first"), F.col("r.last").alias("last")), "ranges")
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    return whole.join(ranges, ["id", "t"], "left").select("id", "text", "first", "last", *whole.columns[3:])
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -176,8 +190,8 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
     A text that loses nothing keeps its spacing; one that loses words is its kept
     words joined by one space. ``kept_sha256`` is always of the joined words.
     """
-    if min_words < 2 or min_words % 2:
-        raise ValueError("min_words must be even: the first level is half of it")
+    if min_words < 4 or min_words % 2:
+        raise ValueError("min_words must be even and 4 at least: it is halved twice")
     places = repeated_ranges(docs, Scratch(docs.sparkSession, "substring"), min_words, id_col, text_col, carry)
     made = [("id", docs.schema[id_col].dataType), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
     made += [("text", T.StringType())] * with_text

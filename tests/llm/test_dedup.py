@@ -75,6 +75,36 @@ def test_substring_edge(edge, size):
     same(substring_dedup(edge, min_words=size), from_sql(sql.substring_dedup(size), documents=edge))
 
 
+def brute_substring(rows, size):
+    """(id, words left) of each row: windows are compared one by one, rows of equal rank never with each other."""
+    words = [(i, (t or "").split()) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for a in range(len(w) - size + 1):
+            key = tuple(w[a : a + size])
+            if i is not None and (key not in first or i < first[key]):
+                first[key] = i
+    out = []
+    for i, w in words:
+        gone = {p for a in range(len(w) - size + 1) if i is not None and first[tuple(w[a : a + size])] < i for p in range(a, a + size)}
+        out.append((i, " ".join(x for p, x in enumerate(w) if p not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_substring_rows_of_one_id_and_partial_overlaps(spark):
+    """Repeated ids with equal and different texts, null ids, ids that are text, and overlaps longer than half a window but not a whole one."""
+    from fixtures import prose
+
+    p = prose(70, 80).split(" ")
+    rows = [(5, prose(71, 30) + " " + " ".join(p)), (5, " ".join(p[20:]) + " " + prose(72, 10)), (5, " ".join(p[20:]) + " " + prose(72, 10)), (3, " ".join(p[:60])), (None, " ".join(p)), (None, " ".join(p)), (5, None), (5, "")]
+    for n in (13, 24, 25, 26, 37, 49, 50, 51):  # parts of one passage, in front of, behind and between other words
+        rows += [(100 + n, prose(n, 9) + " " + " ".join(p[:n])), (200 + n, " ".join(p[-n:]) + " " + prose(90 + n, 9)), (300 + n, prose(190 + n, 60) + " " + " ".join(p[10 : 10 + n]) + " " + prose(290 + n, 60))]
+    for kind, cast in (("long", lambda i: i), ("string", lambda i: None if i is None else f"{i:05d}")):
+        made = [(cast(i), t) for i, t in rows]
+        out = substring_dedup(spark.createDataFrame(made, f"doc_id {kind}, text string"), with_text=True)
+        assert sorted(((r.doc_id, " ".join((r.text or "").split())) for r in out.collect()), key=repr) == brute_substring(made, 50)
+
+
 def test_substring_keeps_text_and_columns(edge):
     out = substring_dedup(edge, with_text=True, carry=("first", "id", "text_a"))
     assert {(r["first"], r["id"], r["text_a"]) for r in out.collect()} == {(1, "clash", "clash")}
