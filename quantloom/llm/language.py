@@ -3,9 +3,11 @@
 Each language has a zstandard raw-content dictionary: whole training texts of
 that language, one after another. A text - its letters in lower case, everything
 else one space - is compressed once with every dictionary, and the language with
-the smallest result wins. The texts of a
-dictionary are chosen by hash, one for each of ``slots`` slots of a language
-(an aggregation with bounded state), until ``dict_bytes`` are reached.
+the smallest result wins. The texts of a dictionary are chosen by hash, one for
+each of ``slots`` slots of a language (an aggregation with bounded state), until
+``dict_bytes`` are reached; a slot prefers texts of at most ``short`` characters,
+so that a dictionary holds many texts, and takes a longer one where it has no
+other, so that a language of long texts alone is learned too.
 
 The score is the winner's share of the likelihoods 2**(-8 * size) of all
 languages, tempered by ``temper``. A text is rejected (``rejected`` is true, the
@@ -14,8 +16,10 @@ winner's size.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so
 is every text if nothing can be learned. Equal sizes go to the language with most
-training documents, then the first in code-point order. Null languages are not learned. Texts of any length
-are compressed whole. Other columns pass through nowhere and never matter.
+training documents, then the first in code-point order. Null languages are not learned, nor are texts without
+letters. Texts of any length are compressed whole. Repeated rows each get their
+result, and count as often among the training documents. Other columns pass
+through nowhere and never matter.
 """
 
 from __future__ import annotations
@@ -36,11 +40,12 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def dictionaries(docs: DataFrame, slots: int = 96, dict_bytes: int = 96 << 10, max_chars: int = 8000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """Raw dictionary content of each language, most frequent first. Whole texts of up to ``max_chars`` characters are candidates."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.length(text_col).between(1, max_chars))
+def dictionaries(docs: DataFrame, slots: int = 96, dict_bytes: int = 96 << 10, short: int = 8000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
+    """Raw dictionary content of each language, most frequent first."""
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rank = F.xxhash64(F.col(id_col), F.lit("language"))
-    cells = usable.groupBy(F.col(lang_col).alias("lang"), F.pmod(rank, F.lit(slots)).alias("slot")).agg(F.min_by(text_col, F.struct(rank, F.col(text_col))).alias("text"))
+    order = F.struct((F.length(text_col) > short).alias("long"), F.when(F.length(text_col) > short, F.length(text_col)).alias("length"), rank.alias("rank"), F.xxhash64(text_col).alias("same"))
+    cells = usable.groupBy(F.col(lang_col).alias("lang"), F.pmod(rank, F.lit(slots)).alias("slot")).agg(F.min_by(text_col, order).alias("text"))
     out: dict[str, list[bytes]] = {}
     for r in cells.orderBy("lang", "slot").toLocalIterator():
         have = out.setdefault(r["lang"], [])

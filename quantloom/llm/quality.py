@@ -1,19 +1,19 @@
 """Quality rules: text statistics with fixed limits, and a calibrated linear model.
 
-Model. Words (as they are) and byte trigrams are hashed to 2048 buckets each; a
-text's features are the buckets' shares of its words and trigrams. A logistic
-regression is fitted on labelled quality rows: at most ``max_rows`` of each
-label, chosen by a hash of their ids, so that the driver holds a bounded matrix.
-Two thirds fit the weights, one third the calibration (Platt), weighted to the
-labelled table's class sizes. Texts are scored in Arrow batches; a text is kept
-if no rule fails and its calibrated probability of label 1 reaches the fixed
-threshold.
+Model. Words (as they are) and trigrams of characters (code points) are hashed to
+2048 buckets each; a text's features are the buckets' shares of its words and
+trigrams. A logistic regression is fitted on labelled quality rows: at most
+``max_rows`` ids of each label, chosen by hash (``sampling``), so that the driver
+holds a bounded matrix. Two thirds fit the weights, one third the
+calibration (Platt), weighted to the labelled table's class sizes. Texts are
+scored in Arrow batches; a text is kept if no rule fails and its calibrated
+probability of label 1 reaches the fixed threshold.
 
 Defined results: null and empty texts have no words and fail the base rule.
 Without both labels the model's probability is 1, so the rules alone decide. A
 line counts as a duplicate if it has a word and equals an earlier line, spaces
-included. Labels that are null or of unknown ids are ignored. Other columns never
-enter a score.
+included. Labels that are null or of unknown ids are ignored; both labels of one id
+are two training rows, repeated ones one. Repeated rows each get their result. Other columns never enter a score.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import labelled_texts
 from .words import _BASE, _BYTES, Words, _ranges, mix, slices, windows
 
 WORD_BITS = CHAR_BITS = 11
@@ -95,12 +96,16 @@ def _repeated_words(w: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def buckets(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, bucket of each byte trigram, and where each text's trigrams begin and end."""
+    """Bucket of each word, bucket of each character trigram, and where each text's trigrams begin and end."""
     words = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    d = w.data.astype(np.uint32)
-    grams = ((d[:-2] | d[1:-1] << 8 | d[2:] << 16) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS) if len(d) > 2 else np.zeros(0, np.uint32)
-    first = np.minimum(w.text_offs[:-1], len(grams))
-    last = np.clip(w.text_offs[1:] - 2, first, len(grams))
+    code = np.frombuffer(w.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    chars = np.zeros(len(w.data) + 1, np.int64)
+    np.cumsum((w.data & 0xC0) != 0x80, out=chars[1:])
+    offs = chars[w.text_offs]
+    key = code[:-2] * np.uint32(0x85EBCA6B) + code[1:-1] * np.uint32(0xC2B2AE35) + code[2:] * np.uint32(0x27D4EB2F) if len(code) > 2 else np.zeros(0, np.uint32)
+    grams = (key ^ key >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(32 - CHAR_BITS)
+    first = np.minimum(offs[:-1], len(grams))
+    last = np.clip(offs[1:] - 2, first, len(grams))
     return words, grams, first, last
 
 
@@ -153,14 +158,9 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    sample, counts = labelled_texts(docs, labels, label_col, {0: max_rows, 1: max_rows}, "quality", id_col, text_col)
     if len(counts) < 2:
         return None
-    rank = F.xxhash64(F.col("id"), F.lit("quality"))
-    pick = lambda label: known.where(F.col("y") == label).orderBy(rank, "id").limit(max_rows)
-    chosen = pick(1).unionByName(pick(0)).withColumn("fold", F.pmod(rank, F.lit(3)).cast("int"))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "y", "fold")
     rows = sample.mapInArrow(_shares, "x binary, y int, fold int").collect()
     if not rows:
         return None

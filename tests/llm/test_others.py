@@ -13,13 +13,15 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures import by_id, prose
+from pyspark.sql import functions as F
 
 from quantloom.llm.language import identify, language_id
 from quantloom.llm.license_rules import SIGNATURES
 from quantloom.llm.license_scan import GATE, license_scan, suppressed
 from quantloom.llm.mixing import mix_sources, token_count
-from quantloom.llm.quality import quality
+from quantloom.llm.quality import buckets, quality
 from quantloom.llm.quality import train as train_quality
+from quantloom.llm.sampling import labelled_texts
 from quantloom.llm.toxicity import _NORMS, DECAY, GAPS, ToxicModel, marked, toxicity, unit_ranges
 from quantloom.llm.url_filter import filter_urls
 from quantloom.llm.url_filter import train as train_urls
@@ -211,6 +213,47 @@ def test_language(spark, edge):
     assert language_id(edge.where("false")).collect() == []
 
 
+def test_language_of_long_texts_and_ties(spark):
+    """A language that has only long texts is learned; equal compressions go to the language with more documents."""
+    other = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
+    rows = [(i, prose(i, 60), "short") for i in range(60)] + [(100 + i, " ".join(other[(i * 7 + k * k) % 12] for k in range(3000)), "long") for i in range(12)]
+    rows += [(200, None, "short"), (201, "12 34", "digits"), (202, prose(1, 60), None), (203, prose(2, 60), None), (203, "lorem ipsum dolor sit amet", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang_pred) for r in language_id(docs).collect()}
+    assert all((i, lang) in got for i, t, lang in rows[:72]) and {(200, "und"), (201, "und"), (202, "short"), (203, "short"), (203, "long")} <= got
+    twins = spark.createDataFrame([(i, prose(7, 40), "ab"[i % 3 == 0]) for i in range(30)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id(twins).collect()} == {"a"}
+
+
+def test_trained_quality_on_edge_texts(spark, edge):
+    docs, labels = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    model = train_quality(docs, labels)
+    got = by_id(quality(edge, model))
+    assert len(got) == edge.count() and all(0 <= r.probability <= 1 for r in got.values())
+    twice = quality(edge.unionByName(edge), model).groupBy("doc_id", "probability").count().collect()
+    assert len(twice) == len(got) and {r["count"] for r in twice} == {2}
+
+
+def test_character_trigrams_are_code_points():
+    for text in ("", "ab", "né你", "a\U0001f600b c", "привет мир"):
+        (w,) = slices(pa.array([text, "xyz"]))
+        _, grams, first, last = buckets(w, w.hashes())
+        assert [last[i] - first[i] for i in (0, 1)] == [max(0, len(text) - 2), 1] and last[0] <= first[1]
+    (a,), (b,) = slices(pa.array(["你好吗"])), slices(pa.array(["xx你好吗"]))
+    assert buckets(a, a.hashes())[1][0] == buckets(b, b.hashes())[1][2]
+
+
+def test_samples_are_bounded_and_stable(spark):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 5 = 0 AS INT) AS y").unionByName(spark.range(3000).selectExpr("7L AS doc_id", "0 AS y"))
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('t', id) AS text").unionByName(spark.range(3000).selectExpr("7L AS doc_id", "concat('u', id) AS text"))
+    sample = lambda d: labelled_texts(d, labels, "y", {0: 700, 1: 2000}, "x", "doc_id", "text")
+    got, counts = sample(docs)
+    rows = got.collect()
+    n = Counter(r.y for r in rows)
+    assert counts == {0: 4000, 1: 1000} and 500 <= n[0] <= 700 and n[1] == 1000 and {r.fold for r in rows} == {0, 1, 2}
+    assert sorted(rows) == sorted(sample(docs.repartition(9))[0].collect()) and sample(docs.where("false"))[0].collect() == []
+
+
 def test_quality_model(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     held = folds(docs, 4, 0)
