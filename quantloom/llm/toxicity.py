@@ -1,39 +1,49 @@
-"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear SVM.
-
-Units. A text is cut at space characters. Inside a piece, letters are folded
-(case, common digit-for-letter swaps) and everything else is dropped, so
-``i.d-i*o_t`` is one unit ``idiot``; runs of single letters are joined
-(``i d i o t``). Pieces longer than 12 letters are seen through overlapping
-windows of 12. Further units are runs of neighbouring pieces of one sentence,
-glued: of two or three pieces up to 24 letters, of more up to 12 letters. A
-sentence ends where ``.``, ``!``, ``?`` or a line feed stands between the last
-letter of a piece and the first of the next. Pieces and runs of two or three
-letters get a mark at both ends, so that they hold quadruples too.
+"""Toxicity by a subsequence string kernel, Nyström landmarks and a linear SVM over sentences.
+
+Sentences. A text is cut at space characters into pieces, and into sentences where
+``.``, ``!``, ``?`` or a line feed stands between the last letter of a piece and the
+first of the next. Inside a piece, letters are folded (case, common digit-for-letter
+swaps) and everything else is dropped, so ``i.d-i*o_t`` is one unit ``idiot``; runs of
+single letters are joined (``i d i o t``). Pieces longer than 12 letters are seen
+through overlapping windows of 12. Further units are runs of neighbouring pieces of
+one sentence, glued: of two or three pieces up to 24 letters, of more up to 12
+letters. Pieces and runs of two or three letters get a mark at both ends, so that
+they hold quadruples too. Letters beyond ASCII have five codes between them, so words
+of other scripts are told apart only coarsely.
 
 Kernel. The gap-weighted subsequence kernel of order 4: two strings share every
 quadruple of letters that both hold in order, weighted decay**span; spans of up
 to 7 letters count, so up to three inserted letters inside a quadruple are
-tolerated. Values are divided by the norm of a string of that length.
-
-Training, on a bounded, hash-chosen sample of the labelled documents
-(``max_toxic`` and ``max_clean``). Units carry their document's label and count once a document.
-Witnesses are the units that are enriched in toxic documents beyond chance, runs
-only if they hold no witness that is a piece; units of clean documents are
-negatives, witnesses too, so that a unit is worth what its documents say. Landmarks are the most
-enriched and, as background, common clean units. The SVM (squared hinge) is
-trained on the Nyström features K(landmarks)**-1/2 k(unit, landmarks).
+tolerated. Values are divided by the norm of a string of that length. A sentence
+is worth its best unit.
+
+Training, on a bounded, hash-chosen sample of the labelled documents (``max_toxic``
+and ``max_clean``), whose sentences carry their document's label.
+
+1. Landmarks: the units that are enriched in toxic sentences beyond chance (runs only
+   if they hold no such piece) and, as background, common units of clean ones. A unit
+   counts once a document, and equal sentences are of one document, so that neither
+   copies of a document nor its own repetitions prove anything.
+   Features are K(landmarks)**-1/2 k(unit, landmarks).
+2. A first SVM (squared hinge) tells the enriched units from units of clean documents.
+3. Then the SVM is fitted on sentences, ``rounds`` times: of every toxic document the
+   sentence that scores highest, if it is taken for toxic so far - a label speaks of a
+   document, not of each of its sentences -, against the highest one of every clean
+   document, each seen through its best unit.
 
 Scoring. The decision function over landmarks is one weight for each letter
 quadruple, so all units are scored from running sums of table look-ups, one pass
-over the letters. A document's features are, of its pieces and of its runs, the largest
-score and the numbers above 0 and 1/2; logistic calibration, fitted on the third of the
-sample that the SVM did not see and weighted to the labelled table's class
-sizes, makes them a probability.
+over the letters. A document's features are its best sentence and the numbers of
+pieces and of sentences above 1/2, which can only raise the probability, and its
+length, since a long text holds more by chance. Logistic calibration, fitted on the
+third of the sample that the SVM did not see and weighted to the labelled table's
+class sizes, makes them a probability.
 
 Defined results: null and empty texts get the probability of a text without
 units. Without both classes among the labels the score is 0 for all. Labels of
-ids that are not in the documents are ignored; several labels of one id count as
-several rows; null labels are ignored. Other columns never enter a score.
+ids that are not in the documents, null labels and null ids are ignored; both labels
+of one id are two rows, repeated ones one. Repeated documents each get their score.
+Other columns never enter a score.
 """
 
 from __future__ import annotations
@@ -47,7 +57,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import slices
+from quantloom.scratch import Scratch
+
+from .sampling import labelled_texts
+from .words import _BASE, _BYTES, _ranges, mix, slices
 
 ORDER, SPAN, DECAY, LONGEST, STEP = 4, 7, 0.6, 12, 6
 #: Letters of a run of up to PIECES pieces; longer runs have up to LONGEST.
@@ -63,16 +76,24 @@ CODE = np.zeros(256, np.uint8)
 CODE[97:123] = CODE[65:91] = np.arange(1, 27)
 for digit, letter in zip(b"01345790@$", b"oieastgoas"):
     CODE[digit] = letter - 96
-CODE[0x80:0xC0] = 27 + np.arange(64) % 5  # the second byte tells accented letters apart
+CODE[0x80:0xC0] = 27  # letters beyond ASCII: see ``letter_codes``
 
 _NORMS = np.zeros(RUN + 1)
 for _n in range(RUN + 1):
     _NORMS[_n] = np.sqrt(sum(max(0, _n - c) * DECAY ** (2 * (c + 1)) for *_, c in GAPS)) or 1.0
 
 
-def unit_ranges(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded letters, and first, last, text and whether it is a run of each unit; units of a text follow each other."""
-    code = CODE[words.data]
+def letter_codes(data: np.ndarray) -> np.ndarray:
+    """0 where no letter stands, else its code; a byte that continues a character counts with the one before it."""
+    code = CODE[data]
+    more = np.flatnonzero(code == 27)
+    code[more] = 27 + (data[more].astype(np.int64) + 3 * data[more - 1]) % 5
+    return code
+
+
+def unit_ranges(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded letters, and of each unit first, last, text, whether it is a run, and sentence; units of a sentence follow each other."""
+    code = letter_codes(words.data)
     at = np.flatnonzero(code)
     letters = code[at]
     kept = np.zeros(len(code) + 1, np.int64)
@@ -85,7 +106,7 @@ def unit_ranges(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     glue[1:] = single[1:] & single[:-1] & (text[1:] == text[:-1])
     begins = np.flatnonzero(~glue)
     if not len(begins):
-        return letters, first, last, text, glue
+        return letters, first, last, text, glue, text
     first, last, text = first[begins], last[np.r_[begins[1:] - 1, len(last) - 1]], text[begins]
     ends = np.r_[0, np.cumsum(SENTENCE_END[words.data])]
     new = np.ones(len(first), bool)
@@ -100,7 +121,7 @@ def unit_ranges(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         begin, end = begin[ok], end[ok]
         if not len(begin):
             break
-        runs.append((first[begin], last[end], text[begin]))
+        runs.append((first[begin], last[end], text[begin], sentence[begin]))
     size = last - first
     extra = np.maximum(0, -(-(size - LONGEST) // STEP))  # further windows of long pieces
     if extra.any():
@@ -108,12 +129,12 @@ def unit_ranges(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         nth = np.arange(len(which)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
         first = first[which] + nth * STEP
         last = np.minimum(first + LONGEST, last[which])
-        text = text[which]
+        text, sentence = text[which], sentence[which]
     run = np.repeat([False, True], [len(first), sum(len(r[0]) for r in runs)])
-    first, last, text = (np.concatenate(x) for x in zip((first, last, text), *runs))
-    order = np.argsort(text, kind="stable")
+    first, last, text, sentence = (np.concatenate(x) for x in zip((first, last, text, sentence), *runs))
+    order = np.argsort(sentence, kind="stable")
     order = order[(last - first)[order] > 1]
-    return letters, first[order], last[order], text[order], run[order]
+    return letters, first[order], last[order], text[order], run[order], sentence[order]
 
 
 def marked(unit: bytes) -> bytes:
@@ -192,42 +213,82 @@ class ToxicModel:
             out[short] = (score / _NORMS[end - begin])[back]
         return out + self.bias
 
+    def sentences(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Letters, and of each sentence its text, the score of its best unit, and where that begins and ends."""
+        letters, first, last, text, _, sentence = unit_ranges(w)
+        if not len(first):
+            return letters, text[:0], np.zeros(0), first, last
+        score = self.unit_scores(letters, first, last)
+        starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+        top = np.maximum.reduceat(score, starts)
+        best = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[starts, len(score)])))
+        best = best[np.r_[True, sentence[best][1:] != sentence[best][:-1]]]
+        return letters, text[starts], top, first[best], last[best]
+
     def features(self, texts: pa.Array) -> np.ndarray:
-        """1 and, of a text's pieces and of its runs: largest score and its positive part, log counts above 0 and above 1/2."""
-        out = np.zeros((len(texts), 9))
-        out[:, 0], out[:, 1], out[:, 5] = 1, -1.0, -1.0
+        """1, the log number of pieces (may lower the probability), the best score, log counts of pieces and of sentences above 1/2."""
+        out = np.zeros((len(texts), 5))
+        out[:, 0], out[:, 2] = 1, -1.0
         for w in slices(texts):
-            letters, first, last, text, run = unit_ranges(w)
+            letters, first, last, text, run, sentence = unit_ranges(w)
             if not len(first):
                 continue
-            scores = self.unit_scores(letters, first, last)
-            for k, of in ((1, ~run), (5, run)):
-                if not of.any():
-                    continue
-                own, at = scores[of], text[of]
-                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                rows = w.first + at[starts]
-                top = np.clip(np.maximum.reduceat(own, starts), -1, 1)
-                out[rows, k], out[rows, k + 1] = top, np.maximum(top, 0)
-                for i, least in ((2, 0), (3, 0.5)):
-                    out[rows, k + i] = np.log1p(np.add.reduceat((own > least).astype(float), starts))
+            score = self.unit_scores(letters, first, last)
+            new = np.r_[True, text[1:] != text[:-1]]
+            starts, sents = np.flatnonzero(new), np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+            rows = w.first + text[starts]
+            out[rows, 1] = np.log1p(np.add.reduceat((~run).astype(float), starts))
+            out[rows, 2] = np.clip(np.maximum.reduceat(score, starts), -1, 1)
+            out[rows, 3] = np.log1p(np.add.reduceat((~run & (score > 0.5)).astype(float), starts))
+            hit = np.bincount(text[sents], np.maximum.reduceat(score, sents) > 0.5, w.n_texts)
+            out[rows, 4] = np.log1p(hit[text[starts]])
         return out
 
     def probability(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.calibration, -30, 30)))
 
 
-def _document_units(batches):
-    """Distinct units of each document, with its label; run: 1 if a unit is nowhere a piece of its document."""
+def sentence_hashes(letters: np.ndarray, first: np.ndarray, last: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each sentence's units begin, and a hash of its letters."""
+    starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+    a, b = np.minimum.reduceat(first, starts), np.maximum.reduceat(last, starts)
+    return starts, mix(_ranges(_BYTES[letters], _BASE, a, b) + (b - a).astype(np.uint64)).view(np.int64)
+
+
+def _sentence_units(batches):
+    """Units of each sentence, with the hashes of the sentence and of the whole text, and the label; run: 1 if the unit is no piece of the sentence."""
     for batch in batches:
-        toxic, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        toxic = batch.column(1).to_numpy()
         for w in slices(batch.column(0), max_bytes=1 << 18):
-            letters, first, last, text, run = unit_ranges(w)
+            letters, first, last, text, run, sentence = unit_ranges(w)
+            if not len(first):
+                continue
+            starts, hashes = sentence_hashes(letters, first, last, sentence)
+            of = np.repeat(hashes, np.diff(np.r_[starts, len(first)]))
+            _, docs = sentence_hashes(letters, first, last, text)
+            docs = docs[np.cumsum(np.r_[False, text[1:] != text[:-1]])]
             raw, seen = letters.tobytes(), {}
-            for t, a, b, r in zip(text.tolist(), first.tolist(), last.tolist(), run.tolist()):
-                seen[t, raw[a:b]] = r and seen.get((t, raw[a:b]), True)
-            rows = w.first + np.array([t for t, _ in seen], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([marked(u) for _, u in seen], pa.binary()), pa.array(toxic[rows], pa.int32()), pa.array(fold[rows], pa.int32()), pa.array([int(r) for r in seen.values()], pa.int32())], ["unit", "toxic", "fold", "run"])
+            for h, d, t, a, b, r in zip(of.tolist(), docs.tolist(), text.tolist(), first.tolist(), last.tolist(), run.tolist()):
+                key = h, int(toxic[w.first + t]), raw[a:b], d
+                seen[key] = r and seen.get(key, True)
+            yield pa.RecordBatch.from_arrays([pa.array([marked(u) for _, _, u, _ in seen], pa.binary()), pa.array([h for h, *_ in seen], pa.int64()), pa.array([d for *_, d in seen], pa.int64()), pa.array([t for _, t, *_ in seen], pa.int32()), pa.array([int(r) for r in seen.values()], pa.int32())], ["unit", "sentence", "doc", "toxic", "run"])
+
+
+def _best_sentences(batches, shared):
+    """The best unit of the best sentence of each document, its score, that sentence's hash, and the document's label."""
+    for batch in batches:
+        toxic = batch.column(1)
+        for w in slices(batch.column(0)):
+            letters, text, score, first, last = shared.value.sentences(w)
+            if not len(text):
+                continue
+            _, a, b, _, _, sentence = unit_ranges(w)
+            _, hashes = sentence_hashes(letters, a, b, sentence)
+            raw = letters.tobytes()
+            order = np.lexsort((first, -score, text))
+            order = order[np.r_[True, text[order][1:] != text[order][:-1]]]
+            units = pa.array([marked(raw[first[i] : last[i]]) for i in order], pa.binary())
+            yield pa.RecordBatch.from_arrays([units, pa.array(score[order]), pa.array(hashes[order]), toxic.take(pa.array(w.first + text[order]))], ["unit", "score", "sentence", "toxic"])
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
@@ -261,79 +322,137 @@ def chance_of(t: int, n: int, p: float) -> float:
     return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(t, n + 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean: int = 10_000, landmarks: int = 192, background: int = 64, negatives: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel | None:
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic weights of which all but the first two are 0 at least: a feature that came out negative is left out."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        out = np.zeros(x.shape[1])
+        out[use] = logistic(x[:, use], y, weight)
+        bad = use & (out < 0)
+        bad[:2] = False
+        if not bad.any():
+            return out
+        use[np.flatnonzero(bad)[out[bad].argmin()]] = False
+
+
+def within(counts: dict, most: int):
+    """The smallest threshold on the keys above or at which at most ``most`` rows lie."""
+    total, least = 0, math.inf
+    for value in sorted(counts, reverse=True):
+        total += counts[value]
+        if total > most:
+            break
+        least = value
+    return least
+
+
+def _landmark_units(units: DataFrame, n_tox: int, n_clean: int, negatives: int) -> tuple[list, list, list]:
+    """(enriched, common, others): rows (unit, t, c) that were chosen by thresholds on their counts, so that few are collected."""
+    shapes = [(r["run"], r["t"], r["c"], r["n"]) for r in units.groupBy("run", "t", "c").agg(F.count("*").alias("n")).collect()]
+    share, part = n_tox / (n_tox + n_clean), negatives // 4
+    enriched, common, others = [], [], []
+    for run in (0, 1):
+        with_df, by_c, lifts, total = {}, {}, {}, 0
+        for r, t, c, n in shapes:
+            if r == run:
+                with_df[t + c] = with_df.get(t + c, 0) + n
+                if c:
+                    by_c[c] = by_c.get(c, 0) + n
+                    total += n
+        for r, t, c, n in shapes:
+            expected = c * n_tox / n_clean
+            if r == run and t >= 2 and t > 8 * expected and with_df[t + c] * chance_of(t, t + c, share) < 0.1:
+                lifts[t, c] = (t - expected) / math.sqrt(expected + 1), n
+        per_lift: dict[float, int] = {}
+        for value, n in lifts.values():
+            per_lift[value] = per_lift.get(value, 0) + n
+        least = within(per_lift, 1500)
+        pairs = [(t, c) for (t, c), (value, _) in lifts.items() if value >= least]
+        own = units.where(F.col("run") == run)
+        top = own.where(F.struct("t", "c").isin([F.struct(F.lit(t).cast("long"), F.lit(c).cast("long")) for t, c in pairs])).collect() if pairs else []
+        top.sort(key=lambda r: (-lifts[r["t"], r["c"]][0], bytes(r["unit"])))
+        pieces = [bytes(r["unit"]) for r in enriched]
+        enriched += [r for r in top if not any(u in bytes(r["unit"]) for u in pieces)]
+        if total:
+            common += own.where(F.col("c") >= min(within(by_c, part), max(by_c) + 1)).collect()
+            spread = F.pmod(F.xxhash64("unit"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, part / total))
+            others += own.where(F.col("c") > 0).where(spread).collect()
+    lift = lambda r: (r["t"] - r["c"] * n_tox / n_clean) / math.sqrt(r["c"] * n_tox / n_clean + 1)
+    enriched.sort(key=lambda r: (-lift(r), bytes(r["unit"])))
+    common.sort(key=lambda r: (-r["c"], bytes(r["unit"])))
+    return enriched, common, others
+
+
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean: int = 10_000, landmarks: int = 192, background: int = 64, negatives: int = 8000, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel | None:
     """Fit on at most max_toxic + max_clean labelled documents; None without both classes."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rank = F.xxhash64(F.col("id"), F.lit("toxicity"))
-    pick = lambda label, n: known.where(F.col("toxic") == label).orderBy(rank, "id").limit(n)
-    chosen = pick(1, max_toxic).unionByName(pick(0, max_clean)).withColumn("fold", F.pmod(rank, F.lit(3)).cast("int"))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "toxic", "fold").cache()
-    units = None
-    try:
-        held = {(r["toxic"], r["fold"] == 0): r["count"] for r in sample.groupBy("toxic", "fold").count().groupBy("toxic", "fold").agg(F.sum("count").alias("count")).collect()}
-        n_tox, n_clean = sum(v for (t, _), v in held.items() if t == 1), sum(v for (t, _), v in held.items() if t == 0)
-        if not n_tox or not n_clean:
-            return None
-        units = sample.where("fold <> 0").mapInArrow(_document_units, "unit binary, toxic int, fold int, run int").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.min("run").alias("run"))
-        units = units.cache()
-        n_with = {(r["run"], r["df"]): r["n"] for r in units.groupBy("run", (F.col("t") + F.col("c")).alias("df")).agg(F.count("*").alias("n")).collect()}
-        expected = F.col("c") * (n_tox / n_clean)
-        lift = (F.col("t") - expected) / F.sqrt(expected + 1)
-        enriched, common, others = [], [], []
-        for run in (0, 1):
-            own = units.where(F.col("run") == run)
-            top = own.where((F.col("t") >= 2) & (F.col("t") > 8 * expected)).withColumn("lift", lift).orderBy(F.desc("lift"), "unit").limit(1500).collect()
-            top = [r for r in top if n_with[run, r["t"] + r["c"]] * chance_of(r["t"], r["t"] + r["c"], n_tox / (n_tox + n_clean)) < 0.1]
-            pieces = [bytes(r["unit"]) for r in enriched]
-            enriched += [r for r in top if not any(u in bytes(r["unit"]) for u in pieces)]
-            common += own.where("c > 0").orderBy(F.desc("c"), "unit").limit(negatives // 4).collect()
-            others += own.where("c > 0").orderBy(F.xxhash64("unit"), "unit").limit(negatives // 4).collect()
-        enriched.sort(key=lambda r: (-r["lift"], bytes(r["unit"])))
-        common.sort(key=lambda r: (-r["c"], bytes(r["unit"])))
-        if not enriched or not common:
-            return ToxicModel(np.zeros(1 << 20, np.float32), -1.0, np.array([np.log(counts[1] / counts[0]), *[0] * 8]))
-        positive = [bytes(r["unit"]) for r in enriched]
-        negative = sorted({bytes(r["unit"]) for r in common + others} - set(positive))
-        marks = positive[:landmarks] + [bytes(r["unit"]) for r in common if bytes(r["unit"]) not in set(positive)][:background]
-        values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
-        good = values > 1e-4
-        root = vectors[:, good] / np.sqrt(values[good])
-        x = np.hstack([kernel(positive + negative, marks) @ root, np.ones((len(positive) + len(negative), 1))])
-        seen = {bytes(r["unit"]): (r["t"], r["c"]) for r in common + others + enriched}
-        t, c = np.array([seen[u] for u in positive + negative], float).T  # toxic and clean documents of each unit
-        t[len(positive) :] = 0  # what is not enriched witnesses nothing
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
+    sample, counts = labelled_texts(docs, labels, label_col, {0: max_clean, 1: max_toxic}, "toxicity", id_col, text_col)
+    sample = scratch.table(sample.select("text", F.col("y").alias("toxic"), "fold"), "sample")
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n_tox, n_clean = n.get(1, 0), n.get(0, 0)
+    if not n_tox or not n_clean:
+        scratch.drop(sample)
+        return None
+    seen = sample.where("fold <> 0")
+    # a sentence speaks for one of the documents that hold it, and a document once for a unit
+    held = seen.select("text", "toxic").mapInArrow(_sentence_units, "unit binary, sentence long, doc long, toxic int, run int").groupBy("unit", "sentence", "toxic").agg(F.min("doc").alias("doc"), F.min("run").alias("run"))
+    once = held.groupBy("unit", "toxic", "doc").agg(F.min("run").alias("run"))
+    units = once.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.min("run").alias("run"))
+    units = scratch.table(units, "units")
+    enriched, common, others = _landmark_units(units, n_tox, n_clean, negatives)
+    if not enriched or not common:
+        scratch.drop(units, sample)
+        return ToxicModel(np.zeros(1 << 20, np.float32), -1.0, np.array([np.log(counts[1] / counts[0]), 0, 0, 0, 0]))
+    positive = [bytes(r["unit"]) for r in enriched]
+    marks = positive[:landmarks] + [bytes(r["unit"]) for r in common if bytes(r["unit"]) not in set(positive)][:background]
+    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
+    good = values > 1e-4
+    root = vectors[:, good] / np.sqrt(values[good])
+    letters, first, last = _packed(marks)
+
+    def fitted(rows: dict[bytes, tuple[float, float]]) -> ToxicModel:
+        """The SVM on rows that stand for so many toxic and clean ones, as one weight for each quadruple."""
+        names = sorted(rows)
+        x = np.hstack([kernel(names, marks) @ root, np.ones((len(names), 1))])
+        t, c = np.array([rows[u] for u in names], float).T
         size = np.sqrt(t + c)
         x, y, weight = np.vstack([x, x]), np.r_[np.ones(len(t)), -np.ones(len(c))], np.r_[t / size, c / size]
         x, y, weight = x[weight > 0], y[weight > 0], weight[weight > 0]
-        weight *= len(y) / weight.sum()
+        for side in (y > 0, y < 0):  # both classes weigh the same
+            weight[side] *= len(y) / 2 / max(weight[side].sum(), 1e-12)
         w = squared_hinge(x, y, weight, 0.3)
-        beta = root @ w[:-1]
-        table = np.zeros(1 << 20)
-        letters, first, last = _packed(marks)
-        for unit, quad, share in quadruples(letters, first, last):
-            np.add.at(table, quad, beta[unit] * share / _NORMS[last - first][unit])
-        model = ToxicModel(table.astype(np.float32), float(w[-1]), np.zeros(9))
-
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def featured(batches):
-            for b in batches:
-                f = shared.value.features(b.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), b.column(1), b.column(2)], ["f", "toxic", "fold"])
-
-        rows = sample.mapInArrow(featured, "f array<double>, toxic int, fold int").where("fold = 0").collect()
-        y = np.array([r["toxic"] for r in rows], float)
-        if 0 < y.sum() < len(y):
-            weight = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum()))
-            model.calibration = logistic(np.array([r["f"] for r in rows]), y, weight * len(y) / weight.sum())
-        else:
-            model.calibration = np.array([-1.0, 4.0, 0, 0, 0, 0, 4.0, 0, 0])
-        return model
-    finally:
-        sample.unpersist()
-        if units is not None:
-            units.unpersist()
+        beta, table = root @ w[:-1], np.zeros(1 << 20)
+        for unit, quad, part in quadruples(letters, first, last):
+            np.add.at(table, quad, beta[unit] * part / _NORMS[last - first][unit])
+        return ToxicModel(table.astype(np.float32), float(w[-1]), np.zeros(5))
+
+    base = {bytes(r["unit"]): (0.0, float(r["c"])) for r in common + others if r["c"]}
+    base |= {bytes(r["unit"]): (float(r["t"]), float(r["c"])) for r in enriched}
+    model = fitted(base)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        best = seen.mapInArrow(lambda b, s=shared: _best_sentences(b, s), "unit binary, score double, sentence long, toxic int").collect()  # one row a sampled document
+        rows = dict(base)
+        for unit, _, label in sorted({(bytes(r["unit"]), r["sentence"], r["toxic"]) for r in best if r["score"] > 0 or not r["toxic"]}):
+            t, c = rows.get(unit, (0.0, 0.0))
+            rows[unit] = (t + label, c + 1 - label)
+        model = fitted(rows)
+    shared = spark.sparkContext.broadcast(model)
+
+    def featured(batches):
+        for b in batches:
+            f = shared.value.features(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), b.column(1)], ["f", "toxic"])
+
+    rows = sample.where("fold = 0").select("text", "toxic").mapInArrow(featured, "f array<double>, toxic int").collect()
+    y = np.array([r["toxic"] for r in rows], float)
+    if 0 < y.sum() < len(y):
+        weight = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum()))
+        model.calibration = monotone(np.array([r["f"] for r in rows]), y, weight * len(y) / weight.sum())
+    else:
+        model.calibration = np.array([-1.0, 0, 4.0, 0, 0])
+    scratch.drop(units, sample)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel | None, text_col: str = "text", as_col: str = "score") -> DataFrame:

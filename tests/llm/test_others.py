@@ -22,7 +22,8 @@ from quantloom.llm.mixing import mix_sources, token_count
 from quantloom.llm.quality import buckets, quality
 from quantloom.llm.quality import train as train_quality
 from quantloom.llm.sampling import labelled_texts
-from quantloom.llm.toxicity import _NORMS, DECAY, GAPS, ToxicModel, marked, toxicity, unit_ranges
+from quantloom.llm.toxicity import _NORMS, DECAY, GAPS, ToxicModel, letter_codes, marked, score_toxicity, toxicity, unit_ranges
+from quantloom.llm.toxicity import train as train_toxicity
 from quantloom.llm.url_filter import filter_urls
 from quantloom.llm.url_filter import train as train_urls
 from quantloom.llm.warc import archive_round_trip, ranges, read_archives, write_archives
@@ -163,10 +164,15 @@ def test_toxicity(spark, edge):
     assert all(r.held_out == held[i] and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in got.items())
     known = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if held.get(r.doc_id)]
     toxic = [p for t, p in known if t]
-    assert sum(toxic) >= 0.75 * len(toxic) and sum(t == p for t, p in known) >= 0.95 * len(known)
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(t == p for t, p in known) >= 0.95 * len(known)
     flipped = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")
     assert {i: r.score for i, r in by_id(toxicity(docs, flipped)).items()} == {i: r.score for i, r in got.items()}
     assert all(r.score == 0 for r in toxicity(edge, labels.where("false")).collect())
+    small = [table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels")]
+    model = train_toxicity(*small)
+    scored = score_toxicity(edge.unionByName(edge), model, as_col="p").collect()
+    assert len(scored) == 2 * edge.count() and all(0 <= r.p <= 1 for r in scored) and len({(r.doc_id, r.p) for r in scored}) == edge.count()
+    assert len({r.p for r in scored if r.text in (None, "", " \t\n ")}) == 1
     assert toxicity(docs.where("false"), labels).collect() == []
 
 
@@ -191,11 +197,14 @@ def test_toxicity_beyond_single_words(spark, insult):
 def test_toxicity_units_and_scores():
     text = "You vile toad. i d i o t zog! ba st ard\nincomprehensibilities at it"
     (w,) = slices(pa.array([None, text, "ab. cd"]))
-    letters, first, last, of, run = unit_ranges(w)
+    letters, first, last, of, run, sentence = unit_ranges(w)
     named = [("".join(chr(96 + c) for c in letters[a:b]), bool(r)) for a, b, t, r in zip(first, last, of, run) if t == 1]
     assert {("vile", False), ("zog", False), ("idiot", False), ("viletoad", True), ("youviletoad", True), ("bastard", True), ("idiotzog", True)} <= set(named)
     assert not {"toadidiot", "zogba", "ardat"} & {u for u, _ in named} and all(2 <= len(u) <= 24 for u, _ in named)
     assert [letters[a:b].tobytes() for a, b, t in zip(first, last, of) if t == 2] == [b"\1\2", b"\3\4"]
+    assert all(set(of[sentence == k]) == {of[sentence == k][0]} for k in set(sentence)) and (np.diff(sentence) >= 0).all() and len(set(sentence[of == 1])) == 4
+    a, b = (letter_codes(np.frombuffer(t.encode(), np.uint8)) for t in ("при", "рст"))
+    assert a[a > 0].tolist() != b[b > 0].tolist() and (a[a > 0] >= 27).all()
     model = ToxicModel(np.random.default_rng(0).normal(size=1 << 20).astype(np.float32), -0.25, np.zeros(9))
     units = [marked(letters[a:b].tobytes()) for a, b in zip(first, last)]
     want = [sum(model.weights[u[i] << 15 | u[i + a] << 10 | u[i + b] << 5 | u[i + c]] * DECAY ** (c + 1) for i in range(len(u)) for a, b, c in GAPS if i + c < len(u)) / _NORMS[len(u)] - 0.25 for u in units]
