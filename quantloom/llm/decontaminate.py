@@ -18,13 +18,17 @@ document signatures finds. The search therefore asks for containment:
 * Candidates are verified: exact containment of the item's distinct shingles,
   compared as words.
 
-Items are searched in blocks of ``block_items``, each sent to the executors at
-its bounded size; documents are scanned once per block and never shuffled.
+Items are searched in blocks, each sent to the executors at its bounded size (at
+most about ``block_items`` items and ``block_bytes`` bytes of text, but one item at
+least); documents are scanned once per block and never shuffled.
 
 Words are lower-cased (A-Z) runs without space characters; a shingle is five of
 them. An item of fewer words is one shingle, found only in documents that consist
-of just these words. Null and empty items or documents contain nothing. Equal
-items are all reported; a repeated document row is reported as often as it comes.
+of just these words: inside longer ones such words prove nothing. Null and empty
+items or documents contain nothing. Items and documents without an id are searched
+like others and reported with a null id. Equal items are all reported; a repeated
+row, of items or documents, is reported as often as it comes. Other columns are
+ignored, or pass through where documents are filtered, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quantloom.scratch import Scratch
+
 from .words import LOWER, SPACE, mix, shingles, slices
 
 
@@ -57,8 +63,10 @@ def _signatures(texts: list[str | None], permutations: int, k: int) -> tuple[np.
     hashes, items = [], []
     for w in slices(pa.array(texts, pa.string()), SPACE, LOWER):
         text, h = shingles(w, k)
+        order = np.lexsort((h, text))
+        offs = np.searchsorted(text[order], np.arange(w.n_texts + 1))
         for i in range(w.n_texts):
-            own = np.unique(h[text == i])
+            own = np.unique(h[order[offs[i] : offs[i + 1]]])
             if not len(own):
                 continue
             upper = 1 << int(len(own)).bit_length()
@@ -118,27 +126,30 @@ def _clean(batches, block, percent: int, k: int, at: int):
         yield batch.filter(pa.array(keep))
 
 
-def _item_blocks(spark, items: DataFrame, permutations: int, k: int, block_items: int, item_col: str, item_text_col: str):
-    """Broadcast blocks of about block_items items: keys, texts, signatures, key type."""
-    named = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL")
-    kind = to_arrow_type(named.schema["item"].dataType)
-    blocks = max(1, -(-named.count() // block_items))
+def _item_blocks(spark, items: DataFrame, permutations: int, k: int, block_items: int, block_bytes: int, item_col: str, item_text_col: str):
+    """Broadcast blocks of items: keys, texts, signatures, key type. Items are numbered once, block by running number and size."""
+    kind = to_arrow_type(items.schema[item_col].dataType)
+    named = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.length(F.trim("text")) > 0)
+    rows = Scratch(spark, "items").table(named.withColumns({"row": F.monotonically_increasing_id(), "bytes": F.octet_length("text")}), "items")
+    n, size, most = rows.agg(F.count("*"), F.sum("bytes"), F.max("bytes")).first()
+    # An even deal by hash: the fullest block stays near the bounds, which allow for one largest item more.
+    blocks = max(1, -(-n // block_items), -(-(size or 0) // max(1, block_bytes - min(most or 0, block_bytes // 2))))
     for b in range(blocks):
-        rows = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        yield spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], _signatures([r[1] for r in rows], permutations, k), kind))
+        part = rows.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).select("item", "text").collect() if n else []
+        yield spark.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part], _signatures([r[1] for r in part], permutations, k), kind))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc, item, containment, estimate): items of whose distinct shingles a document has ``percent`` or more."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {texts.schema['id'].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, containment double, estimate double"
-    parts = [texts.mapInArrow(lambda it, block=block: _search(it, block, percent, shingle_words), schema) for block in _item_blocks(docs.sparkSession, items, permutations, shingle_words, block_items, item_col, item_text_col)]
+    parts = [texts.mapInArrow(lambda it, block=block: _search(it, block, percent, shingle_words), schema) for block in _item_blocks(docs.sparkSession, items, permutations, shingle_words, block_items, block_bytes, item_col, item_text_col)]
     return reduce(DataFrame.unionByName, parts).withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that contain no item, with all their columns; a filter without a shuffle."""
     at = docs.columns.index(text_col)
-    for block in _item_blocks(docs.sparkSession, items, permutations, shingle_words, block_items, item_col, item_text_col):
+    for block in _item_blocks(docs.sparkSession, items, permutations, shingle_words, block_items, block_bytes, item_col, item_text_col):
         docs = docs.mapInArrow(lambda it, block=block: _clean(it, block, percent, shingle_words, at), docs.schema)
     return docs

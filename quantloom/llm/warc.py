@@ -16,8 +16,13 @@ Paths go through pyarrow's file systems (local files, HDFS, S3, GCS by URI).
 Which record is the response: of equal payloads of at least ``min_bytes`` bytes
 (equal SHA-1 and length) the row with the largest id; all others revisit it.
 Smaller payloads are all responses. Null payloads are empty. Rows with equal ids
-and payloads are both the response. A null URL is written as an empty one; rows
-without id are written with an empty record id and read back as null.
+and payloads are both the response; rows of one id with different payloads are
+judged each by its own. A null URL is written as an empty one; rows without id are
+written with an empty record id, read back as null, and always responses. Other
+columns are ignored.
+
+Archives of task attempts that failed are in no index; ``sweep`` removes them once
+the index is written.
 """
 
 from __future__ import annotations
@@ -113,11 +118,28 @@ def _write(batches, folder: str):
 
 
 def revisits(pages: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
-    """(id, refers_to) of the rows whose payload another row's response holds."""
-    payload = F.coalesce("payload", F.lit(""))
-    known = scratch.table(pages.select("id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= min_bytes), "digests")
+    """(id, digest, size, refers_to) of the rows whose payload another row's response holds."""
+    known = scratch.table(pages.select("id", *_payload_key()).where(F.col("size") >= min_bytes), "digests")
     groups = known.groupBy("digest", "size").agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).where("least < refers_to").drop("least")
-    return known.join(scratch.table(groups, "groups"), ["digest", "size"]).where("id < refers_to").select("id", "refers_to").distinct()
+    found = known.join(scratch.table(groups, "groups"), ["digest", "size"]).where("id < refers_to").select("id", "digest", "size", "refers_to").distinct()
+    found = scratch.table(found, "revisits")
+    scratch.drop(known)
+    return found
+
+
+def _payload_key():
+    payload = F.coalesce("payload", F.lit(""))
+    return F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")
+
+
+def sweep(index: DataFrame, folder: str) -> int:
+    """Remove the archives of ``folder`` that the index does not name; returns how many. One name per task comes to the driver."""
+    fs, base = open_path(folder)
+    known = {open_path(r["file"])[1] for r in index.select("file").distinct().collect()}
+    lost = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(base)) if f.path.endswith(".warc.gz") and f.path not in known]
+    for path in lost:
+        fs.delete_file(path)
+    return len(lost)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -129,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     fs, base = open_path(folder)
     fs.create_dir(base, recursive=True)
     others = revisits(rows, scratch, min_bytes)
-    marked = rows.join(others.hint("merge"), "id", "left")
+    marked = rows.select("*", *_payload_key()).join(others.hint("merge"), ["id", "digest", "size"], "left")
     return scratch.table(marked.select("id", "url", "payload", "refers_to").mapInArrow(lambda b: _write(b, folder), INDEX.format(id=kind)), "index")
 
 
@@ -146,9 +168,13 @@ def ranges(offsets: list[int], lengths: list[int], gap: int, span: int) -> Itera
 
 
 def _read(batches, gap: int, span: int, with_payload: bool):
+    """Records of index rows in their order; a batch goes out when its payloads reach ``span`` bytes."""
+    kinds = {c: pa.int64() if c == "payload_bytes" else pa.string() for c in ("id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")}
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], list(out))
+    urn = lambda v: v[len("<urn:page:") : -1] or None if v else None
     name, handle = None, None
     for batch in batches:
-        out = {c: [] for c in ("id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")}
+        out, held = {c: [] for c in kinds}, 0
         files = batch.column("file").to_pylist()
         offsets, lengths = batch.column("offset").to_pylist(), batch.column("length").to_pylist()
         lo = 0
@@ -170,17 +196,15 @@ def _read(batches, gap: int, span: int, with_payload: bool):
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if fields["WARC-Type"] == "response" and (base32_sha1(body) != digest or len(body) != int(fields["X-Payload-Length"])):
                         raise ValueError(f"damaged record at {offsets[r]} of {name}")
-                    urn = lambda v: v[len("<urn:page:") : -1] or None if v else None
-                    out["id"].append(urn(fields["WARC-Record-ID"]))
-                    out["url"].append(fields["WARC-Target-URI"])
-                    out["payload_bytes"].append(int(fields["X-Payload-Length"]))
-                    out["payload_digest"].append(digest)
-                    out["record_type"].append(fields["WARC-Type"])
-                    out["refers_to"].append(urn(fields.get("WARC-Refers-To")))
-                    out["payload"].append(body.decode() if with_payload else None)
+                    row = (urn(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], urn(fields.get("WARC-Refers-To")), body.decode() if with_payload else None)
+                    for c, v in zip(out, row):
+                        out[c].append(v)
+                    held += len(body) if with_payload else 0
+                    if held > span:
+                        yield made(out)
+                        out, held = {c: [] for c in kinds}, 0
             lo = hi
-        kinds = [pa.int64() if c == "payload_bytes" else pa.string() for c in out]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
+        yield made(out)
     if handle is not None:
         handle.close()
 

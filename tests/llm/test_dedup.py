@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 from compare import connect, rows_of
+from pyspark.sql import functions as F
 
 from quantloom.llm import sql
 from quantloom.llm.decontaminate import contained_items, decontaminate
@@ -132,6 +133,18 @@ def test_contained_items_edge(spark, edge):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in edge.collect() if r.doc_id not in hit)
 
 
+def test_items_without_ids_and_repeated_rows(spark):
+    from fixtures import prose
+
+    leak = prose(2, 20)
+    it = spark.createDataFrame([(None, leak), (None, leak), (4, prose(3, 20)), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + leak), (1, "x " + leak), (None, leak + " y"), (2, prose(9, 50))], "doc_id long, text string").withColumns({"item": F.lit(1), "id": F.lit("clash")})
+    got = sorted(((r.doc_id, r.item_id) for r in contained_items(docs, it, block_items=2).collect()), key=repr)
+    assert got == sorted([(1, None)] * 4 + [(None, None)] * 2, key=repr)
+    assert [(r.doc_id, r.id) for r in decontaminate(docs, it).collect()] == [(2, "clash")]
+    assert decontaminate(docs, it, block_bytes=10).count() == 1
+
+
 def test_empty_tables(spark, empty, edge):
     assert near_duplicates(empty).collect() == substring_dedup(empty).collect() == []
     none = items(spark).where("false")

@@ -26,9 +26,10 @@ from quantloom.llm.toxicity import _NORMS, DECAY, GAPS, ToxicModel, letter_codes
 from quantloom.llm.toxicity import train as train_toxicity
 from quantloom.llm.url_filter import filter_urls
 from quantloom.llm.url_filter import train as train_urls
-from quantloom.llm.warc import archive_round_trip, ranges, read_archives, write_archives
+from quantloom.llm.warc import archive_round_trip, open_path, ranges, read_archives, sweep, write_archives
 from quantloom.llm.words import slices
 from quantloom.runtime import table
+from quantloom.scratch import Scratch
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -306,6 +307,23 @@ def test_warc(spark, sf, empty):
     assert archive_round_trip(pages.where("false")).collect() == []
 
 
+def test_warc_rows_of_one_id(spark, edge):
+    """One id with different payloads, repeated rows, null ids, columns that clash; no payload is lost."""
+    rows = [(1, "u", "one"), (1, "u", "two"), (1, "u", "two"), (2, "u", "two"), (3, "u", "one"), (None, "u", "one"), (None, "u", "own"), (4, "u", "x" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"id": F.lit("clash"), "digest": F.lit("clash"), "file": F.lit(1)}).repartition(3)
+    folder = Scratch(spark, "test").path("archives")
+    index = write_archives(pages, folder)
+    for span in (1 << 20, 100):
+        got = sorted(((r.id, r.payload, r.record_type, r.refers_to) for r in read_archives(index, span=span).collect()), key=repr)
+        want = [(1, "", "revisit", 3), (1, "", "revisit", 2), (1, "", "revisit", 2), (2, "two", "response", None), (3, "one", "response", None), (None, "one", "response", None), (None, "own", "response", None), (4, "x" * 5000, "response", None)]
+        assert got == sorted(want, key=repr)
+    (r,) = index.select("file").limit(1).collect()
+    lost = open_path(folder)[1] + "/part-lost.warc.gz"
+    with open(lost, "wb") as f:
+        f.write(b"attempt")
+    assert sweep(index, folder) == 1 and sweep(index, folder) == 0 and read_archives(index).count() == len(rows)
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
