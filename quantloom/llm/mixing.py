@@ -16,7 +16,8 @@ by id), so that the taken tokens of any run of sizes stay within one document of
 the expected ones. The running sums are taken in two levels - size groups and,
 inside a group of equal size, the rank modulo hash ranges - see ``_rounded``.
 What remains between taken and target is closed, where a single document can do
-it, by adding or dropping one copy of the document nearest in size to the gap.
+it, by adding or dropping one copy of the document nearest in size to the gap, as
+long as that brings the source nearer to its target (``repairs`` times at most).
 
 Targets: sources in code-point order (null last) have the given weights, repeated
 in turn; together they share ``share`` of all tokens; a source whose part exceeds
@@ -38,16 +39,13 @@ from pyspark.sql import functions as F
 from quantloom.scratch import Scratch
 
 
-#: Tokens are runs of characters other than these.
-SPACES = r"[\x20\x09-\x0D]+"
+#: Tokens are runs of characters other than spaces; each begins where a space, or nothing, stands before it.
+TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def token_count(text: Column) -> Column:
     """Number of maximal runs without space characters; null: 0."""
-    parts = F.split(text, SPACES)
-    edge = lambda at: (F.element_at(parts, at) == "").cast("int")  # noqa: E731  a leading or trailing separator leaves an empty part
-    n = F.size(parts) - edge(1) - F.when(F.size(parts) > 1, edge(-1)).otherwise(0)
-    return F.when(text.isNull(), 0).otherwise(n).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -109,7 +107,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, scratch: Scratch, cap: float
     return state.select("source", "lam", "scale")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", groups: int = 256, repairs: int = 3, row_col: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", groups: int = 256, repairs: int = 12, row_col: str | None = None) -> DataFrame:
     """Per document: id, size, source_size, target, rate, copies, taken (= copies * size); first ``row_col``, a unique number, if it is given."""
     scratch = Scratch(docs.sparkSession, "mixing")
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()

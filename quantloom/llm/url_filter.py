@@ -2,8 +2,8 @@
 
 Model. Host and path are cut into character n-grams (3 to 5, with boundary marks,
 host and path apart), hashed to ``2**bits`` buckets; a logistic regression over
-the buckets' shares is fitted by Spark ML (L-BFGS in the JVM) on ``TRAINING``, a
-small labelled table of URLs. Its bounded coefficient vector becomes an array
+the buckets' shares is fitted by Spark ML (L-BFGS in the JVM) on a small labelled table
+of URLs (``url_table``), one partition of it. Its bounded coefficient vector becomes an array
 literal, and a URL is scored by higher-order functions inside the scan's stage:
 no shuffle, no Python.
 
@@ -15,7 +15,9 @@ probability reaches ``threshold``.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no
 rule and gets the model's verdict on nothing. Host letters A-Z are lower-cased;
-user names and ports stay part of the host. Repeated rows each get their verdict.
+user names and ports stay part of the host. Repeated rows, and rows without id,
+each get their verdict. Other columns are ignored, whatever their names. Equal
+probabilities of both verdicts (exactly the threshold) block.
 """
 
 from __future__ import annotations
@@ -25,30 +27,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-_BLOCK = """cheap-pills.example.com/en/12 www.cheap-pills.example.com/fr/9 cheap-meds.test/buy pills-online.test/order/1
-free-bets.example.com/de/4 m.free-bets.example.com/en/77 bets-casino.test/win live-bets.test/odds/2 spam-farm.example.org/en/3
-www.spam-farm.example.org/es/8 link-farm.test/a/1 spam-links.test/x ads-track.example.org/en/5 ads-track.example.com/fr/1 track-ads.test/pixel
-ad-tracker.test/click casino-bonus.test/spin poker-win.test/play slots-free.test/jackpot viagra-shop.test/cart replica-watches.test/sale
-payday-loans.test/apply cheap-viagra.test/buy/now free-casino.test/bonus adult-cams.test/live xxx-videos.test/hot hot-singles.test/join
-torrent-crack.test/download warez-keygen.test/serial click-bait.test/win-prize lottery-winner.test/claim weight-loss-pills.test/order
-crypto-doubler.test/invest fake-invoice.test/pay phishing-login.test/verify account-verify.test/login pop-ads.test/serve banner-ads.test/img
-free-spins.test/now cheap-replica.test/bags seo-backlinks.test/buy spam-bot.test/post"""
-_ALLOW = """ththre.example.com/fr/825 m.ththth.example.net/en/25 thther.example.org/en/685 www.therti.example.org/en/196 blog.tionsh.example.net/en/633
-www.therer.example.com/fr/144.html ththin.example.com/fr/92.html blog.ththan.example.net/de/503 news.example.com/en/12 docs.example.org/guide/install
-www.library.test/catalog/8 university.test/courses/math museum.test/exhibits/5 journal.test/articles/2021/4 wiki.test/page/history
-blog.garden.test/roses recipes.test/soup/lentil weather.test/today/paris city.test/council/minutes science.test/papers/77 school.test/classes
-health.test/advice/sleep sports.test/results/2 travel.test/guides/rome music.test/albums/9 films.test/reviews/3 forum.test/thread/55
-gov.test/forms/tax bank.test/about shop.test/products/chair books.test/title/novel maps.test/roads/a1 photos.test/albums/sea
-code.test/project/readme status.test/uptime mail.test/help podcast.test/episode/12 theatre.test/plays/hamlet www.therre.example.com/de/839
-therea.example.net/de/833 blog.ththly.example.org/en/751 ththtion.example.net/es/41 www.tionble.example.com/fr/10"""
-#: Small labelled table: (url, 1 block or 0 allow).
-TRAINING = [(f"https://{u}", 1) for u in _BLOCK.split()] + [(f"https://{u}", 0) for u in _ALLOW.split()]
-
-
 def host_of(url: Column) -> Column:
     found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(found, UPPER, LOWER), F.lit(""))
@@ -80,17 +64,19 @@ def gram_buckets(host: Column, path: Column, bits: int) -> Column:
     return F.transform(F.concat(*parts), lambda g: F.pmod(F.xxhash64(g), F.lit(1 << bits)).cast("int"))
 
 
-def train(spark: SparkSession, rows: list[tuple[str, int]] = TRAINING, bits: int = 11, ridge: float = 1e-4, rounds: int = 30) -> tuple[list[float], float]:
+def train(spark: SparkSession, rows: list[tuple[str, int]] | None = None, bits: int = 11, ridge: float = 1e-4, rounds: int = 30) -> tuple[list[float], float]:
     """Coefficients and intercept, fitted on the small labelled table."""
+    rows = url_table.rows() if rows is None else rows
     values = ", ".join(f"({i}, '{u}', {y})" for i, (u, y) in enumerate(rows))
-    table = spark.sql(f"SELECT row, url, CAST(y AS DOUBLE) AS label FROM VALUES {values} AS t(row, url, y)")
+    table = spark.sql(f"SELECT row, url, CAST(y AS DOUBLE) AS label FROM VALUES {values} AS t(row, url, y)").coalesce(1)
     dims = 1 << bits
     buckets = gram_buckets(host_of(F.col("url")), path_of(F.col("url")), bits)
     named = table.select("row", "label", buckets.alias("b")).select("row", "label", F.size("b").alias("n"), F.explode("b").alias("bucket"))
-    cells = named.groupBy("row", "label", "bucket").agg((F.count("*") / F.sqrt(F.first("n"))).alias("x"))
+    cells = named.groupBy("row", "label", "bucket").agg((F.count("*") / F.sqrt(F.first("n"))).alias("x"))  # one partition: nothing is shuffled
     cells = cells.groupBy("row", "label").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
     dense = cells.select("label", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
-    model = LogisticRegression(regParam=ridge, standardization=False, maxIter=rounds).fit(dense.coalesce(1).select("label", array_to_vector("x").alias("features")))
+    features = dense.select("label", array_to_vector("x").alias("features"))
+    model = LogisticRegression(regParam=ridge, standardization=False, maxIter=rounds).fit(features)
     return [float(c) for c in model.coefficients], float(model.intercept)
 
 
