@@ -255,23 +255,36 @@ def sentence_hashes(letters: np.ndarray, first: np.ndarray, last: np.ndarray, se
     return starts, mix(_ranges(_BYTES[letters], _BASE, a, b) + (b - a).astype(np.uint64)).view(np.int64)
 
 
-def _sentence_units(batches):
-    """Units of each sentence, with the hashes of the sentence and of the whole text, and the label; run: 1 if the unit is no piece of the sentence."""
+def _sentences(batches):
+    """(sentence, doc, toxic, text): each sentence with the hashes of its letters and of its whole text's, and the label."""
     for batch in batches:
-        toxic = batch.column(1).to_numpy()
-        for w in slices(batch.column(0), max_bytes=1 << 18):
-            letters, first, last, text, run, sentence = unit_ranges(w)
+        for w in slices(batch.column(0), max_bytes=1 << 19):
+            letters, first, last, text, _, sentence = unit_ranges(w)
             if not len(first):
                 continue
             starts, hashes = sentence_hashes(letters, first, last, sentence)
-            of = np.repeat(hashes, np.diff(np.r_[starts, len(first)]))
             _, docs = sentence_hashes(letters, first, last, text)
-            docs = docs[np.cumsum(np.r_[False, text[1:] != text[:-1]])]
+            of = np.cumsum(np.r_[False, text[1:] != text[:-1]])[starts]
+            at = np.flatnonzero(letter_codes(w.data))
+            begin, end = at[np.minimum.reduceat(first, starts)], at[np.maximum.reduceat(last, starts) - 1] + 1
+            for _ in range(3):  # to the byte that begins a character
+                begin = begin - ((w.data[begin] & 0xC0) == 0x80)
+            raw = w.data.tobytes()
+            cut = pa.array([raw[i:j].decode(errors="replace") for i, j in zip(begin.tolist(), end.tolist())], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(docs[of]), batch.column(1).take(pa.array(w.first + text[starts])), cut], ["sentence", "doc", "toxic", "text"])
+
+
+def _document_units(batches):
+    """Distinct units of each document, with its label; run: 1 if a unit is nowhere a piece of its document."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy()
+        for w in slices(batch.column(0), max_bytes=1 << 18):
+            letters, first, last, text, run, _ = unit_ranges(w)
             raw, seen = letters.tobytes(), {}
-            for h, d, t, a, b, r in zip(of.tolist(), docs.tolist(), text.tolist(), first.tolist(), last.tolist(), run.tolist()):
-                key = h, int(toxic[w.first + t]), raw[a:b], d
-                seen[key] = r and seen.get(key, True)
-            yield pa.RecordBatch.from_arrays([pa.array([marked(u) for _, _, u, _ in seen], pa.binary()), pa.array([h for h, *_ in seen], pa.int64()), pa.array([d for *_, d in seen], pa.int64()), pa.array([t for _, t, *_ in seen], pa.int32()), pa.array([int(r) for r in seen.values()], pa.int32())], ["unit", "sentence", "doc", "toxic", "run"])
+            for t, a, b, r in zip(text.tolist(), first.tolist(), last.tolist(), run.tolist()):
+                seen[t, raw[a:b]] = r and seen.get((t, raw[a:b]), True)
+            rows = w.first + np.array([t for t, _ in seen], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([marked(u) for _, u in seen], pa.binary()), pa.array(toxic[rows], pa.int32()), pa.array([int(r) for r in seen.values()], pa.int32())], ["unit", "toxic", "run"])
 
 
 def _best_sentences(batches, shared):
@@ -395,9 +408,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean:
         return None
     seen = sample.where("fold <> 0")
     # a sentence speaks for one of the documents that hold it, and a document once for a unit
-    held = seen.select("text", "toxic").mapInArrow(_sentence_units, "unit binary, sentence long, doc long, toxic int, run int").groupBy("unit", "sentence", "toxic").agg(F.min("doc").alias("doc"), F.min("run").alias("run"))
-    once = held.groupBy("unit", "toxic", "doc").agg(F.min("run").alias("run"))
-    units = once.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.min("run").alias("run"))
+    told = seen.select("text", "toxic").mapInArrow(_sentences, "sentence long, doc long, toxic int, text string").groupBy("sentence", "toxic").agg(F.min(F.struct("doc", "text")).alias("s"))
+    told = told.groupBy("toxic", F.col("s.doc").alias("doc")).agg(F.array_join(F.array_sort(F.collect_list("s.text")), "\n").alias("text")).select("text", "toxic")
+    units = told.mapInArrow(_document_units, "unit binary, toxic int, run int").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.min("run").alias("run"))
     units = scratch.table(units, "units")
     enriched, common, others = _landmark_units(units, n_tox, n_clean, negatives)
     if not enriched or not common:
