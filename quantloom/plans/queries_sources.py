@@ -311,7 +311,7 @@ def flt_seen_features(spark, sf):
 
 
 @query(with_ctes(
-    "SELECT k.feature, s.sample, round(coalesce(h.x, k.mid), 6) AS x FROM (SELECT feature, median(x) AS mid FROM h GROUP BY feature HAVING count(*) >= 6) k CROSS JOIN (SELECT DISTINCT sample FROM h) s LEFT JOIN h ON h.feature = k.feature AND h.sample = s.sample", "v",
+    "SELECT k.feature, s.sample, round(coalesce(h.x, k.mid), 6) AS x FROM (SELECT feature, median(x) AS mid FROM h GROUP BY feature HAVING count(*) >= 0.5 * (SELECT count(DISTINCT sample) FROM h)) k CROSS JOIN (SELECT DISTINCT sample FROM h) s LEFT JOIN h ON h.feature = k.feature AND h.sample = s.sample", "v",
     h="SELECT feature, sample, x FROM v WHERE CAST(substr(sample, 2) AS INT) >= feature % 11"))
 def flt_half_density(spark, sf):
     """FLT-13: features seen in half of the samples, gaps filled by their median."""
