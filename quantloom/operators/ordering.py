@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.scratch import Scratch
 
 
-def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, *order, within: tuple[str, ...] = (), name: str = "position", scratch: Scratch | None = None) -> DataFrame:
     """Adds the row's place, from 1, in the total order of ``order`` (columns or sort expressions).
 
     Rows are range-partitioned and sorted; only the partitions' sizes meet in one
     place. The sorted rows are written once, so that places do not change when a
-    task is repeated.
+    task is repeated. ``within``: columns whose groups count anew; they must lead
+    ``order``. A group may span any number of partitions: only its share of each
+    partition is counted, and rows meet these counts by partition and group.
     """
     by = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id() % (1 << 33)})
-    rows = Scratch(df.sparkSession, "numbered").table(placed, "sorted")
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = rows.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(starts, "_p").withColumn(name, F.col("_start") + F.col("_i") + 1).drop("_p", "_i", "_start")
+    rows = (scratch or Scratch(df.sparkSession, "numbered")).table(placed, "sorted")
+    if not within:
+        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+        starts = rows.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        return rows.join(starts, "_p").withColumn(name, F.col("_start") + F.col("_i") + 1).drop("_p", "_i", "_start")
+    before = Window.partitionBy(*within).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition that the group touches
+    shares = rows.groupBy("_p", *within).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    starts = shares.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_w{k}") for k, c in enumerate(within)], (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    met = (F.col("_p") == F.col("_q")) & reduce(and_, (F.col(c).eqNullSafe(F.col(f"_w{k}")) for k, c in enumerate(within)))
+    return rows.join(starts, met).withColumn(name, F.col("_start") + F.col("_i") + 1).drop("_p", "_i", "_q", "_start", *[f"_w{k}" for k in range(len(within))])

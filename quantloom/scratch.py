@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -21,17 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_roots: dict[str, SparkSession] = {}
+
+
+def clear() -> None:
+    """Remove every scratch table of this process; called at its end, and by tests when no result is read any more."""
+    while _roots:
+        root, spark = _roots.popitem()
+        with contextlib.suppress(Exception):  # the session has ended: its folder goes with the cluster
+            remove(spark, root)
+
+
+atexit.register(clear)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Writes DataFrames as Parquet tables to the shared folder and reads them back.
 
     A written table cuts lineage, survives lost executors and is read in columns.
     ``drop`` removes tables that no later plan reads; ``keep`` writes a result and
-    removes every other table of this scratch.
+    removes every other table of this scratch. What is left goes when the process
+    that made it ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _roots[self.root] = spark
         self._n = 0
         self._live: set[str] = set()
 
@@ -60,6 +83,4 @@ class Scratch:
             self._live.discard(t._scratch_path)
 
     def remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, path)
