@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.runtime import table
 
+from .conversations import repair
 from .decontaminate import contained_items
 from .language import language_id
 from .license_scan import license_scan
+from .merkle import audited
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .packing import pack
 from .quality import quality
 from .quality import train as train_quality
 from .sql import ORACLES
@@ -66,8 +69,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), min_words=50)
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), max_tokens=1024, tokenizer="byte_bpe_50k.json", end_id=2)
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir, "documents"), every=3)
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op2_license_scan, op3_warc, op4_decontaminate, op5_toxicity, op6_url_filter, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_quality)}
+    return {q.__name__: q for q in (op1_near_dedup, op2_license_scan, op3_warc, op4_decontaminate, op5_toxicity, op6_url_filter, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_quality, op11_pack, op12_repair_conversations, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
