@@ -278,11 +278,14 @@ def batch_variance(df: DataFrame, value: str = "x") -> DataFrame:
     return df.groupBy("batch").agg(F.avg(value).alias("m")).agg(F.var_pop("m").alias("v"))
 
 
-def evaluate(df: DataFrame, before: str = "x_before", after: str = "x_after", reference: str = "reference", qc: str = "qc") -> DataFrame:
+def evaluate(df: DataFrame, before: str = "x_before", after: str = "x_after", reference: str = "reference", qc: str = "qc", min_qc_improvement: float = 0.0, max_overfitting_ratio: float = 2.0, worsen_tolerance: float = 0.1) -> DataFrame:
     """One row: CVs before and after, improvements, overfitting ratio, batch variances, passed.
 
-    Fails if the reference improves more than twice as much as the qc samples, or
-    if the qc CV gets worse by more than a tenth.
+    Fails if the qc samples gain less than ``min_qc_improvement``, if the reference
+    gains more than ``max_overfitting_ratio`` times as much as they do, or if their
+    CV grows by more than ``worsen_tolerance``. The ratio is infinite (and no failure
+    by itself) if only the reference gains, 1 if neither does. A CV of 0 gains 0; one
+    that cannot be worked out fails nothing.
     """
     def cv(col, kind):
         v = F.pow(F.lit(2.0), F.col(col))
@@ -292,20 +295,23 @@ def evaluate(df: DataFrame, before: str = "x_before", after: str = "x_after", re
     row = parts[0]
     for p in parts[1:]:
         row = row.join(p, F.lit(True))
-    gain = lambda k: F.try_divide(F.col(f"{k}_{before}") - F.col(f"{k}_{after}"), F.col(f"{k}_{before}"))
+    gain = lambda k: F.when(F.col(f"{k}_{before}") > 0, (F.col(f"{k}_{before}") - F.col(f"{k}_{after}")) / F.col(f"{k}_{before}")).otherwise(0.0)
     row = row.withColumns({"ref_gain": gain(reference), "qc_gain": gain(qc)})
-    row = row.withColumn("overfit", F.when(F.col("qc_gain") > 0, F.col("ref_gain") / F.col("qc_gain")))
-    passed = ~F.coalesce(F.col("overfit") > 2, F.lit(False)) & F.coalesce(F.col(f"{qc}_{after}") <= 1.1 * F.col(f"{qc}_{before}"), F.lit(True))
+    row = row.withColumn("overfit", F.when(F.col("qc_gain") > 0, F.col("ref_gain") / F.col("qc_gain")).when(F.col("ref_gain") > 0, float("inf")).otherwise(1.0))
+    enough = F.coalesce(F.col("qc_gain") >= min_qc_improvement, F.lit(True))
+    overfitted = F.coalesce((F.col("qc_gain") > 0) & (F.col("overfit") > max_overfitting_ratio), F.lit(False))
+    steady = F.coalesce(F.col(f"{qc}_{after}") <= (1 + worsen_tolerance) * F.col(f"{qc}_{before}"), F.lit(True))
+    passed = enough & ~overfitted & steady
     return row.withColumn("passed", passed)
 
 
-def corrected_or_original(df: DataFrame, **options) -> DataFrame:
-    """Correct, evaluate, and keep the original values where the evaluation fails. Adds column ``corrected``."""
+def corrected_or_original(df: DataFrame, limits: dict[str, float] | None = None, **options) -> DataFrame:
+    """Correct, evaluate (``limits``: those of ``evaluate``), and keep the original values where the evaluation fails. Adds column ``corrected``."""
     scratch = Scratch(df.sparkSession, "verdict")
     df = scratch.table(df, "input")
     fixed = combat(df, **options).select("feature", "sample", F.col("x").alias("x_after"))
     both = scratch.table(df.withColumnRenamed("x", "x_before").join(fixed, ["feature", "sample"]), "both")
-    verdict = evaluate(both).select("passed")
+    verdict = evaluate(both, **(limits or {})).select("passed")
     return both.join(verdict, F.lit(True)).select(*[c for c in df.columns if c != "x"], F.when(F.col("passed"), F.col("x_after")).otherwise(F.col("x_before")).alias("x"), F.col("passed").alias("corrected"))
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: 64-bit words of the bit set that tells which pieces of a length may begin a needle: 256 KiB.
+FILTER_WORDS = 1 << 15
+#: Lengths that seeds may have; letters of a text's block; letters that a piece carries.
+SEEDS, BLOCK, NEAR = (1, 2, 3, 4, 6, 8, 12, 16), 1024, 64
+
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, width: float) -> DataFrame:
     """Rows with lo <= point < hi. Intervals are dealt to every bucket of ``width`` that they touch; points to one.
@@ -53,16 +60,29 @@ def keyed_fallback(left: DataFrame, tables: list[tuple[DataFrame, Column | str,
 def substring_join(needles: DataFrame, haystack: DataFrame, needle: str, text: str, key: list[str]) -> DataFrame:
     """(needle, key..., at): every place (from 1) of every needle in the texts of ``haystack``, named by ``key``.
 
-    Texts give their pieces of the shortest needle's length only; these meet the
-    needles by their beginnings. Pieces carry the key, not the text; what met is
+    Needles fall into length classes, each with its own seed length (the longest of
+    ``SEEDS`` that its needles have); a class of short needles does not shorten the
+    seeds of the others. Texts are taken in blocks of ``BLOCK`` letters. A place
+    becomes a row only if its piece may be a seed: the seeds of a length are a hashed
+    bit set of fixed size, which is broadcast. Pieces carry the key and the ``NEAR``
+    letters from the place on, in which most needles are confirmed; longer needles are
     compared with the text in full.
     """
-    wanted = needles.select(needle).where(F.length(needle) > 0).distinct()
-    k = wanted.agg(F.min(F.length(needle))).first()[0]
-    if k is None:
-        return haystack.select(F.lit(None).cast("string").alias(needle), *key, F.lit(0).alias("at")).limit(0)
-    places = F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    pieces = haystack.select(*key, F.explode(F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(text, i, F.lit(k)).alias("piece")))).alias("p")).select(*key, "p.at", "p.piece")
-    met = pieces.join(wanted.withColumn("piece", F.substring(needle, 1, k)), "piece").drop("piece")
-    whole = F.substring(F.col(text), F.col("at"), F.length(needle)) == F.col(needle)
-    return met.join(haystack.select(*key, text), key).where(whole).select(needle, *key, "at")
+    wanted = needles.select(F.col(needle).alias("_w")).where(F.length("_w") > 0).distinct()
+    size = reduce(lambda c, k: F.when(F.length("_w") >= k, k).otherwise(c), SEEDS[1:], F.lit(SEEDS[0]))
+    wanted = wanted.withColumn("_k", size).withColumn("_piece", F.expr("substring(_w, 1, _k)"))
+    bit, word = "pmod(xxhash64({p}), 64)", f"CAST(pmod(xxhash64({{p}}), {FILTER_WORDS * 64}) div 64 AS INT)"
+    mask = f"shiftleft(1L, CAST({bit} AS INT))"
+    words = wanted.groupBy("_k", F.expr(word.format(p="_piece")).alias("_i")).agg(F.bit_or(F.expr(mask.format(p="_piece"))).alias("_b"))
+    filters = words.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_b"))).alias("_m"))
+    filters = filters.select("_k", F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))).alias("_f"))
+    texts = haystack.select(*key, F.col(text).alias("_t")).where(F.length(text) > 0)
+    blocks = texts.withColumn("_start", F.explode(F.expr(f"sequence(1, length(_t), {BLOCK})"))).select(*key, "_start", F.expr(f"substring(_t, _start, {BLOCK + NEAR - 1})").alias("_t"))
+    rows = blocks.join(F.broadcast(filters), F.length("_t") >= F.col("_k"))  # a row for each seed length: as many as SEEDS at most
+    held = f"filter(transform(sequence(1, least({BLOCK}, length(_t) - _k + 1)), i -> named_struct('at', i, 'p', substring(_t, i, _k))), s -> (element_at(_f, {word.format(p='s.p')} + 1) & {mask.format(p='s.p')}) <> 0)"
+    pieces = rows.select(*key, "_k", "_start", "_t", F.explode(F.expr(held)).alias("_s"))
+    pieces = pieces.select(*key, "_k", (F.col("_start") + F.col("_s.at") - 1).alias("at"), F.col("_s.p").alias("_piece"), F.expr(f"substring(_t, _s.at, {NEAR})").alias("_near"))
+    met = pieces.join(wanted, ["_k", "_piece"]).where(f"startswith(_near, substring(_w, 1, {NEAR}))").select("_w", *key, "at")
+    short = met.where(F.length("_w") <= NEAR)
+    long = met.where(F.length("_w") > NEAR).join(haystack.select(*key, F.col(text).alias("_t")), key).where("substring(_t, at, length(_w)) = _w").select("_w", *key, "at")
+    return short.unionByName(long).withColumnRenamed("_w", needle)

@@ -69,11 +69,22 @@ def median_polish_residuals(m: DataFrame, key: str, row: str, max_sweeps: int =
     return m.select(key, row, "sample", "x").groupBy(key).applyInPandas(one, f"{key} {kind}, {row} {row_kind}, sample string, residual double, row_effect double, column_effect double, overall double")
 
 
+def tricube(ratio: np.ndarray) -> np.ndarray:
+    """Weights by distance, as a share of the window's reach."""
+    return np.where(ratio < 0.999, np.where(ratio <= 0.001, 1.0, (1 - ratio**3) ** 3), 0.0)
+
+
+def bisquare(u: np.ndarray) -> np.ndarray:
+    """Weights by residual, as a share of six scales."""
+    return np.where(u <= 0.001, 1.0, np.where(u < 0.999, (1 - u**2) ** 2, 0.0))
+
+
 def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.3, rounds: int = 3, delta: float = 0.0) -> np.ndarray:
     """Robust locally weighted line at each point of sorted x.
 
-    Points nearer than ``delta`` to the last fitted one are interpolated. Anchors
-    are fitted together: their windows are rows of one matrix, in blocks.
+    Points nearer than ``delta`` to the last fitted one are interpolated; points of one
+    time share a fit. Anchors are fitted together: their windows are rows of one
+    matrix, in blocks.
     """
     n = len(x)
     k = min(n, max(2, int(frac * n + 1e-10)))
@@ -83,6 +94,7 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.3, rounds: int = 3, del
         nxt = max(last + 1, int(np.searchsorted(x, x[last] + delta, "right")) - 1) if delta > 0 else last + 1
         anchors.append(min(nxt, n - 1))
     at = np.array(anchors)
+    at = at[np.r_[True, np.diff(x[at]) > 0]]
     left = np.clip(at - k // 2, 0, n - k)
     # the k nearest neighbours of sorted points are a run: move it while the far end is nearer
     moving = True
@@ -103,7 +115,7 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.3, rounds: int = 3, del
             dist = np.abs(xs - x[a][:, None])
             reach = np.maximum(dist.max(1), 1e-300)[:, None]
             ratio = dist / reach
-            w = np.where(ratio < 0.999, np.where(ratio <= 0.001, 1.0, (1 - ratio**3) ** 3), 0.0) * robust[idx]
+            w = tricube(ratio) * robust[idx]
             total = w.sum(1)
             safe = np.where(total > 0, total, 1)
             xm, ym = (w * xs).sum(1) / safe, (w * ys).sum(1) / safe
@@ -112,15 +124,14 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.3, rounds: int = 3, del
             line = np.sqrt(sxx) > 0.001 * (x[-1] - x[0])
             v = np.where(line, ym + np.where(line, sxy, 0) / np.where(line, sxx, 1) * (x[a] - xm), ym)
             value[lo : lo + block] = np.where(total > 0, v, y[a])
-        fit = np.interp(x, x[at], value) if len(np.unique(x[at])) == len(at) else np.interp(np.arange(n), at, value)
+        fit = np.interp(x, x[at], value)
         if sweep == rounds:
             break
         resid = np.abs(y - fit)
         scale = np.median(resid)
         if scale <= 0:
             break
-        u = resid / (6 * scale)
-        robust = np.where(u <= 0.001, 1.0, np.where(u < 0.999, (1 - u**2) ** 2, 0.0))
+        robust = bisquare(resid / (6 * scale))
     return fit
 
 
@@ -131,33 +142,3 @@ def principal_scores(gram: np.ndarray, n: int = 2) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(values)[::-1][:n]
     kept = np.maximum(values[order], 0)
     return vectors[:, order] * np.sqrt(kept), kept / max(values[values > 0].sum(), 1e-300)
-
-
-def nelder_mead(f, start: np.ndarray, step: float = 0.25, rounds: int = 200, tolerance: float = 1e-6) -> np.ndarray:
-    """Simplex search for a minimum; small parameter counts only."""
-    n = len(start)
-    simplex = [np.array(start, float)] + [np.array(start, float) + step * (np.abs(start[i]) + 0.1) * np.eye(n)[i] for i in range(n)]
-    score = [f(p) for p in simplex]
-    for _ in range(rounds):
-        order = np.argsort(score)
-        simplex, score = [simplex[i] for i in order], [score[i] for i in order]
-        if abs(score[-1] - score[0]) < tolerance:
-            break
-        centre = np.mean(simplex[:-1], axis=0)
-        far = centre + (centre - simplex[-1])
-        s = f(far)
-        if s < score[0]:
-            further = centre + 2 * (centre - simplex[-1])
-            t = f(further)
-            simplex[-1], score[-1] = (further, t) if t < s else (far, s)
-        elif s < score[-2]:
-            simplex[-1], score[-1] = far, s
-        else:
-            near = centre + 0.5 * (simplex[-1] - centre)
-            t = f(near)
-            if t < score[-1]:
-                simplex[-1], score[-1] = near, t
-            else:
-                simplex = [simplex[0]] + [simplex[0] + 0.5 * (p - simplex[0]) for p in simplex[1:]]
-                score = [score[0]] + [f(p) for p in simplex[1:]]
-    return simplex[int(np.argmin(score))]

@@ -198,6 +198,23 @@ def isotope_pattern(mass: Column, n: int = 5) -> Column:
     return F.transform(terms, lambda t: t / F.array_max(terms))
 
 
-def isotope_scale(df: DataFrame, least: float = 0.1) -> DataFrame:
-    """(key, sample, scale): the smallest ratio of observed to expected over the major isotopes: interference only adds."""
-    return df.where(F.col("expected") >= least).groupBy("key", "sample").agg(F.min(F.greatest("observed", F.lit(0.0)) / F.col("expected")).alias("scale"), F.count("*").alias("n"))
+def isotope_correction(df: DataFrame, major: float = 0.5, tolerance: float = 0.01) -> DataFrame:
+    """(key, sample, scale, n, corrected_total, interfered, corrected) of rows (key, sample, isotope, observed, expected).
+
+    Interference only adds, so the smallest ratio of observed to expected over the
+    major isotopes (at least ``major`` times the largest expected) is the scale.
+    ``corrected_total`` is the scale times all that is expected. What exceeds its
+    share by more than ``tolerance`` is cut to it (``corrected``, by isotope), and
+    the major isotopes of these are ``interfered``. Without an expected intensity
+    there is nothing to correct: the observed total stands.
+    """
+    rows = df.select("key", "sample", "isotope", F.greatest("observed", F.lit(0.0)).alias("o"), F.col("expected").cast("double").alias("e"))
+    sets = rows.groupBy("key", "sample").agg(F.array_sort(F.collect_list(F.struct("isotope", "o", "e"))).alias("p"), F.max("e").alias("_top"), F.sum("e").alias("_sum"), F.sum("o").alias("_seen"))
+    main = F.filter("p", lambda r: (r["e"] > 0) & (r["e"] >= major * F.col("_top")))
+    sets = sets.withColumns({"scale": F.array_min(F.transform(main, lambda r: r["o"] / r["e"])), "n": F.size(main).cast("long")})
+    over = lambda r: r["o"] > (1 + tolerance) * F.col("scale") * r["e"]
+    return sets.select(
+        "key", "sample", "scale", "n", F.coalesce(F.col("scale") * F.col("_sum"), F.col("_seen")).alias("corrected_total"),
+        F.transform(F.filter(main, lambda r: F.coalesce(over(r), F.lit(False))), lambda r: r["isotope"]).alias("interfered"),
+        F.transform("p", lambda r: F.when(over(r), F.col("scale") * r["e"]).otherwise(r["o"])).alias("corrected"),
+    )

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quantloom.scratch import Scratch
 
-from .kernels import lowess, nelder_mead
+from . import search, spread_lowess
+from .kernels import lowess
+from .ordering import numbered
 
 
 def sample_medians(df: DataFrame) -> DataFrame:
@@ -36,30 +38,88 @@ def quantile_normalize(df: DataFrame) -> DataFrame:
     return out.withColumn("x", (F.col("rl") + F.col("rh")) / 2).select(*df.columns)
 
 
-def vsn_normalize(df: DataFrame) -> DataFrame:
-    """asinh of the linear value over the sample's median: variance-stabilised, no longer log2."""
+def vsn_normalize(df: DataFrame, optimize: bool = False, rounds: int = 500) -> DataFrame:
+    """asinh of the linear value over the sample's median: variance-stabilised, no longer log2.
+
+    With ``optimize`` each sample's factor is searched from 1 / median (``vsn_search``).
+    """
     linear = F.pow(F.lit(2.0), F.col("x"))
+    if optimize:
+        d = Scratch(df.sparkSession, "vsn").table(df, "input")
+        factors = vsn_search(d, rounds).select("sample", "factor")
+        return d.join(factors, "sample").withColumn("x", F.asinh(F.col("factor") * linear)).drop("factor")
     med = df.groupBy("sample").agg(F.median(linear).alias("med"))
     return df.join(med, "sample").withColumn("x", F.asinh(linear / F.col("med"))).drop("med")
 
 
-def vsn_search(df: DataFrame, bins: int = 20) -> float:
-    """Scale factor on 1/median that makes the spread most even over the intensity range.
+def vsn_windows(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sample, window, v): linear values by rank in windows of a twentieth of the sample (100 values at least) that begin a quarter window apart.
+
+    A value is in four windows at most. Only whole windows that begin before the last
+    possible place count, so a sample of 100 values or fewer has none.
+    """
+    seen = df.where(F.col("x").isNotNull() & ~F.isnan("x")).select("sample", F.pow(F.lit(2.0), F.col("x")).alias("v"))
+    ranked = numbered(seen, "sample", "v", within=("sample",), name="rank", scratch=scratch)
+    ranked = scratch.table(ranked, "ranked")
+    sizes = ranked.groupBy("sample").agg(F.max("rank").alias("n"))
+    r = ranked.join(F.broadcast(sizes), "sample")  # one row a run
+    size = F.expr("greatest(100, n div 20)")
+    r = r.withColumn("size", size).withColumn("step", F.expr("size div 4")).withColumn("many", F.expr("CASE WHEN n > size THEN (n - size + step - 1) div step ELSE 0 END"))
+    first, last = F.expr("greatest(0, (rank - 1 - size + step) div step)"), F.expr("least(many - 1, (rank - 1) div step)")
+    r = r.withColumns({"first": F.when(F.col("rank") <= F.col("size"), 0).otherwise(first), "last": last}).where("first <= last")
+    return scratch.table(r.select("sample", F.explode(F.sequence("first", "last")).alias("window"), "v"), "windows")
+
+
+def vsn_evenness(windows: DataFrame, factors: DataFrame) -> DataFrame:
+    """(sample, k, cost): relative spread of the windows' variances of asinh(factor * v), for each factor of the sample.
+
+    ``factors``: (sample, factors array), one row a run. Factors of 0 or less, fewer
+    than two windows and windows that do not vary cost 1e6.
+    """
+    rows = windows.join(F.broadcast(factors), "sample").select("sample", "window", "v", F.posexplode("factors").alias("k", "a"))
+    per = rows.groupBy("sample", "k", "a", "window").agg(F.var_pop(F.asinh(F.col("a") * F.col("v"))).alias("var"))
+    even = per.groupBy("sample", "k", "a").agg(F.count("*").alias("n"), F.stddev_pop("var").alias("sd"), F.avg("var").alias("mean"))
+    return even.select("sample", "k", F.when((F.col("a") > 0) & (F.col("n") > 1) & (F.col("mean") > 0), F.col("sd") / F.col("mean")).otherwise(search.WORST).alias("cost"))
+
 
-    The sum, sum of squares and count of each (factor, bin) come from Spark for a
-    fixed ladder of factors; the simplex search then runs on their interpolation.
+def vsn_search(df: DataFrame, rounds: int = 500) -> DataFrame:
+    """(sample, start, factor, cost): for each sample the factor that makes the windows' variances most even.
+
+    All samples' simplices move together: a round is one job that rates what each of
+    them may ask for, and its result is a few numbers a run. A sample that has not
+    settled after ``rounds`` keeps 1 / median.
     """
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "vsn")
     linear = F.pow(F.lit(2.0), F.col("x"))
-    med = df.groupBy("sample").agg(F.median(linear).alias("med"))
-    ladder = [float(v) for v in np.geomspace(0.05, 20, 13)]
-    rows = df.join(med, "sample").withColumn("factor", F.explode(F.array(*map(F.lit, ladder)))).withColumn("v", F.asinh(F.col("factor") * linear / F.col("med")))
-    per = rows.groupBy("factor", "feature").agg(F.var_samp("v").alias("var"), F.avg("v").alias("mean")).where("var IS NOT NULL")
-    ranked = per.withColumn("bin", F.ntile(bins).over(Window.partitionBy("factor").orderBy("mean", "feature"))).groupBy("factor", "bin").agg(F.avg("var").alias("var"))
-    even = {r["factor"]: r["s"] for r in ranked.groupBy("factor").agg(F.try_divide(F.stddev_pop("var"), F.avg("var")).alias("s")).collect()}
-    xs = np.log(ladder)
-    ys = np.array([even.get(v) if even.get(v) is not None else np.inf for v in ladder])
-    best = nelder_mead(lambda p: float(np.interp(p[0], xs, ys)) + max(0.0, abs(p[0]) - 3.0), np.array([xs[int(np.argmin(ys))]]))
-    return float(np.exp(best[0]))
+    med = {r["sample"]: r["med"] for r in df.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("sample").agg(F.median(linear).alias("med")).collect()}
+    start = {s: 1.0 / m if m > 0 else 1.0 for s, m in med.items()}
+    windows = vsn_windows(df, scratch)
+    kind = df.schema["sample"].dataType.simpleString()
+
+    def rated(asked: dict) -> dict:
+        factors = spark.createDataFrame([(s, [float(v) for v in p]) for s, p in asked.items()], f"sample {kind}, factors array<double>")
+        got = {s: np.full(len(p), search.WORST) for s, p in asked.items()}
+        for r in vsn_evenness(windows, factors).collect():
+            got[r["sample"]][r["k"]] = r["cost"]
+        return got
+
+    state, done = {}, {}
+    simplices = {s: search.first_simplex([v]) for s, v in start.items()}
+    for s, cost in rated({s: p[:, 0] for s, p in simplices.items()}).items() if simplices else ():
+        order = np.argsort(cost, kind="stable")
+        state[s] = (simplices[s][order], cost[order])
+    for n in range(rounds + 1):
+        for s in [s for s, (p, c) in state.items() if search.settled(p, c)]:
+            p, c = state.pop(s)
+            done[s] = (float(p[0, 0]), float(c[0]))
+        if not state or n == rounds:
+            break
+        points = {s: search.offered(p) for s, (p, _) in state.items()}
+        for s, cost in rated({s: p[:, 0] for s, p in points.items()}).items():
+            state[s] = search.stepped(*state[s], points[s], cost)
+    scratch.clean()
+    rows = [(s, start[s], *done.get(s, (start[s], None))) for s in start]
+    return spark.createDataFrame(rows, f"sample {kind}, start double, factor double, cost double")
 
 
 def rt_range(df: DataFrame) -> tuple[float, float] | None:
@@ -67,15 +127,17 @@ def rt_range(df: DataFrame) -> tuple[float, float] | None:
     return None if lo is None else (float(lo), float(hi))
 
 
-def lowess_curves(df: DataFrame, frac: float = 0.3, grid_points: int = 100, min_points: int = 20, span: tuple[float, float] | None = None) -> DataFrame:
+def lowess_curves(df: DataFrame, frac: float = 0.3, grid_points: int = 100, min_points: int = 20, span: tuple[float, float] | None = None, most_points: int = 1 << 16) -> DataFrame:
     """(sample, i, rt, fit): each sample's curve on one common grid; null outside the sample's own range.
 
-    One task per sample: a curve needs the sample's points in order. Their number
-    is the number of features, not of rows of the raw data.
+    A curve needs the sample's points in order. Samples of up to ``most_points`` are
+    fitted whole, one task each; longer ones spread over tasks (``spread_lowess``),
+    which gives the same curve in more passes.
     """
     span = span or rt_range(df)
+    schema = "sample {}, i int, rt double, fit double".format(df.schema["sample"].dataType.simpleString())
     if span is None:
-        return df.sparkSession.createDataFrame([], "sample string, i int, rt double, fit double")
+        return df.sparkSession.createDataFrame([], schema)
     grid = np.linspace(*span, grid_points)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +151,15 @@ def lowess_curves(df: DataFrame, frac: float = 0.3, grid_points: int = 100, min_
             fit[inside] = np.interp(grid[inside], x[keep], curve[keep])
         return pd.DataFrame({"sample": pdf["sample"].iloc[0], "i": np.arange(grid_points), "rt": grid, "fit": fit})
 
-    curves = df.select("sample", F.col("rt").cast("double").alias("rt"), "x").groupBy("sample").applyInPandas(one, "sample string, i int, rt double, fit double")
+    points = df.select("sample", F.col("rt").cast("double").alias("rt"), F.col("x").cast("double").alias("x"))
+    sizes = points.groupBy("sample").agg(F.count("*").alias("_n"))
+    long = [r[0] for r in sizes.where(F.col("_n") > most_points).select("sample").collect()]  # one name a run
+    short = points if not long else points.where(~F.col("sample").isin(long))
+    curves = short.groupBy("sample").applyInPandas(one, schema)
+    if long:
+        rest = points.where(F.col("sample").isin(long) & F.col("rt").isNotNull() & ~F.isnan("rt") & F.col("x").isNotNull() & ~F.isnan("x"))
+        anchors = spread_lowess.fit_anchors(rest.select("sample", F.col("rt").alias("x"), F.col("x").alias("y")), frac)
+        curves = curves.unionByName(spread_lowess.grid_values(anchors.where(F.col("n") >= min_points), grid))
     return curves.withColumn("fit", F.when(~F.isnan("fit"), F.col("fit")))
 
 

@@ -1,17 +1,18 @@
 """Entity grouping: from (feature, entity) edges to groups of entities that explain the features.
 
 Set containment, equality and the greedy assignment are all joins and
-aggregations. The greedy choice needs no loop: an entity's rank (most unique
-features, most features, name) is fixed beforehand, so each shared feature goes to
-the best-ranked entity that holds it. No step pairs all holders of a feature: a
-superset of an entity must hold the entity's rarest feature, and equal sets are
-looked at once.
+aggregations. A set is never gathered: its signature is its size and two exclusive-ors
+of feature hashes (128 bits), which add up before the shuffle, so neither a hot entity
+nor a hot feature meets in one place. Entities of equal signature form a class, and
+only its first name is searched for; classes are absorbed as a whole. The greedy choice
+needs no loop: an entity's rank (most unique features, most features, name) is fixed
+beforehand, so each shared feature goes to the best-ranked entity that holds it. No step
+pairs all holders of a feature: a superset of an entity must hold the entity's rarest
+features, and sets of one feature need no pairs.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,44 +34,59 @@ def edges_from_lists(df: DataFrame, feature: str, entities: str, order: str | No
     return rows.select("feature", "entity").distinct().join(named, "entity").select("feature", "entity", *extras)
 
 
-def _sets(edges: DataFrame) -> DataFrame:
-    """(entity, s, n, rep): the feature set of each entity and the first name that has the same."""
-    sets = edges.groupBy("entity").agg(F.array_sort(F.collect_set("feature")).alias("s"))
-    reps = sets.groupBy("s").agg(F.min("entity").alias("rep"))
-    return sets.join(reps, "s").select("entity", "s", F.size("s").alias("n"), "rep")
+def classes(edges: DataFrame) -> DataFrame:
+    """(entity, n, rep): the size of each entity's feature set and the first name that has the same set. ``edges`` are distinct."""
+    h = [F.bit_xor(F.xxhash64("feature", F.lit(salt))).alias(f"_h{salt}") for salt in (1, 2)]
+    signed = edges.groupBy("entity").agg(F.count("*").alias("n"), *h)
+    reps = signed.groupBy("n", "_h1", "_h2").agg(F.min("entity").alias("rep"))
+    return signed.join(reps, ["n", "_h1", "_h2"]).select("entity", "n", "rep")
 
 
-def subsumed(edges: DataFrame) -> DataFrame:
-    """(entity, by): entities whose features are a strict subset of another's; ``by`` is the first such name.
+def _held(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(rep, n, feature, holders): the sets of the classes' first names, and how many of them hold each feature."""
+    held = edges.join(known.where("entity = rep").select("entity", "n"), "entity").select(F.col("entity").alias("rep"), "n", "feature")
+    return held.join(held.groupBy("feature").agg(F.count("*").alias("holders")), "feature")
+
+
+def _absorbers(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, by): the first name whose set strictly contains the class's set.
 
-    Of entities with equal features only the first name is searched for; candidates
-    are the larger holders of its rarest two features, confirmed on all its features.
+    Two rare features of each set are its probes: the rarest of those with an even
+    hash and of those with an odd one. Larger holders of the rarer probe that hold
+    the other one too are candidates, confirmed on all features.
     """
-    scratch = Scratch(edges.sparkSession, "subsumed")
-    sets = scratch.table(_sets(edges), "sets")
-    reps = sets.where("entity = rep").select("rep", "n", F.explode("s").alias("feature"))
-    held = scratch.table(reps.join(reps.groupBy("feature").agg(F.count("*").alias("holders")), "feature"), "held")
+    single = held.where("n = 1").select("rep", "feature").join(held.where("n > 1").groupBy("feature").agg(F.min("rep").alias("by")), "feature").select("rep", "by")
     rank = F.struct("holders", "feature")
-    rarest = held.groupBy("rep", "n").agg(F.min_by("feature", rank).alias("feature"), F.min(rank).alias("least"))
-    second = held.join(rarest.select("rep", "least"), "rep").where(rank > F.col("least")).groupBy("rep").agg(F.min_by("feature", rank).alias("second"))
-    larger = held.select("feature", F.col("rep").alias("other"), F.col("n").alias("m"))
-    pairs = rarest.join(second, "rep", "left").join(larger, "feature").where("m > n").select("rep", "n", "other", F.coalesce("second", "feature").alias("second"))
-    holds = held.select(F.col("rep").alias("other"), "feature")
-    pairs = pairs.join(holds.withColumnRenamed("feature", "second"), ["other", "second"], "left_semi").drop("second")
+    half = F.pmod(F.xxhash64("feature", F.lit(3)), F.lit(2))
+    probes = held.where("n > 1").groupBy("rep", "n").agg(F.min(F.when(half == 0, rank)).alias("p"), F.min(F.when(half == 1, rank)).alias("q"))
+    probes = probes.select("rep", "n", F.least("p", "q")["feature"].alias("feature"), F.greatest("p", "q")["feature"].alias("second"))
+    larger = held.where("n > 2").select("feature", F.col("rep").alias("other"), F.col("n").alias("m"))
+    holds = held.where("n > 2").select(F.col("rep").alias("other"), "feature")
+    pairs = probes.join(larger, "feature").where("m > n").select("rep", "n", "other", "second")
+    pairs = scratch.table(pairs.join(holds.withColumnRenamed("feature", "second"), ["other", "second"], "left_semi").drop("second"), "pairs")
     both = pairs.join(held.select("rep", "feature"), "rep").join(holds, ["other", "feature"])
     found = both.groupBy("rep", "other", "n").agg(F.count("*").alias("both")).where("both = n").groupBy("rep").agg(F.min("other").alias("by"))
-    return sets.select("entity", "rep").join(found, "rep").select("entity", "by")
+    return single.unionByName(found)
+
+
+def subsumed(edges: DataFrame) -> DataFrame:
+    """(entity, by): entities whose features are a strict subset of another's; ``by`` is the first such name."""
+    scratch = Scratch(edges.sparkSession, "subsumed")
+    e = scratch.table(edges.select("feature", "entity").distinct(), "edges")
+    known = scratch.table(classes(e), "classes")
+    found = _absorbers(scratch.table(_held(e, known), "held"), scratch)
+    return scratch.keep(known.join(found, "rep").select("entity", "by"))
 
 
 def canonical(edges: DataFrame, absorbed: DataFrame | None = None) -> DataFrame:
     """(entity, leader) of the entities that are not subsumed; equal feature sets share the first name as leader."""
-    e = edges if absorbed is None else edges.join(absorbed.select("entity"), "entity", "left_anti")
-    return _sets(e).select("entity", F.col("rep").alias("leader"))
+    e = edges.select("feature", "entity").distinct()
+    e = e if absorbed is None else e.join(absorbed.select("entity"), "entity", "left_anti")
+    return classes(e).select("entity", F.col("rep").alias("leader"))
 
 
-def roles(edges: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(feature, leader, role, n_holders): every leader that holds a feature, and whether it is unique, razor (assigned) or other."""
-    held = edges.select("feature", "entity").distinct().join(leaders.where("entity = leader").select("entity"), "entity").withColumnRenamed("entity", "leader")
+def _roles(held: DataFrame) -> DataFrame:
+    """``held``: distinct (feature, leader)."""
     held = held.join(held.groupBy("feature").agg(F.count("*").alias("n_holders")), "feature")
     rank = held.groupBy("leader").agg(F.sum((F.col("n_holders") == 1).cast("int")).alias("n_unique"), F.count("*").alias("n_all"))
     ranked = held.join(rank, "leader")
@@ -79,36 +95,47 @@ def roles(edges: DataFrame, leaders: DataFrame) -> DataFrame:
     return ranked.join(best, "feature").select("feature", "leader", role.alias("role"), "n_holders")
 
 
+def roles(edges: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(feature, leader, role, n_holders): every leader that holds a feature, and whether it is unique, razor (assigned) or other."""
+    return _roles(edges.select("feature", "entity").distinct().join(leaders.where("entity = leader").select("entity"), "entity").withColumnRenamed("entity", "leader"))
+
+
 def grouping(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(absorbed, leaders, roles) of the edges, written once: most results need several of them."""
     scratch = Scratch(edges.sparkSession, "grouping")
     e = scratch.table(edges.select("feature", "entity").distinct(), "edges")
-    absorbed = scratch.table(subsumed(e), "absorbed")
-    leaders = scratch.table(canonical(e, absorbed), "leaders")
-    return absorbed, leaders, scratch.table(roles(e, leaders), "roles")
+    known = scratch.table(classes(e), "classes")
+    held = scratch.table(_held(e, known), "held")
+    found = scratch.table(_absorbers(held, scratch), "absorbers")
+    absorbed = known.join(found, "rep").select("entity", "by")
+    leaders = known.join(found.select("rep"), "rep", "left_anti").select("entity", F.col("rep").alias("leader"))
+    role = scratch.table(_roles(held.join(found.select("rep"), "rep", "left_anti").select("feature", F.col("rep").alias("leader"))), "roles")
+    scratch.drop(e, held)
+    return absorbed, leaders, role
 
 
 def groups(edges: DataFrame) -> DataFrame:
     """One row per group with members, subsumed entities, feature lists by role and counts.
 
     Numbers run over the sorted leaders, those without unique or razor features
-    included, which are dropped afterwards: gaps are expected.
+    included, which are dropped afterwards: gaps are expected. Members have the
+    leader's features and subsumed entities a part of them, so the leader's are all.
+    All lists come from one aggregation over (leader, kind, name or feature).
     """
     absorbed, leaders, r = grouping(edges)
-    named = numbered(leaders.where("entity = leader").select("leader"), "leader", name="_k")
-    named = named.select("leader", F.format_string("PG%04d", F.col("_k")).alias("group_id"))
-    names = lambda c, cond: F.array_sort(F.collect_set(F.when(cond, F.col(c))))
-    lists = r.groupBy("leader").agg(*[names("feature", F.col("role") == k).alias(f"{k}_features") for k in ("unique", "razor")], F.array_sort(F.collect_set("feature")).alias("own_features"))
-    members = leaders.groupBy("leader").agg(F.array_sort(F.collect_set("entity")).alias("members"))
-    under = absorbed.join(leaders.select(F.col("entity").alias("by"), "leader"), "by").select("leader", "entity")
-    absorbed_lists = under.groupBy("leader").agg(F.array_sort(F.collect_set("entity")).alias("subsumed"))
-    own = leaders.select("leader", "entity").union(under)
-    mapped = own.join(edges.select("entity", "feature"), "entity").groupBy("leader").agg(F.array_sort(F.collect_set("feature")).alias("all_features"))
-    df = reduce(lambda x, y: x.join(y, "leader", "left"), [members, absorbed_lists, mapped, lists], named)
-    empty = F.array().cast(edges.select(F.array("feature")).schema[0].dataType)
-    df = df.withColumns({"subsumed": F.coalesce("subsumed", F.array().cast("array<string>")), **{c: F.coalesce(c, empty) for c in ("unique_features", "razor_features", "all_features", "own_features")}})
-    df = df.withColumns({"n_unique": F.size("unique_features"), "n_razor": F.size("razor_features"), "n_all": F.size("all_features")})
-    return df.where("n_unique + n_razor > 0").withColumn("n_features", F.col("n_unique") + F.col("n_razor"))
+    entity, feature = F.lit(None).cast(leaders.schema["entity"].dataType), F.lit(None).cast(r.schema["feature"].dataType)
+    under = absorbed.join(leaders.select(F.col("entity").alias("by"), "leader"), "by")
+    rows = leaders.select("leader", F.lit("member").alias("kind"), "entity", feature.alias("feature"))
+    rows = rows.unionByName(under.select("leader", F.lit("subsumed").alias("kind"), "entity", feature.alias("feature")))
+    rows = rows.unionByName(r.select("leader", F.col("role").alias("kind"), entity.alias("entity"), "feature"))
+    names = lambda c, *kinds: F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds), F.col(c))))
+    df = rows.groupBy("leader").agg(
+        names("entity", "member").alias("members"), names("entity", "subsumed").alias("subsumed"), names("feature", "unique").alias("unique_features"),
+        names("feature", "razor").alias("razor_features"), names("feature", "unique", "razor", "shared").alias("all_features"),
+    )
+    df = df.withColumns({"own_features": F.col("all_features"), "n_unique": F.size("unique_features"), "n_razor": F.size("razor_features"), "n_all": F.size("all_features")})
+    named = numbered(leaders.where("entity = leader").select("leader"), "leader", name="_k").select("leader", F.format_string("PG%04d", F.col("_k")).alias("group_id"))
+    return named.join(df, "leader").where("n_unique + n_razor > 0").withColumn("n_features", F.col("n_unique") + F.col("n_razor"))
 
 
 def ungrouped(edges: DataFrame) -> DataFrame:

@@ -8,11 +8,20 @@ iterative kernel and runs as a grouped map.
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.scratch import Scratch
+
 from .kernels import median_polish_frames
 
+#: Samples whose ratios one task works out, and cells of the differences that it holds at a time.
+RATIO_BLOCK, RATIO_CELLS = 256, 4_000_000
+
 
 def first_cells(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One area for each (feature, transition, sample): the first that is not null in ``order``, else the largest."""
@@ -173,15 +182,20 @@ def adaptive_weights(features: DataFrame, betas: dict[str, float]) -> DataFrame:
     return features.select("feature", "transition", w.alias("w")).withColumn("w", F.col("w") * F.count("*").over(whole) / F.sum("w").over(whole))
 
 
-def transition_descriptors(m: DataFrame, mz: DataFrame | None = None) -> DataFrame:
-    """Per transition: centred mean log intensity, share of the feature's mean intensity, m/z scaled to 0..1 in the feature."""
+def transition_descriptors(m: DataFrame, mz: DataFrame | None = None, mz_range: tuple[float, float] | None = None) -> DataFrame:
+    """Per transition: centred mean log intensity, share of the feature's mean intensity, m/z scaled to 0..1 in the feature (or over ``mz_range``)."""
     d = m.groupBy("feature", "transition").agg(F.avg("x").alias("mean_log"), F.avg(F.pow(F.lit(2.0), F.col("x"))).alias("mean_linear"))
     whole = Window.partitionBy("feature")
     d = d.withColumn("log_intensity", F.col("mean_log") - F.avg("mean_log").over(whole)).withColumn("relative", F.col("mean_linear") / F.max("mean_linear").over(whole))
     if mz is not None:
         d = d.join(mz, ["feature", "transition"], "left")
-        lo, hi = F.min("mz").over(whole), F.max("mz").over(whole)
-        d = d.withColumn("mz_scaled", F.coalesce(F.try_divide(F.col("mz") - lo, hi - lo), F.lit(0.5)))
+        if mz_range is None:
+            lo, hi = F.min("mz").over(whole), F.max("mz").over(whole)
+            d = d.withColumn("mz_scaled", F.coalesce(F.try_divide(F.col("mz") - lo, hi - lo), F.lit(0.5)))
+        else:
+            lo, hi = map(F.lit, mz_range)
+            scaled = F.coalesce(F.try_divide(F.coalesce("mz", F.lit(0.0)) - lo, hi - lo), F.lit(0.0))
+            d = d.withColumn("mz_scaled", F.greatest(F.least(scaled, F.lit(1.0)), F.lit(0.0)))
     return d.drop("mean_log", "mean_linear")
 
 
@@ -189,13 +203,13 @@ def rollup_weighted(m: DataFrame, weights: DataFrame) -> DataFrame:
     return m.join(weights, ["feature", "transition"]).groupBy("feature", "sample").agg(F.log2(F.greatest(F.sum(F.col("w") * F.pow(F.lit(2.0), F.col("x"))), F.lit(1.0))).alias("value"), F.count("*").alias("n_transitions"))
 
 
-def signal_variance(intensity: Column, shape: Column | None = None, coeluting: Column | None = None, alpha: float = 1.0, beta: float = 0.01, gamma: float = 100.0, delta: float = 1.0, k: float = 2.0) -> Column:
+def signal_variance(intensity: Column, shape: Column | None = None, coeluting: Column | None = None, alpha: float = 1.0, beta: float = 0.01, gamma: float = 100.0, delta: float = 1.0, shape_exponent: float = 2.0, coelution_penalty: float = 10.0) -> Column:
     """Variance of a linear intensity, inflated for poor peak shape and for peaks that do not co-elute."""
     v = alpha * intensity + beta * intensity * intensity + gamma
     if shape is not None:
-        v = v * (1 + delta * (F.pow(1 / F.greatest(shape, F.lit(0.01)), F.lit(k)) - 1))
+        v = v * (1 + delta * (F.pow(1 / F.greatest(shape, F.lit(0.01)), F.lit(shape_exponent)) - 1))
     if coeluting is not None:
-        v = v * F.when(coeluting, 1.0).otherwise(10.0)  # a boolean column
+        v = v * F.when(coeluting, 1.0).otherwise(coelution_penalty)  # a boolean column
     return v
 
 
@@ -261,21 +275,48 @@ def entity_ibaq(p: DataFrame, theoretical: DataFrame) -> DataFrame:
     return s.join(theoretical, "entity").select("entity", "sample", F.when(F.col("total") > 0, F.log2(F.col("total") / F.greatest("n_theoretical", F.lit(1)))).alias("value"))
 
 
+def _ratio_totals(block: pa.Table, first: int) -> pa.Table:
+    """For the samples of one block: the sum over all others of the median log ratio over shared features, and the own median."""
+    entity, f = block["entity"][:1], block["feature"].combine_chunks().dictionary_encode()
+    row, col = f.indices.to_numpy(), block["_s"].to_numpy()
+    seen, col = np.unique(col, return_inverse=True)
+    x = np.full((len(f.dictionary), len(seen)), np.nan)
+    x[row, col] = block["x"].to_numpy()
+    own = np.flatnonzero((seen >= first) & (seen < first + RATIO_BLOCK))
+    total, step = np.zeros(len(own)), max(1, RATIO_CELLS // max(1, x.size))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            ratio = np.nan_to_num(np.nanmedian(x[:, part, None] - x[:, None, :], axis=0))
+            total[at : at + step] = ratio.sum(1)  # the ratio to itself is 0
+        med = np.nanmedian(x[:, own], axis=0)
+    return pa.table({"entity": entity.take(pa.array(np.zeros(len(own), np.int64))), "_s": pa.array(seen[own], pa.int32()), "profile": pa.array(total / len(seen)), "med": pa.array(med)})
+
+
 def entity_max_ratio(p: DataFrame) -> DataFrame:
     """Median pairwise log ratios.
 
     For each pair of samples the median ratio over shared features (0 if none is
     shared), averaged over all samples including itself, centred on its own median
-    and moved to the median of the samples' medians. The self-join is on (entity,
-    feature), so its rows are bounded by samples squared per feature.
+    and moved to the median of the samples' medians. Pairs are never rows: an entity's
+    matrix goes to one task for each block of ``RATIO_BLOCK`` samples, which takes the
+    medians of its pairs in slices of bounded size.
     """
-    a, b = p.select("entity", "feature", F.col("sample").alias("s"), F.col("x").alias("xs")), p.select("entity", "feature", F.col("sample").alias("t"), F.col("x").alias("xt"))
-    ratios = a.join(b, ["entity", "feature"]).where("s <> t").groupBy("entity", "s", "t").agg(F.median(F.col("xs") - F.col("xt")).alias("r"))
-    n = p.groupBy("entity").agg(F.countDistinct("sample").alias("n"))
-    own = p.groupBy("entity", F.col("sample").alias("s")).agg(F.median("x").alias("med"))
-    mean = own.join(ratios.groupBy("entity", "s").agg(F.sum("r").alias("total")), ["entity", "s"], "left").join(n, "entity").withColumn("profile", F.coalesce("total", F.lit(0.0)) / F.col("n"))
+    samples = sample_list(p)
+    blocks = range(0, max(1, len(samples)), RATIO_BLOCK)
+    place = F.create_map(*[F.lit(v) for i, s in enumerate(samples) for v in (s, i)]) if samples else F.create_map().cast("map<string,int>")
+    kind = p.schema["entity"].dataType.simpleString()
+    rows = p.where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("sample").isNotNull()).select("entity", "feature", F.element_at(place, F.col("sample")).alias("_s"), "x", F.explode(F.array(*map(F.lit, blocks))).alias("_first"))
+
+    def totals(key: tuple, block: pa.Table) -> pa.Table:
+        return _ratio_totals(block, key[1].as_py())
+
+    mean = rows.groupBy("entity", "_first").applyInArrow(totals, f"entity {kind}, _s int, profile double, med double")
+    mean = Scratch(p.sparkSession, "ratio").table(mean, "profiles")
     centre = mean.groupBy("entity").agg(F.median("profile").alias("pm"), F.median("med").alias("level"))
-    return mean.join(centre, "entity").select("entity", F.col("s").alias("sample"), (F.col("profile") - F.col("pm") + F.col("level")).alias("value"))
+    name = F.element_at(F.array(*map(F.lit, samples)), F.col("_s") + 1) if samples else F.lit(None).cast("string")
+    return mean.join(centre, "entity").select("entity", name.alias("sample"), (F.col("profile") - F.col("pm") + F.col("level")).alias("value"))
 
 
 def entity_direct(p: DataFrame) -> DataFrame:

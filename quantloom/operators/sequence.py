@@ -9,23 +9,30 @@ from pyspark.sql import functions as F
 
 from .joins import substring_join
 
-#: Cleavage rules (fixed values of public enzyme definitions): a cut falls after a place that matches.
+#: Cleavage rules (fixed values): a cut falls after a place that matches, but never at an end.
 ENZYMES = {
     "trypsin": r"[KR](?=[^P])",
     "trypsin/p": r"[KR](?=.)",
-    "lys-c": r"K(?=[^P])",
-    "lys-c/p": r"K(?=.)",
-    "arg-c": r"R(?=[^P])",
-    "asp-n": r".(?=D)",
-    "glu-c": r"[DE](?=[^P])",
+    "lysc": r"K(?=.)",
+    "lysn": r".(?=K)",
+    "argc": r"R(?=.)",
+    "aspn": r".(?=D)",
+    "gluc": r"E(?=.)",
     "chymotrypsin": r"[FWYL](?=[^P])",
-    "lys-n": r".(?=K)",
 }
 
 
+def enzyme_rule(enzyme: str) -> str:
+    """The rule by name; hyphens and case do not matter (lys-c is lysc)."""
+    rule = ENZYMES.get(enzyme.lower().replace("-", ""))
+    if rule is None:
+        raise ValueError(f"Unknown enzyme {enzyme!r}; known are {', '.join(ENZYMES)}, and nonspecific for digests")
+    return rule
+
+
 def cut_sequence(sequence: Column, enzyme: str) -> Column:
     """The fragments of a complete digest, in order: cuts are marked, then split at."""
-    return F.split(F.regexp_replace(sequence, f"({ENZYMES[enzyme]})", "$1|"), r"\|")
+    return F.split(F.regexp_replace(sequence, f"({enzyme_rule(enzyme)})", "$1|"), r"\|")
 
 
 def boundaries(sequence: Column, enzyme: str) -> Column:
@@ -37,7 +44,12 @@ def boundaries(sequence: Column, enzyme: str) -> Column:
 
 
 def digest(df: DataFrame, sequence: str, enzyme: str = "trypsin", missed: int = 2, shortest: int = 6, longest: int = 30) -> DataFrame:
-    """One row per (row, peptide): adds peptide, start (from 0) and missed. Pure expressions, no shuffle."""
+    """One row per (row, peptide): adds peptide, start (from 0) and missed. Pure expressions, no shuffle.
+
+    ``nonspecific`` gives all pieces of the allowed lengths, none of which misses a cut.
+    """
+    if enzyme.lower() == "nonspecific":
+        return digest_nonspecific(df, sequence, shortest, longest).withColumn("missed", F.lit(0)).select(*df.columns, "start", "missed", "peptide")
     parts = df.withColumn("_p", cut_sequence(F.col(sequence), enzyme)).select("*", F.posexplode("_p").alias("_i", "_f"))
     start = F.aggregate(F.slice("_p", F.lit(1), F.col("_i")), F.lit(0), lambda s, x: s + F.length(x))
     rows = parts.withColumn("start", start).withColumn("missed", F.explode(F.sequence(F.lit(0), F.least(F.lit(missed), F.size("_p") - 1 - F.col("_i")))))
@@ -124,5 +136,5 @@ def enzyme_from_xml(xml: str | None) -> str | None:
     side = given.get("sense", "C").strip().upper()
     if (cut, side) == ("KR", "C"):
         return "trypsin" if "P" in given.get("no_cut", "").upper() else "trypsin/p"
-    known = {("K", "C"): "lys-c", ("K", "N"): "lys-n", ("R", "C"): "arg-c", ("D", "N"): "asp-n", ("E", "C"): "glu-c", ("FLWY", "C"): "chymotrypsin", ("FWY", "C"): "chymotrypsin"}
+    known = {("K", "C"): "lysc", ("K", "N"): "lysn", ("R", "C"): "argc", ("D", "N"): "aspn", ("E", "C"): "gluc", ("FLWY", "C"): "chymotrypsin", ("FWY", "C"): "chymotrypsin"}
     return known.get((cut, side))

@@ -152,8 +152,8 @@ SHRUNKEN = dict(
     w="SELECT v.feature, v.sample, v.batch, v.sample_type, v.x AS b, CASE WHEN p.gs IS NULL THEN v.x ELSE ((v.x - sc.grand) / sqrt(sc.var) - p.gs) / sqrt(p.ds) * sqrt(sc.var) + sc.grand END AS a FROM v LEFT JOIN sc ON sc.feature = v.feature LEFT JOIN p ON p.feature = v.feature AND p.batch = v.batch",
     per="SELECT sample_type AS k, feature, stddev_samp(pow(2.0, b)) / avg(pow(2.0, b)) AS b, stddev_samp(pow(2.0, a)) / avg(pow(2.0, a)) AS a FROM w GROUP BY ALL",
     cv="SELECT max(b) FILTER (k = 'reference') AS rb, max(a) FILTER (k = 'reference') AS ra, max(b) FILTER (k = 'qc') AS qb, max(a) FILTER (k = 'qc') AS qa FROM (SELECT k, median(b) AS b, median(a) AS a FROM per GROUP BY ALL)",
-    gains="SELECT *, (rb - ra) / rb AS rg, (qb - qa) / qb AS qg, (SELECT var_pop(m) FROM (SELECT avg(b) AS m FROM w GROUP BY batch)) AS vb, (SELECT var_pop(m) FROM (SELECT avg(a) AS m FROM w GROUP BY batch)) AS va FROM cv",
-    verdict="SELECT *, CASE WHEN qg > 0 THEN rg / qg END AS o, NOT coalesce(CASE WHEN qg > 0 THEN rg / qg END > 2, false) AND coalesce(qa <= 1.1 * qb, true) AS passed FROM gains",
+    gains="SELECT *, CASE WHEN rb > 0 THEN (rb - ra) / rb ELSE 0 END AS rg, CASE WHEN qb > 0 THEN (qb - qa) / qb ELSE 0 END AS qg, (SELECT var_pop(m) FROM (SELECT avg(b) AS m FROM w GROUP BY batch)) AS vb, (SELECT var_pop(m) FROM (SELECT avg(a) AS m FROM w GROUP BY batch)) AS va FROM cv",
+    verdict="SELECT *, coalesce(qg >= 0, true) AND NOT coalesce(qg > 0 AND rg / qg > 2, false) AND coalesce(qa <= 1.1 * qb, true) AS passed FROM (SELECT *, CASE WHEN qg > 0 THEN rg / qg WHEN rg > 0 THEN 'inf'::DOUBLE ELSE 1.0 END AS o FROM gains)",
 )
 _SHRUNKEN_SCALE = {("pc" if k == "per" else k): q.replace("FROM per ", "FROM pc ") for k, q in SCALE.items()}
 
@@ -353,7 +353,7 @@ def _sequences(spark, sf):
 
 
 #: A cut after each place that matches; look-aheads are written out for SQL: (residues cut after, or None and the residue cut before; whether P blocks).
-CUTS = {"trypsin": ("KR", None, True), "trypsin/p": ("KR", None, False), "lys-c": ("K", None, True), "lys-c/p": ("K", None, False), "arg-c": ("R", None, True), "asp-n": (None, "D", False), "glu-c": ("DE", None, True), "chymotrypsin": ("FWYL", None, True), "lys-n": (None, "K", False)}
+CUTS = {"trypsin": ("KR", None, True), "trypsin/p": ("KR", None, False), "lysc": ("K", None, False), "lysn": (None, "K", False), "argc": ("R", None, False), "aspn": (None, "D", False), "gluc": ("E", None, False), "chymotrypsin": ("FWYL", None, True)}
 
 
 def _pieces_sql(enzyme: str) -> str:
@@ -388,11 +388,11 @@ def seq_theoretical_counts(spark, sf):
     return seq.theoretical_counts(_sequences(spark, sf), "entity", "sequence")
 
 
-@query(f"WITH p AS ({_pieces_sql('glu-c')}) SELECT piece AS peptide, string_agg(DISTINCT CAST(entity AS VARCHAR), ';' ORDER BY CAST(entity AS VARCHAR)) AS entities, count(DISTINCT entity) AS n FROM p WHERE length(piece) BETWEEN 6 AND 30 GROUP BY ALL")
+@query(f"WITH p AS ({_pieces_sql('gluc')}) SELECT piece AS peptide, string_agg(DISTINCT CAST(entity AS VARCHAR), ';' ORDER BY CAST(entity AS VARCHAR)) AS entities, count(DISTINCT entity) AS n FROM p WHERE length(piece) BETWEEN 6 AND 30 GROUP BY ALL")
 def seq_digest_maps(spark, sf):
     """SEQ-04: from peptides to entities; the other map holds the same pairs."""
     s = _sequences(spark, sf).withColumn("entity", F.col("entity").cast("string"))
-    _, back = seq.digest_maps(s, "entity", "sequence", "glu-c")
+    _, back = seq.digest_maps(s, "entity", "sequence", "gluc")
     return back.select("peptide", F.array_join("entities", ";").alias("entities"), F.size("entities").cast("long").alias("n"))
 
 
@@ -481,7 +481,13 @@ def lib_isotopes(spark, sf):
     return rounded(p.select("feature", *[F.get("p", i).alias(f"i{i}") for i in range(5)]))
 
 
-@query(with_ctes("SELECT feature, sample, round(min(greatest(x, 0.0) / transition), 6) AS scale, count(*) AS n FROM m GROUP BY ALL", "m"))
+@query(with_ctes(
+    "SELECT feature, sample, round(scale, 6) AS scale, n, round(scale * total, 5) AS corrected_total, list_sort(list(transition) FILTER (major AND observed > 1.01 * scale * expected)) IS NULL AS clean, coalesce(string_agg(CAST(transition AS VARCHAR), ',' ORDER BY transition) FILTER (major AND observed > 1.01 * scale * expected), '') AS interfered FROM g GROUP BY ALL", "m",
+    e="SELECT feature, sample, transition, greatest(x, 0.0) AS observed, 1.0 / transition AS expected, max(1.0 / transition) OVER (PARTITION BY feature, sample) AS top, sum(1.0 / transition) OVER (PARTITION BY feature, sample) AS total FROM m",
+    f="SELECT *, expected >= 0.5 * top AS major FROM e",
+    g="SELECT *, min(observed / expected) FILTER (major) OVER (PARTITION BY feature, sample) AS scale, count(*) FILTER (major) OVER (PARTITION BY feature, sample) AS n FROM f"))
 def lib_isotope_scale(spark, sf):
-    m = b.dense(spark, sf).select(F.col("feature").alias("key"), "sample", F.col("x").alias("observed"), F.col("transition").cast("double").alias("expected"))
-    return rounded(lib.isotope_scale(m).withColumnRenamed("key", "feature"))
+    """LIB-08: scale, corrected total and interfered isotopes."""
+    m = b.dense(spark, sf).select(F.col("feature").alias("key"), "sample", F.col("transition").alias("isotope"), F.col("x").alias("observed"), (F.lit(1.0) / F.col("transition")).alias("expected"))
+    got = lib.isotope_correction(m).select(F.col("key").alias("feature"), "sample", "scale", "n", F.round("corrected_total", 5).alias("corrected_total"), (F.size("interfered") == 0).alias("clean"), F.array_join(F.transform("interfered", lambda i: i.cast("string")), ",").alias("interfered"))
+    return rounded(got)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import normalize, qc
 
-from . import binding, queries_groups, queries_more, queries_qc, queries_rollup, queries_sources
+from . import binding, queries_groups, queries_learn, queries_more, queries_qc, queries_rollup, queries_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = queries_rollup.QUERIES | queries_groups.QUERIES | queries_qc.QUERIES | queries_sources.QUERIES | queries_more.QUERIES
+ALL = queries_rollup.QUERIES | queries_groups.QUERIES | queries_qc.QUERIES | queries_sources.QUERIES | queries_more.QUERIES | queries_learn.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,5 +82,10 @@ class Scratch:
             self.remove(t._scratch_path)
             self._live.discard(t._scratch_path)
 
+    def clean(self) -> None:
+        """Remove every table of this scratch."""
+        self._live.clear()
+        self.remove(self.root)
+
     def remove(self, path: str) -> None:
         remove(self.spark, path)

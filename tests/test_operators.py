@@ -15,7 +15,6 @@ from quantloom.operators import normalize as nrm
 from quantloom.operators import parsimony as par
 from quantloom.operators import qc, rollup, sequence
 from quantloom.operators.kernels import lowess
-from quantloom.operators.learn import learn_adaptive, learn_variance
 from quantloom.operators.ordering import numbered
 from quantloom.sources import formats, reports
 
@@ -238,31 +237,9 @@ def test_library_settings():
     assert (lib.library_settings(given)["library_path"], lib.library_settings(given)["mz_tolerance"]) == ("b", 0.3)
 
 
-def test_learned_parameters(spark):
-    rng = np.random.default_rng(11)
-    rows = []
-    for f in range(30):
-        for t in range(4):
-            for s in range(6):
-                noise = 1.5 if t == 3 else 0.05  # the last transition is noise
-                rows.append((f, t, f"s{s}", float(18 + t + rng.normal(0, noise))))
-    m = spark.createDataFrame(rows, "feature long, transition long, sample string, x double").cache()
-    d = rollup.transition_descriptors(m, m.select("feature", "transition").distinct().withColumn("mz", F.col("transition").cast("double")))
-    refs, qcs = ["s0", "s1", "s2"], ["s3", "s4", "s5"]
-    betas = learn_adaptive(m, d, refs, qcs, rounds=4)
-    assert betas["mz_scaled"] < 0 or betas["relative"] < 0
-    plain = {k: 0.0 for k in betas}
-    from quantloom.operators.learn import reference_cv
-    score = lambda b: reference_cv(rollup.rollup_weighted(m, rollup.adaptive_weights(d, b)), qcs)
-    assert score(betas) < score(plain)
-    learned = learn_variance(m, refs, rounds=2)
-    assert set(learned) == {"alpha", "beta", "gamma"} and all(v > 0 for v in learned.values())
-    assert 0.04 < nrm.vsn_search(m.where("transition = 0")) < 25
-
-
 def test_enzymes():
     assert sequence.enzyme_from_xml('<x><Enzyme name="T" Cut="KR" no_cut="P" sense="C"/></x>') == "trypsin"
-    assert sequence.enzyme_from_xml('<enzyme cut="kr"/>') == "trypsin/p" and sequence.enzyme_from_xml('<enzyme cut="D" sense="N"/>') == "asp-n"
+    assert sequence.enzyme_from_xml('<enzyme cut="kr"/>') == "trypsin/p" and sequence.enzyme_from_xml('<enzyme cut="D" sense="N"/>') == "aspn"
     assert sequence.enzyme_from_xml('<enzyme cut_c="K" cut_n="D"/>') is sequence.enzyme_from_xml("<broken") is sequence.enzyme_from_xml(None) is None
 
 
