@@ -23,7 +23,8 @@ are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from array import array
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -55,84 +56,98 @@ class Rules:
             self.keywords.add_word(word, word)
         self.keywords.make_automaton()
 
-    def detections(self, words: str, starts: list[int]) -> list[tuple[int, int, int, str]]:
-        """(first word, word after the last, priority, label) of what remains after suppression."""
+    def detections(self, words: str, starts: np.ndarray) -> np.ndarray:
+        """Rows (first word, word after the last, priority, rule) of what remains after suppression, by place."""
         present = {word for _, word in self.keywords.iter(words)}
         found = []
-        for n, (label, priority, keyword, patterns) in enumerate(self.rules):
+        for n, (_, priority, keyword, patterns) in enumerate(self.rules):
             if keyword in present:
                 for pattern in patterns:
-                    for m in pattern.finditer(words):
-                        found.append((bisect_right(starts, m.start()) - 1, bisect_right(starts, max(m.end() - 1, m.start())), priority, n, label))
-        return suppressed(found)
-
-
-def suppressed(found: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Keep what no stronger detection contains. Stronger: higher priority, then longer, then listed earlier."""
-    kept: list[tuple[int, int, int, str]] = []
-    begins: list[int] = []  # of the kept intervals that no other contains, with their ends: both ascend
-    ends: list[int] = []
-    for first, last, priority, _, label in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[3], d[0])):
-        at = bisect_right(begins, first)
-        if at and ends[at - 1] >= last:
-            continue
-        kept.append((first, last, priority, label))
-        lo = at
-        if at and begins[at - 1] == first:
-            lo = at - 1
-        hi = lo
-        while hi < len(ends) and ends[hi] <= last:
-            hi += 1
-        begins[lo:hi], ends[lo:hi] = [first], [last]
-    return sorted(kept)
-
-
-def word_starts(words: str) -> list[int]:
-    return [0, *(m.end() for m in re.finditer(" ", words))]
-
-
-def base_places(words: str, starts: list[int]) -> list[tuple[int, str]]:
-    """(first word, label) of every place of a base phrase."""
-    out = []
-    for phrase, label in BASE:
-        at = words.find(phrase)
-        while at >= 0:
-            end = at + len(phrase)
-            if (at == 0 or words[at - 1] == " ") and (end == len(words) or words[end] == " "):
-                out.append((bisect_right(starts, at) - 1, label))
-            at = words.find(phrase, at + 1)
-    return sorted(out)
+                    spans = np.frombuffer(array("q", chain.from_iterable(m.span() for m in pattern.finditer(words))), np.int64).reshape(-1, 2)
+                    if len(spans):
+                        first = np.searchsorted(starts, spans[:, 0], "right") - 1
+                        last = np.searchsorted(starts, np.maximum(spans[:, 1] - 1, spans[:, 0]), "right")
+                        found.append(np.stack([first, last, np.full(len(spans), priority), np.full(len(spans), n)], 1))
+        return suppressed(np.concatenate(found)) if found else np.zeros((0, 4), np.int64)
+
+
+def _outermost(rows: np.ndarray) -> np.ndarray:
+    """Rows that no earlier one contains, by first word, then longest, then rule."""
+    rows = rows[np.lexsort((rows[:, 3], -rows[:, 1], rows[:, 0]))]
+    before = np.maximum.accumulate(np.append(-1, rows[:-1, 1]))
+    return rows[rows[:, 1] > before]
+
+
+def suppressed(found: np.ndarray) -> np.ndarray:
+    """Keep what no stronger detection contains. Stronger: higher priority, then longer, then listed earlier.
+
+    Rows are (first word, word after the last, priority, rule). Priorities are taken
+    from the highest down; ``outer`` holds the kept intervals that no other contains,
+    whose ends ascend with their beginnings.
+    """
+    kept, outer = [], np.zeros((0, 4), np.int64)
+    for priority in np.unique(found[:, 2])[::-1]:
+        level = _outermost(found[found[:, 2] == priority])
+        if len(outer):
+            at = np.searchsorted(outer[:, 0], level[:, 0], "right")
+            level = level[(at == 0) | (outer[np.maximum(at, 1) - 1, 1] < level[:, 1])]
+        kept.append(level)
+        outer = _outermost(np.concatenate([outer, level]))
+    rows = np.concatenate(kept)
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+
+
+def word_starts(words: str) -> np.ndarray:
+    """Places of the first letters of words that are joined by one space."""
+    data = np.frombuffer(words.encode(), np.uint8) if words.isascii() else np.frombuffer(words.encode("utf-32-le"), np.uint32)
+    return np.append(0, np.flatnonzero(data == 32) + 1)
+
+
+BASE_PATTERNS = tuple((re.compile(f"(?<![^ ]){phrase}(?![^ ])"), label) for phrase, label in BASE)
+
+
+def base_places(words: str, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """First words of every place of each base phrase, by label."""
+    out = {}
+    for pattern, label in BASE_PATTERNS:
+        at = np.frombuffer(array("q", (m.start() for m in pattern.finditer(words))), np.int64)
+        if len(at):
+            out[label] = np.searchsorted(starts, at, "right") - 1
+    return out
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, base columns, labels, score and the kept detections (first, last, priority, label)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    detection = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("priority", pa.int32()), ("label", pa.string())])
+    kinds = {"n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
     def scanned(batches):
         rules = Rules()
+        names = pa.array([r[0] for r in rules.rules], pa.string())
         for batch in batches:
-            out = {c: [] for c in ("n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")}
-            n_words = np.zeros(batch.num_rows, np.int64)
             for w in slices(batch.column(1), NOT_ALNUM, LOWER):
-                n_words[w.first : w.first + w.n_texts] = w.counts
+                out: dict[str, list] = {c: [] for c in kinds}
+                kept = []
                 for i in range(w.n_texts):
                     text = normalised(w.data[w.text_offs[i] : w.text_offs[i + 1]].tobytes())
-                    base, found = [], []
+                    base, found = {}, np.zeros((0, 4), np.int64)
                     if any(g in text for g in GATE):
                         words = text.decode()
                         starts = word_starts(words)
                         base, found = base_places(words, starts), rules.detections(words, starts)
-                    labels = {label for _, label in base}
-                    out["n_base"].append(len(base))
-                    out["first_word"].append(base[0][0] if base else None)
-                    out["last_word"].append(base[-1][0] if base else None)
-                    out["base_labels"].append(",".join(sorted(labels)))
-                    out["labels"].append(",".join(sorted(labels | {d[3] for d in found})))
-                    out["score"].append(min(1.0, max([p for _, _, p, _ in found] + [60] * bool(base), default=0) / 90))
-                    out["detections"].append([dict(zip(("first", "last", "priority", "label"), d)) for d in found])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(detection))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], ["id", "n_words", *out])
+                    ruled = {rules.rules[n][0] for n in np.unique(found[:, 3])}
+                    out["n_base"].append(sum(map(len, base.values())))
+                    out["first_word"].append(min((int(p[0]) for p in base.values()), default=None))
+                    out["last_word"].append(max((int(p[-1]) for p in base.values()), default=None))
+                    out["base_labels"].append(",".join(sorted(base)))
+                    out["labels"].append(",".join(sorted(base.keys() | ruled)))
+                    out["score"].append(min(1.0, max(int(found[:, 2].max(initial=0)), 60 * bool(base)) / 90))
+                    kept.append(found)
+                rows_found = np.concatenate(kept)
+                detection = pa.StructArray.from_arrays([pa.array(rows_found[:, 0]), pa.array(rows_found[:, 1]), pa.array(rows_found[:, 2], pa.int32()), names.take(pa.array(rows_found[:, 3]))], ["first", "last", "priority", "label"])
+                offsets = pa.array(np.cumsum([0, *map(len, kept)]), pa.int32())
+                columns = [batch.column(0).slice(w.first, w.n_texts), pa.array(w.counts, pa.int64()), *(pa.array(v, kinds[c]) for c, v in out.items()), pa.ListArray.from_arrays(offsets, detection)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", *out, "detections"])
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<first: long, last: long, priority: int, label: string>>"
