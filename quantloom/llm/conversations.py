@@ -191,7 +191,7 @@ def _ends(batches):
         out = []
         for c, matrix in zip(batch.column("conv").to_pylist(), batch.column("matrix").to_pylist()):
             if c != conv:
-                conv, end = c, closed(END[None])[0]
+                conv, end = c, END
             out.append(end.tolist())
             end = np.minimum((np.array(matrix).reshape(STATES, STATES) + end[None]).min(1), FAR)
         yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("seg"), pa.array(out, pa.list_(pa.int64()))], [*_KEYS, "ends"])
