@@ -23,8 +23,9 @@ most about ``block_items`` items and ``block_bytes`` bytes of text, but one item
 least); documents are scanned once per block and never shuffled.
 
 Words are lower-cased (A-Z) runs without space characters; a shingle is five of
-them. An item of fewer words is one shingle, found only in documents that consist
-of just these words: inside longer ones such words prove nothing. Null and empty
+them. An item of fewer words is one shingle, found wherever its words stand one after
+another: documents are looked through for runs of each length that such items have.
+Null and empty
 items or documents contain nothing. Items and documents without an id are searched
 like others and reported with a null id. Equal items are all reported; a repeated
 row, of items or documents, is reported as often as it comes. Other columns are
@@ -56,11 +57,11 @@ def item_shingles(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)}
 
 
-def _signatures(texts: list[str | None], permutations: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signature hashes (sorted), the item of each, items' sizes and numbers of functions."""
+def _signatures(texts: list[str | None], permutations: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Signature hashes (sorted), the item of each, items' sizes and numbers of functions; of items under k words, by length: hashes (sorted) and items."""
     sizes = np.zeros(len(texts), np.int64)
     uses = np.zeros(len(texts), np.int64)
-    hashes, items = [], []
+    hashes, items, short = [], [], {}
     for w in slices(pa.array(texts, pa.string()), SPACE, LOWER):
         text, h = shingles(w, k)
         order = np.lexsort((h, text))
@@ -69,6 +70,10 @@ def _signatures(texts: list[str | None], permutations: int, k: int) -> tuple[np.
             own = np.unique(h[order[offs[i] : offs[i + 1]]])
             if not len(own):
                 continue
+            if w.counts[i] < k:
+                short.setdefault(int(w.counts[i]), []).append((own[0], w.first + i))
+                sizes[w.first + i] = uses[w.first + i] = 1
+                continue
             upper = 1 << int(len(own)).bit_length()
             n = min(2 * upper, permutations)
             salts = mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(upper << 20))
@@ -76,20 +81,39 @@ def _signatures(texts: list[str | None], permutations: int, k: int) -> tuple[np.
             sizes[w.first + i], uses[w.first + i] = len(own), n
             hashes.append(own[least])
             items.append(np.full(n, w.first + i))
+    runs = {}
+    for n, found in short.items():
+        found.sort()
+        runs[n] = np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found])
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), sizes, uses
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), sizes, uses, runs
     h, item = np.concatenate(hashes), np.concatenate(items)
     order = np.argsort(h, kind="stable")
-    return h[order], item[order], sizes, uses
+    return h[order], item[order], sizes, uses, runs
+
+
+def _short_matches(w, items: list[str | None], runs: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """(text, item) of a slice's texts in which all words of an item of few words stand one after another."""
+    for n, (hashes, owner) in runs.items():
+        text, h = shingles(w, n)
+        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        for i in np.unique(text[hi > lo]):
+            mine = (hi > lo) & (text == i)
+            own = item_shingles(w.data[w.text_offs[i] : w.text_offs[i + 1]].tobytes().split(), n)
+            for c in sorted({int(c) for a, b in zip(lo[mine], hi[mine]) for c in owner[a:b]}):
+                if tuple(item_words(items[c])) in own:
+                    yield int(i), c
 
 
 def _matches(texts: pa.Array, block, percent: int, k: int, sets: dict[int, set]):
     """(row, item index, containment, estimate) of the verified items in a column of texts."""
-    _, items, (sig, owner, sizes, uses), _ = block
+    _, items, (sig, owner, sizes, uses, runs), _ = block
     known, start, count = np.unique(sig, return_index=True, return_counts=True)
     mask = np.zeros(1 << 20, bool)
     mask[(known >> np.uint64(44)).astype(np.int64)] = True
     for w in slices(texts, SPACE, LOWER):
+        for i, c in _short_matches(w, items, runs):
+            yield w.first + i, c, 1.0, 1.0
         text, h = shingles(w, k)
         maybe = np.flatnonzero(mask[(h >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(known, h[maybe])

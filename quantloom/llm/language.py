@@ -7,7 +7,9 @@ the smallest result wins. The texts of a dictionary are chosen by hash, one for
 each of ``slots`` slots of a language (an aggregation with bounded state), until
 ``dict_bytes`` are reached; a slot prefers texts of at most ``short`` characters,
 so that a dictionary holds many texts, and takes a longer one where it has no
-other, so that a language of long texts alone is learned too.
+other, so that a language of long texts alone is learned too. Of a training text the
+first ``dict_bytes`` characters are taken, so neither the aggregation nor the driver
+holds more than ``slots`` times that of a language.
 
 The score is the winner's share of the likelihoods 2**(-8 * size) of all
 languages, tempered by ``temper``. A text is rejected (``rejected`` is true, the
@@ -45,7 +47,7 @@ def dictionaries(docs: DataFrame, slots: int = 96, dict_bytes: int = 96 << 10, s
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rank = F.xxhash64(F.col(id_col), F.lit("language"))
     order = F.struct((F.length(text_col) > short).alias("long"), F.when(F.length(text_col) > short, F.length(text_col)).alias("length"), rank.alias("rank"), F.xxhash64(text_col).alias("same"))
-    cells = usable.groupBy(F.col(lang_col).alias("lang"), F.pmod(rank, F.lit(slots)).alias("slot")).agg(F.min_by(text_col, order).alias("text"))
+    cells = usable.groupBy(F.col(lang_col).alias("lang"), F.pmod(rank, F.lit(slots)).alias("slot")).agg(F.min_by(F.substring(text_col, 1, dict_bytes), order).alias("text"))
     out: dict[str, list[bytes]] = {}
     for r in cells.orderBy("lang", "slot").toLocalIterator():
         have = out.setdefault(r["lang"], [])

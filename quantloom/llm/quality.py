@@ -18,6 +18,7 @@ are two training rows, repeated ones one. Repeated rows each get their result. O
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,13 +119,16 @@ class QualityModel:
     shift: float
 
     def margin(self, w: Words, hashes: np.ndarray) -> np.ndarray:
+        """Mean weights on an integer grid: a text's sum does not depend on its neighbours."""
         words, grams, first, last = buckets(w, hashes)
-        total = np.zeros(len(words) + 1)
-        np.cumsum(self.word_weights[words], out=total[1:])
-        out = (total[w.offs[1:]] - total[w.offs[:-1]]) / np.maximum(w.counts, 1)
-        total = np.zeros(len(grams) + 1)
-        np.cumsum(self.char_weights[grams], out=total[1:])
-        return out + (total[last] - total[first]) / np.maximum(last - first, 1) + self.bias
+        grid = 2.0 ** (30 - math.ceil(math.log2(max(np.abs(self.word_weights).max(), np.abs(self.char_weights).max(), 1e-12))))
+
+        def means(weights: np.ndarray, places: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(places) + 1, np.int64)
+            np.cumsum(np.rint(weights * grid).astype(np.int64)[places], out=total[1:])
+            return (total[hi] - total[lo]) / grid / np.maximum(n, 1)
+
+        return means(self.word_weights, words, w.offs[:-1], w.offs[1:], w.counts) + means(self.char_weights, grams, first, last, last - first) + self.bias
 
     def probability(self, w: Words, hashes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(w, hashes) + self.shift, -30, 30)))

@@ -30,10 +30,15 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN roots r USING (doc_id)"""
 
 
 def contained_items(k: int = 5, percent: int = 80) -> str:
+    """Items of fewer than k words are runs of their own length, looked for only if there are such items."""
+    run = "list_transform(range(len(w) - n + 1), lambda i: array_to_string(w[i + 1:i + n], ' '))"
     return f"""WITH {_shingle_sets("d", "documents", "doc_id", k)}, {_shingle_sets("i", "benchmark", "item_id", k)},
-n AS (SELECT item_id, count(*) AS n FROM i GROUP BY ALL)
-SELECT d.doc_id, i.item_id, count(*) / n.n AS containment FROM d JOIN i USING (sh) JOIN n USING (item_id)
-GROUP BY d.doc_id, i.item_id, n.n HAVING 100 * count(*) >= {percent} * n.n"""
+few AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS sh FROM i_w WHERE len(w) BETWEEN 1 AND {k - 1}),
+runs AS (SELECT DISTINCT doc_id, n, unnest({run}) AS sh FROM d_w, (SELECT DISTINCT n FROM few) WHERE len(w) >= n),
+long AS (SELECT item_id, sh FROM i WHERE item_id NOT IN (SELECT item_id FROM few)), n AS (SELECT item_id, count(*) AS n FROM long GROUP BY ALL)
+SELECT d.doc_id, l.item_id, count(*) / n.n AS containment FROM d JOIN long l USING (sh) JOIN n USING (item_id)
+GROUP BY d.doc_id, l.item_id, n.n HAVING 100 * count(*) >= {percent} * n.n
+UNION ALL SELECT runs.doc_id, few.item_id, 1.0::DOUBLE FROM runs JOIN few USING (n, sh)"""
 
 
 def substring_dedup(size: int = 50) -> str:

@@ -348,15 +348,22 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         use[np.flatnonzero(bad)[out[bad].argmin()]] = False
 
 
-def within(counts: dict, most: int):
-    """The smallest threshold on the keys above or at which at most ``most`` rows lie."""
+def within(counts: dict, most: int) -> tuple[float, float | None, float]:
+    """(least, tie, share): all rows with keys from ``least`` on are at most ``most``; of the ``tie`` just below, a share still has room.
+
+    Rows of the tied key are chosen by hash, so that a bound never drops a group whole.
+    """
     total, least = 0, math.inf
     for value in sorted(counts, reverse=True):
+        if total + counts[value] > most:
+            return least, value, (most - total) / counts[value]
         total += counts[value]
-        if total > most:
-            break
         least = value
-    return least
+    return least, None, 0.0
+
+
+def _in_share(share: float) -> Column:
+    return F.pmod(F.xxhash64("unit", F.lit("tie")), F.lit(1 << 40)) < int((1 << 40) * share)
 
 
 def _landmark_units(units: DataFrame, n_tox: int, n_clean: int, negatives: int) -> tuple[list, list, list]:
@@ -379,15 +386,20 @@ def _landmark_units(units: DataFrame, n_tox: int, n_clean: int, negatives: int)
         per_lift: dict[float, int] = {}
         for value, n in lifts.values():
             per_lift[value] = per_lift.get(value, 0) + n
-        least = within(per_lift, 1500)
-        pairs = [(t, c) for (t, c), (value, _) in lifts.items() if value >= least]
+        least, tie, room = within(per_lift, 1500)
         own = units.where(F.col("run") == run)
-        top = own.where(F.struct("t", "c").isin([F.struct(F.lit(t).cast("long"), F.lit(c).cast("long")) for t, c in pairs])).collect() if pairs else []
+
+        def counted(wanted: list[tuple[int, int]]) -> Column:
+            return F.struct("t", "c").isin([F.struct(F.lit(t).cast("long"), F.lit(c).cast("long")) for t, c in wanted]) if wanted else F.lit(False)
+
+        pairs, tied = [x for x, (value, _) in lifts.items() if value >= least], [x for x, (value, _) in lifts.items() if value == tie]
+        top = own.where(counted(pairs) | (counted(tied) & _in_share(room))).collect() if pairs or tied else []
         top.sort(key=lambda r: (-lifts[r["t"], r["c"]][0], bytes(r["unit"])))
         pieces = [bytes(r["unit"]) for r in enriched]
         enriched += [r for r in top if not any(u in bytes(r["unit"]) for u in pieces)]
         if total:
-            common += own.where(F.col("c") >= min(within(by_c, part), max(by_c) + 1)).collect()
+            least, tie, room = within(by_c, part)
+            common += own.where((F.col("c") >= min(least, max(by_c) + 1)) | ((F.col("c") == F.lit(tie)) & _in_share(room))).collect()
             spread = F.pmod(F.xxhash64("unit"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, part / total))
             others += own.where(F.col("c") > 0).where(spread).collect()
     lift = lambda r: (r["t"] - r["c"] * n_tox / n_clean) / math.sqrt(r["c"] * n_tox / n_clean + 1)

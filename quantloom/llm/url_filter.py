@@ -67,7 +67,8 @@ def gram_buckets(host: Column, path: Column, bits: int) -> Column:
 def train(spark: SparkSession, rows: list[tuple[str, int]] | None = None, bits: int = 11, ridge: float = 1e-4, rounds: int = 30) -> tuple[list[float], float]:
     """Coefficients and intercept, fitted on the small labelled table."""
     rows = url_table.rows() if rows is None else rows
-    values = ", ".join(f"({i}, '{u}', {y})" for i, (u, y) in enumerate(rows))
+    quoted = lambda u: "'" + u.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({i}, {quoted(u)}, {y})" for i, (u, y) in enumerate(rows))
     table = spark.sql(f"SELECT row, url, CAST(y AS DOUBLE) AS label FROM VALUES {values} AS t(row, url, y)").coalesce(1)
     dims = 1 << bits
     buckets = gram_buckets(host_of(F.col("url")), path_of(F.col("url")), bits)

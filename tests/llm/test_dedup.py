@@ -133,6 +133,16 @@ def test_contained_items_edge(spark, edge):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in edge.collect() if r.doc_id not in hit)
 
 
+def test_items_of_few_words(spark):
+    """Found inside longer documents, where their words stand one after another."""
+    it = spark.createDataFrame([(1, "Lorem"), (2, "quick  BROWN"), (3, "a b c d"), (4, "a b c d e"), (5, "b c"), (6, "b c")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x lorem y"), (2, "the quick brown fox"), (3, "quick and brown"), (4, "z a b c d e"), (5, "loremipsum quickbrown"), (6, "lorem"), (7, None), (8, "quick\nbrown quick brown")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.containment) for r in contained_items(docs, it).collect())
+    assert got == [(1, 1, 1.0), (2, 2, 1.0), (4, 3, 1.0), (4, 4, 1.0), (4, 5, 1.0), (4, 6, 1.0), (6, 1, 1.0), (8, 2, 1.0)]
+    same(contained_items(docs, it).drop("estimate"), from_sql(sql.contained_items(), documents=docs, benchmark=it))
+    assert sorted(r.doc_id for r in decontaminate(docs, it).collect()) == [3, 5, 7]
+
+
 def test_items_without_ids_and_repeated_rows(spark):
     from fixtures import prose
 

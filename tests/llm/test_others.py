@@ -16,14 +16,14 @@ from fixtures import by_id, prose
 from pyspark.sql import functions as F
 
 from quantloom.llm import url_table
-from quantloom.llm.language import identify, language_id
+from quantloom.llm.language import dictionaries, identify, language_id
 from quantloom.llm.license_rules import SIGNATURES
 from quantloom.llm.license_scan import GATE, Rules, license_scan, suppressed, word_starts
 from quantloom.llm.mixing import mix_sources, token_count
 from quantloom.llm.quality import buckets, quality
 from quantloom.llm.quality import train as train_quality
 from quantloom.llm.sampling import labelled_texts
-from quantloom.llm.toxicity import _NORMS, DECAY, GAPS, ToxicModel, letter_codes, marked, score_toxicity, toxicity, unit_ranges
+from quantloom.llm.toxicity import _NORMS, DECAY, GAPS, ToxicModel, letter_codes, marked, score_toxicity, toxicity, unit_ranges, within
 from quantloom.llm.toxicity import train as train_toxicity
 from quantloom.llm.url_filter import filter_urls, gram_buckets, host_of, path_of
 from quantloom.llm.url_filter import train as train_urls
@@ -177,6 +177,23 @@ def folds(docs, by, remainder):
     return {r.doc_id: crc32(str(r.doc_id).encode()) % by == remainder for r in docs.select("doc_id").collect()}
 
 
+def test_bounds_split_ties():
+    assert within({5.0: 2000}, 1500) == (math.inf, 5.0, 0.75)
+    assert within({9: 10, 5: 20, 2: 80}, 50) == (5, 2, 0.25) and within({9: 10}, 10) == (9, None, 0.0) and within({}, 5) == (math.inf, None, 0.0)
+
+
+def test_toxicity_of_many_tied_insults(spark):
+    """As many equally toxic words as the bound on landmarks has no room for; none is more enriched than the others."""
+    insults = [f"zog{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
+    rows = [(i, f"{prose(i, 3)} {' '.join(insults[(7 * i + k) % 2000] for k in range(8))}." if i % 3 == 0 else prose(i, 11) + ".", int(i % 3 == 0)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = train_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert np.abs(model.weights).max() > 0
+    got = by_id(toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")))
+    held = [(t, got[i].predicted) for i, _, t in rows if got[i].held_out]
+    assert sum(p for t, p in held if t) >= 0.9 * sum(t for t, _ in held)
+
+
 def test_toxicity(spark, edge):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     got, held = by_id(toxicity(docs, labels)), folds(docs, 4, 2)
@@ -184,11 +201,12 @@ def test_toxicity(spark, edge):
     known = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if held.get(r.doc_id)]
     toxic = [p for t, p in known if t]
     assert sum(toxic) >= 0.85 * len(toxic) and sum(t == p for t, p in known) >= 0.95 * len(known)
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    got = by_id(toxicity(docs, labels))
     flipped = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")
     assert {i: r.score for i, r in by_id(toxicity(docs, flipped)).items()} == {i: r.score for i, r in got.items()}
     assert all(r.score == 0 for r in toxicity(edge, labels.where("false")).collect())
-    small = [table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels")]
-    model = train_toxicity(*small)
+    model = train_toxicity(docs, labels)
     scored = score_toxicity(edge.unionByName(edge), model, as_col="p").collect()
     assert len(scored) == 2 * edge.count() and all(0 <= r.p <= 1 for r in scored) and len({(r.doc_id, r.p) for r in scored}) == edge.count()
     assert len({r.p for r in scored if r.text in (None, "", " \t\n ")}) == 1
@@ -249,6 +267,8 @@ def test_language_of_long_texts_and_ties(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {(r.doc_id, r.lang_pred) for r in language_id(docs).collect()}
     assert all((i, lang) in got for i, t, lang in rows[:72]) and {(200, "und"), (201, "und"), (202, "short"), (203, "short"), (203, "long")} <= got
+    content = dictionaries(spark.createDataFrame([(i, prose(i, 9000), "x") for i in range(40)], "doc_id long, text string, lang string"), dict_bytes=5000, slots=8)
+    assert 5000 <= len(content["x"]) <= 10_001
     twins = spark.createDataFrame([(i, prose(7, 40), "ab"[i % 3 == 0]) for i in range(30)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_id(twins).collect()} == {"a"}
 
@@ -262,6 +282,17 @@ def test_trained_quality_on_edge_texts(spark, edge):
     assert len(twice) == len(got) and {r["count"] for r in twice} == {2}
 
 
+def test_quality_of_a_text_does_not_depend_on_its_neighbours(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    model = train_quality(docs, labels)
+    texts = [r.text for r in docs.select("text").collect()] + [prose(i, 200 + i) for i in range(100)]
+    (w,) = slices(pa.array(texts))
+    together = model.probability(w, w.hashes())
+    for i, text in enumerate(texts):
+        (one,) = slices(pa.array([text]))
+        assert model.probability(one, one.hashes())[0] == together[i]
+
+
 def test_character_trigrams_are_code_points():
     for text in ("", "ab", "né你", "a\U0001f600b c", "привет мир"):
         (w,) = slices(pa.array([text, "xyz"]))
@@ -313,6 +344,14 @@ def test_url_filter(spark, sf):
     assert rows.count() == 2 * pages.count()
 
 
+def test_url_table_with_quotes(spark):
+    rows = [("http://o'neil.test/a\\b", 1), ("http://plain.test/'", 0)] * 4
+    model = train_urls(spark, rows)
+    pages = spark.createDataFrame(list(enumerate(u for u, _ in rows[:2])), "page_id long, url string")
+    got = by_id(filter_urls(pages, model), "page_id")
+    assert got[0].probability > got[1].probability
+
+
 def test_url_model_on_words_it_never_saw(spark, sf):
     """Brute-force probabilities of the fitted weights, and held-out words; no judged URL is in the table."""
     learn, held = url_table.split()
