@@ -118,6 +118,8 @@ def _sums(batches):
         robust = np.ones(len(r["x"])) if r["scale"] is None else bisquare(_residuals(r) / (6 * r["scale"]))
         lo, hi = np.maximum(r["left"] - r["first"], 0), np.minimum(r["left"] + r["k"] - r["first"], len(r["x"]))
         own = np.flatnonzero(lo < hi)
+        if not len(own):
+            continue
         out = np.empty((len(own), 5))
         for i, a in enumerate(own):
             part = slice(lo[a], hi[a])
@@ -146,9 +148,11 @@ def _counts(batches):
             yield pa.RecordBatch.from_pydict({"sample": [r["sample"]], "bin": pa.array([0], pa.int32()), "n": pa.array([len(e)], pa.int64()), "least": [float(e.min())], "most": [float(e.max())]})
             continue
         e = np.sort(e[(e >= r["lo"]) & (e <= r["hi"])])
+        if not len(e):
+            continue
         if r["inside"] <= FEW:
             yield pa.RecordBatch.from_pydict({"sample": [r["sample"]] * len(e), "bin": pa.array(np.arange(len(e)), pa.int32()), "n": pa.array(np.ones(len(e)), pa.int64()), "least": pa.array(e), "most": pa.array(e)})
-        elif len(e):
+        else:
             bin_of = np.minimum(((e - r["lo"]) * (BINS / (r["hi"] - r["lo"]))).astype(np.int64), BINS - 1)
             kinds, at, n = np.unique(bin_of, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_pydict({"sample": [r["sample"]] * len(kinds), "bin": pa.array(kinds, pa.int32()), "n": pa.array(n, pa.int64()), "least": pa.array(e[at]), "most": pa.array(e[np.append(at[1:], len(e)) - 1])})

@@ -57,8 +57,8 @@ def difference(spark, con, query, sql: str, sf: str) -> str:
 def session():
     from pyspark.sql import SparkSession
 
-    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g"}
-    spark = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "3g"}
+    spark = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

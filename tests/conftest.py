@@ -14,6 +14,15 @@ def spark():
     return compare.session()
 
 
+@pytest.fixture(autouse=True)
+def scratch_removed():
+    """No test reads another's tables."""
+    yield
+    from quantloom.scratch import clear
+
+    clear()
+
+
 @pytest.fixture(scope="session")
 def sf():
     return SF
