@@ -27,5 +27,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, most: dic
         share = F.when(F.col("y") == y, F.lit(p)).otherwise(share)
     rank = F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(_GRID))
     chosen = known.where(rank < share * _GRID).withColumn("fold", F.pmod(F.xxhash64(F.col("id"), F.lit(f"{salt} fold")), F.lit(3)).cast("int"))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # ``most`` ids at most, so texts stay where they are
     return found.groupBy("id", "y", "fold").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("text", "y", "fold"), counts
