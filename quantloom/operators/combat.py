@@ -10,6 +10,7 @@ second, equally cheap pass. No task holds a batch.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,32 +171,66 @@ def combat(df: DataFrame, parametric: bool = True, mean_only: bool = False, ref_
     return adjust(df, scale, posterior(effects, mean_only) if parametric else shrunken(effects), ref_batch)
 
 
-def with_covariates(df: DataFrame, covariates: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Residual long data and fitted covariate part of each cell, by least squares of each feature on batch and covariates.
+def design_of(df: DataFrame, covariates: list[str]) -> tuple[list[str], np.ndarray, int]:
+    """(samples, design, number of batches): a column for each batch, then the covariates, dummy-coded if they are strings.
 
-    Covariates are columns of df, dummy-coded if they are strings. The design has
-    samples x (batches + covariates) entries and is built once on the driver from
-    the sample table; features are solved in grouped tasks.
+    The sample table is one row a run. A covariate of ones only is left out: batches
+    have their own levels. Covariates that repeat what batches or other covariates say
+    are reported; the fit then takes the shortest coefficients.
     """
     samples = df.select("sample", "batch", *covariates).distinct().toPandas().sort_values("sample")
     batch = pd.get_dummies(samples["batch"].astype(str), dtype=float)
     extra = pd.get_dummies(samples[covariates], drop_first=True, dtype=float)
-    design = pd.concat([batch, extra], axis=1).set_axis(samples["sample"], axis=0)
-    n_batch = batch.shape[1]
-    if np.linalg.matrix_rank(design.to_numpy()) < design.shape[1]:
-        raise ValueError("covariates are confounded with batches")
-    kind = df.schema["feature"].dataType.simpleString()
+    extra = extra.loc[:, ~(extra == 1).all()]
+    design = np.hstack([batch.to_numpy(), extra.to_numpy()])
+    if np.linalg.matrix_rank(design) < design.shape[1]:
+        warnings.warn("the design is rank deficient: covariates may be confounded with batches", stacklevel=3)
+    return samples["sample"].tolist(), design, batch.shape[1]
+
+
+def covariate_parts(x: np.ndarray, design: np.ndarray, n_batch: int, solvers: dict[bytes, np.ndarray | None]) -> np.ndarray:
+    """Of features x samples with gaps (NaN): what the covariates explain, by least squares on batches and covariates over the cells that are there.
+
+    Features with the same gaps are solved together, and each pattern of gaps is
+    factorised once (``solvers`` keeps them). Features with fewer cells than the
+    design has columns keep 0.
+    """
+    part = np.zeros(x.shape)
+    patterns, of = np.unique(np.isnan(x), axis=0, return_inverse=True)
+    for k, gaps in enumerate(patterns):
+        key = np.packbits(gaps).tobytes()
+        if key not in solvers:
+            own = design[~gaps]
+            solvers[key] = np.linalg.pinv(own)[n_batch:] if len(own) >= design.shape[1] else None
+        if solvers[key] is not None:
+            rows = np.flatnonzero(of.ravel() == k)
+            part[rows] = x[np.ix_(rows, ~gaps)] @ solvers[key].T @ design[:, n_batch:].T
+    return part
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = pdf["x"].notna()
-        part = np.zeros(len(pdf))
-        d = design.loc[pdf["sample"]].to_numpy()
-        if seen.sum() >= design.shape[1]:
-            coef, *_ = np.linalg.lstsq(d[seen], pdf.loc[seen, "x"].to_numpy(float), rcond=None)
-            part = d[:, n_batch:] @ coef[n_batch:]
-        return pd.DataFrame({"feature": pdf["feature"], "sample": pdf["sample"], "part": part})
+def with_covariates(df: DataFrame, covariates: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Residual long data and fitted covariate part of each cell, by least squares of each feature on batch and covariates.
 
-    part = df.select("feature", "sample", "x").groupBy("feature").applyInPandas(one, f"feature {kind}, sample string, part double")
+    A feature is a row with its cells in the order of the samples; tasks solve many
+    features at a time (``covariate_parts``).
+    """
+    samples, design, n_batch = design_of(df, covariates)
+    place = F.create_map(*[F.lit(v) for i, s in enumerate(samples) for v in (s, i)])
+    kind = df.schema["feature"].dataType.simpleString()
+    cells = df.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("feature").agg(F.collect_list(F.element_at(place, F.col("sample"))).alias("at"), F.collect_list(F.col("x").cast("double")).alias("x"))
+
+    def solved(batches):
+        solvers: dict[bytes, np.ndarray | None] = {}
+        for batch in batches:
+            at, values = batch.column("at"), batch.column("x")
+            x = np.full((batch.num_rows, len(samples)), np.nan)
+            x[np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = values.flatten().to_numpy()
+            part = covariate_parts(x, design, n_batch, solvers)
+            yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(samples), pa.int32()), pa.array(part.ravel()))], ["feature", "parts"])
+
+    parts = cells.mapInArrow(solved, f"feature {kind}, parts array<double>")
+    names = F.array(*map(F.lit, samples))
+    part = parts.select("feature", F.posexplode("parts").alias("_i", "part")).select("feature", F.element_at(names, F.col("_i") + 1).alias("sample"), "part")
     return df.join(part, ["feature", "sample"]).withColumn("x", F.col("x") - F.col("part")).select(*df.columns), part
 
 
@@ -203,7 +238,9 @@ def combat_long(df: DataFrame, covariates: list[str] | None = None, **options) -
     """Correction that keeps what covariates explain."""
     if not covariates:
         return combat(df, **options)
+    df = Scratch(df.sparkSession, "covariates").table(df, "input")
     rest, part = with_covariates(df, covariates)
+    part = Scratch(df.sparkSession, "covariates").table(part, "parts")
     return combat(rest, **options).join(part, ["feature", "sample"]).withColumn("x", F.col("x") + F.col("part")).select(*df.columns)
 
 

@@ -14,6 +14,7 @@ from quantloom.operators import parsimony as par
 from quantloom.operators import rollup as rup
 from quantloom.operators import sequence as seq
 from quantloom.runtime import table
+from quantloom.scratch import Scratch
 
 from . import binding as b
 from .binding import with_ctes
@@ -180,6 +181,25 @@ def bc_batch_variance(spark, sf):
     return rounded(v.groupBy("batch").agg(F.avg("x").alias("mean"), F.count("*").alias("n")).join(cb.batch_variance(v).withColumnRenamed("v", "variance"), F.lit(True)))
 
 
+#: Covariates of a run: its place in the batch, and a second one; every 11th cell is a gap. By batch-centred sums, two normal equations a feature.
+COVARIATES = dict(
+    g="SELECT feature, sample, batch, CASE WHEN (feature * 7 + CAST(substr(sample, 2) AS BIGINT)) % 11 > 0 THEN x END AS x, CAST(CAST(substr(sample, 2) AS BIGINT) % 4 AS DOUBLE) AS c1, CAST(CAST(substr(sample, 2) AS BIGINT) * CAST(substr(sample, 2) AS BIGINT) % 5 AS DOUBLE) AS c2 FROM v",
+    k="SELECT feature, x - avg(x) OVER w AS x, c1 - avg(c1) OVER w AS c1, c2 - avg(c2) OVER w AS c2 FROM g WHERE x IS NOT NULL WINDOW w AS (PARTITION BY feature, batch)",
+    n="SELECT feature, sum(c1 * c1) AS s11, sum(c1 * c2) AS s12, sum(c2 * c2) AS s22, sum(c1 * x) AS y1, sum(c2 * x) AS y2 FROM k GROUP BY ALL",
+    c="SELECT feature, (s22 * y1 - s12 * y2) / (s11 * s22 - s12 * s12) AS b1, (s11 * y2 - s12 * y1) / (s11 * s22 - s12 * s12) AS b2 FROM n",
+)
+
+
+@query(with_ctes("SELECT g.feature, sample, round(b1 * c1 + b2 * c2, 6) AS part, round(x - b1 * c1 - b2 * c2, 6) AS rest FROM g JOIN c ON c.feature = g.feature", "v", **COVARIATES))
+def bc_covariates(spark, sf):
+    """BC-02, BC-03, BC-15: two covariates, fitted over gaps."""
+    run = F.substring("sample", 2, 9).cast("long")
+    v = b.values(spark, sf).select("feature", "sample", "batch", F.when((F.col("feature") * 7 + run) % 11 > 0, F.col("x")).alias("x"), (run % 4).cast("double").alias("c1"), (run * run % 5).cast("double").alias("c2"))
+    v = Scratch(spark, "covariates").table(v, "values")
+    rest, part = cb.with_covariates(v, ["c1", "c2"])
+    return rounded(part.join(rest.select("feature", "sample", F.col("x").alias("rest")), ["feature", "sample"]))
+
+
 RUNS = "SELECT user_id AS sample, min(ts) AS time FROM events GROUP BY ALL"
 
 

@@ -1,18 +1,18 @@
-"""Queries whose parameters are searched on the reference samples; their SQL unrolls the search, round by round."""
+"""Queries whose parameters are searched on the reference samples (their SQL unrolls the search, round by round), and rollups with several outputs."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quantloom.operators import learn, search
+from quantloom.operators import learn, outputs, search
 from quantloom.operators import normalize as nrm
 from quantloom.scratch import Scratch
 
 from . import binding as b
 from .binding import with_ctes
 from .queries_more import SHAPES, _shapes
-from .queries_rollup import rounded
+from .queries_rollup import _entity, _polished, polish_sql, rounded
 
 QUERIES: dict = {}
 REFERENCE, QC = ["S00", "S04", "S08"], ["S01", "S05", "S09"]
@@ -159,3 +159,56 @@ def nrm_vsn_evenness(spark, sf):
 def nrm_vsn_optimized(spark, sf):
     """NRM-06: every sample with its own searched factor."""
     return rounded(nrm.vsn_normalize(b.values(spark, sf).select("feature", "sample", "x"), optimize=True))
+
+
+def _written(rows, spark) -> str:
+    path = Scratch(spark, "outputs").path("run")
+    outputs.write_outputs(rows, path)
+    return path
+
+
+POLISH = "SELECT entity AS k, feature AS i, sample AS s, x FROM v"
+
+
+@query(polish_sql(POLISH, _polished("entity", ""), "v"))
+def out_polish_values(spark, sf):
+    """SNK-05: values of a polish, from the write that also holds its residuals."""
+    path = _written(outputs.rollup_outputs(_entity(spark, sf)), spark)
+    return rounded(outputs.read_output(spark, path, "values"), digits=5)
+
+
+@query(polish_sql(POLISH, "SELECT k AS entity, i AS feature, s AS sample, round(r, 5) AS residual, round(re, 5) AS row_effect, round(avg(r) OVER w, 5) AS residual_mean, round(stddev_pop(r) OVER w, 5) AS residual_std, round(median(abs(r - mid)) OVER w, 5) AS residual_mad, round(max(abs(r)) OVER w, 5) AS residual_max_abs FROM (SELECT *, median(r) OVER (PARTITION BY k, i) AS mid FROM {last}) WINDOW w AS (PARTITION BY k, i)", "v"))
+def out_polish_residuals(spark, sf):
+    """SNK-05, RUP-32: residuals with their rows' summaries."""
+    path = _written(outputs.rollup_outputs(_entity(spark, sf)), spark)
+    return rounded(outputs.read_output(spark, path, "residuals"), digits=5)
+
+
+@query(with_ctes(
+    "SELECT entity, feature, k AS selection_rank, 'median_abundance' AS selection_method, n AS n_rows, least(n, 3) AS n_selected FROM t WHERE k <= 3", "v",
+    r="SELECT entity, feature, sample, round(x, 6) AS x FROM v",
+    t="SELECT entity, feature, row_number() OVER (PARTITION BY entity ORDER BY median(x) DESC NULLS LAST, count(x) DESC, feature) AS k, count(*) OVER (PARTITION BY entity) AS n FROM r GROUP BY entity, feature"))
+def out_topn_selections(spark, sf):
+    """RUP-32: which features stand for each entity."""
+    rows = _entity(spark, sf).withColumn("x", F.round("x", 6))
+    return rounded(outputs.read_output(spark, _written(outputs.rollup_outputs(rows, method="topn"), spark), "selections"))
+
+
+@query(with_ctes(
+    "SELECT feature, transition, sample, round(1 / v / sum(1 / v) OVER (PARTITION BY feature, sample), 8) AS weight, count(*) OVER (PARTITION BY feature, sample) AS n_rows FROM q2", "m",
+    q1="SELECT feature, transition, sample, x, (pow(2.0, x) + 0.01 * pow(2.0, x) * pow(2.0, x) + 100.0) / pow(pow(2.0, x) * ln(2.0), 2) AS v FROM m",
+    q2="SELECT feature, transition, sample, x, least(v, 100.0 * min(v) OVER (PARTITION BY feature, sample)) AS v FROM q1"))
+def out_quality_weights(spark, sf):
+    """RUP-32: the weight of each transition in each sample."""
+    path = _written(outputs.rollup_outputs(b.dense(spark, sf), "feature", "transition", "quality_weighted"), spark)
+    return rounded(outputs.read_output(spark, path, "weights", "feature", "transition"), digits=8)
+
+
+@query(with_ctes(
+    "SELECT feature, sample, round(sum(x / v) / sum(1 / v), 6) AS value, round(sqrt(1 / sum(1 / v)), 6) AS uncertainty, count(*) AS n_rows FROM q2 GROUP BY ALL", "m",
+    q1="SELECT feature, transition, sample, x, (pow(2.0, x) + 0.01 * pow(2.0, x) * pow(2.0, x) + 100.0) / pow(pow(2.0, x) * ln(2.0), 2) AS v FROM m",
+    q2="SELECT feature, sample, x, least(v, 100.0 * min(v) OVER (PARTITION BY feature, sample)) AS v FROM q1"))
+def out_quality_values(spark, sf):
+    """RUP-32: the values of the same write."""
+    path = _written(outputs.rollup_outputs(b.dense(spark, sf), "feature", "transition", "quality_weighted"), spark)
+    return rounded(outputs.read_output(spark, path, "values", "feature", "transition"))

@@ -131,8 +131,31 @@ def test_covariates_are_kept(spark):
     got = matrix_of(cb.combat_long(d, ["dose"]), names)
     slopes = lambda m: np.polyfit(dose[:4], m[:, :4].T, 1)[0]
     assert np.allclose(slopes(got), slopes(x), atol=0.2) and abs(got[:, :4].mean() - got[:, 4:].mean()) < 0.05
-    with pytest.raises(ValueError, match="confounded"):
-        cb.with_covariates(d.withColumn("dose", (F.col("batch") == "A").cast("double")), ["dose"])
+    with pytest.warns(UserWarning, match="confounded"):
+        same = cb.combat_long(d.withColumn("dose", (F.col("batch") == "A").cast("double")), ["dose"])
+    assert np.isfinite(matrix_of(same, names)).all()
+
+
+def test_covariates_with_gaps_feature_by_feature(spark):
+    """Two numeric covariates and one of names, cells missing at random: each feature by its own least squares."""
+    rng = np.random.default_rng(17)
+    n, names = 12, [f"s{j:02d}" for j in range(12)]
+    batch, c1, c2, sex = ["A"] * 5 + ["B"] * 7, rng.normal(0, 1, n), np.arange(n) % 3.0, ["m", "f"] * 6
+    x = rng.normal(20, 1, (60, n))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[0, 3:] = np.nan  # fewer cells than columns
+    d = long(spark, x, batch=batch, c1=[float(v) for v in c1], c2=[float(v) for v in c2], sex=sex, one=[1.0] * n)
+    rest, part = cb.with_covariates(d, ["c1", "c2", "sex", "one"])
+    design = np.column_stack([[b == "A" for b in batch], [b == "B" for b in batch], c1, c2, [s == "m" for s in sex]]).astype(float)
+    want = np.zeros(x.shape)
+    for f, row in enumerate(x):
+        seen = ~np.isnan(row)
+        if seen.sum() >= 5:
+            want[f] = design[:, 2:] @ np.linalg.lstsq(design[seen], row[seen], rcond=None)[0][2:]
+    assert np.allclose(matrix_of(part.withColumnRenamed("part", "x"), names), want) and np.allclose(matrix_of(rest, names), x - want, equal_nan=True)
+    solvers = {}
+    cb.covariate_parts(np.vstack([x, x]), design, 2, solvers)
+    assert len(solvers) == len(np.unique(np.isnan(x), axis=0))
 
 
 def test_correction_edges(spark):
