@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quantloom import pipeline
@@ -12,7 +14,7 @@ from quantloom.operators import qc
 from quantloom.operators import rollup as rup
 from quantloom.runtime import table
 from quantloom.scratch import Scratch
-from quantloom.sources import formats, reports
+from quantloom.sources import formats, reports, spectral
 from quantloom.streaming import ingest
 
 from . import binding as b
@@ -192,6 +194,19 @@ def src_library_tsv(spark, sf):
     return s.select("key", F.size("fragments").cast("long").alias("n"), F.round("total", 4).alias("total"), "entity", F.round(F.get("fragments", 0)["mz"], 4).alias("first_mz"))
 
 
+@query("SELECT key, count(*) AS n, round(sum(intensity), 6) AS total, round(min(mz), 4) AS first_mz, max(intensity) AS top, CAST(nullif(min(rt), 0) AS DOUBLE) AS rt FROM (SELECT concat('P', l_partkey, '_', l_partkey % 3 + 1) AS key, l_extendedprice / 100 AS mz, l_quantity / max(l_quantity) OVER (PARTITION BY l_partkey) AS intensity, l_partkey % 50 AS rt FROM lineitem) GROUP BY ALL")
+def src_library_sqlite(spark, sf):
+    """SRC-18: a library file written from all lines and read back in ranges of ids."""
+    l = table(spark, sf, "lineitem")
+    peaks = l.select(F.concat(F.lit("P"), "l_partkey").alias("feature"), (F.col("l_partkey") % 3 + 1).cast("int").alias("charge"), (F.col("l_partkey") % 50).cast("double").alias("rt"), (F.col("l_extendedprice") / 100).alias("mz"), F.col("l_quantity").cast("double").alias("intensity"))
+    scratch = Scratch(spark, "library")
+    path = f"{scratch.root}-{uuid.uuid4().hex}.blib"
+    spectral.write_library_sqlite(peaks, path)
+    got = scratch.table(spectral.read_library_sqlite(spark, path, spectra_per_task=500), "peaks")
+    scratch.remove(path)
+    return got.groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 6).alias("total"), F.round(F.min("mz"), 4).alias("first_mz"), F.max("intensity").alias("top"), F.min("rt").alias("rt"))
+
+
 @query("SELECT s_suppkey AS window, round(s_acctbal - 1.5, 4) AS lo, round(s_acctbal + 2.5, 4) AS hi, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS rt_lo FROM supplier")
 def src_isolation_xml(spark, sf):
     """SRC-25, DEN-09: schemes of batches written to a catalogue of XML texts and read back."""

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import csv
-import os
-import sqlite3
-import struct
 import xml.etree.ElementTree as ET
-import zlib
 
 import pandas as pd
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import spectral
+
 
 def fasta_accession(header: Column) -> Column:
     triple = F.regexp_extract(header, r"^(?:sp|tr)\|([^|\s]+)\|", 1)
@@ -51,44 +48,9 @@ def spectra(library: DataFrame) -> DataFrame:
     return library.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("mz", "ion", "intensity"))).alias("fragments"), F.sum("intensity").alias("total"), F.min("entity").alias("entity"))
 
 
-def decode_peaks(mz: bytes, intensity: bytes, n: int) -> tuple[list[float], list[float]]:
-    """Peak arrays of 64-bit m/z and 32-bit intensities, deflated unless they already have their plain length."""
-    plain = lambda b, size: b if len(b) == n * size else zlib.decompress(b)
-    return list(struct.unpack(f"<{n}d", plain(mz, 8))), list(struct.unpack(f"<{n}f", plain(intensity, 4)))
-
-
-def read_library_sqlite(spark: SparkSession, path: str, spectra_per_task: int = 20_000) -> DataFrame:
-    """(key, mz, intensity, feature, charge, rt) of a SQLite library.
-
-    The file is copied to the executors (``addFile``) and read by ranges of spectrum
-    ids, one range a task. ``path`` is a file that the driver can open.
-    """
-    name = os.path.basename(path)
-    spark.sparkContext.addFile(path)
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        first, last = db.execute("SELECT coalesce(min(id), 0), coalesce(max(id), -1) FROM RefSpectra").fetchone()
-
-    def load(batches):
-        db = sqlite3.connect(f"file:{SparkFiles.get(name)}?mode=ro", uri=True)
-        query = "SELECT r.peptideModSeq, r.precursorCharge, r.retentionTime, r.numPeaks, p.peakMZ, p.peakIntensity FROM RefSpectra r JOIN RefSpectraPeaks p ON p.RefSpectraID = r.id WHERE r.id BETWEEN ? AND ?"
-        for pdf in batches:
-            for lo in pdf["id"]:
-                rows = []
-                for seq, z, rt, n, m, i in db.execute(query, (int(lo), int(lo) + spectra_per_task - 1)):
-                    rows += [(f"{seq}_{z}", mz, value, seq, z, rt) for mz, value in zip(*decode_peaks(m, i, n))]
-                    if len(rows) > 50_000:
-                        yield pd.DataFrame(rows, columns=["key", "mz", "intensity", "feature", "charge", "rt"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["key", "mz", "intensity", "feature", "charge", "rt"])
-        db.close()
-
-    starts = spark.range(first, last + 1, spectra_per_task, max(1, -(-(last - first + 1) // spectra_per_task)))
-    return starts.mapInPandas(load, "key string, mz double, intensity double, feature string, charge int, rt double")
-
-
 def read_library(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith((".blib", ".sqlite", ".db")):
-        return read_library_sqlite(spark, path)
+        return spectral.read_library_sqlite(spark, path)
     return read_library_tsv(spark, path)
 
 

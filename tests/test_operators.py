@@ -16,7 +16,7 @@ from quantloom.operators import parsimony as par
 from quantloom.operators import qc, rollup, sequence
 from quantloom.operators.kernels import lowess
 from quantloom.operators.ordering import numbered
-from quantloom.sources import formats, reports
+from quantloom.sources import formats, reports, spectral
 
 
 def long(spark, x, names=None, **columns):
@@ -301,15 +301,30 @@ def test_no_row_is_lost_for_a_bad_cell(spark, tmp_path):
 def test_library_file_by_ranges(spark, tmp_path):
     path = str(tmp_path / "lib.blib")
     with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE RefSpectra (id INTEGER, peptideModSeq TEXT, precursorCharge INTEGER, retentionTime REAL, numPeaks INTEGER)")
-        db.execute("CREATE TABLE RefSpectraPeaks (RefSpectraID INTEGER, peakMZ BLOB, peakIntensity BLOB)")
+        db.executescript(spectral.SQLITE_TABLES)
         for i in range(7):
-            db.execute("INSERT INTO RefSpectra VALUES (?, ?, 2, 1.5, 3)", (i, f"PEP{i}"))
-            mz = struct.pack("<3d", 100.0 + i, 200.0, 300.0)
-            db.execute("INSERT INTO RefSpectraPeaks VALUES (?, ?, ?)", (i, zlib.compress(mz) if i % 2 else mz, struct.pack("<3f", 1, 2, 3)))
-    got = formats.read_library_sqlite(spark, path, spectra_per_task=2)
-    assert got.rdd.getNumPartitions() == 4 and got.count() == 21
-    assert {(r.key, r.mz) for r in got.where("intensity = 1").collect()} == {(f"PEP{i}_2", 100.0 + i) for i in range(7)}
+            db.execute("INSERT INTO RefSpectra VALUES (?, ?, NULL, 2, ?, ?, 3)", (i, f"BARE{i}", f"PEP{i}" if i else None, 1.5 * (i > 1)))
+            mz, intensity = struct.pack("<3d", 100.0 + i, 200.0, 300.0), struct.pack("<3f", 1, 2, 4)
+            db.execute("INSERT INTO RefSpectraPeaks VALUES (?, ?, ?)", (i, zlib.compress(mz) if i % 2 else mz, zlib.compress(intensity) if i % 3 else intensity))
+        more = [(7, "PEP3", struct.pack("<d", 1.0), struct.pack("<f", 1)), (8, "ODD", struct.pack("<2d", 1, 2), struct.pack("<f", 1)), (9, "NONE", b"", b""), (10, "ZERO", struct.pack("<d", 5), struct.pack("<f", 0))]
+        for i, seq, mz, intensity in more:
+            db.execute("INSERT INTO RefSpectra VALUES (?, ?, NULL, 2, ?, 9.0, 1)", (i, seq, seq))
+            db.execute("INSERT INTO RefSpectraPeaks VALUES (?, ?, ?)", (i, mz, intensity))
+    got = formats.read_library(spark, path)
+    keys = ["BARE0_2"] + [f"PEP{i}_2" for i in range(1, 7)]
+    assert {(r.key, r.mz) for r in got.where("intensity = 0.25").collect()} == {(k, 100.0 + i) for i, k in enumerate(keys)}
+    assert got.count() == 22 and got.where("key = 'ZERO_2' AND intensity = 0").count() == 1 and got.where("rt IS NULL").select("key").distinct().count() == 2
+    spark.dataSource.register(spectral.LibrarySource)
+    raw = spark.read.format("spectral_library").option("name", "lib.blib").option("spectraPerTask", 4).load()
+    assert raw.rdd.getNumPartitions() == 3
+    empty = str(tmp_path / "empty.blib")
+    with sqlite3.connect(empty) as db:
+        db.executescript(spectral.SQLITE_TABLES)
+    assert spectral.read_library_sqlite(spark, empty).collect() == []
+    copy = str(tmp_path / "copy.blib")
+    spectral.write_library_sqlite(got, copy)
+    again = spectral.read_library_sqlite(spark, copy, spectra_per_task=2)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
 
 
 def test_hash_sample_takes_the_same_keys(spark):
