@@ -14,10 +14,11 @@ from quantloom.operators import normalize as nrm
 from quantloom.operators import qc
 from quantloom.operators import rollup as rup
 from quantloom.runtime import table
+from quantloom.scratch import Scratch
 
 from . import binding as b
 from .binding import with_ctes
-from .queries_rollup import rounded
+from .queries_rollup import CONSENSUS, rounded
 
 QUERIES: dict = {}
 
@@ -114,12 +115,15 @@ def rup_quality_weighted_shape(spark, sf):
 
 
 @query(with_ctes(
-    "SELECT d.feature, d.sample, round(CASE WHEN k.n < 5 THEN median(x) ELSE log2(greatest(sum(pow(2.0, x)), 1.0)) END, 6) AS value, k.n AS n_transitions FROM d JOIN k ON k.feature = d.feature GROUP BY d.feature, d.sample, k.n", "m",
-    d="SELECT * FROM m WHERE transition <= feature % 7 + 1", k="SELECT feature, count(DISTINCT transition) AS n FROM d GROUP BY ALL"))
+    "SELECT 'sum' AS method, m.feature, m.sample, round(CASE WHEN k.n < 7 THEN median(x) ELSE log2(greatest(sum(pow(2.0, x)), 1.0)) END, 6) AS value, k.n AS n_transitions FROM m JOIN k ON k.feature = m.feature GROUP BY m.feature, m.sample, k.n UNION ALL SELECT 'consensus', c4.feature, sample, round(CASE WHEN k.n < 7 THEN median(x) ELSE log2(greatest(sum(weight * pow(2.0, x)), 1.0)) END, 6), k.n FROM c4 JOIN k ON k.feature = c4.feature GROUP BY c4.feature, sample, k.n UNION ALL SELECT 'quality_weighted', q2.feature, sample, round(CASE WHEN k.n < 7 THEN median(x) ELSE sum(x / v) / sum(1 / v) END, 6), k.n FROM q2 JOIN k ON k.feature = q2.feature GROUP BY q2.feature, sample, k.n", "m",
+    k="SELECT feature, count(DISTINCT transition) AS n FROM m GROUP BY ALL", **CONSENSUS,
+    q1="SELECT feature, transition, sample, x, (pow(2.0, x) + 0.01 * pow(2.0, x) * pow(2.0, x) + 100.0) / pow(pow(2.0, x) * ln(2.0), 2) AS v FROM m",
+    q2="SELECT feature, sample, x, least(v, 100.0 * min(v) OVER (PARTITION BY feature, sample)) AS v FROM q1"))
 def rup_dispatch(spark, sf):
     """RUP-12, RUP-13: by name; features of few transitions give their median."""
-    m = b.dense(spark, sf).where("transition <= feature % 7 + 1")
-    return rounded(rup.rollup_transitions(m, "sum", min_transitions=5))
+    m = Scratch(spark, "dispatch").table(b.dense(spark, sf), "matrix")
+    made = [rup.rollup_transitions(m, method, min_transitions=7).select(F.lit(method).alias("method"), "feature", "sample", "value", "n_transitions") for method in ("sum", "consensus", "quality_weighted")]
+    return rounded(reduce(DataFrame.unionByName, made))
 
 
 def _fit_sql(method: str, rounds: int = 5) -> str:

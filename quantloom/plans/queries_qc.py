@@ -168,23 +168,26 @@ def den_coverage(spark, sf):
     return rounded(den.coverage(den.precursors(b.peaks(spark, sf)), den.default_scheme(spark)))
 
 
-@query(with_ctes("SELECT CAST(i AS BIGINT) AS row, arg_min(w.window, w.hi - w.lo) AS window FROM range(0, 400) t(i) JOIN w ON 400.0 + (i + 0.5) * 1.25 >= w.lo AND 400.0 + (i + 0.5) * 1.25 < w.hi GROUP BY ALL", w=SCHEME))
+@query("SELECT CAST(i AS BIGINT) AS row, arg_min(w.p_partkey, w.p_size + w.p_partkey / 1e6) AS window FROM range(0, 4000) t(i) JOIN part w ON (i + 0.5) * 0.5 >= w.p_retailprice AND (i + 0.5) * 0.5 < w.p_retailprice + w.p_size + w.p_partkey / 1e6 GROUP BY ALL")
 def den_display_grid(spark, sf):
-    return rounded(den.display_grid(den.default_scheme(spark), 400, 400.0, 900.0))
+    """DEN-07: the narrowest window at each row of a display, for a scheme as large as the table of parts."""
+    width = F.col("p_size") + F.col("p_partkey") / 1e6
+    scheme = table(spark, sf, "part").select(F.col("p_partkey").alias("window"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + width).alias("hi"))
+    return rounded(den.display_grid(scheme, 4000, 0.0, 2000.0))
 
 
-DENS = "SELECT user_id % 40 AS window, CAST(floor(value / 10) AS BIGINT) AS rt_bin, count(*) AS n FROM events WHERE value >= 0 GROUP BY ALL"
+DENS = "SELECT user_id % 40 AS window, CAST(floor(value / 10) AS BIGINT) AS rt_bin, count(*) AS n FROM events GROUP BY ALL"
 
 
 @query(f"WITH d AS ({DENS}) SELECT n AS load, count(*) AS cells FROM d GROUP BY ALL UNION ALL SELECT 0, 40 * 2000 - count(*) FROM d HAVING 40 * 2000 - count(*) > 0")
 def den_load_histogram(spark, sf):
-    e = table(spark, sf, "events").where("value >= 0").groupBy((F.col("user_id") % 40).alias("window"), F.floor(F.col("value") / 10).alias("rt_bin")).agg(F.count("*").alias("n"))
+    e = table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("window"), F.floor(F.col("value") / 10).alias("rt_bin")).agg(F.count("*").alias("n"))
     return den.load_histogram(e, 40, 2000)
 
 
 @query(f"WITH d AS ({DENS}) SELECT rt_bin, round(sum(n) / 40.0, 6) AS mean, CASE WHEN count(*) < 40 THEN 0 ELSE min(n) END AS low, max(n) AS high FROM d GROUP BY ALL")
 def den_load_over_time(spark, sf):
-    e = table(spark, sf, "events").where("value >= 0").groupBy((F.col("user_id") % 40).alias("window"), F.floor(F.col("value") / 10).alias("rt_bin")).agg(F.count("*").alias("n"))
+    e = table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("window"), F.floor(F.col("value") / 10).alias("rt_bin")).agg(F.count("*").alias("n"))
     return rounded(den.load_over_time(e, 40))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom import pipeline
@@ -41,9 +43,10 @@ def written(spark, df, suffix: str, sep: str = ",") -> str:
 
 
 def report_files(spark, sf) -> dict[str, str]:
-    """One csv report per return flag."""
-    e = b.exported(spark, sf)
-    return {f: written(spark, e.where(F.col("document") == f).drop("document"), f"-{f}.csv") for f in "ANR"}
+    """One csv report per return flag, from one pass."""
+    path = Scratch(spark, "queries").path("reports")
+    b.exported(spark, sf).write.partitionBy("document").option("header", True).csv(path)
+    return {f: f"{path}/document={f}" for f in "ANR"}
 
 
 def lines(spark, rows: list[str], suffix: str) -> str:
@@ -53,24 +56,23 @@ def lines(spark, rows: list[str], suffix: str) -> str:
 
 
 TYPED = {"Peptide Modified Sequence": "feature", "Fragment Ion": "ion", "Precursor Charge": "charge", "Replicate Name": "replicate", "Area": "area", "Retention Time": "rt", "Shape Correlation": "shape", "Detection Q Value": "q"}
-READ = "SELECT feature, ion, charge, replicate, round(area, 6) AS area, round(rt, 6) AS rt, round(shape, 6) AS shape, round(q, 6) AS q FROM exported WHERE document = '{}'"
+READ = "SELECT feature, ion, charge, replicate, round(area, 6) AS area, round(rt, 6) AS rt, round(shape, 6) AS shape, round(q, 6) AS q FROM exported"
 
 
 def _typed(df):
     return rounded(df.select(*[F.col(f"`{h}`").alias(n) for h, n in TYPED.items()]))
 
 
-@query(with_ctes(READ.format("A"), "exported"))
+@query(with_ctes(READ, "exported"))
 def src_csv(spark, sf):
     """SRC-01: numbers, and nulls for what is none."""
-    return _typed(reports.read_report(spark, report_files(spark, sf)["A"]))
+    return _typed(reports.read_report(spark, written(spark, b.exported(spark, sf).drop("document"), ".csv")))
 
 
-@query(with_ctes(READ.format("N"), "exported"))
+@query(with_ctes(READ, "exported"))
 def src_tsv(spark, sf):
     """SRC-02."""
-    e = b.exported(spark, sf).where("document = 'N'").drop("document")
-    return _typed(reports.read_report(spark, written(spark, e, ".tsv", "\t")))
+    return _typed(reports.read_report(spark, written(spark, b.exported(spark, sf).drop("document"), ".tsv", "\t")))
 
 
 @query(with_ctes("SELECT feature, replicate, concat(replicate, '__@__', document) AS sample_id, document AS source, document AS batch, charge, area IS NULL AS missing, count(*) AS n, round(sum(area), 2) AS area FROM exported GROUP BY ALL", "exported"))
@@ -84,10 +86,11 @@ def src_merge_sorted(spark, sf):
     return m.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("Area"), 2).alias("area"))
 
 
-@query(with_ctes("SELECT concat(feature, '_', charge) AS precursor_id, replicate, 'A' AS source_document, round(area, 6) AS abundance, 'fragment' AS abundance_type FROM exported WHERE document = 'A'", "exported"))
+@query(with_ctes("SELECT concat(feature, '_', charge) AS precursor_id, replicate, document AS source_document, round(area, 6) AS abundance, 'fragment' AS abundance_type FROM exported", "exported"))
 def src_load_report(spark, sf):
-    """SRC-11."""
-    r = reports.load_report(reports.read_report(spark, report_files(spark, sf)["A"]), "A")
+    """SRC-11: each report under its own name."""
+    found = [reports.load_report(reports.read_report(spark, path), name) for name, path in report_files(spark, sf).items()]
+    r = reduce(DataFrame.unionByName, found)
     return rounded(r.select("precursor_id", F.col("`Replicate Name`").alias("replicate"), "source_document", "abundance", "abundance_type"))
 
 
