@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +22,63 @@ DEFAULTS = {
     "protein_normalization": {"method": "median"},
     "protein_correction": {"enabled": True},
 }
+_CORRECTION = {"enabled", "method", "reference_anchored", "reference_type", "auto_revert"}
+_NORMALIZATION = {"method", "frac", "grid_points", "optimize", "rounds"}
+#: What a configuration may set, by section; a nested section is named with its path.
+KNOWN = {
+    "transition_rollup": {"method", "min_transitions", "use_ms1"},
+    "global_normalization": _NORMALIZATION,
+    "batch_correction": _CORRECTION,
+    "parsimony": {"shared"},
+    "protein_rollup": {"method", "min_features", "n", "selection", "topn"},
+    "protein_rollup.topn": {"n", "selection"},
+    "protein_normalization": _NORMALIZATION,
+    "protein_correction": _CORRECTION,
+}
+
+
+def merged(base: dict, over: dict) -> dict:
+    """``base`` with what ``over`` sets, section by section at every depth; neither is changed."""
+    out = dict(base)
+    for key, value in over.items():
+        out[key] = merged(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out
+
 
+def unknown_keys(config: dict, known: dict[str, set[str]] = KNOWN, path: str = "") -> list[str]:
+    """Dotted names of settings that no step reads, in order; what lies below an unknown name is not looked at."""
+    names = known.get(path, set()) if path else {k for k in known if "." not in k}
+    out = []
+    for key, value in config.items():
+        full = f"{path}.{key}" if path else key
+        if key not in names:
+            out.append(full)
+        elif isinstance(value, dict) and full in known:
+            out += unknown_keys(value, known, full)
+    return out
 
-def settings(config: dict | None) -> dict:
-    return {k: v | (config or {}).get(k, {}) for k, v in DEFAULTS.items()}
+
+def without(config: dict, names: list[str], path: str = "") -> dict:
+    full = lambda k: f"{path}.{k}" if path else k
+    return {k: without(v, names, full(k)) if isinstance(v, dict) else v for k, v in config.items() if full(k) not in names}
+
+
+def settings(config: dict | None, strict: bool = False) -> dict:
+    """Defaults with the configuration over them. Unknown settings are reported and left out; ``strict`` raises.
+
+    A section that is null has its defaults. The nested ``protein_rollup.topn`` wins
+    over ``n`` and ``selection`` beside it.
+    """
+    given = {k: v for k, v in (config or {}).items() if v is not None}
+    odd = unknown_keys(given)
+    if odd and strict:
+        raise ValueError(f"unknown settings: {', '.join(odd)}")
+    for name in odd:
+        near = difflib.get_close_matches(name.rsplit(".", 1)[-1], KNOWN.get(name.rpartition(".")[0], {k for k in KNOWN if "." not in k}), 1)
+        warnings.warn(f"unknown setting {name}" + (f" (did you mean {near[0]}?)" if near else ""), stacklevel=2)
+    out = merged(DEFAULTS, without(given, odd))
+    out["protein_rollup"] |= out["protein_rollup"].pop("topn", None) or {}
+    return out
 
 
 def seen_features(df: DataFrame) -> DataFrame:
@@ -42,9 +98,9 @@ def run_reports(spark: SparkSession, paths: dict[str, str], metadata: DataFrame,
     Both matrices are long: feature or entity, sample, sample_type, batch, x.
     """
     c, scratch = settings(config), Scratch(spark, "run")
-    merged = scratch.table(reports.merge_reports([(name, reports.read_report(spark, path)) for name, path in sorted(paths.items())]), "merged")
-    edges = parsimony.edges_from_lists(merged, f"`{find(merged.columns, 'feature')}`", f"`{find(merged.columns, 'entity')}`")
-    cells = reports.long_cells(merged)
+    rows = scratch.table(reports.merge_reports([(name, reports.read_report(spark, path)) for name, path in sorted(paths.items())]), "merged")
+    edges = parsimony.edges_from_lists(rows, f"`{find(rows.columns, 'feature')}`", f"`{find(rows.columns, 'entity')}`")
+    cells = reports.long_cells(rows)
     if not c["transition_rollup"]["use_ms1"]:
         cells = without_precursor_ions(cells, "transition")
     cells = scratch.table(cells, "cells")

@@ -351,6 +351,20 @@ def test_run_writes_everything(spark, tmp_path):
     assert abs(means["A"] - means["B"]) < 0.05
 
 
+def test_settings_merge_deeply_and_report_typos():
+    assert pipeline.settings(None) == pipeline.settings({}) == pipeline.DEFAULTS and pipeline.settings({"parsimony": None})["parsimony"] == {"shared": "all_groups"}
+    got = pipeline.settings({"transition_rollup": {"min_transitions": 4}, "protein_rollup": {"n": 2, "topn": {"n": 5}}})
+    assert got["transition_rollup"] == {"method": "sum", "min_transitions": 4, "use_ms1": False} and got["protein_rollup"]["n"] == 5
+    assert pipeline.DEFAULTS["protein_rollup"] == {"method": "median_polish", "min_features": 3}
+    typos = {"transition_rolup": {"method": "sum"}, "batch_correction": {"enabeld": False}, "protein_rollup": {"topn": {"count": 3}}}
+    assert pipeline.unknown_keys(typos) == ["transition_rolup", "batch_correction.enabeld", "protein_rollup.topn.count"]
+    with pytest.warns(UserWarning, match="enabeld .did you mean enabled"):
+        assert pipeline.settings(typos) == pipeline.DEFAULTS
+    with pytest.raises(ValueError, match="transition_rolup, batch_correction.enabeld"):
+        pipeline.settings(typos, strict=True)
+    assert pipeline.merged({"a": {"b": 1, "c": {"d": 2}}}, {"a": {"c": {"e": 3}}, "f": 4}) == {"a": {"b": 1, "c": {"d": 2, "e": 3}}, "f": 4}
+
+
 def test_entity_dispatch(spark):
     rng = np.random.default_rng(12)
     p = long(spark, rng.normal(20, 1, (9, 3))).withColumn("entity", F.when(F.col("feature") < 1, "one").when(F.col("feature") < 3, "two").otherwise("many"))
