@@ -10,6 +10,7 @@ from quantloom.operators import density as den
 from quantloom.operators import normalize as nrm
 from quantloom.operators import qc
 from quantloom.runtime import table
+from quantloom.scratch import Scratch
 from quantloom.streaming import ingest
 
 from . import binding as b
@@ -58,12 +59,66 @@ def qc_correlation_spearman(spark, sf):
     return rounded(qc.correlations(b.values(spark, sf).withColumn("x", F.round("x", 9)), "spearman"))
 
 
-@query()
+def _component(source: str, name: str) -> dict[str, str]:
+    """CTE ``name`` (v, l): leading eigenvector and value of the matrix in ``source`` (m), by squaring it 40 times."""
+    trace = "list_sum(list_transform(range(1, len({m}) + 1), lambda i: {m}[i][i]))"
+    scaled = "list_transform({m}, lambda r: list_transform(r, lambda x: x / {t}))"
+    square = "list_transform(a, lambda r: list_transform(a, lambda q: list_dot_product(r, q)))"
+    pick = "list_position(list_transform(range(1, len(a) + 1), lambda i: a[i][i]), list_max(list_transform(range(1, len(a) + 1), lambda i: a[i][i])))"
+    return {
+        f"{name}_p(k, a)": f"SELECT 0, {scaled.format(m='m', t=trace.format(m='m'))} FROM {source} UNION ALL SELECT k + 1, {scaled.format(m='b', t=trace.format(m='b'))} FROM (SELECT k, {square} AS b FROM {name}_p WHERE k < 40)",
+        f"{name}_v": f"SELECT list_transform(a[j], lambda x: x / sqrt(a[j][j])) AS v FROM (SELECT a, {pick} AS j FROM {name}_p WHERE k = 40)",
+        name: f"SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM {name}_v, {source}",
+    }
+
+
+def _scores(source: str, name: str) -> dict[str, str]:
+    """CTE ``name`` (sample, pc1, pc2, share1, share2): sizes of the scores on the first two components of (feature, sample, x)."""
+    n = name
+    return {
+        f"{n}_c": f"SELECT feature, sample, x - avg(x) OVER (PARTITION BY feature) AS x FROM {source}",
+        f"{n}_r": f"SELECT s, list(g ORDER BY t) AS r FROM (SELECT a.sample AS s, b.sample AS t, sum(a.x * b.x) AS g FROM {n}_c a JOIN {n}_c b ON a.feature = b.feature GROUP BY ALL) GROUP BY s",
+        f"{n}_m": f"SELECT list(r ORDER BY s) AS m, list(s ORDER BY s) AS names FROM {n}_r",
+        **_component(f"{n}_m", f"{n}_1"),
+        f"{n}_d": f"SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM {n}_m, {n}_1",
+        **_component(f"{n}_d", f"{n}_2"),
+        n: f"SELECT unnest(names) AS sample, unnest(list_transform(a.v, lambda x: x * sqrt(a.l))) AS pc1, unnest(list_transform(b.v, lambda x: x * sqrt(b.l))) AS pc2, a.l / list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS share1, b.l / list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS share2 FROM {n}_m, {n}_1 a, {n}_2 b",
+    }
+
+
+@query(with_ctes("SELECT sample, round(abs(pc1), 4) AS pc1, round(abs(pc2), 4) AS pc2, round(share1, 4) AS share1, round(share2, 4) AS share2 FROM z", "v", recursive=True, **_scores("v", "z")))
 def qc_pca(spark, sf):
     p = qc.pca(b.values(spark, sf))
     return rounded(p.withColumns({c: F.abs(c) for c in ("pc1", "pc2")}), digits=4)
 
 
+def _distance(name: str) -> str:
+    mean = lambda c, k: f"(SELECT avg({c}) FROM {name} JOIN samples USING (sample) WHERE sample_type = '{k}')"
+    return f"sqrt(pow({mean('pc1', 'reference')} - {mean('pc1', 'qc')}, 2) + pow({mean('pc2', 'reference')} - {mean('pc2', 'qc')}, 2))"
+
+
+@query(with_ctes(
+    f"SELECT round(rb, 6) AS reference_before, round(ra, 6) AS reference_after, round(qb, 6) AS qc_before, round(qa, 6) AS qc_after, round({_distance('zb')}, 4) AS distance_before, round({_distance('za')}, 4) AS distance_after, (qb - qa) / qb > 0 AS qc_improved, {_distance('za')} / {_distance('zb')} > 0.5 AS distance_kept, NOT coalesce(CASE WHEN (rb - ra) / rb > 0 THEN ((rb - ra) / rb) / nullif((qb - qa) / qb, 0) END >= 2, false) AS not_overfitted FROM cv", "v", recursive=True,
+    me="SELECT sample, median(x) AS med FROM v GROUP BY sample",
+    w="SELECT feature, v.sample, sample_type, x - (med - (SELECT median(med) FROM me)) AS x FROM v JOIN me ON me.sample = v.sample",
+    pb="SELECT sample_type AS k, feature, stddev_samp(pow(2.0, x)) / avg(pow(2.0, x)) AS c FROM v GROUP BY ALL HAVING count(*) >= 2",
+    pa="SELECT sample_type AS k, feature, stddev_samp(pow(2.0, x)) / avg(pow(2.0, x)) AS c FROM w GROUP BY ALL HAVING count(*) >= 2",
+    cv="SELECT (SELECT median(c) FROM pb WHERE k = 'reference') AS rb, (SELECT median(c) FROM pa WHERE k = 'reference') AS ra, (SELECT median(c) FROM pb WHERE k = 'qc') AS qb, (SELECT median(c) FROM pa WHERE k = 'qc') AS qa",
+    vt="SELECT feature, sample, x FROM v WHERE sample_type IN ('reference', 'qc')", wt="SELECT feature, sample, x FROM w WHERE sample_type IN ('reference', 'qc')",
+    **_scores("vt", "zb"), **_scores("wt", "za")))
+def qc_validate(spark, sf):
+    """QC-02, QC-03: the verdict on a median normalisation, with the distance of the sample types' centroids."""
+    before = Scratch(spark, "validate").table(b.values(spark, sf), "before")
+    after = Scratch(spark, "validate").table(nrm.median_normalize(before), "after")
+    got = qc.validate(before, after)
+    types = {r["sample"]: r["sample_type"] for r in before.select("sample", "sample_type").distinct().collect()}
+    ref, quality = ([s for s, k in types.items() if k == kind] for kind in ("reference", "qc"))
+    near = [qc.centroid_distance(d, ref, quality) for d in (before, after)]
+    cv = [got[f"cv_{when}"].get(kind) for kind in ("reference", "qc") for when in ("before", "after")]
+    row = (*(round(v, 6) for v in cv), *(round(v, 4) for v in near), *(bool(got[k]) for k in ("qc_improved", "distance_kept", "not_overfitted")))
+    return spark.createDataFrame([row], "reference_before double, reference_after double, qc_before double, qc_after double, distance_before double, distance_after double, qc_improved boolean, distance_kept boolean, not_overfitted boolean")
+
+
 @query()
 def qc_cluster_order(spark, sf):
     pairs = [(r["s"], r["t"], r["r"]) for r in qc.correlations(b.values(spark, sf)).collect()]

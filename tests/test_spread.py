@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import combat, joins, learn, library, parsimony, rollup, search, sequence, spread_lowess
+from quantloom.operators import combat, joins, learn, library, outputs, parsimony, rollup, search, sequence, spread_lowess
 from quantloom.operators import normalize as nrm
-from quantloom.operators.kernels import lowess
+from quantloom.operators.kernels import lowess, median_polish
 from quantloom.operators.ordering import numbered
 
 
@@ -307,3 +307,32 @@ def test_cleavage_rules(spark, enzyme, want):
         sequence.cut_sequence(F.col("s"), "unknown")
     whole = sequence.digest(df, "s", "nonspecific", shortest=14, longest=15).collect()
     assert sorted(r.peptide for r in whole) == sorted(["AAKPBBBRCCCCKDE", "AAKPBBBRCCCCKD", "AKPBBBRCCCCKDE"])
+
+
+def test_outputs_of_one_write(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(20, 1, (5, 6))
+    x[0, 0] = x[4, :] = np.nan
+    rows = [("p", f"f{f}", f"s{s}", None if np.isnan(x[f, s]) else float(x[f, s])) for f in range(5) for s in range(6)] + [("solo", "f9", "s0", 7.0)]
+    df = spark.createDataFrame(rows, "entity string, feature string, sample string, x double")
+    for method, names in (("median_polish", ["residuals", "values"]), ("topn", ["selections", "values"]), ("quality_weighted", ["values", "weights"])):
+        path = str(tmp_path / method)
+        outputs.write_outputs(outputs.rollup_outputs(df, method=method), path)
+        assert sorted(p.name for p in (tmp_path / method).iterdir() if p.is_dir()) == [f"output={n}" for n in names]
+    read = lambda method, name: outputs.read_output(spark, str(tmp_path / method), name).where("entity = 'p'").collect()
+    overall, effects, columns, resid = median_polish(x)
+    assert np.allclose([r.value for r in sorted(read("median_polish", "values"), key=lambda r: r["sample"])], overall + columns)
+    got = {(r.feature, r["sample"]): r for r in read("median_polish", "residuals")}
+    assert len(got) == 23 and all(np.isclose(r.residual, resid[int(f[1]), int(s[1])]) and np.isclose(r.row_effect, effects[int(f[1])]) for (f, s), r in got.items())
+    assert np.isclose(got["f1", "s0"].residual_mad, np.median(np.abs(resid[1] - np.median(resid[1])))) and np.isclose(got["f0", "s1"].residual_std, np.nanstd(resid[0]))
+    order = sorted(range(4), key=lambda f: -np.nanmedian(x[f]))
+    assert [(r.selection_rank, r.feature, r.n_rows, r.n_selected) for r in sorted(read("topn", "selections"), key=lambda r: r.selection_rank)] == [(k + 1, f"f{f}", 5, 3) for k, f in enumerate(order[:3])]
+    assert np.allclose([r.value for r in sorted(read("topn", "values"), key=lambda r: r["sample"])], np.nanmean(x[order[:3]], axis=0))
+    weights = read("quality_weighted", "weights")
+    for s in range(6):
+        own = {r.feature: r.weight for r in weights if r["sample"] == f"s{s}"}
+        assert np.isclose(sum(own.values()), 1) and set(own) == {f"f{f}" for f in range(5) if not np.isnan(x[f, s])}
+        value = next(r.value for r in read("quality_weighted", "values") if r["sample"] == f"s{s}")
+        assert np.isclose(value, sum(w * x[int(f[1]), s] for f, w in own.items()))
+    with pytest.raises(ValueError, match="no further outputs"):
+        outputs.rollup_outputs(df, method="sum")
