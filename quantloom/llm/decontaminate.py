@@ -35,6 +35,7 @@ ignored, or pass through where documents are filtered, whatever their names.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,10 @@ from quantloom.scratch import Scratch
 from .words import LOWER, SPACE, mix, shingles, slices
 
 
+#: Blocks of items that one pass over the documents looks for.
+PASS_BLOCKS = 4
+
+
 def item_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER.tobytes()).split()
 
@@ -142,11 +147,12 @@ def _search(batches, block, percent: int, k: int):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([keys[c] for c in items], kind), pa.array(share, pa.float64()), pa.array(estimate, pa.float64())], ["id", "item", "containment", "estimate"])
 
 
-def _clean(batches, block, percent: int, k: int, at: int):
-    sets: dict[int, set] = {}
+def _clean(batches, blocks: list, percent: int, k: int, at: int):
+    sets: list[dict[int, set]] = [{} for _ in blocks]
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
-        keep[[row for row, *_ in _matches(batch.column(at), block.value, percent, k, sets)]] = False
+        for block, known in zip(blocks, sets):
+            keep[[row for row, *_ in _matches(batch.column(at), block.value, percent, k, known)]] = False
         yield batch.filter(pa.array(keep))
 
 
@@ -172,8 +178,20 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, shingl
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5, permutations: int = 32, block_items: int = 20_000, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents that contain no item, with all their columns; a filter without a shuffle."""
-    at = docs.columns.index(text_col)
-    for block in _item_blocks(docs.sparkSession, items, permutations, shingle_words, block_items, block_bytes, item_col, item_text_col):
-        docs = docs.mapInArrow(lambda it, block=block: _clean(it, block, percent, shingle_words, at), docs.schema)
+    """The documents that contain no item, with all their columns; a filter without a shuffle.
+
+    A pass looks for the items of ``PASS_BLOCKS`` blocks; with more of them, what a
+    pass leaves is written for the next one.
+    """
+    at, scratch, before = docs.columns.index(text_col), Scratch(docs.sparkSession, "clean"), None
+    found = _item_blocks(docs.sparkSession, items, permutations, shingle_words, block_items, block_bytes, item_col, item_text_col)
+    group = list(islice(found, PASS_BLOCKS))
+    while group:
+        docs = docs.mapInArrow(lambda it, blocks=group: _clean(it, blocks, percent, shingle_words, at), docs.schema)
+        group = list(islice(found, PASS_BLOCKS))
+        if group:  # more items than one pass takes: a chain of passes would hold all their blocks in each task
+            docs = scratch.table(docs, "pass")
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
