@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.scratch import Scratch
+
 from .kernels import principal_scores
+from .ordering import quantiles
 
 
 def linear(c: str = "x") -> Column:
@@ -249,12 +252,18 @@ def lookup(df: DataFrame, samples: list[str], names: list[str], key: str = "feat
 
 
 def stages(named: dict[str, DataFrame]) -> DataFrame:
-    """(stage, sample_type, median_cv, n_features) and, per stage, the quartiles of all values: several stages of one experiment side by side."""
-    parts = []
-    for name, df in named.items():
-        box = df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*[F.get("q", i).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
-        parts.append(median_cvs(df).join(box, F.lit(True)).withColumn("stage", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+    """(stage, sample_type, median_cv, n_features) and, per stage, the quartiles of all values: several stages of one experiment side by side.
+
+    Each stage is written once; no group's values meet in one task.
+    """
+    parts = [df.select(F.lit(name).alias("stage"), "sample_type", "feature", "x") for name, df in named.items()]
+    scratch = Scratch(parts[0].sparkSession, "stages")
+    rows = scratch.table(reduce(DataFrame.unionByName, parts), "rows")
+    boxes = quantiles(rows, "x", [0.25, 0.5, 0.75], ("stage",)).select("stage", *[F.get("q", i).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    cvs = scratch.table(feature_cvs(rows, ["stage", "sample_type"]), "cvs")
+    seen = cvs.groupBy("stage", "sample_type").agg(F.count("cv").alias("n_features"))
+    middle = quantiles(cvs, "cv", [0.5], ("stage", "sample_type")).select("stage", "sample_type", F.get("q", 0).alias("median_cv"))
+    return scratch.keep(seen.join(middle, ["stage", "sample_type"], "left").join(boxes, "stage", "left").select("sample_type", "median_cv", "n_features", "q1", "median", "q3", "stage"))
 
 
 def missing_cells(df: DataFrame, samples: list[str]) -> DataFrame:

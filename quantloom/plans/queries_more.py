@@ -260,7 +260,7 @@ STAGE = "SELECT '{0}' AS stage, sample_type, round(median(cv), 6) AS median_cv,
 @query(with_ctes(" UNION ALL ".join(STAGE.format(n, c) for n, c in (("raw", "x"), ("normalised", "y"), ("centred", "z"))), "v", med="SELECT sample, median(x) AS med FROM v GROUP BY sample", w="SELECT v.feature, v.sample, sample_type, x, x - (med - (SELECT median(med) FROM med)) AS y, x - med AS z FROM v JOIN med ON med.sample = v.sample"))
 def qc_stages(spark, sf):
     """QC-08: three stages side by side."""
-    v = b.values(spark, sf)
+    v = Scratch(spark, "raw").table(b.values(spark, sf).select("feature", "sample", "sample_type", "x"), "values")
     centred = v.join(nrm.sample_medians(v), "sample").withColumn("x", F.col("x") - F.col("med"))
     return rounded(qc.stages({"raw": v, "normalised": nrm.median_normalize(v), "centred": centred}))
 
