@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import ordering
+from quantloom.operators import kernels, ordering
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 50_000])
@@ -19,3 +19,30 @@ def test_quantiles_are_exact_without_gathering_a_group(spark, n):
     whole = ordering.quantiles(df.drop("g"), "x", probs).first()
     assert np.allclose(whole.q, np.quantile(np.concatenate(list(v.values())), probs), rtol=1e-12, atol=1e-12)
     assert "percentile(" not in got._jdf.queryExecution().toString()
+
+
+def test_polish_of_many_matrices_equals_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    stack = np.round(rng.normal(20, 4, size=(40, 5, 6)), 3)
+    stack[rng.random(stack.shape) < 0.2] = np.nan
+    many = kernels.median_polish_stack(stack)
+    for i, x in enumerate(stack):
+        for got, want in zip(many, kernels.median_polish(x)):
+            assert np.allclose(got[i], want, rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_polish_runs_without_a_pandas_call_for_each_feature(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "GATHER", 50)
+    rows = [(k, t, f"S{s}", float((k * 7 + t * 3 + s * s) % 11)) for k in range(30) for t in range(1 + k % 4) for s in range(2 + k % 3)]
+    df = spark.createDataFrame([*rows, (3, 0, "S0", 99.0), (3, 1, "S9", None)], "feature int, transition int, sample string, x double")
+    out = kernels.median_polish_frames(df.coalesce(1), "feature", "transition", 20, 1e-4, True)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    got = {(r.feature, r["sample"]): (r.value, r.n_rows) for r in out.collect()}
+    for k in range(30):
+        if k == 3:
+            continue
+        x = np.array([[(k * 7 + t * 3 + s * s) % 11 for s in range(2 + k % 3)] for t in range(1 + k % 4)], float)
+        overall, _, cols, _ = kernels.median_polish(x)
+        for s in range(x.shape[1]):
+            assert abs(got[k, f"S{s}"][0] - (overall + cols[s] + np.log2(len(x)))) < 1e-9 and got[k, f"S{s}"][1] == len(x)
+    assert np.isnan(got[3, "S9"][0]) or got[3, "S9"][0] is None
