@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.scratch import Scratch
+
+from .ordering import sorted_parts
+
 #: 64-bit words of the bit set that tells which pieces of a length may begin a needle: 256 KiB.
 FILTER_WORDS = 1 << 15
 #: Lengths that seeds may have; letters of a text's block; letters that a piece carries.
@@ -34,18 +38,44 @@ def overlap_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range:
     return x.join(y, "_b").where(meet & (F.col("_b") == first)).drop("_b")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: float, keys: list[str], row: list[str], keep: list[str]) -> DataFrame:
+def range_counts(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str) -> DataFrame:
+    """``intervals`` with ``n``, the number of points lo <= point < hi, from running counts over the sorted values: no pair is made."""
+    marks = intervals.select(F.explode(F.array(F.col(lo).cast("double"), F.col(hi).cast("double"))).alias("_v")).where(F.col("_v").isNotNull()).distinct().withColumns({"_side": F.lit(0), "_c": F.lit(0).cast("long")})
+    seen = points.select(F.col(point).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_v").agg(F.count("*").alias("_c")).select("_v", F.lit(1).alias("_side"), "_c")
+    rows = sorted_parts(marks.unionByName(seen), "_v", "_side", scratch=Scratch(points.sparkSession, "ranges"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = rows.groupBy("_p").agg(F.sum("_c").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start"))
+    here = F.sum("_c").over(Window.partitionBy("_p").orderBy("_v", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    below = rows.withColumn("_here", here).where("_side = 0").join(F.broadcast(starts), "_p").select("_v", (F.col("_start") + F.col("_here")).alias("_below"))
+    at = lambda c, n: below.select(F.col("_v").alias(c), F.col("_below").alias(n))
+    wide = intervals.withColumns({"_lo": F.col(lo).cast("double"), "_hi": F.col(hi).cast("double")})
+    return wide.join(at("_lo", "_a"), "_lo", "left").join(at("_hi", "_b"), "_hi", "left").select(*intervals.columns, F.greatest(F.coalesce(F.col("_b") - F.col("_a"), F.lit(0)), F.lit(0)).alias("n"))
+
+
+def nearest_within(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: float, keys: list[str], row: list[str], keep: list[str], digits: int | None = None) -> DataFrame:
     """Each left row (identified by ``row``) with the nearest right row within the tolerance, else nulls.
 
-    Equal distances take the smaller value. ``keep`` names the right columns returned.
+    Equal distances (with ``digits``: when rounded) take the smaller value, equal values the least ``keep``,
+    which names the right columns returned. Both sides' distinct values are sorted together; a left
+    value's neighbours are the last right value before it and the first one after it, so no pairs are made.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(tolerance)))
-    l3 = left.withColumn("_c", F.explode(F.array(cell(left_value) - 1, cell(left_value), cell(left_value) + 1)))
-    r = right.withColumn("_c", cell(right_value))
-    gap = F.abs(F.col(left_value) - F.col(right_value))
-    hit = l3.join(r, [*keys, "_c"]).where(gap <= tolerance)
-    best = hit.groupBy(*row).agg(F.min_by(F.struct(right_value, *keep), F.struct(gap, F.col(right_value))).alias("_m"))
-    return left.join(best, row, "left").select(*left.columns, F.col(f"_m.{right_value}").alias(right_value), *[F.col(f"_m.{c}").alias(c) for c in keep])
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    held = right.where(real(right_value)).groupBy(*keys, F.col(right_value).alias("_v")).agg(F.min(F.struct(*keep)).alias("_k"))
+    held = held.select(*keys, F.col("_v").cast("double").alias("_v"), F.struct(F.col("_v").alias("v"), F.col("_k").alias("k")).alias("_r"))
+    asked = left.where(real(left_value)).select(*keys, F.col(left_value).cast("double").alias("_v")).distinct().withColumn("_r", F.lit(None).cast(held.schema["_r"].dataType))
+    rows = sorted_parts(held.unionByName(asked), *keys, "_v", scratch=Scratch(left.sparkSession, "nearest"))
+    parts = rows.groupBy("_p", *keys).agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_v"))).alias("_first"), F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_v"))).alias("_last"))
+    ahead = lambda c, *order: F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("_p", *keys, ahead("_last", "_p").alias("_earlier"), ahead("_first", F.desc("_p")).alias("_later"))  # as many rows as keys meet partitions
+    near = lambda *order: F.last("_r", ignorenulls=True).over(Window.partitionBy("_p", *keys).orderBy(*order))
+    met = rows.withColumns({"_before": near("_v"), "_after": near(F.desc("_v"))}).where("_r IS NULL").join(parts, ["_p", *keys])
+    met = met.select(*keys, "_v", F.coalesce("_before", "_earlier").alias("_before"), F.coalesce("_after", "_later").alias("_after"))
+    exact = lambda c: F.abs(F.col("_v") - F.col(c)["v"])
+    gap = lambda c: exact(c) if digits is None else F.round(exact(c), digits)
+    inside = [F.when(exact(c) <= tolerance, F.struct(gap(c).alias("g"), F.col(c)["v"].alias("v"), F.col(c).alias("r"))) for c in ("_before", "_after")]
+    best = met.select(*keys, F.col("_v").alias("_x"), F.least(*inside)["r"].alias("_m"))
+    joined = left.withColumn("_x", F.col(left_value).cast("double")).join(best, [*keys, "_x"], "left")
+    return joined.select(*left.columns, F.col("_m.v").alias(right_value), *[F.col(f"_m.k.{c}").alias(c) for c in keep])
 
 
 def keyed_fallback(left: DataFrame, tables: list[tuple[DataFrame, Column | str, str]], value: str) -> DataFrame:

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from quantloom.scratch import Scratch
 
 
+def sorted_parts(df: DataFrame, *order: str, scratch: Scratch) -> DataFrame:
+    """Rows range-partitioned in ``order`` and written once, with their partition ``_p``: what a partition's window
+    lacks of the earlier ones is added from one row for each partition."""
+    return scratch.table(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "parts")
+
+
 def numbered(df: DataFrame, *order, within: tuple[str, ...] = (), name: str = "position", scratch: Scratch | None = None) -> DataFrame:
     """Adds the row's place, from 1, in the total order of ``order`` (columns or sort expressions).
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import kernels, ordering
+from quantloom.operators import compare as compare_cvs
+from quantloom.operators import joins, kernels, ordering
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 50_000])
@@ -46,3 +47,27 @@ def test_polish_runs_without_a_pandas_call_for_each_feature(spark, monkeypatch):
         for s in range(x.shape[1]):
             assert abs(got[k, f"S{s}"][0] - (overall + cols[s] + np.log2(len(x)))) < 1e-9 and got[k, f"S{s}"][1] == len(x)
     assert np.isnan(got[3, "S9"][0]) or got[3, "S9"][0] is None
+
+
+def test_top_does_not_order_equal_scores_by_rounding_noise(spark):
+    pairs = spark.createDataFrame([(1, 0.3, 0.2), (2, 0.3 + 1e-15, 0.2), (3, 0.4, 0.2)], "feature int, cv_a double, cv_b double")
+    assert [r.feature for r in compare_cvs.top(pairs, n=2, digits=9).collect()] == [3, 1]
+
+
+def test_range_counts_makes_no_pairs(spark):
+    points = spark.createDataFrame([(float(i % 10),) for i in range(1000)] + [(None,)], "v double")
+    intervals = spark.createDataFrame([(1, 2.0, 5.0), (2, 2.0, 2.0), (3, 5.0, 2.0), (4, -1.0, 0.0), (5, 8.5, 99.0), (6, None, 3.0)], "w int, lo double, hi double")
+    out = joins.range_counts(points, intervals, "v", "lo", "hi")
+    assert {r.w: r.n for r in out.collect()} == {1: 300, 2: 0, 3: 0, 4: 0, 5: 100, 6: 0}
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_nearest_within_takes_the_smaller_value_when_distances_differ_by_noise_only(spark):
+    left = spark.createDataFrame([(1, "a", 12.3), (2, "a", 90.0), (3, "b", 12.3), (4, "a", None), (5, "c", 1.0)], "id int, k string, x double")
+    right = spark.createDataFrame([("a", 12.2, 7), ("a", 12.4, 8), ("a", 12.2, 6), ("b", 12.9, 9)], "k string, v double, y int")
+    assert abs(12.3 - 12.4) < abs(12.3 - 12.2)  # by noise
+    got = joins.nearest_within(left, right, "x", "v", 1.0, ["k"], ["id"], ["y"], digits=8)
+    assert {r.id: (r.v, r.y) for r in got.collect()} == {1: (12.2, 6), 2: (None, None), 3: (12.9, 9), 4: (None, None), 5: (None, None)}
+    raw = joins.nearest_within(left, right, "x", "v", 1.0, ["k"], ["id"], ["y"])
+    assert {r.id: r.v for r in raw.collect()}[1] == 12.4
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
