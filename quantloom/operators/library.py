@@ -36,7 +36,7 @@ def match_fragments(observed: DataFrame, library: DataFrame, tolerance: float =
     """Add ``expected``: the library intensity of the same ion of the same key, else of the nearest m/z within the tolerance."""
     by_ion = library.groupBy("key", "ion").agg(F.max("intensity").alias("_exact"))
     exact = observed.join(by_ion, ["key", "ion"], "left")
-    near = nearest_within(observed.select("key", "ion", "mz").distinct(), library.select("key", F.col("mz").alias("lib_mz"), "intensity"), "mz", "lib_mz", tolerance, ["key"], ["key", "ion", "mz"], ["intensity"])
+    near = nearest_within(observed.select("key", "ion", "mz").distinct(), library.select("key", F.col("mz").alias("lib_mz"), "intensity"), "mz", "lib_mz", tolerance, ["key"], ["key", "ion", "mz"], ["intensity"], digits=8)
     out = exact.join(near.select("key", "ion", "mz", F.col("intensity").alias("_near")), ["key", "ion", "mz"], "left")
     return out.withColumn("expected", F.coalesce("_exact", "_near")).drop("_exact", "_near")
 
