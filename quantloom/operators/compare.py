@@ -23,8 +23,10 @@ def compare_cvs(a: DataFrame, b: DataFrame, sample_type: str | None = None) -> D
     return cvs[0].join(cvs[1], "feature").withColumn("difference", F.col("cv_b") - F.col("cv_a"))
 
 
-def top(pairs: DataFrame, criterion: str = "most_improved", n: int = 20) -> DataFrame:
-    scored = pairs.withColumn("score", ranking_score(F.col("cv_a"), F.col("cv_b"), criterion))
+def top(pairs: DataFrame, criterion: str = "most_improved", n: int = 20, digits: int | None = None) -> DataFrame:
+    """The first n by score, then feature. With ``digits`` scores that agree when rounded are equal: rounding noise does not order features."""
+    score = ranking_score(F.col("cv_a"), F.col("cv_b"), criterion)
+    scored = pairs.withColumn("score", score if digits is None else F.round(score, digits))
     return scored.orderBy(F.desc("score"), "feature").limit(n)
 
 

@@ -284,7 +284,7 @@ def cmp_criteria(spark, sf):
     """CMP-02, CMP-03, CMP-06: top-k reports by every criterion; the limit is the feature."""
     v = b.values(spark, sf)
     pairs = cmp.compare_cvs(v, nrm.median_normalize(v), "qc").withColumns({c: F.round(c, 9) for c in ("cv_a", "cv_b")})
-    parts = [cmp.top(pairs, n, 15).select(F.lit(n).alias("criterion"), "feature", F.round("score", 6).alias("score")) for n in CRITERIA]
+    parts = [cmp.top(pairs, n, 15, digits=9).select(F.lit(n).alias("criterion"), "feature", F.round("score", 6).alias("score")) for n in CRITERIA]
     return reduce(DataFrame.unionByName, parts)
 
 
