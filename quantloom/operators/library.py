@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import nearest_within
+from .kernels import _middle, matrices, repeated, sorted_cells
 from .sequence import strip_modifications
 
 
@@ -50,47 +52,48 @@ def least_squares(df: DataFrame) -> DataFrame:
     return s.select("key", "sample", "n", scale.alias("scale"), F.when(F.col("oo") > 0, 1 - rest / F.col("oo")).alias("r2"))
 
 
-def fit_matrix(observed: np.ndarray, expected: np.ndarray, method: str = "median_polish", least: int = 3, limit: float = 1.0, rounds: int = 5, trim: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scale, R2 and used fragments of every sample (column) at once.
+def fit_stack(observed: np.ndarray, expected: np.ndarray, method: str = "median_polish", least: int = 3, limit: float = 1.0, rounds: int = 5, trim: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scale, R2 and used fragments of every sample of many precursors (precursor, fragment, sample) at once.
 
     Interference only adds, so each round drops, in each sample, the one fragment
     that lies furthest above its prediction by more than ``limit`` times it, while
     more than ``least`` are left. ``median_polish`` sees positive cells only,
     ``least_squares`` takes missing ones as 0. R2 is about the mean of the used
-    cells, 0 where these do not vary.
+    cells, 0 where these do not vary (by more than rounding).
     """
     fitted = expected > 0
     obs = np.where(np.isfinite(observed), observed, 0.0)
-    use = fitted[:, None] & (obs > 0) if method == "median_polish" else np.repeat(fitted[:, None], obs.shape[1], axis=1)
-    lib = np.where(fitted, expected, 1.0)[:, None]
-    columns = np.arange(obs.shape[1])
-    scale = np.full(obs.shape[1], np.nan)
+    use = fitted[:, :, None] & (obs > 0) if method == "median_polish" else np.repeat(fitted[:, :, None], obs.shape[2], axis=2)
+    lib = np.where(fitted, expected, 1.0)[:, :, None]
     for step in range(rounds + 1):
         if method == "median_polish":
             ratio = np.where(use, np.log(np.where(use, obs, 1.0)) - np.log(lib), np.nan)
-            some = use.any(0)
-            scale = np.full(obs.shape[1], np.nan)
-            scale[some] = np.exp(np.nanmedian(ratio[:, some], axis=0))
+            scale = np.where(use.any(1), np.exp(_middle(ratio, 1)), np.nan)
         else:
-            bottom = (use * lib**2).sum(0)
-            scale = np.where(bottom > 0, np.maximum((np.where(use, obs, 0) * lib).sum(0) / np.where(bottom > 0, bottom, 1), 0), 0.0)
-        if not trim or step == rounds:
+            bottom = (use * lib**2).sum(1)
+            scale = np.where(bottom > 0, np.maximum((np.where(use, obs, 0) * lib).sum(1) / np.where(bottom > 0, bottom, 1), 0), 0.0)
+        if not trim or step == rounds or not use.shape[1]:
             break
-        predicted = lib * np.nan_to_num(scale)
+        predicted = lib * np.nan_to_num(scale)[:, None, :]
         excess = np.where(use & (predicted > 0), (obs - predicted) / np.where(predicted > 0, predicted, 1), -np.inf)
-        worst = excess.argmax(0)
-        drop = (excess[worst, columns] > limit) & (use.sum(0) > least)
-        if not drop.any():
+        worst = excess.argmax(1)
+        k, c = np.nonzero((excess.max(1) > limit) & (use.sum(1) > least))
+        if not len(k):
             break
-        use[worst[drop], columns[drop]] = False
-    n = use.sum(0)
-    mean = np.where(use, obs, 0).sum(0) / np.maximum(n, 1)
-    rest = np.where(use, (obs - lib * np.nan_to_num(scale)) ** 2, 0).sum(0)
-    total = np.where(use, (obs - mean) ** 2, 0).sum(0)
-    r2 = np.where(total > 0, 1 - rest / np.where(total > 0, total, 1), 0.0)
-    bare = (n < least) & ~((method == "least_squares") & (obs[fitted].sum(0) == 0))
-    scale, r2 = np.where(bare, np.nan, scale), np.where(bare, np.nan, r2)
-    return scale, r2, use
+        use[k, worst[k, c], c] = False
+    n = use.sum(1)
+    mean = np.where(use, obs, 0).sum(1) / np.maximum(n, 1)
+    rest = np.where(use, (obs - lib * np.nan_to_num(scale)[:, None, :]) ** 2, 0).sum(1)
+    total = np.where(use, (obs - mean[:, None, :]) ** 2, 0).sum(1)
+    varies = total > n * (1e-12 * mean) ** 2  # equal cells leave the rounding of their mean
+    r2 = np.where(varies, 1 - rest / np.where(varies, total, 1), 0.0)
+    bare = (n < least) & ~((method == "least_squares") & (np.where(fitted[:, :, None], obs, 0).sum(1) == 0))
+    return np.where(bare, np.nan, scale), np.where(bare, np.nan, r2), use
+
+
+def fit_matrix(observed: np.ndarray, expected: np.ndarray, method: str = "median_polish", least: int = 3, limit: float = 1.0, rounds: int = 5, trim: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_stack`` of one precursor (fragment, sample)."""
+    return tuple(a[0] for a in fit_stack(observed[None], expected[None], method, least, limit, rounds, trim))
 
 
 def _matched(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
@@ -106,21 +109,28 @@ def library_rollup(df: DataFrame, method: str = "median_polish", least: int = 3,
     the whole library spectrum. Keys with fewer matched fragments than ``least`` give
     the log2 of their plain sum and no verdict. ``warning`` is poor_fit if R2 is
     under ``reliable_from``, many_outliers if more than half of the fragments were
-    dropped, else null. One group is one precursor, a small matrix.
+    dropped, else null. Precursors of equal numbers of fragments and samples are fitted together.
     """
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        obs, exp = _matched(pdf)
-        matched = np.isfinite(exp) & (exp > 0)
-        if matched.sum() < least:
-            plain = np.nansum(np.maximum(obs.to_numpy(float), 0), axis=0)
-            return pd.DataFrame({"key": pdf["key"].iloc[0], "sample": obs.columns, "value": np.where(plain > 0, np.log2(np.maximum(plain, 1e-300)), np.nan), "r2": np.nan, "n_used": 0, "warning": None})
-        scale, r2, use = fit_matrix(obs.to_numpy(float)[matched], exp[matched], method, least, limit, trim=trim)
-        amount = scale * float(pdf["total"].max())
-        n = use.sum(0)
-        warning = np.where(np.isnan(r2), None, np.where(r2 < reliable_from, "poor_fit", np.where(matched.sum() - n > matched.sum() // 2, "many_outliers", None)))
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "sample": obs.columns, "value": np.where(amount > 0, np.log2(np.where(amount > 0, amount, 1)), np.nan), "r2": r2, "n_used": n, "warning": warning})
-
-    out = df.select("key", "ion", "sample", "area", "expected", "total").groupBy("key").applyInPandas(one, "key string, sample string, value double, r2 double, n_used int, warning string")
+    def fitted(batches):
+        for t, keys, _, samples, x, (cells, k, r, _) in matrices(batches, "key", "ion", "area"):
+            number = lambda c: t[c].combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)[cells]  # noqa: E731, B023
+            exp, total = np.full(x.shape[:2], np.nan), np.full(len(x), -np.inf)
+            seen = np.flatnonzero(~np.isnan(number("expected")))[::-1]  # the first cell is written last
+            exp[k[seen], r[seen]] = number("expected")[seen]
+            np.fmax.at(total, k, number("total"))
+            matched = np.isfinite(exp) & (exp > 0)
+            ok = matched.sum(1)[:, None]
+            scale, r2, use = fit_stack(x, np.where(matched, exp, 0.0), method, least, limit, trim=trim)
+            amount, n = scale * total[:, None], use.sum(1)
+            few, plain = ok < least, np.nansum(np.maximum(x, 0), axis=1)
+            amount = np.where(few, plain, amount)
+            value = np.where(amount > 0, np.log2(np.where(amount > 0, amount, 1)), np.nan)
+            r2, n = np.where(few, np.nan, r2), np.where(few, 0, n)
+            code = np.where(np.isnan(r2), 2, np.where(r2 < reliable_from, 0, np.where(ok - n > ok // 2, 1, 2)))
+            warning = pa.array(["poor_fit", "many_outliers", None]).take(pa.array(code.ravel()))
+            yield from pa.table({"key": repeated(keys, x.shape[2]), "sample": samples, "value": value.ravel(), "r2": r2.ravel(), "n_used": pa.array(n.ravel(), pa.int32()), "warning": warning}).to_batches(1 << 16)
+
+    out = sorted_cells(df, "key", "ion", "sample", "area", "expected", "total").mapInArrow(fitted, "key string, sample string, value double, r2 double, n_used int, warning string")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("value", "r2")})
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import compare as compare_cvs
-from quantloom.operators import joins, kernels, ordering
+from quantloom.operators import joins, kernels, library, ordering
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 50_000])
@@ -71,3 +71,30 @@ def test_nearest_within_takes_the_smaller_value_when_distances_differ_by_noise_o
     raw = joins.nearest_within(left, right, "x", "v", 1.0, ["k"], ["id"], ["y"])
     assert {r.id: r.v for r in raw.collect()}[1] == 12.4
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_fragments_do_not_give_a_fit_quality_by_rounding(spark):
+    x = np.full((3, 1), 50000.37)  # their mean is off by rounding in some sums
+    x = np.vstack([x, x, x, x[:1]])
+    mean = x.sum(0) / len(x)
+    noisy = np.repeat(x + np.spacing(x) * (mean == x), 1, axis=1)
+    noisy[0] = x[0]
+    _, r2, _ = library.fit_matrix(noisy, np.arange(1.0, 11.0), "least_squares", trim=False)
+    assert r2[0] == 0.0
+
+
+def test_library_rollup_fits_many_precursors_in_one_call(spark):
+    rows = [(f"k{k}", f"y{i}", f"S{s}", float((k * 31 + i * 17 + s * 7) % 23) if (k + i + s) % 5 else None, float(i) if k % 4 else None, 30.0) for k in range(12) for i in range(1, 4 + k % 4) for s in range(3 + k % 2)]
+    df = spark.createDataFrame(rows, "key string, ion string, sample string, area double, expected double, total double")
+    for method in ("median_polish", "least_squares"):
+        out = library.library_rollup(df, method)
+        assert "MapInArrow" in out._jdf.queryExecution().toString()
+        got = {(r.key, r["sample"]): r for r in out.collect()}
+        for k in range(12):
+            x = np.array([[next((a for q, j, t, a, *_ in rows if (q, j, t) == (f"k{k}", f"y{i}", f"S{s}")), None) for s in range(3 + k % 2)] for i in range(1, 4 + k % 4)], float)
+            scale, r2, use = library.fit_matrix(x, np.arange(1.0, 4 + k % 4), method)
+            for s in range(x.shape[1]):
+                r = got[f"k{k}", f"S{s}"]
+                amount = scale[s] * 30 if k % 4 else np.nansum(x[:, s])
+                assert (r.value is None) == (not amount > 0) and (r.value is None or abs(r.value - np.log2(amount)) < 1e-9)
+                assert r.n_used == (use[:, s].sum() if k % 4 else 0)
