@@ -87,7 +87,7 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     order = pc.sort_indices(d.dictionary)
     rank = np.empty(len(order), np.int64)
     rank[order.to_numpy()] = np.arange(len(order))
-    return rank[d.indices.to_numpy()], d.dictionary.take(order)
+    return rank[d.indices.to_numpy()], d.dictionary.take(order)  # codes of a null come last, as its place in the order
 
 
 def _places(owner: np.ndarray, code: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def matrices(batches, key: str, row: str, value: str = "x"):
             stack[place[owner[mine]], r[mine], c[mine]] = x[mine]
             cells = np.flatnonzero(place[owner] >= 0)
             at = (cells, place[owner[cells]], r[cells], c[cells])
-            yield t, t[key].take(pa.array(start[of])), names.take(pa.array(row_codes[first_row[of][:, None] + np.arange(shape[0])].ravel())), samples.take(pa.array(col_codes[first_col[of][:, None] + np.arange(shape[1])].ravel())), stack, at
+            yield t, t[key].combine_chunks().take(pa.array(start[of])), names.take(pa.array(row_codes[first_row[of][:, None] + np.arange(shape[0])].ravel())), samples.take(pa.array(col_codes[first_col[of][:, None] + np.arange(shape[1])].ravel())), stack, at
 
 
 def sorted_cells(m: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -12,10 +12,11 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import median_polish
+from .kernels import _spread, matrices, median_polish_stack, sorted_cells
 from .rollup import log_variance
 
 #: Columns of each output besides the key, the row and the sample.
@@ -43,18 +44,36 @@ def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.pivot_table(index="row", columns="sample", values="x", aggfunc="first", dropna=False)
 
 
-def polished_rows(wide: pd.DataFrame, log_count: bool) -> list[pd.DataFrame]:
-    x = wide.to_numpy(float)
-    overall, rows, cols, resid = median_polish(x)
-    value = overall + cols + (np.log2(len(wide)) if log_count else 0.0)
-    value[np.isnan(x).all(0)] = np.nan
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", RuntimeWarning)
-        spread = float(np.sqrt(np.nanmean(np.nanvar(resid, axis=1))))
-    values = pd.DataFrame({"output": "values", "sample": wide.columns, "value": value, "uncertainty": spread, "n_rows": len(wide)})
-    r, c = np.nonzero(~np.isnan(resid))
-    long = pd.DataFrame({"output": "residuals", "row": wide.index.to_numpy()[r], "sample": wide.columns.to_numpy()[c], "residual": resid[r, c], "row_effect": rows[r]} | {k: v[r] for k, v in row_summary(resid).items()})
-    return [values, long]
+#: Rows of one batch of outputs.
+BATCH = 1 << 16
+
+
+def _tagged(output: str, key: pa.Array, row: pa.Array, **columns) -> pa.RecordBatch:
+    """A batch of one output: the columns it has, nulls for the others."""
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
+    given = {"output": pa.array([output]).take(pa.array(np.zeros(len(key), np.int64))), "key": key, "row": row}
+    given |= {c: pa.array(columns[c], kinds[k], from_pandas=True) if c in columns else pa.nulls(len(key), kinds[k]) for c, k in _KINDS.items()}
+    return pa.RecordBatch.from_arrays(list(given.values()), list(given))
+
+
+def polished_batches(batches, log_count: bool):
+    """Values and residuals of the matrices in batches of cells (key, row, sample, x) sorted by key; no longer table than a batch is built."""
+    for _, keys, names, samples, x, _ in matrices(batches, "key", "row"):
+        k_n, r_n, c_n = x.shape
+        overall, rows, cols, resid = median_polish_stack(x)
+        value = overall[:, None] + cols + (np.log2(r_n) if log_count else 0.0)
+        value[np.isnan(x).all(1)] = np.nan
+        spread = np.repeat(_spread(resid), c_n)
+        for lo in range(0, value.size, BATCH):
+            at = np.arange(lo, min(lo + BATCH, value.size))
+            yield _tagged("values", keys.take(pa.array(at // c_n)), pa.nulls(len(at), names.type), sample=samples.take(pa.array(at)), value=value.ravel()[at], uncertainty=spread[at], n_rows=np.full(len(at), r_n))
+        flat, effects, step = resid.reshape(k_n * r_n, c_n), rows.ravel(), max(1, BATCH // c_n)
+        for lo in range(0, len(flat), step):
+            part = flat[lo : lo + step]
+            seen = row_summary(part)
+            r, c = np.nonzero(~np.isnan(part))
+            at = lo + r
+            yield _tagged("residuals", keys.take(pa.array(at // r_n)), names.take(pa.array(at)), sample=samples.take(pa.array(at // r_n * c_n + c)), residual=part[r, c], row_effect=effects[at], **{n: v[r] for n, v in seen.items()})
 
 
 def top_rows(wide: pd.DataFrame, n: int, selection: str) -> list[pd.DataFrame]:
@@ -81,14 +100,16 @@ def rollup_outputs(m: DataFrame, key: str = "entity", row: str = "feature", meth
     if method not in ("median_polish", "topn"):
         raise ValueError(f"no further outputs of {method}")
 
+    number = [c for c, k in _KINDS.items() if k == "double"]
+    if method == "median_polish":
+        out = sorted_cells(named, "key", "row", "sample", "x").mapInArrow(lambda batches: polished_batches(batches, log_count), schema)
+        return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in number})
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        parts = polished_rows(wide, log_count) if method == "median_polish" else top_rows(wide, n, selection)
-        rows = pd.concat(parts).assign(key=pdf["key"].iloc[0]).reindex(columns=columns)
+        rows = pd.concat(top_rows(_wide(pdf), n, selection)).assign(key=pdf["key"].iloc[0]).reindex(columns=columns)
         return rows.astype({c: object for c in ("output", "key", "row", "sample", "selection_method")})
 
     out = named.groupBy("key").applyInPandas(one, schema)
-    number = [c for c, k in _KINDS.items() if k == "double"]
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in number})
 
 
