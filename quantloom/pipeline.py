@@ -110,8 +110,9 @@ def run_reports(spark: SparkSession, paths: dict[str, str], metadata: DataFrame,
     rolled = rollup.rollup_transitions(m, c["transition_rollup"]["method"], c["transition_rollup"]["min_transitions"], cells)
     values = rolled.select("feature", "sample", F.col("value").alias("x")).join(rollup.mean_times(cells).withColumnRenamed("mean_rt", "rt"), "feature", "left").join(samples, "sample")
     features = scratch.table(level(scratch.table(values, "raw"), c["global_normalization"], c["batch_correction"]), "features")
-    groups = scratch.table(parsimony.groups(edges), "groups")
-    p = scratch.table(parsimony.group_matrix(features, edges, c["parsimony"]["shared"]), "grouped")
+    made = parsimony.grouping(edges)  # for the groups and for their matrix
+    groups = scratch.table(parsimony.groups(edges, made), "groups")
+    p = scratch.table(parsimony.group_matrix(features, edges, c["parsimony"]["shared"], made), "grouped")
     pr = c["protein_rollup"]
     rolled = rollup.rollup_entities(p, **{k: v for k, v in pr.items()})
     values = rolled.select(F.col("entity").alias("feature"), "sample", F.col("value").alias("x")).join(samples, "sample")

@@ -7,7 +7,7 @@ from compare import TABLES, connect, difference
 from pyspark.sql import functions as F
 
 from quantloom.operators import compare as compare_cvs
-from quantloom.operators import joins, kernels, library, ordering, outputs
+from quantloom.operators import joins, kernels, library, ordering, outputs, parsimony
 from quantloom.plans import queries_groups
 
 
@@ -126,3 +126,12 @@ def test_unique_group_sums_cover_the_edges_of_all_lines(spark, sf, tmp_path):
     rows = run(spark, str(tmp_path))
     assert rows.count() > 0 and rows.where("entity NOT LIKE 'O%'").isEmpty()  # groups of orders, not of brands
     assert not difference(spark, connect(str(tmp_path)), run, sql, str(tmp_path))
+
+
+def test_a_known_grouping_is_not_made_again(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b")], "feature int, entity string")
+    values = spark.createDataFrame([(1, "S", 1.0), (2, "S", 2.0)], "feature int, sample string, x double")
+    made = parsimony.grouping(edges)
+    monkeypatch.setattr(parsimony, "grouping", None)
+    assert {r.leader for r in parsimony.groups(edges, made).collect()} == {"a", "b"}
+    assert sorted((r.entity, r.feature) for r in parsimony.group_matrix(values, edges, made=made).collect()) == [("a", 1), ("a", 2), ("b", 2)]
