@@ -46,12 +46,12 @@ def values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(feature, entity) of all lines: orders with their parts, twins and fragments."""
+    """(feature, entity) of all lines: orders with their parts, twins and fragments. A part that an order has twice is there twice."""
     key = F.lpad(F.col("l_orderkey").cast("string"), 9, "0")
     twin = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("T"), key))
     part = F.when((F.col("l_orderkey") % 3 == 1) & (F.col("l_linenumber") <= 2), F.concat(F.lit("U"), key))
     names = F.array_compact(F.array(F.concat(F.lit("O"), key), twin, part))
-    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("feature"), F.explode(names).alias("entity")).distinct()
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("feature"), F.explode(names).alias("entity"))
 
 
 def exported(spark: SparkSession, sf: str) -> DataFrame:

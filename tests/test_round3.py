@@ -135,3 +135,27 @@ def test_a_known_grouping_is_not_made_again(spark, monkeypatch):
     monkeypatch.setattr(parsimony, "grouping", None)
     assert {r.leader for r in parsimony.groups(edges, made).collect()} == {"a", "b"}
     assert sorted((r.entity, r.feature) for r in parsimony.group_matrix(values, edges, made=made).collect()) == [("a", 1), ("a", 2), ("b", 2)]
+
+
+def test_small_sets_are_compared_where_they_meet(spark, monkeypatch):
+    """Only true supersets are written as pairs; sets on both sides of ``SMALL`` are told apart on all features."""
+    written = {}
+    table = parsimony.Scratch.table
+
+    def kept(self, df, name="t"):
+        out = table(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(parsimony.Scratch, "table", kept)
+    sets = {f"s{i:02d}": {0, 1, 100 + i, 200 + i} for i in range(30)} | {f"t{i:02d}": {0, 1, 100 + i} for i in range(10)}
+    edges = lambda named: spark.createDataFrame([(f, e) for e, fs in named.items() for f in fs] * 2, "feature long, entity string")
+    assert {(r.entity, r.by) for r in parsimony.subsumed(edges(sets)).collect()} == {(f"t{i:02d}", f"s{i:02d}") for i in range(10)}
+    assert written["pairs"] == 10
+    n = parsimony.SMALL
+    big = {"a": set(range(n + 5)), "b": set(range(n + 4)), "c": set(range(3)), "d": set(range(n)) | {99}, "e": {1, 99}, "f": set(range(n + 5)), "g": {2, 77}, "h": {5}}
+    want = {x: min(o for o, s in big.items() if s > v) for x, v in big.items() if any(s > v for s in big.values())}
+    absorbed, leaders, role = parsimony.grouping(edges(big))
+    assert {r.entity: r.by for r in absorbed.collect()} == want
+    assert {(r.entity, r.leader) for r in leaders.collect()} == {("a", "a"), ("f", "a"), ("d", "d"), ("g", "g")}
+    assert {(r.feature, r.leader) for r in role.where("role <> 'shared'").collect()} == {(f, "a") for f in range(n + 5)} | {(99, "d"), (77, "g")}
