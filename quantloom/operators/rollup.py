@@ -34,6 +34,21 @@ def sample_list(df: DataFrame, col: str = "sample") -> list[str]:
     return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
+def _measured(cells: DataFrame, min_transitions: int) -> DataFrame:
+    """(feature, transition, areas, low): a map of the areas by sample, and what stands for missing ones."""
+    rows = cells.groupBy("feature", "transition").agg(F.map_from_entries(F.collect_list(F.struct("sample", "area"))).alias("areas"))
+    low = cells.where("area > 0").groupBy("feature").agg(F.greatest(0.5 * F.percentile("area", F.lit(0.01)), F.lit(1.0)).alias("low"))
+    if min_transitions > 1:
+        enough = cells.groupBy("feature").agg(F.countDistinct("transition").alias("k")).where(F.col("k") >= min_transitions).select("feature")
+        rows = rows.join(enough, "feature", "left_semi")
+    return rows.join(low, "feature", "left")
+
+
+def _imputed(sample: Column) -> Column:
+    area = F.greatest(F.coalesce(F.try_element_at("areas", sample), F.lit(0.0)), F.lit(0.0))
+    return F.log2(F.when(area > 0, area).otherwise(F.coalesce("low", F.lit(1.0))))
+
+
 def matrix(cells: DataFrame, samples: list[str], min_transitions: int = 1) -> DataFrame:
     """Dense log2 matrix (feature, transition, sample, x).
 
@@ -42,15 +57,14 @@ def matrix(cells: DataFrame, samples: list[str], min_transitions: int = 1) -> Da
     One shuffle by feature: a feature's cells are folded into a map per transition,
     so no join is needed to find the missing ones.
     """
-    rows = cells.groupBy("feature", "transition").agg(F.map_from_entries(F.collect_list(F.struct("sample", "area"))).alias("areas"))
-    low = cells.where("area > 0").groupBy("feature").agg(F.greatest(0.5 * F.percentile("area", F.lit(0.01)), F.lit(1.0)).alias("low"))
-    if min_transitions > 1:
-        enough = cells.groupBy("feature").agg(F.countDistinct("transition").alias("k")).where(F.col("k") >= min_transitions).select("feature")
-        rows = rows.join(enough, "feature", "left_semi")
-    rows = rows.join(low, "feature", "left").withColumn("sample", F.explode(F.array(*map(F.lit, samples))))
-    area = F.greatest(F.coalesce(F.try_element_at("areas", F.col("sample")), F.lit(0.0)), F.lit(0.0))
-    x = F.log2(F.when(area > 0, area).otherwise(F.coalesce("low", F.lit(1.0))))
-    return rows.select("feature", "transition", "sample", x.alias("x"))
+    rows = _measured(cells, min_transitions).withColumn("sample", F.explode(F.array(*map(F.lit, samples))))
+    return rows.select("feature", "transition", "sample", _imputed(F.col("sample")).alias("x"))
+
+
+def matrix_rows(cells: DataFrame, samples: list[str], min_transitions: int = 1) -> DataFrame:
+    """The same matrix with a row a transition: (feature, transition, xs), xs in the order of ``samples``."""
+    names = F.array(*map(F.lit, samples)).cast("array<string>")
+    return _measured(cells, min_transitions).select("feature", "transition", F.transform(names, _imputed).alias("xs"))
 
 
 def shape_scores(cells: DataFrame) -> DataFrame:
@@ -154,20 +168,74 @@ def rollup_topn(m: DataFrame, n: int = 3, weighting: str = "sqrt", scores: DataF
     return out.withColumn("value", F.when(F.col("n_transitions") >= min_transitions, F.col("value")))
 
 
-def consensus_cells(m: DataFrame, regularization: float = 0.1) -> DataFrame:
-    """Residual, weight and variance of every cell: x less the row median less the column median of the centred rows."""
-    row, col = Window.partitionBy("feature", "transition"), Window.partitionBy("feature", "sample")
-    c = m.withColumn("centred", F.col("x") - F.median("x").over(row))
-    c = c.withColumn("residual", F.col("centred") - F.median("centred").over(col))
-    c = c.withColumn("variance", F.var_pop("residual").over(row)).withColumn("raw", 1 / (F.col("variance") + regularization))
-    scale = F.sum("raw").over(col)
-    return c.withColumn("weight", F.col("raw") * F.count("*").over(col) / scale).drop("raw", "centred")
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def _array_median(values: Column) -> Column:
+    half = lambda n: F.floor(n / 2).cast("int")
+    return _let(F.sort_array(F.array_compact(values)), lambda s: (F.get(s, half(F.size(s) - 1)) + F.get(s, half(F.size(s)))) / 2)
+
 
+def _array_variance(values: Column) -> Column:
+    squares = lambda v, mean: _sum(F.transform(v, lambda x: (x - mean) * (x - mean)))
+    return _let(F.array_compact(values), lambda v: _let(F.try_divide(_sum(v), F.size(v)), lambda mean: F.try_divide(squares(v, mean), F.size(v))))
 
-def rollup_consensus(m: DataFrame, regularization: float = 0.1) -> DataFrame:
-    """Transitions weighted by the inverse variance of their residuals."""
-    c = consensus_cells(m, regularization)
-    return c.groupBy("feature", "sample").agg(F.log2(F.greatest(F.sum(F.col("weight") * F.pow(F.lit(2.0), F.col("x"))), F.lit(1.0))).alias("value"), F.stddev_pop("residual").alias("uncertainty"), F.count("*").alias("n_transitions"))
+
+def _consensus_sets(m: DataFrame, samples: list[str] | None, regularization: float) -> tuple[DataFrame, Column, Column]:
+    """A row a feature: ``p``, its transitions with arrays over the samples, and ``total``, for each sample the number and the summed raw weights of its cells."""
+    if samples is None:  # long cells: first a row a transition
+        samples = sample_list(m)
+        names = F.array(*map(F.lit, samples)).cast("array<string>")
+        m = m.where(F.col("sample").isNotNull()).groupBy("feature", "transition").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.col("x").cast("double").alias("x")))).alias("_x"))
+        m = m.select("feature", "transition", F.transform(names, lambda s: F.try_element_at("_x", s)).alias("xs"), F.transform(names, lambda s: F.map_contains_key("_x", s)).alias("seen"))
+    else:
+        m = m.select("feature", "transition", "xs", F.lit(None).cast("array<boolean>").alias("seen"))
+    places, name = F.sequence(F.lit(0), F.lit(len(samples) - 1)) if samples else F.array().cast("array<int>"), lambda i: F.get(F.array(*map(F.lit, samples)).cast("array<string>"), i)
+    sets = m.groupBy("feature").agg(F.collect_list(F.struct("transition", "xs", "seen")).alias("p"))
+
+    centred = F.transform("p", lambda r: r.withField("c", _let(_array_median(r["xs"]), lambda mid: F.transform(r["xs"], lambda x: x - mid))))
+    mids = lambda p: F.transform(places, lambda i: _array_median(F.transform(p, lambda r: F.get(r["c"], i))))
+    residual = _let(centred, lambda p: _let(mids(p), lambda mid: F.transform(p, lambda r: r.withField("c", F.zip_with(r["c"], mid, lambda c, v: c - v)))))
+    sets = sets.select("feature", F.transform(residual, lambda r: r.withField("variance", _array_variance(r["c"]))).alias("p"))
+    raw = lambda r: 1 / (r["variance"] + regularization)
+    own = lambda i: F.filter("p", lambda r: F.coalesce(F.get(r["seen"], i), F.lit(True)))
+    total = F.transform(places, lambda i: _let(own(i), lambda q: F.struct(F.size(q).cast("long").alias("n"), _sum(F.transform(q, lambda r: F.coalesce(raw(r), F.lit(0.0)))).alias("raw"))))
+    return sets.withColumn("total", total), places, name
+
+
+def consensus_cells(m: DataFrame, regularization: float = 0.1, samples: list[str] | None = None) -> DataFrame:
+    """Residual, weight and variance of every cell: x less the row median less the column median of the centred rows.
+
+    ``m`` are long cells or, with ``samples``, the rows of ``matrix_rows``. A feature's matrix is one row of
+    arrays, so that a task sorts rows of transitions, not cells, and only once.
+    """
+    sets, places, name = _consensus_sets(m, samples, regularization)
+    rows = sets.select("feature", "total", F.explode("p").alias("r"))
+    cells = rows.select("feature", "total", "r", F.explode(places).alias("i")).where(F.coalesce(F.get("r.seen", F.col("i")), F.lit(True)))
+    at = lambda c: F.get(F.col(c), F.col("i"))
+    weight = F.try_divide(at("total")["n"] / (F.col("r.variance") + regularization), at("total")["raw"])
+    return cells.select("feature", "r.transition", name(F.col("i")).alias("sample"), at("r.xs").alias("x"), at("r.c").alias("residual"), "r.variance", weight.alias("weight"))
+
+
+def rollup_consensus(m: DataFrame, regularization: float = 0.1, samples: list[str] | None = None) -> DataFrame:
+    """Transitions weighted by the inverse variance of their residuals; ``m`` as in ``consensus_cells``."""
+    sets, places, name = _consensus_sets(m, samples, regularization)
+
+    def rolled(i: Column) -> Column:
+        total = F.get("total", i)
+        part = lambda r: F.pow(F.lit(2.0), F.get(r["xs"], i)) / (r["variance"] + regularization)
+        linear = F.try_divide(_sum(F.array_compact(F.transform("p", part))) * total["n"], total["raw"])
+        spread = F.sqrt(_array_variance(F.transform("p", lambda r: F.get(r["c"], i))))
+        return F.struct(i.alias("i"), F.log2(F.greatest(linear, F.lit(1.0))).alias("value"), spread.alias("uncertainty"), total["n"].alias("n_transitions"))
+
+    rows = sets.select("feature", F.explode(F.transform(places, rolled)).alias("r")).where("r.n_transitions > 0")
+    return rows.select("feature", name(F.col("r.i")).alias("sample"), "r.value", "r.uncertainty", "r.n_transitions")
 
 
 def adaptive_weights(features: DataFrame, betas: dict[str, float]) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.operators.rollup import matrix, rollup_sum, sample_list
+from quantloom.operators.rollup import matrix, matrix_rows, rollup_sum, sample_list
 from quantloom.runtime import table
 
 
@@ -38,6 +38,13 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
     return matrix(c, sample_list(c))
 
 
+def dense_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """The rows of the same matrix, and its samples."""
+    c = cells(spark, sf)
+    samples = sample_list(c)
+    return matrix_rows(c, samples), samples
+
+
 def values(spark: SparkSession, sf: str) -> DataFrame:
     """(feature, sample, x, rt, batch, sample_type, entity): summed log2 values with attributes."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("feature"), F.col("p_size").cast("double").alias("rt"), F.col("p_brand").alias("entity"))

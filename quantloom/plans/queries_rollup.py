@@ -112,12 +112,14 @@ CONSENSUS = dict(
 
 @query(with_ctes("SELECT feature, sample, round(log2(greatest(sum(weight * pow(2.0, x)), 1.0)), 6) AS value, round(stddev_pop(residual), 6) AS uncertainty, count(*) AS n_transitions FROM c4 GROUP BY ALL", "m", **CONSENSUS))
 def rup_consensus(spark, sf):
-    return rounded(rup.rollup_consensus(b.dense(spark, sf)))
+    m, samples = b.dense_rows(spark, sf)
+    return rounded(rup.rollup_consensus(m, samples=samples))
 
 
 @query(with_ctes("SELECT feature, transition, sample, round(x, 5) AS x, round(residual, 5) AS residual, round(variance, 5) AS variance, round(weight, 5) AS weight FROM c4", "m", **CONSENSUS))
 def rup_consensus_diagnostics(spark, sf):
-    return rounded(rup.consensus_cells(b.dense(spark, sf)), digits=5)
+    m, samples = b.dense_rows(spark, sf)
+    return rounded(rup.consensus_cells(m, samples=samples), digits=5)
 
 
 @query(with_ctes(
