@@ -105,3 +105,8 @@ def internal_standards(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         hit = hit | F.coalesce(F.col(c).rlike(pattern), F.lit(False))
     return df.where(hit)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from quantloom.functions.columns import once
+
 from .joins import range_join
 from .ordering import numbered
 
@@ -149,9 +151,33 @@ def load_over_time(density: DataFrame, n_windows: int) -> DataFrame:
 
 
 def display_grid(scheme: DataFrame, rows: int, lo: float, hi: float) -> DataFrame:
-    """(row, window): the narrowest window that covers the centre of each display row."""
-    spark = scheme.sparkSession
+    """(row, window): the narrowest window that covers the centre of each display row.
+
+    No pair of row and window is made: the run of rows that a window covers is two blocks of 2^k rows, which
+    overlap. Each block keeps its narrowest window, so what is left depends on the display, not on the scheme.
+    """
     step = (hi - lo) / rows
-    centres = spark.range(rows).select(F.col("id").cast("int").alias("row"), (F.lit(lo) + (F.col("id") + 0.5) * step).alias("mz"))
-    j = range_join(centres, scheme, "mz", "lo", "hi", 4.0)
-    return j.groupBy("row").agg(F.min_by("window", F.struct(F.col("hi") - F.col("lo"), "window")).alias("window"))
+    centre = lambda i: F.lit(lo) + (i + 0.5) * step
+    bounded = lambda i, least: F.greatest(F.least(i, F.lit(rows)), F.lit(least)).cast("long")
+
+    def first(edge: Column) -> Column:
+        """The first row whose centre is not below the edge; its neighbours' centres are compared, as the estimate is rounded."""
+        guess = bounded(F.floor((edge - lo) / step - 0.5), -1)
+        return once(guess, lambda g: bounded(g - 1 + sum(((centre(g + d) < edge).cast("long") for d in (-1, 0, 1)), F.lit(0)), 0))
+
+    def cut(edges: Column) -> Column:
+        a, b = edges[0], edges[1]
+        two = lambda size: F.array_distinct(F.array(F.struct(a.alias("a"), size.alias("size")), F.struct((b - size).alias("a"), size.alias("size"))))
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(b - a)) - 1)  # the largest power of two that is not longer than the run
+        return F.when(a < b, once(size, two))
+
+    edges = F.transform(F.array(F.col("lo").cast("double"), F.col("hi").cast("double")), first)
+    blocks = scheme.where(F.col("hi") > F.col("lo")).select("window", (F.col("hi") - F.col("lo")).alias("width"), F.explode(once(edges, cut)).alias("_k")).select("window", "width", "_k.a", "_k.size")
+
+    def narrowest(df: DataFrame, *key: str) -> DataFrame:
+        """The smallest window of the least width: two aggregations of plain numbers, which are hashed and not sorted."""
+        least = df.groupBy(*key).agg(F.min("width").alias("width"))
+        return df.join(F.broadcast(least), [*key, "width"]).groupBy(*key, "width").agg(F.min("window").alias("window"))  # at most 2 * rows * log2(rows) keys
+
+    covered = narrowest(blocks, "a", "size").withColumn("row", F.explode(F.expr("sequence(a, a + size - 1)")))
+    return narrowest(covered, "row").select(F.col("row").cast("int").alias("row"), "window")

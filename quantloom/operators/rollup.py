@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.columns import once
 from quantloom.scratch import Scratch
 
 from .kernels import median_polish_frames
@@ -168,23 +169,18 @@ def rollup_topn(m: DataFrame, n: int = 3, weighting: str = "sqrt", scores: DataF
     return out.withColumn("value", F.when(F.col("n_transitions") >= min_transitions, F.col("value")))
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
 def _array_median(values: Column) -> Column:
     half = lambda n: F.floor(n / 2).cast("int")
-    return _let(F.sort_array(F.array_compact(values)), lambda s: (F.get(s, half(F.size(s) - 1)) + F.get(s, half(F.size(s)))) / 2)
+    return once(F.sort_array(F.array_compact(values)), lambda s: (F.get(s, half(F.size(s) - 1)) + F.get(s, half(F.size(s)))) / 2)
 
 
 def _array_variance(values: Column) -> Column:
     squares = lambda v, mean: _sum(F.transform(v, lambda x: (x - mean) * (x - mean)))
-    return _let(F.array_compact(values), lambda v: _let(F.try_divide(_sum(v), F.size(v)), lambda mean: F.try_divide(squares(v, mean), F.size(v))))
+    return once(F.array_compact(values), lambda v: once(F.try_divide(_sum(v), F.size(v)), lambda mean: F.try_divide(squares(v, mean), F.size(v))))
 
 
 def _consensus_sets(m: DataFrame, samples: list[str] | None, regularization: float) -> tuple[DataFrame, Column, Column]:
@@ -199,13 +195,13 @@ def _consensus_sets(m: DataFrame, samples: list[str] | None, regularization: flo
     places, name = F.sequence(F.lit(0), F.lit(len(samples) - 1)) if samples else F.array().cast("array<int>"), lambda i: F.get(F.array(*map(F.lit, samples)).cast("array<string>"), i)
     sets = m.groupBy("feature").agg(F.collect_list(F.struct("transition", "xs", "seen")).alias("p"))
 
-    centred = F.transform("p", lambda r: r.withField("c", _let(_array_median(r["xs"]), lambda mid: F.transform(r["xs"], lambda x: x - mid))))
+    centred = F.transform("p", lambda r: r.withField("c", once(_array_median(r["xs"]), lambda mid: F.transform(r["xs"], lambda x: x - mid))))
     mids = lambda p: F.transform(places, lambda i: _array_median(F.transform(p, lambda r: F.get(r["c"], i))))
-    residual = _let(centred, lambda p: _let(mids(p), lambda mid: F.transform(p, lambda r: r.withField("c", F.zip_with(r["c"], mid, lambda c, v: c - v)))))
+    residual = once(centred, lambda p: once(mids(p), lambda mid: F.transform(p, lambda r: r.withField("c", F.zip_with(r["c"], mid, lambda c, v: c - v)))))
     sets = sets.select("feature", F.transform(residual, lambda r: r.withField("variance", _array_variance(r["c"]))).alias("p"))
     raw = lambda r: 1 / (r["variance"] + regularization)
     own = lambda i: F.filter("p", lambda r: F.coalesce(F.get(r["seen"], i), F.lit(True)))
-    total = F.transform(places, lambda i: _let(own(i), lambda q: F.struct(F.size(q).cast("long").alias("n"), _sum(F.transform(q, lambda r: F.coalesce(raw(r), F.lit(0.0)))).alias("raw"))))
+    total = F.transform(places, lambda i: once(own(i), lambda q: F.struct(F.size(q).cast("long").alias("n"), _sum(F.transform(q, lambda r: F.coalesce(raw(r), F.lit(0.0)))).alias("raw"))))
     return sets.withColumn("total", total), places, name
 
 

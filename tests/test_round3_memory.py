@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quantloom.operators import rollup
+from quantloom.operators import density, rollup
 
 
 def _nodes(df) -> str:
@@ -57,3 +57,19 @@ def test_rows_of_the_matrix_hold_its_cells(spark):
     want = {(r.feature, r.transition, r["sample"]): r.x for r in rollup.matrix(cells, names).collect()}
     got = {(r.feature, r.transition, s): x for r in rollup.matrix_rows(cells, names).collect() for s, x in zip(names, r.xs)}
     assert got == want and len(got) == 9
+
+
+def test_display_grid_makes_no_pair_of_row_and_window(spark):
+    rng = np.random.default_rng(16)
+    edges = [(float(a), float(a + w)) for a, w in zip(np.round(rng.uniform(-30, 130, 400), 1), np.round(rng.uniform(0, 3, 400) ** 4, 1))]
+    edges += [(0.125, 0.375), (0.125, 0.3750001), (50.0, 50.1), (99.875, 500.0), (-7.0, 0.125), (3.0, 3.0), (4.0, 2.0), (-1e9, 1e9)]
+    edges += [(40.0, 42.0), (41.0, 43.0)]  # equal widths: the smaller window
+    scheme = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(edges)] + [(999, None, 5.0), (998, 5.0, None)], "window int, lo double, hi double")
+    got = density.display_grid(scheme, 400, 0.0, 100.0)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for r in range(400):
+        held = [(hi - lo, i) for i, (lo, hi) in enumerate(edges) if lo <= (r + 0.5) * 0.25 < hi]
+        if held:
+            want[r] = min(held)[1]
+    assert {r.row: r.window for r in got.collect()} == want and len(want) == 400
