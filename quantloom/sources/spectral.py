@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quantloom.operators.ordering import numbered
+from quantloom.scratch import Scratch
+
 PEAKS = "id long, key string, mz double, intensity double, feature string, charge int, rt double"
 _NAMES = [c.split()[0] for c in PEAKS.split(", ")]
 BATCH = 1 << 16
@@ -122,15 +125,32 @@ CREATE TABLE RefSpectraPeaks (RefSpectraID INTEGER, peakMZ BLOB, peakIntensity B
 """
 
 
+def _packed_rows(batches):
+    """Spectra with their peaks (a list of m/z and intensity) as two packed arrays."""
+    for batch in batches:
+        p = batch.column("p")
+        ends, peaks = p.offsets.to_numpy() - p.offsets[0].as_py(), p.flatten()
+        mz, intensity = (peaks.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        parts = list(zip(ends[:-1], ends[1:]))
+        blobs = [[zlib.compress(mz[a:b].astype("<f8").tobytes()) for a, b in parts], [intensity[a:b].astype("<f4").tobytes() for a, b in parts]]
+        told = [batch.column(c) for c in ("id", "feature", "charge", "rt")]
+        yield pa.RecordBatch.from_arrays([*told, pa.array(np.diff(ends), pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["id", "feature", "charge", "rt", "n", "mz", "intensity"])
+
+
 def write_library_sqlite(library: DataFrame, path: str) -> None:
     """Write (feature, charge, rt, mz, intensity) as one SQLite library, ids by feature and charge.
 
-    The format is one file, so one task writes it, row by row; spectra are put
-    together by Spark before. ``path`` is in a folder that driver and executors share.
+    The format is one file, so one task writes it, row by row as it reads them; spectra are
+    put together, numbered in order and packed by Spark before, so that this task sorts and
+    holds nothing. ``path`` is in a folder that driver and executors share.
     """
     from quantloom.files import open_path
 
     spectra = library.groupBy("feature", "charge", "rt").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("p"))
+    scratch = Scratch(library.sparkSession, "spectra")
+    ordered = numbered(spectra, "feature", "charge", "rt", name="id", scratch=scratch)
+    kinds = {c: ordered.schema[c].dataType.simpleString() for c in ("feature", "charge", "rt")}
+    ready = ordered.mapInArrow(_packed_rows, f"id long, feature {kinds['feature']}, charge {kinds['charge']}, rt {kinds['rt']}, n long, mz binary, intensity binary")
 
     def written(batches):
         fs, target = open_path(path)
@@ -140,11 +160,11 @@ def write_library_sqlite(library: DataFrame, path: str) -> None:
         with sqlite3.connect(local) as db:
             db.executescript(SQLITE_TABLES)
             for batch in batches:
-                for feature, charge, rt, peaks in zip(*(batch.column(c).to_pylist() for c in ("feature", "charge", "rt", "p"))):
-                    n += 1
-                    mz, intensity = (np.array([p[c] for p in peaks]) for c in ("mz", "intensity"))
-                    db.execute("INSERT INTO RefSpectra VALUES (?, ?, NULL, ?, ?, ?, ?)", (n, feature, charge, feature, rt, len(peaks)))
-                    db.execute("INSERT INTO RefSpectraPeaks VALUES (?, ?, ?)", (n, zlib.compress(mz.astype("<f8").tobytes()), intensity.astype("<f4").tobytes()))
+                n += batch.num_rows
+                number, feature, charge, rt, size, mz, intensity = (batch.column(c).to_pylist() for c in ("id", "feature", "charge", "rt", "n", "mz", "intensity"))
+                db.executemany("INSERT INTO RefSpectra VALUES (?, ?, NULL, ?, ?, ?, ?)", zip(number, feature, charge, feature, rt, size))
+                db.executemany("INSERT INTO RefSpectraPeaks VALUES (?, ?, ?)", zip(number, mz, intensity))
+            db.execute("CREATE INDEX PeaksOfSpectrum ON RefSpectraPeaks (RefSpectraID)")  # else each range of ids reads the whole table
         db.close()
         with open(local, "rb") as source, fs.open_output_stream(target) as out:
             while block := source.read(8 << 20):
@@ -152,5 +172,5 @@ def write_library_sqlite(library: DataFrame, path: str) -> None:
         os.remove(local)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    ordered = spectra.repartition(1).sortWithinPartitions("feature", "charge", "rt")
-    ordered.mapInArrow(written, "n long").collect()
+    scratch.table(ready, "packed").coalesce(1).mapInArrow(written, "n long").collect()
+    scratch.clean()
