@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.columns import once
+
 from .kernels import _spread, matrices, median_polish_stack, sorted_cells
 from .rollup import log_variance
 
@@ -90,13 +92,20 @@ def top_rows(wide: pd.DataFrame, n: int, selection: str) -> list[pd.DataFrame]:
     return [values, picks]
 
 
-def rollup_outputs(m: DataFrame, key: str = "entity", row: str = "feature", method: str = "median_polish", n: int = 3, selection: str = "median_abundance", log_count: bool = False, **variance) -> DataFrame:
-    """Tagged rows (output, key, row, and the columns of all outputs) of one method: median_polish, topn or quality_weighted."""
-    named = m.select(F.col(key).alias("key"), F.col(row).alias("row"), "sample", "x", *[c for c in ("shape", "coeluting") if c in m.columns])
+def rollup_outputs(m: DataFrame, key: str = "entity", row: str = "feature", method: str = "median_polish", n: int = 3, selection: str = "median_abundance", log_count: bool = False, samples: list[str] | None = None, **variance) -> DataFrame:
+    """Tagged rows (output, key, row, and the columns of all outputs) of one method: median_polish, topn or quality_weighted.
+
+    ``m`` are long cells or, for quality_weighted with ``samples``, the rows of ``rollup.matrix_rows``, of which a task
+    sorts one for each row of the matrix, not one for each cell.
+    """
+    if samples is not None and method != "quality_weighted":
+        raise ValueError(f"{method} takes long cells")
+    cells = ["sample", "x"] if samples is None else ["xs"]
+    named = m.select(F.col(key).alias("key"), F.col(row).alias("row"), *cells, *[c for c in ("shape", "coeluting") if samples is None and c in m.columns])
     schema = f"output string, key {named.schema['key'].dataType.simpleString()}, row {named.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} {k}" for c, k in _KINDS.items())
     columns = ["output", "key", "row", *_KINDS]
     if method == "quality_weighted":
-        return _weighted_outputs(named, variance).select(*[F.col(c) if c in ("output", "key", "row", "sample", "value", "uncertainty", "n_rows", "weight") else F.lit(None).cast(_KINDS[c]).alias(c) for c in columns])
+        return _weighted_outputs(named, variance, samples).select(*[F.col(c) if c in ("output", "key", "row", "sample", "value", "uncertainty", "n_rows", "weight") else F.lit(None).cast(_KINDS[c]).alias(c) for c in columns])
     if method not in ("median_polish", "topn"):
         raise ValueError(f"no further outputs of {method}")
 
@@ -113,11 +122,21 @@ def rollup_outputs(m: DataFrame, key: str = "entity", row: str = "feature", meth
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in number})
 
 
-def _weighted_outputs(named: DataFrame, variance: dict, max_ratio: float = 100.0) -> DataFrame:
-    """Values and weights of an inverse-variance mean: one aggregation by key and sample, whose row unfolds into both."""
-    options = {c: F.col(c) for c in ("shape", "coeluting") if c in named.columns} | variance
-    v = named.where(F.col("x").isNotNull()).withColumn("v", log_variance(F.pow(F.lit(2.0), F.col("x")), **options))
-    sets = v.groupBy("key", "sample").agg(F.array_sort(F.collect_list(F.struct("row", "x", "v"))).alias("p"), F.min("v").alias("least"))
+def _weighted_outputs(named: DataFrame, variance: dict, samples: list[str] | None = None, max_ratio: float = 100.0) -> DataFrame:
+    """Values and weights of an inverse-variance mean: one aggregation by key and sample, whose row unfolds into both.
+
+    With ``samples`` it is one by key, which unfolds into the samples first.
+    """
+    if samples is None:
+        options = {c: F.col(c) for c in ("shape", "coeluting") if c in named.columns} | variance
+        v = named.where(F.col("x").isNotNull()).withColumn("v", log_variance(F.pow(F.lit(2.0), F.col("x")), **options))
+        sets = v.groupBy("key", "sample").agg(F.array_sort(F.collect_list(F.struct("row", "x", "v"))).alias("p"), F.min("v").alias("least"))
+    else:
+        keys = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("row", "xs"))).alias("m"))
+        keys = keys.select("key", "m", F.posexplode(F.array(*map(F.lit, samples)).cast("array<string>")).alias("i", "sample")).where(F.exists("m", lambda r: F.get(r["xs"], F.col("i")).isNotNull()))
+        seen = F.filter(F.transform("m", lambda r: F.struct(r["row"].alias("row"), F.get(r["xs"], F.col("i")).alias("x"))), lambda r: r["x"].isNotNull())
+        p = F.transform(seen, lambda r: r.withField("v", log_variance(F.pow(F.lit(2.0), r["x"]), **variance)))
+        sets = keys.select("key", "sample", once(p, lambda p: F.struct(p.alias("p"), F.array_min(F.transform(p, lambda r: r["v"])).alias("least"))).alias("s")).select("key", "sample", "s.p", "s.least")
     sets = sets.withColumn("p", F.transform("p", lambda r: F.struct(r["row"].alias("row"), r["x"].alias("x"), (1 / F.least(r["v"], max_ratio * F.col("least"))).alias("w"))))
     sets = sets.withColumns({"all": F.aggregate("p", F.lit(0.0), lambda s, r: s + r["w"]), "sum": F.aggregate("p", F.lit(0.0), lambda s, r: s + r["w"] * r["x"]), "n_rows": F.size("p").cast("long")})
     none = F.lit(None).cast(named.schema["row"].dataType)
@@ -128,8 +147,14 @@ def _weighted_outputs(named: DataFrame, variance: dict, max_ratio: float = 100.0
 
 
 def write_outputs(rows: DataFrame, path: str) -> None:
-    """One job for all outputs: a folder a tag."""
-    rows.write.partitionBy("output").parquet(path)
+    """One job for all outputs: a folder a tag. A task has a writer for each tag, so that it need not sort its rows by tag."""
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(len(FIELDS)))
+    try:
+        rows.write.partitionBy("output").parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def read_output(spark: SparkSession, path: str, output: str, key: str = "entity", row: str = "feature") -> DataFrame:

@@ -200,7 +200,8 @@ def out_topn_selections(spark, sf):
     q2="SELECT feature, transition, sample, x, least(v, 100.0 * min(v) OVER (PARTITION BY feature, sample)) AS v FROM q1"))
 def out_quality_weights(spark, sf):
     """RUP-32: the weight of each transition in each sample."""
-    path = _written(outputs.rollup_outputs(b.dense(spark, sf), "feature", "transition", "quality_weighted"), spark)
+    m, samples = b.dense_rows(spark, sf)
+    path = _written(outputs.rollup_outputs(m, "feature", "transition", "quality_weighted", samples=samples), spark)
     return rounded(outputs.read_output(spark, path, "weights", "feature", "transition"), digits=8)
 
 
@@ -210,5 +211,6 @@ def out_quality_weights(spark, sf):
     q2="SELECT feature, sample, x, least(v, 100.0 * min(v) OVER (PARTITION BY feature, sample)) AS v FROM q1"))
 def out_quality_values(spark, sf):
     """RUP-32: the values of the same write."""
-    path = _written(outputs.rollup_outputs(b.dense(spark, sf), "feature", "transition", "quality_weighted"), spark)
+    m, samples = b.dense_rows(spark, sf)
+    path = _written(outputs.rollup_outputs(m, "feature", "transition", "quality_weighted", samples=samples), spark)
     return rounded(outputs.read_output(spark, path, "values", "feature", "transition"))

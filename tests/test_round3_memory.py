@@ -3,9 +3,10 @@
 import sqlite3
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import density, rollup
+from quantloom.operators import density, outputs, rollup
 from quantloom.sources import spectral
 
 
@@ -97,3 +98,26 @@ def test_one_task_writes_a_library_without_sorting_it(spark, tmp_path, monkeypat
     assert [r[:5] for r in got] == [(i + 1, *k, len(want[k])) for i, k in enumerate(sorted(want))]
     for _, *key, _, mz, intensity in got:
         assert list(zip(spectral.packed(mz, "<f8"), spectral.packed(intensity, "<f4"))) == sorted(want[tuple(key)])
+
+
+def test_weights_from_rows_equal_those_from_cells_and_no_write_sorts_by_tag(spark, tmp_path):
+    rng = np.random.default_rng(24)
+    names = ["S0", "S1", "S2", "S3"]
+    x = {(f, t): [None if v < 0.15 else float(np.round(8 + 9 * v, 3)) for v in rng.random(4)] for f in range(9) for t in range(1 + f % 4)}
+    x |= {(20, 0): [None, None, None, 9.0], (21, 0): [None] * 4}
+    rows = spark.createDataFrame([(f, t, v) for (f, t), v in x.items()], "feature int, transition int, xs array<double>").repartition(3)
+    cells = spark.createDataFrame([(f, t, s, v) for (f, t), vs in x.items() for s, v in zip(names, vs)], "feature int, transition int, sample string, x double").repartition(3)
+    setting = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    found = []
+    for name, m, samples in (("rows", rows, names), ("cells", cells, None)):
+        path = str(tmp_path / name)
+        outputs.write_outputs(outputs.rollup_outputs(m, "feature", "transition", "quality_weighted", samples=samples), path)
+        found.append([sorted(map(tuple, outputs.read_output(spark, path, o, "feature", "transition").collect())) for o in ("values", "weights")])
+    assert found[0] == found[1] and len(found[0][1]) == sum(v is not None for vs in x.values() for v in vs)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == setting
+    status = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [status.apply(i).physicalPlanDescription() for i in range(status.size())]
+    written = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and str(tmp_path / "rows") in p]
+    assert written and all("Sort " not in p and "Sort (" not in p for p in written)
+    with pytest.raises(ValueError, match="long cells"):
+        outputs.rollup_outputs(rows, "feature", "transition", "topn", samples=names)
