@@ -99,22 +99,31 @@ def run_reports(spark: SparkSession, paths: dict[str, str], metadata: DataFrame,
     """
     c, scratch = settings(config), Scratch(spark, "run")
     rows = scratch.table(reports.merge_reports([(name, reports.read_report(spark, path)) for name, path in sorted(paths.items())]), "merged")
-    edges = parsimony.edges_from_lists(rows, f"`{find(rows.columns, 'feature')}`", f"`{find(rows.columns, 'entity')}`")
+    edges = scratch.table(parsimony.edges_from_lists(rows, f"`{find(rows.columns, 'feature')}`", f"`{find(rows.columns, 'entity')}`"), "edges")
     cells = reports.long_cells(rows)
     if not c["transition_rollup"]["use_ms1"]:
         cells = without_precursor_ions(cells, "transition")
     cells = scratch.table(cells, "cells")
+    scratch.drop(rows)
     samples = scratch.table(reports.with_metadata(cells.select("sample", "batch").distinct(), metadata), "samples")
-    first = rollup.first_cells(cells, ["row"])
-    m = scratch.table(rollup.matrix(first, rollup.sample_list(first), c["transition_rollup"]["min_transitions"]), "matrix")
-    rolled = rollup.rollup_transitions(m, c["transition_rollup"]["method"], c["transition_rollup"]["min_transitions"], cells)
+    tr, pr = c["transition_rollup"], c["protein_rollup"]
+    first = rollup.first_cells(cells.repartition("feature"), ["row"])  # all of a feature's steps follow this shuffle
+    m = rollup.matrix(first, rollup.sample_list(cells.where("area IS NOT NULL")), tr["min_transitions"])
+    if tr["method"] == "sum":
+        rolled = rollup.rollup_sum(m)  # the matrix has no features of fewer transitions
+    else:
+        rolled = rollup.rollup_transitions(scratch.table(m, "matrix"), tr["method"], tr["min_transitions"], cells)
     values = rolled.select("feature", "sample", F.col("value").alias("x")).join(rollup.mean_times(cells).withColumnRenamed("mean_rt", "rt"), "feature", "left").join(samples, "sample")
-    features = scratch.table(level(scratch.table(values, "raw"), c["global_normalization"], c["batch_correction"]), "features")
-    made = parsimony.grouping(edges)  # for the groups and for their matrix
+    raw = scratch.table(values, "raw")
+    scratch.drop(cells)
+    features = scratch.table(level(raw, c["global_normalization"], c["batch_correction"]), "features")
+    scratch.drop(raw)
+    made = parsimony.grouping(edges)  # for the groups and for their sums or matrix
     groups = scratch.table(parsimony.groups(edges, made), "groups")
-    p = scratch.table(parsimony.group_matrix(features, edges, c["parsimony"]["shared"], made), "grouped")
-    pr = c["protein_rollup"]
-    rolled = rollup.rollup_entities(p, **{k: v for k, v in pr.items()})
+    if pr["method"] == "sum":
+        rolled = parsimony.summed_groups(features, edges, c["parsimony"]["shared"], made, pr["min_features"])
+    else:
+        rolled = rollup.rollup_entities(scratch.table(parsimony.group_matrix(features, edges, c["parsimony"]["shared"], made), "grouped"), **pr)
     values = rolled.select(F.col("entity").alias("feature"), "sample", F.col("value").alias("x")).join(samples, "sample")
     entities = scratch.table(level(scratch.table(values, "raw_entities"), c["protein_normalization"], c["protein_correction"]).withColumnRenamed("feature", "entity"), "entities")
     if out is not None:

@@ -371,10 +371,11 @@ RUN_ROLES = dict(
 @query(with_ctes("SELECT xe.entity, xe.sample, round(x - (med - (SELECT median(med) FROM xem)), 5) AS x FROM xe JOIN xem ON xem.sample = xe.sample", "exported", **RUN, **PAR, **RUN_ROLES))
 def run_reports(spark, sf):
     """RUP-30, RUP-12, RUP-20: report files to entity abundances by configuration (sums, medians, no correction)."""
-    e = b.exported(spark, sf).groupBy("document", "Protein Accession", "Peptide Modified Sequence", "Fragment Ion", "Precursor Charge", "Product Charge", "Replicate Name").agg(F.max(F.expr("try_cast(Area AS DOUBLE)")).alias("Area"), F.min("Retention Time").alias("Retention Time"))
-    e = e.groupBy("document", "Peptide Modified Sequence", "Fragment Ion", "Precursor Charge", "Product Charge", "Replicate Name").agg(F.max("Area").alias("Area"), F.array_join(F.array_sort(F.collect_set("Protein Accession")), ";").alias("Protein Accession"))
-    e = Scratch(spark, "exported").table(e, "rows")  # for three files
+    e = b.exported(spark, sf).groupBy("document", "Peptide Modified Sequence", "Fragment Ion", "Precursor Charge", "Product Charge", "Replicate Name").agg(F.max(F.expr("try_cast(Area AS DOUBLE)")).alias("Area"), F.array_join(F.array_sort(F.collect_set("Protein Accession")), ";").alias("Protein Accession"))
+    scratch = Scratch(spark, "exported")
+    e = scratch.table(e, "rows")  # for three files
     files = {f: written(spark, e.where(F.col("document") == f).drop("document"), f"-{f}.csv") for f in "ANR"}
+    scratch.drop(e)
     meta = b.samples(spark, sf)
     off = {"enabled": False}
     config = {"global_normalization": {"method": "median"}, "batch_correction": off, "protein_rollup": {"method": "sum"}, "protein_correction": off}
