@@ -7,7 +7,8 @@ import warnings
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def _median(x: np.ndarray, axis: int) -> np.ndarray:
@@ -149,8 +150,12 @@ def matrices(batches, key: str, row: str, value: str = "x"):
 
 
 def sorted_cells(m: DataFrame, key: str, *columns: str) -> DataFrame:
-    """The named columns, all rows of a key in one partition and next to one another."""
-    return m.select(key, *columns).repartition(key).sortWithinPartitions(key)
+    """The named columns and ``_place``, all rows of a key in one partition and next to one another.
+
+    A window asks for whole keys. A repartition by the keys of a join before it is left out of the plan,
+    and adaptive execution may then read the join's rows as they lie, a key's in many tasks.
+    """
+    return m.select(key, *columns).withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(key)))
 
 
 def _spread(resid: np.ndarray) -> np.ndarray:
